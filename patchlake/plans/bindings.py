@@ -80,6 +80,24 @@ IMPORTS = {
     when 3 then concat('pkg', l_suppkey % 6, '.m', l_suppkey % 40, '.deep')
     end""",
     "name": "case when l_linenumber % 2 = 1 then concat('m', l_orderkey % 40) end",
+    "alias": "case when l_suppkey % 3 = 0 then concat('m', l_suppkey % 40) end",
+    "level": "case when l_linenumber % 2 = 1 and l_suppkey % 7 = 0 then 1 else 0 end",
+}
+IMPORT_POSITION = "concat(kind, '|', coalesce(module, ''), '|', coalesce(name, ''), '|', coalesce(alias, ''), '|', level)"
+
+REPOSITORIES = {
+    "repo_id": "concat('cust', c_custkey)",
+    "name": "c_name",
+    "owner": "c_mktsegment",
+    "clone_url": "concat('https://example.org/', c_custkey)",
+    "language": "case when c_nationkey % 5 = 0 then 'java' when c_nationkey % 7 = 3 then null else 'Python' end",
+    "license": """case c_custkey % 6 when 0 then 'MIT' when 1 then 'Apache-2.0' when 2 then 'GPL-3.0'
+        when 4 then 'ISC' when 5 then 'BSD-3-Clause' end""",
+    "is_fork": "c_custkey % 11 = 0",
+    "archived": "c_custkey % 13 = 0",
+    "collection_status": "case c_custkey % 9 when 0 then 'failed' when 1 then 'pending' when 2 then null else 'complete' end",
+    "quality_status": "case c_custkey % 4 when 0 then 'accepted' when 1 then 'review' end",
+    "source_file_count": "case when c_custkey % 19 = 0 then null else c_custkey % 60 end",
 }
 
 
@@ -148,6 +166,65 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(*_select(IMPORTS)).distinct()
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return functions(spark, sf_dir).select("file_path").distinct().withColumn("language", F.lit("python"))
+
+
+def positioned_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imports(spark, sf_dir).withColumn("position", F.expr(IMPORT_POSITION))
+
+
+def caller_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with the file, class and id of the calling function."""
+    callers = functions(spark, sf_dir).select(
+        "fn_no", "file_path", "parent_class",
+        F.concat("file_path", F.lit("::"), "qualified_name", F.lit("::L"), "line_start").alias("caller_id"),
+    )
+    return calls(spark, sf_dir).join(callers, "fn_no")
+
+
+def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as repositories; ten commits per order, none known for some."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.count(F.lit(1)) * 10).alias("n"))
+    known = F.expr("case when c_custkey % 17 = 0 then null else coalesce(n, 0) end").alias("commit_count")
+    customers = table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return customers.selectExpr("c_custkey", *_select(REPOSITORIES), "n").withColumn("commit_count", known).drop("n")
+
+
+def repository_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen repositories that the commits belong to."""
+    return commits(spark, sf_dir).select("repo_id").distinct().select(
+        "repo_id", F.col("repo_id").alias("name"), F.lit("someone").alias("owner"),
+        F.expr("case when repo_id in ('repo3', 'repo8') then 'java' else 'Python' end").alias("language"),
+        F.concat(F.lit("https://example.org/"), "repo_id").alias("clone_url"),
+    )
+
+
+def commit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_changes(spark, sf_dir).select(
+        "repo_id", "commit_hash", F.col("file_path").alias("path"),
+        F.col("insertions").alias("added_lines"), F.col("deletions").alias("deleted_lines"),
+    )
+
+
+def commit_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patch of a commit is that of the document with its author's customer number; some have none."""
+    text = patches(spark, sf_dir).select(F.col("doc_id").alias("o_custkey"), "patch")
+    keys = table(spark, sf_dir, "orders").selectExpr("o_custkey", *[f"{COMMITS[c]} as {c}" for c in ("repo_id", "commit_hash")])
+    return keys.join(text, "o_custkey").drop("o_custkey")
+
+
+def documents_as_file_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file diff per document, in the commit with the same number."""
+    return patches(spark, sf_dir).select(
+        F.concat(F.lit("c"), "doc_id").alias("commit_hash"),
+        F.when(F.col("lang") == "fr", F.lit(None)).otherwise(F.concat(F.lit("src/"), "source", F.lit(".py"))).alias("new_path"),
+        F.concat(F.lit("old/"), "source", F.lit(".py")).alias("old_path"),
+        (F.col("lang") == "de").alias("added"), (F.col("lang") == "fr").alias("deleted"), (F.col("lang") == "es").alias("renamed"),
+        "patch",
+    )
+
+
 # --- the same tables as DuckDB common table expressions --------------------
 
 
@@ -168,11 +245,26 @@ CTE = {
     "classes": "select file_path, parent_class as name, min(line_start) as line_start from functions "
     "where parent_class is not null and parent_class not in ('C5', 'C6') group by 1, 2",
     "calls": f"select {_sql_select(CALLS)} from lineitem",
+    "files": "select distinct file_path from functions",
+    "callers": "select fn_no, file_path, parent_class, file_path || '::' || qualified_name || '::L' || line_start as caller_id, "
+    "call from calls join functions using (fn_no)",
+    "repositories": f"select c_custkey, {_sql_select(REPOSITORIES)}, case when c_custkey % 17 = 0 then null else coalesce(n, 0) end as commit_count "
+    "from customer left join (select o_custkey, count(*) * 10 as n from orders group by 1) on c_custkey = o_custkey",
+    "commit_patches": f"select {COMMITS['repo_id']} as repo_id, {COMMITS['commit_hash']} as commit_hash, patch "
+    "from orders join patches on doc_id = o_custkey",
+    "file_patches": "select 'c' || doc_id as commit_hash, case when lang <> 'fr' then 'src/' || source || '.py' end as new_path, "
+    "'old/' || source || '.py' as old_path, lang = 'de' as added, lang = 'fr' as deleted, lang = 'es' as renamed, patch from patches",
+    "positioned_imports": f"select *, {IMPORT_POSITION} as position from imports",
     "imports": f"select distinct {_sql_select(IMPORTS)} from lineitem join part on l_partkey = p_partkey",
 }
 _NEEDS = {
     "file_changes": ["commits", "numstat"],
     "classes": ["functions"],
+    "files": ["functions"],
+    "callers": ["functions", "calls"],
+    "commit_patches": ["patches"],
+    "file_patches": ["patches"],
+    "positioned_imports": ["imports"],
 }
 
 

@@ -2,8 +2,64 @@
 
 from __future__ import annotations
 
+from patchlake import rules
 from patchlake.plans.bindings import with_bindings
 
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _word(keyword: str) -> str:
+    return _quoted(rf"\b{keyword}\b")
+
+
+# Every keyword is tried on its own here, one regular expression each.
+NORMAL = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+MESSAGE = NORMAL.format("coalesce(subject, '') || ' ' || coalesce(body, '')")
+
+
+def _found(words: list[str]) -> str:
+    return "[" + ", ".join(f"case when regexp_matches(t, {_word(w)}) then {_quoted(w)} end" for w in words) + "]"
+
+
+STRONG = _found(rules.STRONG_KEYWORDS)
+AGAINST = "[" + ", ".join(f"case when contains(t, {_quoted(w)}) then {_quoted('negative:' + w)} end" for w in rules.NEGATIVE_SUBSTRINGS) + "]"
+EVIDENCE = "(" + " or ".join(f"contains(t, {_quoted(w)})" for w in rules.TEST_EVIDENCE_SUBSTRINGS) + ")"
+REFERENCE = f"regexp_matches(t, {_quoted(rules.REFERENCE_PATTERN)})"
+
+
+def _signal(test: str, negatives: bool) -> str:
+    against = AGAINST if negatives else "[null]::varchar[]"
+    return f"""
+  select *, cast(2 * len(strong) - 3 * len(against) + 2 * len(extra) as int) as score,
+         array_to_string(list_sort(list_concat(strong, against, extra)), ',') as signals
+  from (select *, list_filter({STRONG}, lambda x: x is not null) as strong,
+               list_filter({against}, lambda x: x is not null) as against,
+               list_filter([case when {REFERENCE} then 'issue_or_pr_reference' end,
+                            case when {test} and {EVIDENCE} then 'bug_related_test' end], lambda x: x is not null) as extra
+        from (select *, {MESSAGE} as t from commits))"""
+
+
+POSITIVE_SIGNAL = _signal("contains(t, 'test')", True)
+NEGATIVE_SIGNAL = _signal(f"regexp_matches(t, {_quoted(rules.TEST_WORD_PATTERN)})", False)
+INTENT = "(" + " or ".join(f"regexp_matches(t, {_quoted(p)})" for p in rules.EXPLICIT_INTENT_PATTERNS) + ")"
+ROUTINE = "(" + " + ".join(f"cast(regexp_matches(t, {_word(w)}) as int)" for w in rules.ROUTINE_KEYWORDS) + ")"
+LABEL = "(" + " or ".join(f"regexp_matches(lower(subject), {_word(w)})" for w in rules.LABEL_KEYWORDS) + ")"
+LABEL_OF_CHANGE = LABEL.replace("lower(subject)", "lower(message)")
+
+IGNORED = "(" + " or ".join(f"regexp_matches({{0}}, {_quoted(p)}, 'i')" for p in rules.IGNORED_PATH_PATTERNS) + ")"
+SUFFIX = r"lower(regexp_extract({0}, '[^/](\.[^./]+)/*$', 1))"
+SOURCE = SUFFIX + " in (" + ", ".join(_quoted(e) for e in rules.SOURCE_EXTENSIONS) + ")"
+IS_TEST = "(contains(lower({0}), '/test/') or contains(lower({0}), '/tests/') or starts_with(lower({0}), 'test/') or starts_with(lower({0}), 'tests/') or starts_with(lower({0}), 'test_') or ends_with(lower({0}), '_test.py'))"
+
+BREAK = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
+
+
+def _lines(text: str, mark: str) -> str:
+    kept = f"list_filter(string_split_regex({text}, {BREAK}), lambda l: starts_with(l, '{mark}') and not starts_with(l, '{mark * 3}'))"
+    return f"list_transform({kept}, lambda l: substr(l, 2))"
+
 ORACLE: dict[str, str] = {}
 
 
@@ -47,3 +103,450 @@ select e.event_id, e.u as "user",
        case when n = 0 then 0.0 else round(cast(ins as double) / n, 6) end as average_prior_churn
 from e join f using (event_id)
 """
+
+ORACLE["q_commit_totals"] = with_bindings(["commits", "numstat"], """
+select c.commit_hash, repo_id, parent_count, coalesce(f, 0) as files_changed, cast(coalesce(i, 0) as bigint) as insertions,
+       cast(coalesce(d, 0) as bigint) as deletions
+from commits c left join (select commit_hash, count(*) as f, sum(insertions) as i, sum(deletions) as d from numstat group by 1) using (commit_hash)
+""")
+
+ORACLE["q_file_change_history"] = with_bindings(["commits", "numstat"], """
+with n as (
+  select *, flag = 'R' as renamed, flag = 'N' and deletions > insertions as deleted from numstat
+),
+paths as (select *, case when deleted then 'old/' || file_path else file_path end as path from n),
+counts as (select commit_hash, file_path, insertions, deletions from n where not renamed)
+select p.commit_hash, c.author, p.path as file_path, 'old/' || p.file_path as old_path,
+       case when p.flag = 'A' then 'added' when p.deleted then 'deleted' when p.renamed then 'renamed' else 'modified' end as change_type,
+       coalesce(k.insertions, 0) as insertions, coalesce(k.deletions, 0) as deletions,
+       coalesce(k.insertions, 0) + coalesce(k.deletions, 0) as total_changes
+from paths p join commits c on c.commit_hash = p.commit_hash and c.parent_count > 0
+left join counts k on k.commit_hash = p.commit_hash and k.file_path = p.path
+""")
+
+_FILE_PATCHES = f"""
+fp as (
+  select d.commit_hash, c.author as author_name, c.subject as message, coalesce(new_path, old_path) as file_path,
+         case when added then 'added' when deleted then 'deleted' when renamed then 'renamed' else 'modified' end as change_type,
+         length(patch) > {rules.STORED_PATCH_CHARS} as patch_truncated, substr(patch, 1, {rules.STORED_PATCH_CHARS}) as patch
+  from file_patches d join commits c on c.commit_hash = d.commit_hash and c.parent_count > 0
+)"""
+_LINE_COUNTS = f"cast(len({_lines('patch', '+')}) as int) as added_line_count, cast(len({_lines('patch', '-')}) as int) as removed_line_count"
+
+ORACLE["q_file_patch_history"] = with_bindings(["commits", "file_patches"], f"""
+with {_FILE_PATCHES}
+select commit_hash, file_path, change_type, patch_truncated, {_LINE_COUNTS}, md5(patch) as patch_md5,
+       md5(array_to_string({_lines('patch', '-')}, chr(10))) as removed_md5 from fp
+""")
+
+ORACLE["q_fix_patches"] = with_bindings(["commits", "file_patches"], f"""
+with {_FILE_PATCHES}
+select commit_hash, author_name, message, file_path, change_type, {_LINE_COUNTS}, 'bug_fix' as label from fp where {LABEL_OF_CHANGE}
+""")
+
+ORACLE["q_signal_score_pos"] = with_bindings(["commits"], f"select commit_hash, score, signals from ({POSITIVE_SIGNAL})")
+ORACLE["q_signal_score_neg"] = with_bindings(["commits"], f"select commit_hash, score, signals from ({NEGATIVE_SIGNAL})")
+ORACLE["q_intent_routine"] = with_bindings(["commits"], f"""
+select commit_hash, {INTENT} as explicit, {ROUTINE} as routine from (select *, {MESSAGE} as t from commits)
+""")
+ORACLE["q_keyword_label"] = with_bindings(["commits"], f"select commit_hash, cast({LABEL} as int) as label from commits")
+ORACLE["q_keyword_substring"] = with_bindings(["commits"], """
+select commit_hash, regexp_matches(lower(subject), 'fix|bug|error|crash|regression|failure|broken|incorrect') as fix_like from commits
+""")
+
+# In DuckDB a word border is ASCII only, so it is spelled out for these texts.
+_BEFORE, _AFTER = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
+_DOC_TESTS = [
+    (r"^\s*the\b", rf"^\s*the{_AFTER}"),
+    (r"\blicense\b", f"{_BEFORE}license{_AFTER}"),
+    (r"\bthe\b", f"{_BEFORE}the{_AFTER}"),
+    (r"\bla\b", f"{_BEFORE}la{_AFTER}"),
+    (r"\bund\b", f"{_BEFORE}und{_AFTER}"),
+    (r"\bof the\b", f"{_BEFORE}of the{_AFTER}"),
+    (r"#\d+", r"#\d+"),
+]
+ORACLE["q_doc_pattern_counts"] = f"""
+select doc_id, case {' '.join(f"when regexp_matches(t, {_quoted(q)}) then {_quoted(p)}" for p, q in _DOC_TESTS)} end as first_pattern,
+       {' + '.join(f"cast(regexp_matches(t, {_quoted(q)}) as int)" for _, q in _DOC_TESTS)} as patterns, cast(length(t) as int) as chars
+from (select doc_id, {NORMAL.format('text')} as t from documents)
+"""
+
+_PATH = "file_path"
+ORACLE["q_path_flags"] = with_bindings(["numstat"], f"""
+select commit_hash, file_path, {IGNORED.format(_PATH)} as ignored, {SOURCE.format(_PATH)} as source, {SUFFIX.format(_PATH)} = '.py' as python,
+       case when {SUFFIX.format(_PATH)} = '' then 'no_extension' else {SUFFIX.format(_PATH)} end as extension, {IS_TEST.format(_PATH)} as test
+from numstat
+""")
+ORACLE["q_language_histogram"] = with_bindings(["numstat"], """
+select case when ends_with(file_path, '.py') then 'python' when ends_with(file_path, '.js') then 'javascript' end as language, count(*) as files
+from (select distinct file_path from numstat) where ends_with(file_path, '.py') or ends_with(file_path, '.js') group by 1
+""")
+
+_CLIPPED = f"(select doc_id, length(patch) > {rules.STORED_PATCH_CHARS} as patch_truncated, substr(patch, 1, {rules.STORED_PATCH_CHARS}) as patch from patches)"
+ORACLE["q_patch_lines"] = with_bindings(["patches"], f"""
+with c as {_CLIPPED}, l as (select doc_id, patch_truncated, {_lines('patch', '+')} as a, {_lines('patch', '-')} as r from c)
+select doc_id, patch_truncated, cast(len(a) as int) as added_line_count, cast(len(r) as int) as removed_line_count,
+       md5(array_to_string(a, chr(10))) as added_md5, cast(len(a) as double) as added, cast(len(r) as double) as removed,
+       cast(len(a) + len(r) as double) as total_changes, cast(len(a) as double) - len(r) as change_balance from l
+""")
+
+_STATS = f"""
+stats as (
+  select commit_hash, count(*) as f, cast(sum(insertions) as bigint) as a, cast(sum(deletions) as bigint) as d
+  from numstat where {SOURCE.format(_PATH)} and not {IGNORED.format(_PATH)} group by 1
+)"""
+
+
+def _size_reason(chars: str, files: int = 5, added: int = 100, deleted: int = 20, limit: int = 5000) -> str:
+    return f"""case when coalesce(f, 0) = 0 then 'no_source_files' when f > {files} then 'too_many_changed_files' when a > {added} then 'too_many_added_lines'
+       when d > {deleted} then 'too_many_deleted_lines' when {chars} > {limit} then 'patch_too_large' when a + d = 0 then 'no_line_changes' end"""
+
+
+ORACLE["q_diff_quality"] = with_bindings(["commits", "numstat"], f"""
+with {_STATS}
+select repo_id, commit_hash, f as files_changed, a as added_lines, d as deleted_lines, reason, reason is null as accepted
+from (select *, {_size_reason('0')} as reason from commits left join stats using (commit_hash))
+""")
+
+
+def _positives(limits: str) -> str:
+    return f"""
+pos as (
+  select *, case when parent_count = 0 then 'no_parent' when parent_count > 1 then 'merge' when score < 2 then 'weak_signal'
+                 else coalesce({limits}, 'accepted') end as disposition
+  from ({POSITIVE_SIGNAL}) left join stats using (commit_hash) left join commit_patches using (repo_id, commit_hash)
+)"""
+
+
+_CHARS = "coalesce(length(patch), 0)"
+_SMALL = _size_reason(_CHARS)
+_LARGE = _size_reason(_CHARS, 30, 1500, 1500, 80000)
+_POS = f"{_STATS}, {_positives(_SMALL)}"
+_NEG = f"""{_POS},
+neg as (
+  select n.*, s.f, s.a, s.d, p.patch,
+         case when parent_count = 0 then 'no_parent' when parent_count > 1 then 'merge'
+              when n.commit_hash in (select commit_hash from pos where disposition = 'accepted') then 'already_positive'
+              when {INTENT} then 'explicit_intent' when {ROUTINE} = 0 then 'no_routine_signal' else coalesce({_SMALL}, 'accepted') end as disposition
+  from ({NEGATIVE_SIGNAL}) n left join stats s using (commit_hash) left join commit_patches p using (repo_id, commit_hash)
+)"""
+_FILES = f"""
+lists as (
+  select commit_hash, string_agg(file_path || ':' || insertions, ',' order by file_path) as files
+  from numstat where {SOURCE.format(_PATH)} and not {IGNORED.format(_PATH)} group by 1
+)"""
+_FLAT = """repo_id || ':' || commit_hash as record_id, repo_id as repository, case when repo_id in ('repo3', 'repo8') then 'java' else 'Python' end as language,
+       score, signals, files, f as files_changed, a as added_lines, d as deleted_lines, md5(patch) as patch_md5, 'p' || commit_hash as parent,
+       'https://example.org/' || repo_id as repository_url, 'https://github.com/' || repo_id || '/commit/' || commit_hash as commit_url"""
+_CANDIDATE_TABLES = ["commits", "numstat", "commit_patches"]
+
+ORACLE["q_candidates_pos"] = with_bindings(_CANDIDATE_TABLES, f"""
+with {_POS}, {_FILES} select {_FLAT} from pos join lists using (commit_hash) where disposition = 'accepted'
+""")
+ORACLE["q_candidates_neg"] = with_bindings(_CANDIDATE_TABLES, f"""
+with {_NEG}, {_FILES} select {_FLAT}, 'negative_v2' as kind from neg join lists using (commit_hash) where disposition = 'accepted'
+""")
+ORACLE["q_candidates_capped"] = with_bindings(_CANDIDATE_TABLES, f"""
+with {_NEG},
+r as (select repo_id, commit_hash, cast(row_number() over (partition by repo_id order by ts, commit_hash) as int) as repo_rank from neg where disposition = 'accepted')
+select * from r where repo_rank <= 40 order by repo_id, repo_rank limit 350
+""")
+_COUNTERS = """count_if(disposition not in ({0}) and disposition <> 'accepted') as rejected, count_if(disposition = 'no_parent') as no_parent,
+  count_if(disposition = 'merge') as merge_commits, count_if(disposition = 'no_source_files') as no_source_diff, count_if(disposition = 'accepted') as accepted"""
+_EARLY = "'no_parent', 'merge', 'weak_signal', 'already_positive', 'explicit_intent', 'no_routine_signal'"
+ORACLE["q_extraction_stats_pos"] = with_bindings(_CANDIDATE_TABLES, f"""
+with {_POS}
+select repo_id, count(*) as commits_seen, count_if(disposition not in ({_EARLY})) as bug_candidates, {_COUNTERS.format(_EARLY)}
+from pos group by rollup (repo_id)
+""")
+ORACLE["q_extraction_stats_neg"] = with_bindings(_CANDIDATE_TABLES, f"""
+with {_NEG}
+select repo_id, count(*) as commits_seen, count_if(disposition not in ({_EARLY})) as eligible, {_COUNTERS.format(_EARLY)},
+  count_if(disposition = 'already_positive') as already_positive, count_if(disposition = 'explicit_intent') as bug_signal,
+  count_if(disposition = 'no_routine_signal') as routine_signal_zero
+from neg group by rollup (repo_id)
+""")
+
+_EVIDENCE_COUNT = "(" + " + ".join(f"cast(regexp_matches(t, {_quoted(p)}, 'i') as int)" for p in rules.STRONG_EVIDENCE_PATTERNS) + ")"
+_SUPPORT_COUNT = "(" + " + ".join(f"cast(regexp_matches(t, {_quoted(p)}, 'i') as int)" for p in rules.SUPPORTING_PATTERNS) + ")"
+_REJECTED = "(" + " or ".join(f"regexp_matches(t, {_quoted(p)}, 'i')" for p in rules.REJECT_PATTERNS) + ")"
+_QUALITY = f"""{_STATS}, {_positives(_LARGE)},
+py as (select commit_hash, count_if(ends_with(file_path, '.py')) as py from numstat where {SOURCE.format(_PATH)} and not {IGNORED.format(_PATH)} group by 1),
+e as (
+  select *, {_EVIDENCE_COUNT} as st, {_SUPPORT_COUNT} as su, regexp_matches(t, {_quoted(rules.TEST_WORD_PATTERN)}) as te
+  from pos join py using (commit_hash) where disposition = 'accepted'
+),
+v as (
+  select *, case when st >= 3 then 5 when st = 2 then 4 when st = 1 then 2 else 0 end + case when su >= 2 then 3 when su = 1 then 1 else 0 end
+            + te::int + case when score >= 5 then 2 when score >= 3 then 1 else 0 end as points,
+         array_to_string(list_filter([
+           case when st >= 3 then 'multiple_strong_bug_signals' when st = 2 then 'two_strong_bug_signals' when st = 1 then 'strong_bug_signal' end,
+           case when su >= 2 then 'multiple_supporting_signals' when su = 1 then 'supporting_signal' end,
+           case when te then 'test_related' end,
+           case when score >= 5 then 'strong_original_signal' when score >= 3 then 'moderate_original_signal' end], lambda x: x is not null), ',') as why,
+         case when repo_id in ('repo3', 'repo8') then 'non_python_repository' when t = '' then 'empty_commit_message'
+              when {_REJECTED} then 'reject_message_pattern' when py = 0 then 'no_python_source_change' when a + d < 1 then 'empty_change'
+              when a + d > 100 then 'patch_too_large' when f > 2 then 'too_many_changed_files'
+              when coalesce(regexp_replace(patch, '\\s', '', 'g'), '') = '' then 'empty_patch' end as stop
+  from e
+),
+judged as (
+  select repo_id || ':' || commit_hash as record_id, stop is null and points >= 4 and st > 0 as accepted,
+         cast(case when stop is not null then 0 else points end as int) as score,
+         coalesce(stop, concat_ws(',', nullif(why, ''), case when points < 4 then 'insufficient_bug_evidence' when st = 0 then 'no_explicit_bug_signal' end)) as reasons
+  from v
+)"""
+ORACLE["q_quality_verdict"] = with_bindings(_CANDIDATE_TABLES, f"with {_QUALITY} select * from judged")
+ORACLE["q_reject_top15"] = with_bindings(_CANDIDATE_TABLES, f"""
+with {_QUALITY}
+select reason, count(*) as records from (select unnest(string_split(reasons, ',')) as reason from judged where not accepted)
+group by 1 order by records desc, reason limit 15
+""")
+ORACLE["q_score_histogram"] = with_bindings(_CANDIDATE_TABLES, f"with {_QUALITY} select score, count(*) as records from judged where accepted group by 1")
+
+# The sequential pass as rounds; rows are left after none of these at the given sizes.
+_ROUNDS = []
+for _i in range(1, 9):
+    _ROUNDS.append(f"""
+m{_i} as materialized (select *, o = min(o) over (partition by a) and o = min(o) over (partition by b) as keep from r{_i - 1}),
+r{_i} as materialized (select o, a, b from m{_i} where not keep and a not in (select a from m{_i} where keep) and b not in (select b from m{_i} where keep))""")
+ORACLE["q_dedup_two_key"] = f"""
+with r0 as (select doc_id as o, source || ':' || (n_chars % 40) as a, sha256({NORMAL.format('text')}) as b from documents), {', '.join(_ROUNDS)}
+{' union all '.join(f'select o as doc_id from m{i} where keep' for i in range(1, 9))}
+"""
+
+_HASH = "md5('42:' || {0})"
+_GROUPED = f"""
+g as (select doc_id, lang || ':' || source as repo from documents),
+k as (select *, row_number() over (partition by repo order by {_HASH.format('doc_id')}, doc_id) as r, count(*) over (partition by repo) as n from g)"""
+
+
+def _split(rank: str, size: str) -> str:
+    return f"case when {rank} <= floor({size} * 0.8::double) then 'train' when {rank} <= floor({size} * 0.8::double) + floor({size} * 0.1::double) then 'validation' else 'test' end"
+
+
+ORACLE["q_balance"] = f"with {_GROUPED} select doc_id, repo from k where n >= 5 and r <= 30"
+ORACLE["q_balance_counts"] = f"with {_GROUPED} select repo, cast(case when n < 5 then 0 else least(n, 30) end as bigint) as kept from (select repo, count(*) as n from g group by 1)"
+ORACLE["q_group_split"] = f"with {_GROUPED} select doc_id, repo, case when n < 10 then 'train' else {_split('r', 'n')} end as split from k"
+
+_RANKED_LABELS = f"k as (select *, row_number() over (partition by quality order by {_HASH.format('doc_id')}, doc_id) as r, count(*) over (partition by quality) as n from labels)"
+ORACLE["q_balanced_sample"] = f"with {_RANKED_LABELS} select doc_id, quality from k where r <= (select min(c) from (select count(*) as c from labels group by quality))"
+ORACLE["q_balanced_changes"] = with_bindings(["file_changes"], f"""
+with l as (select commit_hash, file_path, cast({LABEL_OF_CHANGE} as int) as label from file_changes),
+k as (select *, row_number() over (partition by label order by {_HASH.format("commit_hash || ':' || file_path")}, commit_hash, file_path) as r from l)
+select commit_hash, file_path, label from k where r <= (select min(c) from (select count(*) as c from l group by label))
+""")
+ORACLE["q_capped_sample"] = f"""
+with {_RANKED_LABELS}
+select doc_id, quality from k where r <= case when quality = 1 then 200 else least(50, (select least(200, count(*)) from labels where quality = 1)) end
+"""
+
+_CLASSES = """
+raw as (select *, case when doc_id % 17 = 0 then null when doc_id % 19 = 0 then ' ' else ' d' || doc_id end as rid from labels),
+p0 as (select *, 1 as seq from raw where quality = 1 union all select *, 2 from raw where quality = 1 and toxic = 1),
+n0 as (select *, 1 as seq from raw where quality = 0 union all select *, 2 from raw where toxic = 1),
+p1 as (select *, coalesce(nullif(trim(rid), ''), 'positive:missing_record_id:' || row_number() over (order by doc_id, seq)) as record_id from p0),
+n1 as (select *, coalesce(nullif(trim(rid), ''), 'negative:missing_record_id:' || row_number() over (order by doc_id, seq)) as record_id from n0)"""
+ORACLE["q_dataset_assemble"] = f"""
+with {_CLASSES},
+p2 as (select * from p1 qualify row_number() over (partition by record_id order by doc_id, seq) = 1),
+n2 as (select * from n1 qualify row_number() over (partition by record_id order by doc_id, seq) = 1)
+select record_id, 1 as label, doc_id, seq, cast(null as int) as toxic from p2
+union all select record_id, 0, doc_id, seq, toxic from n2 where record_id not in (select record_id from p2)
+"""
+ORACLE["q_assembly_counts"] = f"""
+with {_CLASSES}
+select (select count(*) from p1) as positive_rows, (select count(*) from n1) as negative_rows,
+       (select count(*) - count(distinct record_id) from p1) as positive_duplicates, (select count(*) - count(distinct record_id) from n1) as negative_duplicates,
+       (select count(distinct record_id) from n1 where record_id in (select record_id from p1)) as cross_class_conflicts
+"""
+ORACLE["q_stratified_split"] = f"with {_RANKED_LABELS} select doc_id, quality as label, {_split('r', 'n')} as split from k"
+ORACLE["q_integrity"] = """
+select count(*) as rows, count_if(quality = 1) > 0 as has_positives, count_if(quality = 0) > 0 as has_negatives,
+       count(*) = count(distinct doc_id) as ids_unique, true as splits_complete from labels
+"""
+_RANDOM = f"s as (select doc_id, lang, {_split('r', 'n')} as split from (select *, row_number() over (order by {_HASH.format('doc_id')}, doc_id) as r, count(*) over () as n from documents))"
+ORACLE["q_random_split"] = f"with {_RANDOM} select * from s"
+ORACLE["q_split_distribution"] = f"""
+with {_RANDOM}
+select split, lang, count(*) as records, round(count(*) * 100.0::double / sum(count(*)) over (partition by split), 2) as percent from s group by 1, 2
+"""
+ORACLE["q_temporal_split"] = with_bindings(["file_changes"], """
+with t as (select commit_hash, min(timestamp) as ts from file_changes group by 1),
+k as (select commit_hash, row_number() over (order by ts, commit_hash) - 1 as r, count(*) over () as n from t)
+select f.commit_hash, f.file_path, case when r < floor(n * 0.7::double) then 'train' when r < floor(n * 0.85::double) then 'validation' else 'test' end as split
+from file_changes f join k using (commit_hash)
+""")
+_CHANGE_SPLIT = f"""
+s as (select *, {_split('r', 'n')} as split from (
+  select *, row_number() over (order by {_HASH.format("commit_hash || ':' || file_path")}, commit_hash, file_path) as r, count(*) over () as n from {{0}}))"""
+ORACLE["q_leakage"] = with_bindings(["numstat"], f"""
+with {_CHANGE_SPLIT.format('numstat')},
+c as (select commit_hash, bool_or(split = 'train') as t, bool_or(split = 'validation') as v, bool_or(split = 'test') as e from s group by 1)
+select count_if(t and v) as train_validation_overlap, count_if(t and e) as train_test_overlap, count_if(v and e) as validation_test_overlap from c
+""")
+ORACLE["q_label_stats"] = with_bindings(["file_changes"], f"""
+with {_CHANGE_SPLIT.format('file_changes')}
+select split, count_if({LABEL_OF_CHANGE}) as positives, count_if(not {LABEL_OF_CHANGE}) as negatives, count(author_name) as with_history from s group by 1
+""")
+
+ORACLE["q_numeric_features"] = with_bindings(_CANDIDATE_TABLES, f"""
+with {_STATS},
+l as (select commit_hash, count(*) as files, count_if({SOURCE.format(_PATH)}) as src, count_if({IS_TEST.format(_PATH)}) as tst, count_if({IGNORED.format(_PATH)}) as ign
+      from numstat group by 1),
+v as (
+  select commit_hash, cast(coalesce(a, 0) as double) as a, cast(coalesce(d, 0) as double) as d,
+         cast(case when coalesce(f, 0) > 0 then f else coalesce(files, 0) end as double) as n,
+         cast(coalesce(src, 0) as double) as src, cast(coalesce(tst, 0) as double) as tst, cast(coalesce(ign, 0) as double) as ign,
+         coalesce(patch, '') as patch
+  from commits left join l using (commit_hash) left join stats using (commit_hash) left join commit_patches using (repo_id, commit_hash)
+)
+select commit_hash, a as added, d as removed, a + d as total_changes, a - d as change_balance, n as files_changed, src as source_files, tst as test_files,
+       ign as ignored_files, round(a / greatest(n, 1), 6) as avg_added, round(d / greatest(n, 1), 6) as avg_removed,
+       round((a + d) / greatest(n, 1), 6) as avg_changed, round(src / greatest(n, 1), 6) as source_ratio, round(tst / greatest(n, 1), 6) as test_ratio,
+       cast(length(patch) as double) as patch_length,
+       cast(case when patch = '' then 0 else length(patch) - length(replace(patch, chr(10), '')) + 1 end as double) as patch_line_count
+from v
+""")
+
+_SCALED = ["l_quantity", "l_extendedprice", "l_discount"]
+ORACLE["q_standardise"] = f"""
+select l_orderkey, l_partkey, l_linenumber,
+       {', '.join(f'round(({c} - (select avg({c}) from lineitem)) / (select stddev_pop({c}) from lineitem), 5) as {c}' for c in _SCALED)} from lineitem
+"""
+ORACLE["q_class_weights"] = """
+select quality as label, count(*) as records, round((select count(*) from labels)::double / (2 * count(*)), 6) as balanced_weight,
+       case when quality = 1 then round((select count(*) from labels where quality = 0)::double / count(*), 6) else 1.0::double end as relative_weight
+from labels group by 1
+"""
+
+
+def _terms(word: str) -> str:
+    return f"""
+w as (select doc_id, regexp_extract_all(lower(text), '{word}') as words from documents),
+t as (
+  select doc_id, unnest(words) as term from w
+  union all select doc_id, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as term from w
+),
+tf as (select doc_id, term, count(*) as tf from t group by 1, 2),
+voc as (
+  select term, cast(sum(tf) as bigint) as corpus_count, count(*) as df from tf group by 1
+  having count(*) >= 2 and count(*) <= (select count(*) from documents) * 0.95::double order by corpus_count desc, term limit {rules.MAX_TERMS}
+),
+idf as (select *, ln((1 + (select count(*) from documents))::double / (1 + df)) + 1 as idf from voc)"""
+
+
+ORACLE["q_tfidf_vocabulary"] = f"with {_terms(r'[\\p{L}\\p{N}_]+')} select term, corpus_count, df, round(idf, 6) as idf from idf"
+ORACLE["q_tfidf_terms"] = f"""
+with {_terms(r'[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')}, raw as (select doc_id, term, tf, (ln(tf) + 1) * idf as x from tf join idf using (term))
+select doc_id, term, tf, round(x / sqrt(sum(x * x) over (partition by doc_id)), 6) as weight from raw
+"""
+# No lookahead here: a mark is put before the last blank of a run that a word follows.
+ORACLE["q_pretoken_counts"] = with_bindings(["patches"], r"""
+with m as (select regexp_replace(regexp_replace(patch, '^\s+|\s+$', '', 'g'), '(\s)(\S)', chr(1) || '\1\2', 'g') as x from patches)
+select token, count(*) as n
+from (select unnest(regexp_extract_all(x, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+')) as token from m where x <> '') group by 1
+""")
+
+_LENGTHS = "w as (select doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) as ids from documents)"
+
+
+def _encoded(kept: str, size: int) -> str:
+    return f"""
+with {_LENGTHS}, k as (select doc_id, list_concat([2], {kept}, [3]) as ids from w)
+select doc_id, array_to_string(list_concat(ids, list_transform(range({size} - len(ids)), lambda i: 0)), ' ') as input_ids,
+       array_to_string(list_transform(range({size}), lambda i: case when i < len(ids) then 1 else 0 end), ' ') as attention_mask from k
+"""
+
+
+ORACLE["q_encode_fixed"] = _encoded("case when len(ids) <= 63 then ids else list_concat(ids[1:31], ids[len(ids) - 31:len(ids)]) end", 65)
+ORACLE["q_encode_prefix"] = _encoded("ids[1:62]", 64)
+
+_CONFUSION = """
+c as (select count_if(quality = 1 and toxic = 0) as tp, count_if(quality = 0 and toxic = 0) as fp,
+             count_if(quality = 0 and toxic = 1) as tn, count_if(quality = 1 and toxic = 1) as fn from labels)"""
+ORACLE["q_confusion"] = f"with {_CONFUSION} select * from c"
+ORACLE["q_confusion_matrix"] = "select quality as label, count_if(toxic = 1) as predicted_0, count_if(toxic = 0) as predicted_1 from labels group by 1"
+ORACLE["q_metric_values"] = f"""
+with {_CONFUSION}
+select *, round((tp + tn)::double / (tp + fp + tn + fn), 6) as accuracy, round(coalesce(tp::double / nullif(tp + fp, 0), 0), 6) as precision,
+       round(coalesce(tp::double / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2 * tp::double / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from c
+"""
+ORACLE["q_class_report"] = f"""
+with {_CONFUSION},
+k as (select '1' as class, tp as hit, tp + fp as g, tp + fn as support from c union all select '0', tn, tn + fn, tn + fp from c),
+r as (select class, coalesce(hit::double / nullif(g, 0), 0) as p, coalesce(hit::double / nullif(support, 0), 0) as q,
+             coalesce(2 * hit::double / nullif(g + support, 0), 0) as f, support from k)
+select class, round(p, 6) as precision, round(q, 6) as recall, round(f, 6) as f1, cast(support as bigint) as support from r
+union all select 'macro avg', round(avg(p), 6), round(avg(q), 6), round(avg(f), 6), cast(sum(support) as bigint) from r
+union all select 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(q * support) / sum(support), 6),
+                 round(sum(f * support) / sum(support), 6), cast(sum(support) as bigint) from r
+"""
+ORACLE["q_prediction_records"] = """
+select doc_id as record_id, source as repo_id, lang as commit, quality as true_label, 1 - toxic as predicted_label,
+       case when toxic = 1 then 0.75::double else 0.25::double end as probability_non_bug_fix,
+       case when toxic = 1 then 0.25::double else 0.75::double end as probability_bug_fix, quality = 1 - toxic as correct
+from labels join documents using (doc_id)
+"""
+
+_LICENSED = "coalesce(license in ('MIT', 'Apache-2.0', 'BSD-2-Clause', 'BSD-3-Clause', 'ISC'), false)"
+_VERDICTS = f"""
+s as (
+  select *, coalesce(collection_status = 'complete', false) as done, coalesce(commit_count >= 100, false) as c_ok,
+         coalesce(source_file_count >= 20, false) as f_ok, coalesce(lower(language) = 'python', false) as py, {_LICENSED} as lic from repositories
+),
+x as (
+  select *, 1 + (not is_fork)::int + (not archived)::int + 2 * c_ok::int + 2 * f_ok::int + py::int + 2 * lic::int as points,
+         concat_ws('; ', case when is_fork then 'repository is a fork' end, case when archived then 'repository is archived' end,
+           case when commit_count is null then 'commit count unavailable' when not c_ok then 'too few commits: ' || commit_count end,
+           case when source_file_count is null then 'source file count unavailable' when not f_ok then 'too few Python files: ' || source_file_count end,
+           case when not py then 'unexpected language: ' || coalesce(language, 'None') end,
+           case when not lic then 'license not approved or unknown: ' || coalesce(license, 'None') end) as text from s
+),
+judged as (
+  select repo_id, case when not done or is_fork or archived or not c_ok or not f_ok then 'rejected' when points >= 9 then 'high_quality'
+                       when points >= 7 then 'accepted' else 'review' end as status,
+         cast(case when done then points else 0 end as int) as score,
+         case when not done then 'repository collection is not complete' when text = '' then 'repository passed all quality checks' else text end as notes from x
+)"""
+ORACLE["q_repo_verdict"] = with_bindings(["repositories"], f"with {_VERDICTS} select * from judged")
+ORACLE["q_repo_verdict_counts"] = with_bindings(["repositories"], f"""
+with {_VERDICTS}
+select count_if(status in ('accepted', 'high_quality')) as accepted, count_if(status = 'review') as review, count_if(status = 'rejected') as rejected from judged
+""")
+ORACLE["q_manifest_notes"] = with_bindings(["repositories"], f"""
+with {_VERDICTS}
+select repo_id, 'pending' as collection_status, status as quality_status, 'quality_score=' || score || '; ' || notes as notes, 'v1' as dataset_version,
+       'manual' as source, clone_url as source_url from judged join repositories using (repo_id)
+""")
+_MERGED = """
+merged as (
+  select repo_id, c_custkey, case when c_custkey % 3 > 0 then 'v0' else 'v1' end as dataset_version, coalesce(language, 'python') as language
+  from repositories where c_custkey % 3 > 0 or c_custkey % 2 = 0
+)"""
+ORACLE["q_manifest_upsert"] = with_bindings(["repositories"], f"""
+with {_MERGED}, u as (select o_custkey, count(*) as n from orders group by 1)
+select repo_id, dataset_version, coalesce(n, 0) as stars, case when n % 2 = 0 then 'main' end as default_branch, 'pending' as collection_status, language
+from merged left join u on o_custkey = c_custkey
+""")
+ORACLE["q_manifest_additions"] = """
+select count_if(c_custkey % 3 = 0) as added, count_if(c_custkey % 3 > 0) as skipped from customer where c_custkey % 2 = 0
+"""
+ORACLE["q_manifest_events"] = """
+with e as (select *, epoch_us(o_orderdate) + o_orderkey as at from orders),
+l as (select o_custkey, arg_max(o_orderstatus, at) as st, arg_max(o_orderpriority, at) as pr from e group by 1),
+d as (select o_custkey, arg_max(o_orderkey, at) as k, max(at) as at from e where o_orderstatus = 'F' group by 1)
+select 'cust' || c_custkey as repo_id, case st when 'F' then 'complete' when 'O' then 'collecting' when 'P' then 'failed' else 'pending' end as collection_status,
+       case when st = 'P' then pr end as collection_error,
+       d.k as commit_count, coalesce(d.k % 100, case when d.k is null and c_custkey % 19 <> 0 then c_custkey % 60 end) as source_file_count, d.at as collected_us
+from customer left join l on l.o_custkey = c_custkey left join d on d.o_custkey = c_custkey
+"""
+ORACLE["q_manifest_summary"] = with_bindings(["repositories"], """
+select 'collection' as kind, coalesce(collection_status, 'unknown') as status, count(*) as repositories from repositories group by 1, 2
+union all select 'quality', coalesce(quality_status, 'unknown'), count(*) from repositories group by 1, 2
+""")
+ORACLE["q_repository_counts"] = with_bindings(["file_changes"], """
+select repo_id, (select count(*) from commits c where c.repo_id = r.repo_id) as commit_count,
+       (select count(distinct file_path) from file_changes f where f.repo_id = r.repo_id and ends_with(file_path, '.py')) as source_file_count
+from (select distinct repo_id from commits) r
+""")

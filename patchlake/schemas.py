@@ -2,42 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
+)
+
+TEXT, LONG, INT, FLAG, TIME = StringType(), LongType(), IntegerType(), BooleanType(), TimestampType()
+TEXTS = ArrayType(TEXT)
 
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def _struct(**fields: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
 
 
-REPOSITORY = _schema(
-    "repo_id string, owner string, name string, clone_url string, local_path string, language string, license string, "
-    "default_branch string, stars bigint, forks bigint, open_issues bigint, created_at timestamp, updated_at timestamp, "
-    "pushed_at timestamp, is_fork boolean, archived boolean, collection_status string, collection_error string, "
-    "commit_count bigint, source_file_count bigint, diff_record_count bigint, bug_fix_record_count bigint, "
-    "last_collected_at timestamp, added_to_manifest_at timestamp, dataset_version string, quality_status string, "
-    "quality_notes array<string>, provenance struct<source:string,source_url:string>"
+REPOSITORY = _struct(
+    repo_id=TEXT, owner=TEXT, name=TEXT, clone_url=TEXT, local_path=TEXT, language=TEXT, license=TEXT, default_branch=TEXT,
+    stars=LONG, forks=LONG, open_issues=LONG, created_at=TIME, updated_at=TIME, pushed_at=TIME, is_fork=FLAG, archived=FLAG,
+    collection_status=TEXT, collection_error=TEXT, commit_count=LONG, source_file_count=LONG, diff_record_count=LONG,
+    bug_fix_record_count=LONG, last_collected_at=TIME, added_to_manifest_at=TIME, dataset_version=TEXT, quality_status=TEXT,
+    quality_notes=TEXTS, provenance=_struct(source=TEXT, source_url=TEXT),
 )
 
-CHANGED_FILE = "struct<path:string,added_lines:bigint,deleted_lines:bigint,is_source:boolean,ignored:boolean>"
+CHANGED_FILES = ArrayType(_struct(path=TEXT, added_lines=LONG, deleted_lines=LONG, is_source=FLAG, ignored=FLAG))
+DIFF_STATS = _struct(files_changed=LONG, added_lines=LONG, deleted_lines=LONG)
 
-CANDIDATE = _schema(
-    "record_id string, repo_id string, repository string, owner string, language string, "
-    "commit struct<hash:string,parent:string,author:string,date:string,subject:string,body:string>, "
-    f"bug_signal struct<score:int,signals:array<string>>, changed_files array<{CHANGED_FILE}>, "
-    "diff_stats struct<files_changed:bigint,added_lines:bigint,deleted_lines:bigint>, patch string, label int, "
-    "quality struct<status:string,reasons:array<string>>, "
-    "dataset_quality struct<version:string,score:int,reasons:array<string>>, "
-    "provenance struct<source:string,repository_url:string,commit_url:string>"
+CANDIDATE = _struct(
+    record_id=TEXT, repo_id=TEXT, repository=TEXT, owner=TEXT, language=TEXT,
+    commit=_struct(hash=TEXT, parent=TEXT, author=TEXT, date=TEXT, subject=TEXT, body=TEXT),
+    bug_signal=_struct(score=INT, signals=TEXTS), changed_files=CHANGED_FILES, diff_stats=DIFF_STATS, patch=TEXT, label=INT,
+    quality=_struct(status=TEXT, reasons=TEXTS), dataset_quality=_struct(version=TEXT, score=INT, reasons=TEXTS),
+    provenance=_struct(source=TEXT, repository_url=TEXT, commit_url=TEXT),
 )
 
-FILE_PATCH = _schema(
-    "commit_hash string, timestamp timestamp, author_name string, author_email string, message string, parent_hash string, "
-    "file_path string, old_path string, new_path string, change_type string, patch string, patch_truncated boolean, "
-    "added_lines array<string>, removed_lines array<string>, added_line_count int, removed_line_count int"
+FILE_PATCH = _struct(
+    commit_hash=TEXT, timestamp=TIME, author_name=TEXT, author_email=TEXT, message=TEXT, parent_hash=TEXT, file_path=TEXT,
+    old_path=TEXT, new_path=TEXT, change_type=TEXT, patch=TEXT, patch_truncated=FLAG, added_lines=TEXTS, removed_lines=TEXTS,
+    added_line_count=INT, removed_line_count=INT,
 )
 
-SCORE_REQUEST = _schema(
-    "record_id string, patch string, added_line_count bigint, removed_line_count bigint, "
-    "diff_stats struct<files_changed:bigint,added_lines:bigint,deleted_lines:bigint>, "
-    f"changed_files array<{CHANGED_FILE}>"
+SCORE_REQUEST = _struct(
+    record_id=TEXT, patch=TEXT, added_line_count=LONG, removed_line_count=LONG, diff_stats=DIFF_STATS, changed_files=CHANGED_FILES,
 )

@@ -21,5 +21,7 @@ def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFram
 
 def source_text(files: DataFrame) -> DataFrame:
     """Python files as text; bytes that are not UTF-8 are dropped from it."""
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    raw = F.col("content").cast("string")
+    mended = F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(mended)
     return files.filter("language = 'python'").select("file_path", text.alias("code"))
