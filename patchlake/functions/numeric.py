@@ -39,13 +39,13 @@ def patch_numerics(
     ``ignored``. Every array is walked inside its own row.
     """
     base = line_numerics(added, removed, stat_added, stat_removed)
-    files = F.coalesce(changed_files, F.array().cast("array<struct<path:string,is_source:boolean,ignored:boolean>>"))
 
     def count(test) -> Column:
-        return F.size(F.filter(files, lambda f: F.coalesce(test(f), F.lit(False)))).cast("double")
+        hits = F.filter(changed_files, lambda f: F.coalesce(test(f), F.lit(False)))
+        return F.coalesce(F.size(hits).cast("double"), F.lit(0.0))
 
     stated = number(stat_files)
-    n_files = F.when(stated > 0, stated).otherwise(F.size(files).cast("double"))
+    n_files = F.when(stated > 0, stated).otherwise(F.coalesce(F.size(changed_files).cast("double"), F.lit(0.0)))
     per_file = F.greatest(n_files, F.lit(1.0))
     sources = count(lambda f: f["is_source"])
     tests = count(lambda f: is_test(f["path"]))

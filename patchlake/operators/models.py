@@ -95,7 +95,7 @@ def train(
     try:
         n = training.count()
         regression = LogisticRegression(
-            weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-6
+            weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-4
         )
         model = regression.fit(training)
     finally:

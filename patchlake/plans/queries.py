@@ -863,7 +863,8 @@ def linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same stored scorer over a table at the threshold for outside data."""
     texts = b.patches(spark, sf_dir).withColumn("l", patch.line_changes(F.col("patch")))
     none = F.lit(None).cast("bigint")
-    values = numeric.patch_numerics(F.col("patch"), F.lit(None), F.col("l.added_line_count"), F.col("l.removed_line_count"), none, none, none)
+    no_files = F.lit(None).cast("array<struct<path:string,is_source:boolean,ignored:boolean>>")
+    values = numeric.patch_numerics(F.col("patch"), no_files, F.col("l.added_line_count"), F.col("l.removed_line_count"), none, none, none)
     scored = texts.withColumns(values).withColumn("p", _stored_probability())
     return scored.select(
         "doc_id", F.round("p", 6).alias("probability"), models.label_name(models.decide(F.col("p"), rules.EXTERNAL_THRESHOLD)).alias("prediction")
