@@ -26,7 +26,11 @@ def new_records(rows: DataFrame, source: str = "manual") -> DataFrame:
         "quality_status": F.lit("unknown"),
         "quality_notes": F.array(),
     }
-    fixed = {"collection_status", "added_to_manifest_at", "dataset_version", "quality_status", "quality_notes"}
+    # Nothing is known about the collection of a new repository, whatever the rows say.
+    fixed = {
+        "collection_status", "collection_error", "last_collected_at", "added_to_manifest_at", "dataset_version",
+        "quality_status", "quality_notes", *COUNTERS,
+    }
     columns = []
     for field in REPOSITORY:
         name = field.name

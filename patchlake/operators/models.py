@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlake import rules
 from patchlake.operators import features, tfidf
+from patchlake.session import cut_lineage
 
 
 @dataclass
@@ -91,15 +92,13 @@ def train(
     one_hot = features.fit_one_hot(rows, categories) if categories else None
     text = tfidf.fit(rows, doc_id, "model_text", text_pattern, **text_limits) if text_pattern else None
     inputs = features.with_class_weight(_inputs(rows, numerics, scaler, one_hot, text, doc_id))
-    training = inputs.select("features", F.col("label").cast("double").alias("label"), "weight").persist()
-    try:
-        n = training.count()
-        regression = LogisticRegression(
-            weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-4
-        )
-        model = regression.fit(training)
-    finally:
-        training.unpersist()
+    # Written out once: the solver reads the rows in every iteration, and its
+    # tasks should not carry the plan that made them.
+    training = cut_lineage(inputs.select("features", F.col("label").cast("double").alias("label"), "weight"))
+    regression = LogisticRegression(
+        weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * training.count()), elasticNetParam=0.0, standardization=False, tol=1e-4
+    )
+    model = regression.fit(training)
     return Classifier(model, numerics, scaler, one_hot, text, doc_id)
 
 

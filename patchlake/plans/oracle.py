@@ -90,7 +90,7 @@ from h join f using (file_path, ts)
 ORACLE["q_history_events"] = """
 with e as (select event_id, ts, cast(user_id as varchar) as u, event_type, cast(floor(value) as bigint) as v from events),
 f as (
-  select p.event_id, count(h.ts) as n, coalesce(count_if(h.event_type = 'error'), 0) as bugs, coalesce(sum(h.v), 0) as ins,
+  select p.event_id, count(h.ts) as n, coalesce(count(*) filter (h.event_type = 'error'), 0) as bugs, coalesce(sum(h.v), 0) as ins,
          count(distinct h.event_type) as authors, max(h.ts) as last
   from e p left join e h on h.u = p.u and h.ts < p.ts group by 1
 )
@@ -251,19 +251,19 @@ with {_NEG},
 r as (select repo_id, commit_hash, cast(row_number() over (partition by repo_id order by ts, commit_hash) as int) as repo_rank from neg where disposition = 'accepted')
 select * from r where repo_rank <= 40 order by repo_id, repo_rank limit 350
 """)
-_COUNTERS = """count_if(disposition not in ({0}) and disposition <> 'accepted') as rejected, count_if(disposition = 'no_parent') as no_parent,
-  count_if(disposition = 'merge') as merge_commits, count_if(disposition = 'no_source_files') as no_source_diff, count_if(disposition = 'accepted') as accepted"""
+_COUNTERS = """count(*) filter (disposition not in ({0}) and disposition <> 'accepted') as rejected, count(*) filter (disposition = 'no_parent') as no_parent,
+  count(*) filter (disposition = 'merge') as merge_commits, count(*) filter (disposition = 'no_source_files') as no_source_diff, count(*) filter (disposition = 'accepted') as accepted"""
 _EARLY = "'no_parent', 'merge', 'weak_signal', 'already_positive', 'explicit_intent', 'no_routine_signal'"
 ORACLE["q_extraction_stats_pos"] = with_bindings(_CANDIDATE_TABLES, f"""
 with {_POS}
-select repo_id, count(*) as commits_seen, count_if(disposition not in ({_EARLY})) as bug_candidates, {_COUNTERS.format(_EARLY)}
+select repo_id, count(*) as commits_seen, count(*) filter (disposition not in ({_EARLY})) as bug_candidates, {_COUNTERS.format(_EARLY)}
 from pos group by rollup (repo_id)
 """)
 ORACLE["q_extraction_stats_neg"] = with_bindings(_CANDIDATE_TABLES, f"""
 with {_NEG}
-select repo_id, count(*) as commits_seen, count_if(disposition not in ({_EARLY})) as eligible, {_COUNTERS.format(_EARLY)},
-  count_if(disposition = 'already_positive') as already_positive, count_if(disposition = 'explicit_intent') as bug_signal,
-  count_if(disposition = 'no_routine_signal') as routine_signal_zero
+select repo_id, count(*) as commits_seen, count(*) filter (disposition not in ({_EARLY})) as eligible, {_COUNTERS.format(_EARLY)},
+  count(*) filter (disposition = 'already_positive') as already_positive, count(*) filter (disposition = 'explicit_intent') as bug_signal,
+  count(*) filter (disposition = 'no_routine_signal') as routine_signal_zero
 from neg group by rollup (repo_id)
 """)
 
@@ -271,7 +271,7 @@ _EVIDENCE_COUNT = "(" + " + ".join(f"cast(regexp_matches(t, {_quoted(p)}, 'i') a
 _SUPPORT_COUNT = "(" + " + ".join(f"cast(regexp_matches(t, {_quoted(p)}, 'i') as int)" for p in rules.SUPPORTING_PATTERNS) + ")"
 _REJECTED = "(" + " or ".join(f"regexp_matches(t, {_quoted(p)}, 'i')" for p in rules.REJECT_PATTERNS) + ")"
 _QUALITY = f"""{_STATS}, {_positives(_LARGE)},
-py as (select commit_hash, count_if(ends_with(file_path, '.py')) as py from numstat where {SOURCE.format(_PATH)} and not {IGNORED.format(_PATH)} group by 1),
+py as (select commit_hash, count(*) filter (ends_with(file_path, '.py')) as py from numstat where {SOURCE.format(_PATH)} and not {IGNORED.format(_PATH)} group by 1),
 e as (
   select *, {_EVIDENCE_COUNT} as st, {_SUPPORT_COUNT} as su, regexp_matches(t, {_quoted(rules.TEST_WORD_PATTERN)}) as te
   from pos join py using (commit_hash) where disposition = 'accepted'
@@ -362,7 +362,7 @@ select (select count(*) from p1) as positive_rows, (select count(*) from n1) as
 """
 ORACLE["q_stratified_split"] = f"with {_RANKED_LABELS} select doc_id, quality as label, {_split('r', 'n')} as split from k"
 ORACLE["q_integrity"] = """
-select count(*) as rows, count_if(quality = 1) > 0 as has_positives, count_if(quality = 0) > 0 as has_negatives,
+select count(*) as rows, count(*) filter (quality = 1) > 0 as has_positives, count(*) filter (quality = 0) > 0 as has_negatives,
        count(*) = count(distinct doc_id) as ids_unique, true as splits_complete from labels
 """
 _RANDOM = f"s as (select doc_id, lang, {_split('r', 'n')} as split from (select *, row_number() over (order by {_HASH.format('doc_id')}, doc_id) as r, count(*) over () as n from documents))"
@@ -383,16 +383,16 @@ s as (select *, {_split('r', 'n')} as split from (
 ORACLE["q_leakage"] = with_bindings(["numstat"], f"""
 with {_CHANGE_SPLIT.format('numstat')},
 c as (select commit_hash, bool_or(split = 'train') as t, bool_or(split = 'validation') as v, bool_or(split = 'test') as e from s group by 1)
-select count_if(t and v) as train_validation_overlap, count_if(t and e) as train_test_overlap, count_if(v and e) as validation_test_overlap from c
+select count(*) filter (t and v) as train_validation_overlap, count(*) filter (t and e) as train_test_overlap, count(*) filter (v and e) as validation_test_overlap from c
 """)
 ORACLE["q_label_stats"] = with_bindings(["file_changes"], f"""
 with {_CHANGE_SPLIT.format('file_changes')}
-select split, count_if({LABEL_OF_CHANGE}) as positives, count_if(not {LABEL_OF_CHANGE}) as negatives, count(author_name) as with_history from s group by 1
+select split, count(*) filter ({LABEL_OF_CHANGE}) as positives, count(*) filter (not {LABEL_OF_CHANGE}) as negatives, count(author_name) as with_history from s group by 1
 """)
 
 ORACLE["q_numeric_features"] = with_bindings(_CANDIDATE_TABLES, f"""
 with {_STATS},
-l as (select commit_hash, count(*) as files, count_if({SOURCE.format(_PATH)}) as src, count_if({IS_TEST.format(_PATH)}) as tst, count_if({IGNORED.format(_PATH)}) as ign
+l as (select commit_hash, count(*) as files, count(*) filter ({SOURCE.format(_PATH)}) as src, count(*) filter ({IS_TEST.format(_PATH)}) as tst, count(*) filter ({IGNORED.format(_PATH)}) as ign
       from numstat group by 1),
 v as (
   select commit_hash, cast(coalesce(a, 0) as double) as a, cast(coalesce(d, 0) as double) as d,
@@ -436,9 +436,9 @@ voc as (
 idf as (select *, ln((1 + (select count(*) from documents))::double / (1 + df)) + 1 as idf from voc)"""
 
 
-ORACLE["q_tfidf_vocabulary"] = f"with {_terms(r'[\\p{L}\\p{N}_]+')} select term, corpus_count, df, round(idf, 6) as idf from idf"
+ORACLE["q_tfidf_vocabulary"] = f"with {_terms(r'[\p{L}\p{N}_]+')} select term, corpus_count, df, round(idf, 6) as idf from idf"
 ORACLE["q_tfidf_terms"] = f"""
-with {_terms(r'[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')}, raw as (select doc_id, term, tf, (ln(tf) + 1) * idf as x from tf join idf using (term))
+with {_terms(r'[\p{L}\p{N}_][\p{L}\p{N}_]+')}, raw as (select doc_id, term, tf, (ln(tf) + 1) * idf as x from tf join idf using (term))
 select doc_id, term, tf, round(x / sqrt(sum(x * x) over (partition by doc_id)), 6) as weight from raw
 """
 # No lookahead here: a mark is put before the last blank of a run that a word follows.
@@ -463,10 +463,10 @@ ORACLE["q_encode_fixed"] = _encoded("case when len(ids) <= 63 then ids else list
 ORACLE["q_encode_prefix"] = _encoded("ids[1:62]", 64)
 
 _CONFUSION = """
-c as (select count_if(quality = 1 and toxic = 0) as tp, count_if(quality = 0 and toxic = 0) as fp,
-             count_if(quality = 0 and toxic = 1) as tn, count_if(quality = 1 and toxic = 1) as fn from labels)"""
+c as (select count(*) filter (quality = 1 and toxic = 0) as tp, count(*) filter (quality = 0 and toxic = 0) as fp,
+             count(*) filter (quality = 0 and toxic = 1) as tn, count(*) filter (quality = 1 and toxic = 1) as fn from labels)"""
 ORACLE["q_confusion"] = f"with {_CONFUSION} select * from c"
-ORACLE["q_confusion_matrix"] = "select quality as label, count_if(toxic = 1) as predicted_0, count_if(toxic = 0) as predicted_1 from labels group by 1"
+ORACLE["q_confusion_matrix"] = "select quality as label, count(*) filter (toxic = 1) as predicted_0, count(*) filter (toxic = 0) as predicted_1 from labels group by 1"
 ORACLE["q_metric_values"] = f"""
 with {_CONFUSION}
 select *, round((tp + tn)::double / (tp + fp + tn + fn), 6) as accuracy, round(coalesce(tp::double / nullif(tp + fp, 0), 0), 6) as precision,
@@ -512,7 +512,7 @@ judged as (
 ORACLE["q_repo_verdict"] = with_bindings(["repositories"], f"with {_VERDICTS} select * from judged")
 ORACLE["q_repo_verdict_counts"] = with_bindings(["repositories"], f"""
 with {_VERDICTS}
-select count_if(status in ('accepted', 'high_quality')) as accepted, count_if(status = 'review') as review, count_if(status = 'rejected') as rejected from judged
+select count(*) filter (status in ('accepted', 'high_quality')) as accepted, count(*) filter (status = 'review') as review, count(*) filter (status = 'rejected') as rejected from judged
 """)
 ORACLE["q_manifest_notes"] = with_bindings(["repositories"], f"""
 with {_VERDICTS}
@@ -530,15 +530,15 @@ select repo_id, dataset_version, coalesce(n, 0) as stars, case when n % 2 = 0 th
 from merged left join u on o_custkey = c_custkey
 """)
 ORACLE["q_manifest_additions"] = """
-select count_if(c_custkey % 3 = 0) as added, count_if(c_custkey % 3 > 0) as skipped from customer where c_custkey % 2 = 0
+select count(*) filter (c_custkey % 3 = 0) as added, count(*) filter (c_custkey % 3 > 0) as skipped from customer where c_custkey % 2 = 0
 """
 ORACLE["q_manifest_events"] = """
-with e as (select *, epoch_us(o_orderdate) + o_orderkey as at from orders),
-l as (select o_custkey, arg_max(o_orderstatus, at) as st, arg_max(o_orderpriority, at) as pr from e group by 1),
-d as (select o_custkey, arg_max(o_orderkey, at) as k, max(at) as at from e where o_orderstatus = 'F' group by 1)
+with e as (select *, epoch_us(o_orderdate) + o_orderkey as moment from orders),
+l as (select o_custkey, arg_max(o_orderstatus, moment) as st, arg_max(o_orderpriority, moment) as pr from e group by 1),
+d as (select o_custkey, arg_max(o_orderkey, moment) as k, max(moment) as moment from e where o_orderstatus = 'F' group by 1)
 select 'cust' || c_custkey as repo_id, case st when 'F' then 'complete' when 'O' then 'collecting' when 'P' then 'failed' else 'pending' end as collection_status,
        case when st = 'P' then pr end as collection_error,
-       d.k as commit_count, coalesce(d.k % 100, case when d.k is null and c_custkey % 19 <> 0 then c_custkey % 60 end) as source_file_count, d.at as collected_us
+       d.k as commit_count, d.k % 100 as source_file_count, d.moment as collected_us
 from customer left join l on l.o_custkey = c_custkey left join d on d.o_custkey = c_custkey
 """
 ORACLE["q_manifest_summary"] = with_bindings(["repositories"], """
@@ -550,3 +550,193 @@ select repo_id, (select count(*) from commits c where c.repo_id = r.repo_id) as
        (select count(distinct file_path) from file_changes f where f.repo_id = r.repo_id and ends_with(file_path, '.py')) as source_file_count
 from (select distinct repo_id from commits) r
 """)
+
+# --- code graph ------------------------------------------------------------
+
+
+def _module(path: str) -> str:
+    """These paths are plain files below src, tests or web."""
+    return f"replace(regexp_replace(regexp_replace({path}, '^src/', ''), '\\.py$', ''), '/', '.')"
+
+
+ORACLE["q_modules"] = with_bindings(["files", "numstat"], f"""
+select {_module('file_path')} as module, max(file_path) as target_path
+from (select file_path from files union select file_path from numstat) group by 1
+""")
+
+_MODULES = f"mods as (select {_module('file_path')} as module, max(file_path) as path from files group by 1)"
+
+
+def _target(kind: str, module: str, name: str) -> str:
+    """Exact module, then module and name, then shorter and shorter module names (at most three parts here)."""
+    look = "(select path from mods where module = {0})"
+    parts = f"string_split({module}, '.')"
+    member = f"case when {kind} = 'from' and {name} <> '' then {look.format(f'{module} || chr(46) || {name}')} end"
+    shorter = [look.format(f"array_to_string({parts}[1:len({parts}) - {k}], '.')") for k in (1, 2)]
+    return f"coalesce({look.format(module)}, {member}, {', '.join(shorter)})"
+
+
+_RESOLVED_IMPORTS = f"""
+asked as (select distinct kind, module, name from positioned_imports),
+answered as (select *, {_target('kind', 'a.module', 'a.name')} as target_path from asked a),
+imp as (
+  select i.*, t.target_path from positioned_imports i
+  left join answered t on t.kind = i.kind and t.module is not distinct from i.module and t.name is not distinct from i.name
+)"""
+ORACLE["q_import_resolution"] = with_bindings(["files", "positioned_imports"], f"""
+with {_MODULES}, {_RESOLVED_IMPORTS} select file_path, kind, module, name, alias, level, target_path from imp
+""")
+_VISIBLE = """
+vis as (
+  select file_path, visible, arg_max(coalesce(module, '~'), position) as bound_module, arg_max(coalesce(case when kind = 'from' then name end, '~'), position) as bound_name
+  from (select *, case when kind = 'from' then coalesce(alias, name) else coalesce(alias, string_split(module, '.')[1]) end as visible from positioned_imports)
+  where visible is not null and (kind = 'from' or module is not null) group by 1, 2
+)"""
+ORACLE["q_visible_names"] = with_bindings(["positioned_imports"], f"""
+with {_VISIBLE} select file_path, visible, nullif(bound_module, '~') as bound_module, nullif(bound_name, '~') as bound_name from vis
+""")
+_LOOKUPS = """
+fid as (select *, file_path || '::' || qualified_name || '::L' || line_start as id from functions),
+known as (select distinct file_path, name as known, id from fid union select distinct file_path, qualified_name, id from fid),
+per_file as (select file_path, known, count(*) as n, min(id) as id from known group by 1, 2),
+every as (select known, count(distinct id) as n, min(id) as id from known group by 1)"""
+ORACLE["q_function_lookup"] = with_bindings(["functions"], f"with {_LOOKUPS} select * from every")
+
+_RESOLVED_CALLS = f"""
+{_MODULES}, {_VISIBLE}, {_LOOKUPS},
+c1 as (
+  select *, case when starts_with(call, 'self.') and parent_class is not null then parent_class || '.' || substr(call, 6) else call end as target,
+         string_split(call, '.')[1] as head, case when contains(call, '.') then substr(call, strpos(call, '.') + 1) end as rest
+  from callers
+),
+c2 as (
+  select c1.*, coalesce(x.n, y.n) as n1, case when x.n is not null then x.id else y.id end as id1, g.n as n2, g.id as id2,
+         v.bound_module as bm, case when v.bound_name = '~' then rest when rest is null then v.bound_name else v.bound_name || '.' || rest end as bn
+  from c1 left join per_file x on x.file_path = c1.file_path and x.known = target
+  left join per_file y on y.file_path = c1.file_path and y.known = string_split(target, '.')[-1]
+  left join every g on g.known = target
+  left join vis v on v.file_path = c1.file_path and v.visible = head
+),
+want as (select distinct bm, bn from c2 where n1 is null and n2 is null and bm <> '~' and bn is not null),
+got as (select *, {_target("'from'", 'bm', 'bn')} as path from want),
+c3 as (
+  select c2.*, coalesce(x.n, y.n) as n3, case when x.n is not null then x.id else y.id end as id3
+  from c2 left join got on got.bm = c2.bm and got.bn = c2.bn and n1 is null and n2 is null
+  left join per_file x on x.file_path = got.path and x.known = c2.bn
+  left join per_file y on y.file_path = got.path and y.known = string_split(c2.bn, '.')[-1]
+),
+resolved as (
+  select fn_no, caller_id, call,
+         case when coalesce(n1, n2, n3) = 1 then case when n1 is not null then id1 when n2 is not null then id2 else id3 end end as target_id,
+         case when coalesce(n1, n2, n3) = 1 then case when n1 is not null then 'same_file' when n2 is not null then 'direct' else 'import' end end as resolution,
+         case when coalesce(n1, n2, n3, 0) = 0 then 'unresolved' when coalesce(n1, n2, n3) = 1 then 'resolved' else 'ambiguous' end as disposition
+  from c3
+)"""
+_CALL_TABLES = ["files", "callers", "positioned_imports"]
+ORACLE["q_call_resolution"] = with_bindings(_CALL_TABLES, f"with {_RESOLVED_CALLS} select * from resolved")
+
+_PLAIN = """
+q as (select qualified_name, count(*) as n, min(file_path || '::' || qualified_name || '::L' || line_start) as id from functions group by 1),
+r as (
+  select caller_id, coalesce(n, 0) as n, id from callers left join q on q.qualified_name =
+    case when starts_with(call, 'self.') and parent_class is not null then parent_class || '.' || substr(call, 6) else call end
+)"""
+ORACLE["q_call_graph"] = with_bindings(["callers"], f"with {_PLAIN} select distinct caller_id as src, id as dst from r where n = 1")
+ORACLE["q_call_graph_stats"] = with_bindings(["callers"], f"""
+with {_PLAIN}
+select case when n = 1 then 'resolved' when n > 1 then 'ambiguous' else 'unresolved' end as disposition, count(*) as records from r group by 1
+""")
+
+_GRAPH_TABLES = ["files", "classes", "callers", "positioned_imports"]
+_GRAPH = f"""
+{_RESOLVED_CALLS}, {_RESOLVED_IMPORTS},
+ext as (select *, coalesce(module, name) as external from imp where target_path is null and coalesce(module, name) <> ''),
+cls as (select *, file_path || '::' || name || '::L' || line_start as id from classes),
+nodes as (
+  select 'repository:sample' as id, 'repository' as node_type, 'sample' as name, null as file, null as line_start, 'sample' as label
+  union all select 'file::' || file_path, 'file', null, null, null, file_path from files
+  union all select distinct id, 'class', name, file_path, line_start, name from cls
+  union all select id, 'function', max(name), max(file_path), max(line_start), max(qualified_name) from fid group by id
+  union all select distinct 'external_module::' || external, 'external_module', external, null, null, external from ext
+),
+edges as (
+  select 'repository:sample' as src, 'file::' || file_path as dst, 'CONTAINS' as relation, null as module, null as imported_name, null as original_call, null as resolution from files
+  union all select 'file::' || file_path, id, 'CONTAINS', null, null, null, null from cls
+  union all select coalesce(c.id, 'file::' || f.file_path), f.id, 'CONTAINS', null, null, null, null
+            from fid f left join cls c on c.file_path = f.file_path and c.name = f.parent_class
+  union all select 'file::' || file_path, 'file::' || target_path, 'IMPORTS_INTERNAL', module, name, null, null from imp where target_path is not null
+  union all select 'file::' || file_path, 'external_module::' || external, 'IMPORTS_EXTERNAL', null, name, null, null from ext
+  union all select caller_id, target_id, 'CALLS', null, null, call, resolution from resolved where target_id is not null
+)"""
+ORACLE["q_graph_nodes"] = with_bindings(_GRAPH_TABLES, f"with {_GRAPH} select * from nodes")
+ORACLE["q_graph_edges"] = with_bindings(_GRAPH_TABLES, f"with {_GRAPH} select * from edges")
+ORACLE["q_graph_stats"] = with_bindings(_GRAPH_TABLES, f"""
+with {_GRAPH}
+select count(*) filter (disposition = 'resolved') as resolved_calls, count(*) filter (disposition = 'ambiguous') as ambiguous_calls,
+       count(*) filter (disposition = 'unresolved') as unresolved_calls, (select count(*) from imp where target_path is not null) as internal_imports,
+       (select count(*) from ext) as external_imports, count(*) filter (resolution = 'direct') as direct_resolved,
+       count(*) filter (resolution = 'same_file') as same_file_resolved, count(*) filter (resolution = 'import') as import_resolved from resolved
+""")
+ORACLE["q_graph_histograms"] = with_bindings(_GRAPH_TABLES, f"""
+with {_GRAPH}
+select node_type as name, count(*) as records from nodes group by 1 union all select relation, count(*) from edges group by 1
+""")
+ORACLE["q_first_edges"] = with_bindings(_GRAPH_TABLES, f"""
+with {_GRAPH}, e as (select distinct src, dst, relation from edges where relation = 'CALLS' order by src, dst limit 20)
+select src, dst, relation, s.label as src_name, s.file as src_file, t.label as dst_name, t.file as dst_file
+from e join nodes s on s.id = src join nodes t on t.id = dst
+""")
+_SUPPLY = """
+e as (select distinct 'part' || l_partkey as src, 'supplier' || l_suppkey as dst from lineitem),
+s as (select min('part' || p_partkey) as id from part where contains(p_name, 'red w')),
+h1 as (select distinct dst as id from e where src in (select id from s)),
+h2 as (select distinct src as id from e where dst in (select id from h1) and src not in (select id from s))"""
+ORACLE["q_khop"] = f"""
+with {_SUPPLY} select id, 0 as step from s union all select id, 1 from h1 union all select id, 2 from h2
+"""
+ORACLE["q_khop_edges"] = f"with {_SUPPLY} select src, dst from e where src in (select id from s)"
+
+_PARSED = "p_partkey % 9 <> 0"
+ORACLE["q_code_structure"] = f"""
+select 'src/p' || p_partkey || '.py' as file_path, {_PARSED} as parsed,
+       case when {_PARSED} then 3 else 0 end::int as functions, case when {_PARSED} and p_partkey % 4 = 0 then 1 else 0 end::int as classes,
+       case when {_PARSED} then 2 else 0 end::int as imports,
+       case when {_PARSED} then concat_ws(',', c || 'f' || p_partkey, c || 'inner', 'g' || p_size) else '' end as names,
+       case when {_PARSED} then concat_ws(',', 'self.g', 'inner', 'os.path.join', 'os.path.join', 'h' || p_size) else '' end as calls
+from (select *, case when p_partkey % 4 = 0 then 'C' || p_partkey || '.' else '' end as c from part)
+"""
+ORACLE["q_code_summary"] = f"""
+select count(*) filter ({_PARSED}) as parsed_files, count(*) filter (not ({_PARSED})) as failed_files, 3 * count(*) filter ({_PARSED}) as functions,
+       count(*) filter ({_PARSED} and p_partkey % 4 = 0) as classes, 2 * count(*) filter ({_PARSED}) as imports, count(*) as source_files from part
+"""
+
+# --- stored scorer ----------------------------------------------------------
+
+_SCORED = f"""
+n as (
+  select doc_id, lang, length(patch) as chars, length(patch) - length(replace(patch, chr(10), '')) + 1 as lines,
+         len({_lines('patch', '+')}) as a, len({_lines('patch', '-')}) as r from patches
+)"""
+
+
+def _probability(added: str, removed: str) -> str:
+    total = f"0.1::double + 0.7::double * ({added} - 10) / 8 - 0.4::double * ({removed} - 10) / 9 + 0.3::double * (chars - 2000) / 1500 - 0.2::double * (lines - 30) / 25"
+    return f"1 / (1 + exp(-({total})))"
+
+
+ORACLE["q_linear_score"] = with_bindings(["patches"], f"""
+with {_SCORED}, p as (select doc_id, {_probability('a', 'r')} as p from n)
+select doc_id, round(p, 6) as probability, case when p >= 0.31 then 'bug_fix' else 'non_bug_fix' end as prediction from p
+""")
+ORACLE["q_stream_score"] = with_bindings(["patches"], f"""
+with {_SCORED}, p as (select doc_id, {_probability("case when lang = 'de' then 3 else a end", "case when lang = 'de' then 2 else r end")} as p from n where lang <> 'es')
+select cast(doc_id as varchar) as record_id, case when p >= 0.51 then 'bug_fix' else 'non_bug_fix' end as prediction, round(p, 6) as probability from p
+union all select 'not json ' || doc_id, 'rejected', null from n where lang = 'es'
+""")
+ORACLE["q_best_model"] = """
+with c as (
+  select lang as model, count(*) filter (quality = 1 and toxic = 0) as tp, count(*) filter (quality = 0 and toxic = 0) as fp,
+         count(*) filter (quality = 1 and toxic = 1) as fn, avg(n_chars) as loss from labels join documents using (doc_id) group by 1
+)
+select model, round(coalesce(2 * tp::double / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, round(loss, 4) as loss from c order by coalesce(2 * tp::double / nullif(2 * tp + fp + fn, 0), 0) desc, loss, model limit 1
+"""
