@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlake.functions.paths import is_test
 
+PATCH_NUMERICS = [
+    "added", "removed", "total_changes", "change_balance", "files_changed", "source_files", "test_files", "ignored_files",
+    "avg_added", "avg_removed", "avg_changed", "source_ratio", "test_ratio", "patch_length", "patch_line_count",
+]
+
 
 def number(value: Column) -> Column:
     """Double, with anything missing or unreadable as zero."""
@@ -24,7 +29,8 @@ def line_numerics(added: Column, removed: Column, stat_added: Column | None = No
     }
 
 
-def patch_numerics(
+def with_patch_numerics(
+    df: DataFrame,
     patch: Column,
     changed_files: Column,
     added: Column,
@@ -32,36 +38,39 @@ def patch_numerics(
     stat_added: Column,
     stat_removed: Column,
     stat_files: Column,
-) -> dict[str, Column]:
-    """The fifteen numerics of a record.
+) -> DataFrame:
+    """Adds the fifteen numerics of a record.
 
     ``changed_files`` is an array of structs with ``path``, ``is_source`` and
-    ``ignored``. Every array is walked inside its own row.
+    ``ignored``. Every array is walked inside its own row; averages and shares
+    are worked out from the counts in a second step.
     """
-    base = line_numerics(added, removed, stat_added, stat_removed)
 
     def count(test) -> Column:
         hits = F.filter(changed_files, lambda f: F.coalesce(test(f), F.lit(False)))
         return F.coalesce(F.size(hits).cast("double"), F.lit(0.0))
 
     stated = number(stat_files)
-    n_files = F.when(stated > 0, stated).otherwise(F.coalesce(F.size(changed_files).cast("double"), F.lit(0.0)))
-    per_file = F.greatest(n_files, F.lit(1.0))
-    sources = count(lambda f: f["is_source"])
-    tests = count(lambda f: is_test(f["path"]))
     text = F.coalesce(patch, F.lit(""))
     newlines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return {
-        **base,
-        "files_changed": n_files,
-        "source_files": sources,
-        "test_files": tests,
-        "ignored_files": count(lambda f: f["ignored"]),
-        "avg_added": base["added"] / per_file,
-        "avg_removed": base["removed"] / per_file,
-        "avg_changed": base["total_changes"] / per_file,
-        "source_ratio": sources / per_file,
-        "test_ratio": tests / per_file,
-        "patch_length": F.length(text).cast("double"),
-        "patch_line_count": F.when(text == "", F.lit(0.0)).otherwise((newlines + 1).cast("double")),
-    }
+    counted = df.withColumns(
+        {
+            **line_numerics(added, removed, stat_added, stat_removed),
+            "files_changed": F.when(stated > 0, stated).otherwise(F.coalesce(F.size(changed_files).cast("double"), F.lit(0.0))),
+            "source_files": count(lambda f: f["is_source"]),
+            "test_files": count(lambda f: is_test(f["path"])),
+            "ignored_files": count(lambda f: f["ignored"]),
+            "patch_length": F.length(text).cast("double"),
+            "patch_line_count": F.when(text == "", F.lit(0.0)).otherwise((newlines + 1).cast("double")),
+        }
+    )
+    per_file = F.greatest(F.col("files_changed"), F.lit(1.0))
+    return counted.withColumns(
+        {
+            "avg_added": F.col("added") / per_file,
+            "avg_removed": F.col("removed") / per_file,
+            "avg_changed": F.col("total_changes") / per_file,
+            "source_ratio": F.col("source_files") / per_file,
+            "test_ratio": F.col("test_files") / per_file,
+        }
+    )

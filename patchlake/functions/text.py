@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlake import rules
 
@@ -61,13 +61,13 @@ def words_found(text: Column, keywords: list[str]) -> Column:
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(alternation(single, whole_word=True)), F.lit(0)))
     if not phrases:
         return found
-    hits = [F.when(text.rlike(rf"{UNICODE}\b{re.escape(p)}\b"), F.lit(p)) for p in phrases]
-    return F.concat(found, F.array_compact(F.array(*hits)))
+    return F.concat(found, named_hits({p: text.rlike(rf"{UNICODE}\b{re.escape(p)}\b") for p in phrases}))
 
 
-def substrings_found(text: Column, parts: list[str]) -> Column:
-    hits = [F.when(text.contains(p), F.lit(p)) for p in parts]
-    return F.array_compact(F.array(*hits))
+def named_hits(tests: dict[str, Column]) -> Column:
+    """Names of the tests that hold. No lambda, so it stays in generated code."""
+    named = [F.when(test, F.lit(name)).otherwise(F.lit("")) for name, test in tests.items()]
+    return F.array_remove(F.array(*named), "")
 
 
 def has_reference(text: Column) -> Column:
@@ -78,41 +78,39 @@ def mentions_test_word(text: Column) -> Column:
     return text.rlike(UNICODE + rules.TEST_WORD_PATTERN)
 
 
-def _signal(text: Column, negatives: bool, test_mention: Column) -> Column:
-    strong = words_found(text, rules.STRONG_KEYWORDS)
-    reference = has_reference(text)
-    tested = test_mention & contains_any(text, rules.TEST_EVIDENCE_SUBSTRINGS)
-    extras = F.array_compact(
-        F.array(
-            F.when(reference, F.lit("issue_or_pr_reference")),
-            F.when(tested, F.lit("bug_related_test")),
-        )
+def _with_signal(df: DataFrame, text: Column, out: str, negatives: bool) -> DataFrame:
+    # In steps: each one is used several times by the next and is worked out once.
+    test_mention = F.col("__text").contains("test") if negatives else mentions_test_word(F.col("__text"))
+    evidence = {
+        "issue_or_pr_reference": has_reference(F.col("__text")),
+        "bug_related_test": test_mention & contains_any(F.col("__text"), rules.TEST_EVIDENCE_SUBSTRINGS),
+    }
+    against = {f"negative:{k}": F.col("__text").contains(k) for k in rules.NEGATIVE_SUBSTRINGS} if negatives else {}
+    found = df.withColumn("__text", text).withColumns(
+        {
+            "__for": F.concat(words_found(F.col("__text"), rules.STRONG_KEYWORDS), named_hits(evidence)),
+            "__against": named_hits(against) if against else F.array().cast("array<string>"),
+        }
     )
-    score = F.lit(2) * (F.size(strong) + F.size(extras))
-    names = F.concat(strong, extras)
-    if negatives:
-        against = substrings_found(text, rules.NEGATIVE_SUBSTRINGS)
-        score = score - F.lit(3) * F.size(against)
-        names = F.concat(names, F.transform(against, lambda k: F.concat(F.lit("negative:"), k)))
-    return F.struct(score.cast("int").alias("score"), F.array_sort(names).alias("signals"))
+    score = (F.size("__for") * 2 - F.size("__against") * 3).cast("int")
+    signal = F.struct(score.alias("score"), F.array_sort(F.concat("__for", "__against")).alias("signals"))
+    return found.withColumn(out, signal).drop("__text", "__for", "__against")
 
 
-def fix_signal(subject: Column, body: Column) -> Column:
-    """Score and sorted signal names used to pick positive candidates.
+def with_fix_signal(df: DataFrame, subject: str = "subject", body: str = "body", out: str = "bug_signal") -> DataFrame:
+    """Adds the score and the sorted signal names used to pick positive candidates.
 
     Here "test" counts anywhere in the text, and routine phrases subtract.
     """
-    text = message(subject, body)
-    return _signal(text, True, text.contains("test"))
+    return _with_signal(df, message(F.col(subject), F.col(body)), out, True)
 
 
-def plain_signal(subject: Column, body: Column) -> Column:
-    """The same score kept as a feature of negatives.
+def with_plain_signal(df: DataFrame, subject: str = "subject", body: str = "body", out: str = "bug_signal") -> DataFrame:
+    """Adds the same score as a feature of negatives.
 
     Nothing subtracts, and "test" must be a word of its own.
     """
-    text = message(subject, body)
-    return _signal(text, False, mentions_test_word(text))
+    return _with_signal(df, message(F.col(subject), F.col(body)), out, False)
 
 
 def has_explicit_intent(subject: Column, body: Column) -> Column:

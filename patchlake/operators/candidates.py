@@ -98,7 +98,7 @@ def judge_positives(
     repo_id, commit_hash, path, added_lines, deleted_lines; ``patches`` repo_id,
     commit_hash, patch. The cheap message tests come first and need no join.
     """
-    scored = commits.withColumn("bug_signal", text.fix_signal(F.col("subject"), F.col("body")))
+    scored = text.with_fix_signal(commits)
     before = (
         F.when(F.col("parent_count") == 0, F.lit("no_parent"))
         .when(F.col("parent_count") > 1, F.lit("merge"))
@@ -117,10 +117,8 @@ def judge_negatives(
     """As for positives, for ordinary work. ``positive_ids`` has a column record_id."""
     known = positive_ids.select("record_id").distinct().withColumn("known", F.lit(True))
     subject, body = F.col("subject"), F.col("body")
-    scored = (
-        commits.withColumn("record_id", commit_key(F.col("repo_id"), F.col("commit_hash")))
-        .join(known, "record_id", "left")
-        .withColumn("bug_signal", text.plain_signal(subject, body))
+    scored = text.with_plain_signal(
+        commits.withColumn("record_id", commit_key(F.col("repo_id"), F.col("commit_hash"))).join(known, "record_id", "left")
     )
     before = (
         F.when(F.col("parent_count") == 0, F.lit("no_parent"))

@@ -97,10 +97,16 @@ def class_weights(df: DataFrame, label: str = "label", classes: int = 2) -> Data
     )
 
 
-def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
-    """Rows with the balanced weight of their class; the joined table has one row per class."""
-    weights = class_weights(df, label).select(F.col("label").alias(label), F.col("balanced_weight").alias("weight"))
-    return df.join(F.broadcast(weights), label)
+def balanced_weights(df: DataFrame, label: str = "label") -> tuple[dict[int, float], int]:
+    """Balanced weight by class and the number of rows; one aggregate, one driver row per class."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    total = sum(counts.values())
+    return {c: total / (len(counts) * n) for c, n in counts.items()}, total
+
+
+def weight_column(weights: dict[int, float], label: str = "label") -> Column:
+    pairs = [F.lit(x) for c, w in weights.items() for x in (c, float(w))]
+    return F.create_map(*pairs)[F.col(label)]
 
 
 def invalid_labels(df: DataFrame, label: str = "label") -> DataFrame:

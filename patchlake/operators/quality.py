@@ -13,25 +13,40 @@ def python_files(changed_files: Column) -> Column:
     return F.size(F.filter(changed_files, lambda f: paths.is_source(f["path"], rules.PYTHON_EXTENSIONS)))
 
 
-def evidence(message: Column, original_score: Column) -> Column:
-    """Score and reasons found in a normalised message."""
-    strong = text.count_patterns(message, rules.STRONG_EVIDENCE_PATTERNS)
-    support = text.count_patterns(message, rules.SUPPORTING_PATTERNS)
-    tested = text.mentions_test_word(message)
-    original = F.coalesce(original_score, F.lit(0))
+def with_evidence(df: DataFrame, message: Column, original_score: Column, out: str) -> DataFrame:
+    """Adds score, reasons and the count of strong words found in a normalised message.
+
+    The counts are columns of their own first, as each decides several points.
+    """
+    counted = df.withColumns(
+        {
+            "__strong": text.count_patterns(message, rules.STRONG_EVIDENCE_PATTERNS),
+            "__support": text.count_patterns(message, rules.SUPPORTING_PATTERNS),
+            "__tested": text.mentions_test_word(message),
+            "__original": F.coalesce(original_score, F.lit(0)),
+        }
+    )
+    strong, support, tested, original = (F.col(c) for c in ("__strong", "__support", "__tested", "__original"))
     points = (
         F.when(strong >= 3, 5).when(strong == 2, 4).when(strong == 1, 2).otherwise(0)
         + F.when(support >= 2, 3).when(support == 1, 1).otherwise(0)
         + F.when(tested, 1).otherwise(0)
         + F.when(original >= 5, 2).when(original >= 3, 1).otherwise(0)
     )
-    reasons = F.array(
-        F.when(strong >= 3, "multiple_strong_bug_signals").when(strong == 2, "two_strong_bug_signals").when(strong == 1, "strong_bug_signal"),
-        F.when(support >= 2, "multiple_supporting_signals").when(support == 1, "supporting_signal"),
-        F.when(tested, "test_related"),
-        F.when(original >= 5, "strong_original_signal").when(original >= 3, "moderate_original_signal"),
+    reasons = text.named_hits(
+        {
+            "multiple_strong_bug_signals": strong >= 3,
+            "two_strong_bug_signals": strong == 2,
+            "strong_bug_signal": strong == 1,
+            "multiple_supporting_signals": support >= 2,
+            "supporting_signal": support == 1,
+            "test_related": tested,
+            "strong_original_signal": original >= 5,
+            "moderate_original_signal": (original >= 3) & (original < 5),
+        }
     )
-    return F.struct(points.alias("score"), F.array_compact(reasons).alias("reasons"), strong.alias("strong"))
+    evidence = F.struct(points.alias("score"), reasons.alias("reasons"), strong.alias("strong"))
+    return counted.withColumn(out, evidence).drop("__strong", "__support", "__tested", "__original")
 
 
 def judge(records: DataFrame, limits: dict | None = None) -> DataFrame:
@@ -44,8 +59,8 @@ def judge(records: DataFrame, limits: dict | None = None) -> DataFrame:
     limit = {**rules.QUALITY_LIMITS, **(limits or {})}
     message = text.message(F.col("commit.subject"), F.col("commit.body"))
     changed = F.coalesce("diff_stats.added_lines", F.lit(0)) + F.coalesce("diff_stats.deleted_lines", F.lit(0))
-    prepared = records.withColumns({"__text": message, "__changed": changed}).withColumn(
-        "__evidence", evidence(F.col("__text"), F.col("bug_signal.score"))
+    prepared = with_evidence(
+        records.withColumns({"__text": message, "__changed": changed}), F.col("__text"), F.col("bug_signal.score"), "__evidence"
     )
     objection = (
         F.when(F.lower(F.coalesce("language", F.lit(""))) != "python", "non_python_repository")

@@ -13,26 +13,23 @@ WORD = r"(?U)\b\w+\b"
 LONG_WORD = r"(?U)\b\w\w+\b"
 
 
-def terms(text: Column, pattern: str = WORD) -> Column:
-    """Lower-case words and pairs of neighbouring words, with repeats."""
+def terms(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> DataFrame:
+    """One row per lower-case word and per pair of neighbouring words, with repeats.
+
+    Each word is laid beside the next one, so that pairs need no lambda and all
+    of it stays in generated code.
+    """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
-    return F.transform(
-        F.array(words),
-        lambda w: F.concat(
-            w,
-            F.zip_with(
-                F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))),
-                F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))),
-                lambda a, b: F.concat_ws(" ", a, b),
-            ),
-        ),
-    )[0]
+    split = df.select(F.col(doc_id).alias("doc"), words.alias("words"))
+    following = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
+    beside = split.select("doc", F.inline(F.arrays_zip(F.col("words").alias("word"), following.alias("next"))).alias("word", "next"))
+    both = F.array("word", F.concat("word", F.lit(" "), "next"))
+    return beside.select("doc", F.explode(both).alias("term")).filter("term is not null")
 
 
 def term_counts(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> DataFrame:
     """Count of each term per document, combined before the shuffle."""
-    exploded = df.select(F.col(doc_id).alias("doc"), F.explode(terms(F.col(text), pattern)).alias("term"))
-    return exploded.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return terms(df, doc_id, text, pattern).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(

@@ -9,8 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+# Tables with work per row (texts, messages, code) that is worth more tasks than a small file gives.
+_BUSY = {"documents", "orders", "part"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; a busy one that is a single piece is spread over the cores.
+
+    A table of some size has as many pieces as cores and is read as it is.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in _BUSY and rows.rdd.getNumPartitions() == 1:
+        return rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows
 
 
 SUBJECT = """case o_orderkey % 12

@@ -12,7 +12,7 @@ from patchlake.operators import (
     bpe, candidates, codegraph, dedup, features, history, manifest, metrics, models, quality, splits, structure, tfidf,
 )
 from patchlake.plans import bindings as b
-from patchlake.session import scratch_path
+from patchlake.session import scratch_path, stored
 from patchlake.sources import gitlog
 from patchlake.streaming import scoring
 
@@ -96,19 +96,19 @@ def fix_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- messages and paths ---------------------------------------------------
 
 
-def _signals(spark: SparkSession, sf_dir: str, signal) -> DataFrame:
-    scored = b.commits(spark, sf_dir).withColumn("s", signal(F.col("subject"), F.col("body")))
-    return scored.select("commit_hash", "s.score", F.array_join("s.signals", ",").alias("signals"))
+def _signals(spark: SparkSession, sf_dir: str, with_signal) -> DataFrame:
+    scored = with_signal(b.commits(spark, sf_dir))
+    return scored.select("commit_hash", "bug_signal.score", F.array_join("bug_signal.signals", ",").alias("signals"))
 
 
 @query
 def signal_score_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir, text.fix_signal)
+    return _signals(spark, sf_dir, text.with_fix_signal)
 
 
 @query
 def signal_score_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir, text.plain_signal)
+    return _signals(spark, sf_dir, text.with_plain_signal)
 
 
 @query
@@ -407,10 +407,10 @@ def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(b.commit_patches(spark, sf_dir), keys, "left")
     )
     none = F.lit(None).cast("bigint")
-    values = numeric.patch_numerics(
-        F.col("patch"), F.col("changed_files"), none, none, F.col("added_lines"), F.col("deleted_lines"), F.col("files_changed")
+    full = numeric.with_patch_numerics(
+        rows, F.col("patch"), F.col("changed_files"), none, none, F.col("added_lines"), F.col("deleted_lines"), F.col("files_changed")
     )
-    return rows.select("commit_hash", *[F.round(v, 6).alias(n) for n, v in values.items()])
+    return full.select("commit_hash", *[F.round(n, 6).alias(n) for n in numeric.PATCH_NUMERICS])
 
 
 @query
@@ -759,7 +759,8 @@ def _document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l.added_line_count", "l.removed_line_count", F.col("lang").alias("change_type"),
         F.concat("source", F.when(F.col("lang") == "en", ".py").otherwise(".js")).alias("file_path"),
     )
-    return splits.stratified_split(rows, ["record_id"])
+    # Training reads its rows several times, so the assembled dataset is stored.
+    return stored(splits.stratified_split(rows, ["record_id"]), "records")
 
 
 def _scores(classifier: models.Classifier, rows: DataFrame, model_text=None) -> DataFrame:
@@ -795,7 +796,7 @@ def _history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(":", "commit_hash", "file_path").alias("record_id"), "commit_hash", "file_path", "timestamp", "label", "historical_features",
         F.col("insertions").alias("added_line_count"), F.col("deletions").alias("removed_line_count"), F.col("flag").alias("change_type"),
     )
-    return splits.temporal_split(enriched)
+    return splits.temporal_split(stored(enriched, "records"))
 
 
 @query
@@ -808,8 +809,8 @@ def lr_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def lr_historical_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = b.patches(spark, sf_dir).select(F.concat(F.lit("c"), "doc_id").alias("commit_hash"), "patch")
-    rows = _history_records(spark, sf_dir).join(documents, "commit_hash")
-    classifier = models.train_historical_hybrid(rows.filter("split = 'train' or split = 'validation'"))
+    rows = stored(_history_records(spark, sf_dir).join(documents, "commit_hash"), "records")
+    classifier = models.train_historical_hybrid(rows.filter("split = 'train'"))
     rest = features.history_columns(features.change_columns(rows.withColumn("model_text", features.model_text(None, F.col("patch")))))
     return _scores(classifier, rest)
 
@@ -864,8 +865,10 @@ def linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = b.patches(spark, sf_dir).withColumn("l", patch.line_changes(F.col("patch")))
     none = F.lit(None).cast("bigint")
     no_files = F.lit(None).cast("array<struct<path:string,is_source:boolean,ignored:boolean>>")
-    values = numeric.patch_numerics(F.col("patch"), no_files, F.col("l.added_line_count"), F.col("l.removed_line_count"), none, none, none)
-    scored = texts.withColumns(values).withColumn("p", _stored_probability())
+    full = numeric.with_patch_numerics(
+        texts, F.col("patch"), no_files, F.col("l.added_line_count"), F.col("l.removed_line_count"), none, none, none
+    )
+    scored = full.withColumn("p", _stored_probability())
     return scored.select(
         "doc_id", F.round("p", 6).alias("probability"), models.label_name(models.decide(F.col("p"), rules.EXTERNAL_THRESHOLD)).alias("prediction")
     )
