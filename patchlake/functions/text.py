@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -78,23 +79,33 @@ def mentions_test_word(text: Column) -> Column:
     return text.rlike(UNICODE + rules.TEST_WORD_PATTERN)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once.
+
+    A column that is used many times would be copied into each use when a
+    filter moves below it; a lambda argument cannot be taken apart.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _with_signal(df: DataFrame, text: Column, out: str, negatives: bool) -> DataFrame:
-    # In steps: each one is used several times by the next and is worked out once.
-    test_mention = F.col("__text").contains("test") if negatives else mentions_test_word(F.col("__text"))
-    evidence = {
-        "issue_or_pr_reference": has_reference(F.col("__text")),
-        "bug_related_test": test_mention & contains_any(F.col("__text"), rules.TEST_EVIDENCE_SUBSTRINGS),
-    }
-    against = {f"negative:{k}": F.col("__text").contains(k) for k in rules.NEGATIVE_SUBSTRINGS} if negatives else {}
-    found = df.withColumn("__text", text).withColumns(
-        {
-            "__for": F.concat(words_found(F.col("__text"), rules.STRONG_KEYWORDS), named_hits(evidence)),
-            "__against": named_hits(against) if against else F.array().cast("array<string>"),
+    def found(t: Column) -> Column:
+        test_mention = t.contains("test") if negatives else mentions_test_word(t)
+        evidence = {
+            "issue_or_pr_reference": has_reference(t),
+            "bug_related_test": test_mention & contains_any(t, rules.TEST_EVIDENCE_SUBSTRINGS),
         }
-    )
-    score = (F.size("__for") * 2 - F.size("__against") * 3).cast("int")
-    signal = F.struct(score.alias("score"), F.array_sort(F.concat("__for", "__against")).alias("signals"))
-    return found.withColumn(out, signal).drop("__text", "__for", "__against")
+        against = named_hits({f"negative:{k}": t.contains(k) for k in rules.NEGATIVE_SUBSTRINGS})
+        return F.struct(
+            F.concat(words_found(t, rules.STRONG_KEYWORDS), named_hits(evidence)).alias("plus"),
+            (against if negatives else F.array().cast("array<string>")).alias("minus"),
+        )
+
+    def signal(f: Column) -> Column:
+        score = (F.size(f["plus"]) * 2 - F.size(f["minus"]) * 3).cast("int")
+        return F.struct(score.alias("score"), F.array_sort(F.concat(f["plus"], f["minus"])).alias("signals"))
+
+    return df.withColumn(out, let(let(text, found), signal))
 
 
 def with_fix_signal(df: DataFrame, subject: str = "subject", body: str = "body", out: str = "bug_signal") -> DataFrame:
@@ -121,7 +132,7 @@ def has_explicit_intent(subject: Column, body: Column) -> Column:
 
 def routine_score(subject: Column, body: Column) -> Column:
     """Number of distinct routine-work keywords in the message."""
-    return F.size(words_found(message(subject, body), rules.ROUTINE_KEYWORDS))
+    return let(message(subject, body), lambda t: F.size(words_found(t, rules.ROUTINE_KEYWORDS)))
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from patchlake import rules
 from patchlake.functions import paths, text
 from patchlake.functions.patch import commit_key, size_verdict
+from patchlake.session import cut_lineage
 
 COMMIT_URL = "https://github.com/"
 
@@ -133,10 +134,11 @@ def judge_negatives(
 def records(judged: DataFrame, changes: DataFrame, patches: DataFrame, repositories: DataFrame, negative: bool = False) -> DataFrame:
     """Nested candidate records of the accepted commits.
 
-    Patch text is joined here only, after everything that can drop a commit.
+    Patch text is joined here only, after everything that can drop a commit. The
+    accepted commits are written out first, since two joins need them.
     """
     keys = ["repo_id", "commit_hash"]
-    accepted = judged.filter(F.col("disposition") == "accepted")
+    accepted = cut_lineage(judged.filter(F.col("disposition") == "accepted"))
     about = repositories.select("repo_id", "name", "owner", "language", "clone_url")
     full = (
         accepted.join(file_lists(changes, accepted, keys), keys)

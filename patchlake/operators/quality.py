@@ -13,40 +13,38 @@ def python_files(changed_files: Column) -> Column:
     return F.size(F.filter(changed_files, lambda f: paths.is_source(f["path"], rules.PYTHON_EXTENSIONS)))
 
 
-def with_evidence(df: DataFrame, message: Column, original_score: Column, out: str) -> DataFrame:
-    """Adds score, reasons and the count of strong words found in a normalised message.
-
-    The counts are columns of their own first, as each decides several points.
-    """
-    counted = df.withColumns(
-        {
-            "__strong": text.count_patterns(message, rules.STRONG_EVIDENCE_PATTERNS),
-            "__support": text.count_patterns(message, rules.SUPPORTING_PATTERNS),
-            "__tested": text.mentions_test_word(message),
-            "__original": F.coalesce(original_score, F.lit(0)),
-        }
-    )
-    strong, support, tested, original = (F.col(c) for c in ("__strong", "__support", "__tested", "__original"))
-    points = (
-        F.when(strong >= 3, 5).when(strong == 2, 4).when(strong == 1, 2).otherwise(0)
-        + F.when(support >= 2, 3).when(support == 1, 1).otherwise(0)
-        + F.when(tested, 1).otherwise(0)
-        + F.when(original >= 5, 2).when(original >= 3, 1).otherwise(0)
+def evidence(message: Column, original_score: Column) -> Column:
+    """Score, reasons and the count of strong words found in a normalised message."""
+    counts = F.struct(
+        text.count_patterns(message, rules.STRONG_EVIDENCE_PATTERNS).alias("strong"),
+        text.count_patterns(message, rules.SUPPORTING_PATTERNS).alias("support"),
+        text.mentions_test_word(message).alias("tested"),
+        F.coalesce(original_score, F.lit(0)).alias("original"),
     )
-    reasons = text.named_hits(
-        {
-            "multiple_strong_bug_signals": strong >= 3,
-            "two_strong_bug_signals": strong == 2,
-            "strong_bug_signal": strong == 1,
-            "multiple_supporting_signals": support >= 2,
-            "supporting_signal": support == 1,
-            "test_related": tested,
-            "strong_original_signal": original >= 5,
-            "moderate_original_signal": (original >= 3) & (original < 5),
-        }
-    )
-    evidence = F.struct(points.alias("score"), reasons.alias("reasons"), strong.alias("strong"))
-    return counted.withColumn(out, evidence).drop("__strong", "__support", "__tested", "__original")
+
+    def judged(c: Column) -> Column:
+        strong, support, tested, original = (c[n] for n in ("strong", "support", "tested", "original"))
+        points = (
+            F.when(strong >= 3, 5).when(strong == 2, 4).when(strong == 1, 2).otherwise(0)
+            + F.when(support >= 2, 3).when(support == 1, 1).otherwise(0)
+            + F.when(tested, 1).otherwise(0)
+            + F.when(original >= 5, 2).when(original >= 3, 1).otherwise(0)
+        )
+        reasons = text.named_hits(
+            {
+                "multiple_strong_bug_signals": strong >= 3,
+                "two_strong_bug_signals": strong == 2,
+                "strong_bug_signal": strong == 1,
+                "multiple_supporting_signals": support >= 2,
+                "supporting_signal": support == 1,
+                "test_related": tested,
+                "strong_original_signal": original >= 5,
+                "moderate_original_signal": (original >= 3) & (original < 5),
+            }
+        )
+        return F.struct(points.alias("score"), reasons.alias("reasons"), strong.alias("strong"))
+
+    return text.let(counts, judged)
 
 
 def judge(records: DataFrame, limits: dict | None = None) -> DataFrame:
@@ -57,39 +55,39 @@ def judge(records: DataFrame, limits: dict | None = None) -> DataFrame:
     turned down for its score keeps the reasons of that score.
     """
     limit = {**rules.QUALITY_LIMITS, **(limits or {})}
-    message = text.message(F.col("commit.subject"), F.col("commit.body"))
     changed = F.coalesce("diff_stats.added_lines", F.lit(0)) + F.coalesce("diff_stats.deleted_lines", F.lit(0))
-    prepared = with_evidence(
-        records.withColumns({"__text": message, "__changed": changed}), F.col("__text"), F.col("bug_signal.score"), "__evidence"
-    )
-    objection = (
-        F.when(F.lower(F.coalesce("language", F.lit(""))) != "python", "non_python_repository")
-        .when(F.coalesce("commit.hash", F.lit("")) == "", "missing_commit_hash")
-        .when(F.col("__text") == "", "empty_commit_message")
-        .when(text.first_match(F.col("__text"), rules.REJECT_PATTERNS).isNotNull(), "reject_message_pattern")
-        .when(F.coalesce(python_files(F.col("changed_files")), F.lit(0)) <= 0, "no_python_source_change")
-        .when(F.col("__changed") < limit["min_lines"], "empty_change")
-        .when(F.col("__changed") > limit["max_lines"], "patch_too_large")
-        .when(F.size("changed_files") > limit["max_files"], "too_many_changed_files")
-        .when(F.coalesce(F.trim(F.regexp_replace("patch", text.UNICODE + text.SPACE + "+", " ")), F.lit("")) == "", "empty_patch")
-    )
-    doubt = F.when(F.col("__evidence.score") < limit["min_score"], "insufficient_bug_evidence").when(
-        F.col("__evidence.strong") == 0, "no_explicit_bug_signal"
-    )
-    stopped = F.col("__objection").isNotNull()
-    return (
-        prepared.withColumns({"__objection": objection, "__doubt": doubt})
-        .withColumns(
-            {
-                "accepted": ~stopped & F.col("__doubt").isNull(),
-                "score": F.when(stopped, 0).otherwise(F.col("__evidence.score")),
-                "reasons": F.when(stopped, F.array("__objection")).otherwise(
-                    F.concat("__evidence.reasons", F.array_compact(F.array("__doubt")))
-                ),
-            }
+    blank_patch = F.coalesce(F.trim(F.regexp_replace("patch", text.UNICODE + text.SPACE + "+", " ")), F.lit("")) == ""
+
+    def objection(message: Column) -> Column:
+        return (
+            F.when(F.lower(F.coalesce("language", F.lit(""))) != "python", "non_python_repository")
+            .when(F.coalesce("commit.hash", F.lit("")) == "", "missing_commit_hash")
+            .when(message == "", "empty_commit_message")
+            .when(text.first_match(message, rules.REJECT_PATTERNS).isNotNull(), "reject_message_pattern")
+            .when(F.coalesce(python_files(F.col("changed_files")), F.lit(0)) <= 0, "no_python_source_change")
+            .when(changed < limit["min_lines"], "empty_change")
+            .when(changed > limit["max_lines"], "patch_too_large")
+            .when(F.size("changed_files") > limit["max_files"], "too_many_changed_files")
+            .when(blank_patch, "empty_patch")
+        )
+
+    def verdict(found: Column) -> Column:
+        stopped, proof = found["objection"].isNotNull(), found["evidence"]
+        doubt = F.when(proof["score"] < limit["min_score"], "insufficient_bug_evidence").when(proof["strong"] == 0, "no_explicit_bug_signal")
+        return F.struct(
+            (~stopped & doubt.isNull()).alias("accepted"),
+            F.when(stopped, 0).otherwise(proof["score"]).alias("score"),
+            F.when(stopped, F.array(found["objection"]))
+            .otherwise(F.concat(proof["reasons"], F.array_remove(F.array(F.coalesce(doubt, F.lit(""))), "")))
+            .alias("reasons"),
         )
-        .drop("__text", "__changed", "__evidence", "__objection", "__doubt")
+
+    message = text.message(F.col("commit.subject"), F.col("commit.body"))
+    found = text.let(
+        message, lambda t: F.struct(objection(t).alias("objection"), evidence(t, F.col("bug_signal.score")).alias("evidence"))
     )
+    judged = records.withColumn("__verdict", text.let(found, verdict))
+    return judged.withColumns({n: F.col(f"__verdict.{n}") for n in ("accepted", "score", "reasons")}).drop("__verdict")
 
 
 def accepted_records(judged: DataFrame) -> DataFrame:
