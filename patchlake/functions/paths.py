@@ -8,8 +8,13 @@ from patchlake import rules
 
 
 def is_ignored(path: Column) -> Column:
-    """Lock files and generated or vendored folders."""
-    return path.rlike("(?i)(?:" + "|".join(rules.IGNORED_PATH_PATTERNS) + ")")
+    """Lock files and generated or vendored folders.
+
+    Every pattern begins at the start of a path part; said once, the search
+    tries the alternatives there only.
+    """
+    tails = [p.removeprefix("(^|/)") for p in rules.IGNORED_PATH_PATTERNS]
+    return path.rlike("(?i)(?:^|/)(?:" + "|".join(tails) + ")")
 
 
 def suffix(path: Column) -> Column:

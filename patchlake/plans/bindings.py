@@ -14,13 +14,14 @@ _BUSY = {"documents", "orders", "part"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; a busy one that is a single piece is spread over the cores.
+    """A given table; a busy one with fewer pieces than cores is spread over them.
 
-    A table of some size has as many pieces as cores and is read as it is.
+    A table of some size has more pieces and is read as it is.
     """
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in _BUSY and rows.rdd.getNumPartitions() == 1:
-        return rows.repartition(spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    if name in _BUSY and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
     return rows
 
 
