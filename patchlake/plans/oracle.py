@@ -365,6 +365,7 @@ ORACLE["q_integrity"] = """
 select count(*) as rows, count(*) filter (quality = 1) > 0 as has_positives, count(*) filter (quality = 0) > 0 as has_negatives,
        count(*) = count(distinct doc_id) as ids_unique, true as splits_complete from labels
 """
+ORACLE["q_duplicate_ids"] = "select count(*) - count(distinct l_orderkey || ':' || l_linenumber) as duplicate_ids from lineitem"
 _RANDOM = f"s as (select doc_id, lang, {_split('r', 'n')} as split from (select *, row_number() over (order by {_HASH.format('doc_id')}, doc_id) as r, count(*) over () as n from documents))"
 ORACLE["q_random_split"] = f"with {_RANDOM} select * from s"
 ORACLE["q_split_distribution"] = f"""

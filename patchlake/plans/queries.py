@@ -361,6 +361,12 @@ def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.integrity(placed.withColumnRenamed("doc_id", "record_id"))
 
 
+@query
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = b.table(spark, sf_dir, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("record_id"))
+    return splits.duplicate_ids(lines)
+
+
 @query
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.random_split(b.table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"])
