@@ -1,0 +1,74 @@
+"""DuckDB SQL for the queries that SQL can express."""
+
+from __future__ import annotations
+
+from patchlake.llm import mixing
+
+_WORDS = "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint"
+
+_EXACT_DEDUP = r"""
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256
+from n window w as (partition by t)
+"""
+
+_MIXING = f"""
+with d as (select doc_id, source, {_WORDS} as size, md5(coalesce(doc_id::varchar, '')) as h from documents),
+s0 as (select source, sum(size)::bigint as source_size from d group by source),
+s1 as (
+  select *, ((row_number() over (order by source nulls last) - 1) % {mixing.MAX_REPEATS} + 1)::bigint as weight,
+    source_size * {mixing.MAX_REPEATS} as lim, (sum(source_size) over ())::bigint as total
+  from s0),
+s2 as (
+  select *, (sum(weight) over ())::bigint as aw,
+    coalesce(sum(lim) over o, 0)::bigint as used, coalesce(sum(weight) over o, 0)::bigint as uw
+  from s1 window o as (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+s3 as (select *, lim * (aw - uw) <= (total - used) * weight as is_full from s2),
+s4 as (
+  select *, (sum(case when is_full then lim else 0 end) over ())::bigint as fs, (sum(case when is_full then weight else 0 end) over ())::bigint as fw
+  from s3),
+s5 as (
+  select source, source_size, case when is_full then lim::double else (total - fs) * weight::double / nullif(aw - fw, 0) end as target,
+    least(source_size, greatest({mixing.LEAST_BLOCKS}, ceil(source_size / {mixing.BLOCK_WORDS})))::bigint as nb
+  from s4),
+s6 as (select *, coalesce(round(target * nb / nullif(source_size, 0)), 0)::bigint as ns from s5),
+lanes as (
+  select source, nb, (sum(ns) over (order by source nulls last))::bigint as high, ns, (sum(ns) over ())::bigint as alls from s6 where ns > 0),
+edges as (
+  select source, nb, ((high - ns)::hugeint * {mixing._POINTS}) // alls as lo, (high::hugeint * {mixing._POINTS}) // alls as hi from lanes),
+slots as (
+  select i as slot, ((i % {mixing._POINTS}) * {mixing.GOLDEN}) % {mixing._POINTS} as point
+  from (select unnest(range(coalesce((select max(alls) from lanes), 0))) as i)),
+ranked as (
+  select source, nb, row_number() over (partition by source order by slot) - 1 as r
+  from slots join edges on point >= lo and point < hi),
+uses as (select source, r % nb as block, count(*) as uses from ranked where r < {mixing.MAX_REPEATS} * nb group by all),
+placed as (
+  select d.*, s6.source_size, s6.target, s6.nb,
+    (sum(size) over (partition by d.source order by h, doc_id, size rows unbounded preceding))::bigint as e
+  from d join s6 on d.source is not distinct from s6.source),
+grid as (
+  select source, nb, source_size, unnest(range(nb)) as block from s6 where source_size > 0),
+cells as (
+  select source, block,
+    block * (source_size // nb) + least(block, source_size % nb) as b0,
+    (block + 1) * (source_size // nb) + least(block + 1, source_size % nb) as b1
+  from grid),
+used as (
+  select c.*, coalesce(u.uses, 0) as uses from cells c left join uses u on c.block = u.block and c.source is not distinct from u.source),
+spent as (
+  select source, b0, b1, uses, (sum(uses * (b1 - b0)) over (partition by source order by b0 rows unbounded preceding) - uses * (b1 - b0))::bigint as before
+  from used),
+marks as (
+  select doc_id, source, size, source_size, target, e as at, 1 as sign from placed where size > 0
+  union all select doc_id, source, size, source_size, target, e - size, -1 from placed where size > 0),
+valued as (
+  select m.doc_id, m.source, sum(sign * (s.before + s.uses * (m.at - s.b0)))::bigint as taken
+  from (select *, coalesce(source, '~null~') as k from marks) m
+  asof join (select *, coalesce(source, '~null~') as k from spent) s on m.k = s.k and m.at >= s.b0
+  group by all)
+select p.doc_id, p.size, p.source_size, p.target, coalesce(v.taken, 0)::bigint as taken, p.source
+from placed p left join valued v on p.doc_id = v.doc_id and p.source is not distinct from v.source
+"""
+
+ORACLE: dict[str, str] = {"op6_exact_dedup": _EXACT_DEDUP, "op9_mixing": _MIXING}
