@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from patchlake.llm.common import slices
 
@@ -202,7 +203,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                 names=[*(batch.schema.names[i] for i in kept), *added],
             )
 
-    schema = source.schema if carry else source.drop("text").schema
-    for name, kind in zip(added, ("string", "double", "boolean")):
-        schema = schema.add(name, kind)
+    fields = [f for f in source.schema.fields if carry or f.name != "text"]
+    kinds = (StringType(), DoubleType(), BooleanType())
+    schema = StructType([*fields, *(StructField(name, kind) for name, kind in zip(added, kinds))])
     return source.mapInArrow(run, schema)

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchlake.llm import bpe_codec, exact_dedup, language_id, mixing, pii, sharding, token_counts
+from patchlake.llm import (
+    bpe_codec,
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    mixing,
+    ngram_join,
+    pii,
+    sharding,
+    suffix_dedup,
+    token_counts,
+)
 from patchlake.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -19,6 +30,23 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose four-word shingles agree to 85 of 100."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 400 bytes."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), min_bytes=400)
+    n_spans = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("bigint").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256")
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of one label with a cosine of 0.98 or more."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document; n_* and base_sha256 describe the plain spans, spans all of them."""
     return pii.personal_data(table(spark, sf_dir, "documents")).drop("base")
@@ -61,6 +89,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_pii": op4_pii,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
