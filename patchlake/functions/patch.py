@@ -10,8 +10,10 @@ from patchlake.functions.text import normalise
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
-def clip(patch: Column, limit: int = rules.STORED_PATCH_CHARS) -> Column:
-    """The stored form of a patch: at most ``limit`` characters, with a flag."""
+def clip(patch: Column, limit: int | None = None) -> Column:
+    """The stored form of a patch with a flag: all of it, or at most ``limit`` characters."""
+    if limit is None:
+        return F.struct(patch.alias("patch"), F.lit(False).alias("patch_truncated"))
     return F.struct(
         F.substring(patch, 1, limit).alias("patch"),
         (F.length(patch) > limit).alias("patch_truncated"),

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlake.functions.paths import module_name
+from patchlake.session import stored
 
 
 def item_id(path: Column, name: Column, line: Column) -> Column:
@@ -158,10 +159,11 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame, mo
     """
     keys = ["file_path", "parent_class", "call"]
     distinct = calls.select(*keys).distinct().withColumn("target", own_method(F.col("call"), F.col("parent_class")))
-    per_file = file_lookup(functions)
+    per_file = stored(file_lookup(functions), "file_lookup")
     local = _find_in_file(distinct, per_file, "file_path", "target", "same_file")
     everywhere = global_lookup(functions).select(F.col("known").alias("target"), F.struct("n", "id").alias("direct"))
-    direct = local.join(everywhere, "target", "left")
+    # Both later steps and the answers read these rows; they are made once.
+    direct = stored(local.join(everywhere, "target", "left"), "direct")
 
     first = F.substring_index("call", ".", 1)
     rest = F.when(F.contains(F.col("call"), F.lit(".")), F.nullif(F.substring(F.col("call"), F.length(first) + 2, F.lit(2147483647)), F.lit("")))
@@ -221,14 +223,25 @@ def plain_edges(resolved: DataFrame) -> DataFrame:
 # --- nodes and edges ------------------------------------------------------
 
 
-def nodes(repository: str, files: DataFrame, classes: DataFrame, functions: DataFrame, resolved_imports: DataFrame) -> DataFrame:
-    """One row per node id over the five node types."""
+def _merged(df: DataFrame) -> DataFrame:
+    """Items with the same id as one node."""
+    others = [c for c in df.columns if c != "id"]
+    return df.groupBy("id").agg(*[F.first(c, ignorenulls=True).alias(c) if c == "node_type" else F.max(c).alias(c) for c in others])
+
+
+def function_nodes(functions: DataFrame) -> DataFrame:
+    """Nodes of functions and methods, the only ends of calls."""
+    return _merged(
+        functions.select(
+            function_id().alias("id"), F.lit("function").alias("node_type"), "name", "qualified_name", "parent_class",
+            F.when(F.col("parent_class") != "", "method").otherwise("function").alias("function_type"),
+            F.col("file_path").alias("file"), "line_start",
+        )
+    )
 
-    def merged(df: DataFrame) -> DataFrame:
-        # Items with the same id are one node.
-        others = [c for c in df.columns if c != "id"]
-        return df.groupBy("id").agg(*[F.first(c, ignorenulls=True).alias(c) if c == "node_type" else F.max(c).alias(c) for c in others])
 
+def nodes(repository: str, files: DataFrame, classes: DataFrame, functions: DataFrame, resolved_imports: DataFrame) -> DataFrame:
+    """One row per node id over the five node types."""
     spark = files.sparkSession
     root = spark.range(1).select(
         F.lit(f"repository:{repository}").alias("id"), F.lit("repository").alias("node_type"), F.lit(repository).alias("name")
@@ -241,16 +254,11 @@ def nodes(repository: str, files: DataFrame, classes: DataFrame, functions: Data
         item_id(F.col("file_path"), F.col("name"), F.col("line_start")).alias("id"),
         F.lit("class").alias("node_type"), "name", F.col("file_path").alias("file"), "line_start",
     )
-    function_nodes = functions.select(
-        function_id().alias("id"), F.lit("function").alias("node_type"), "name", "qualified_name", "parent_class",
-        F.when(F.col("parent_class") != "", "method").otherwise("function").alias("function_type"),
-        F.col("file_path").alias("file"), "line_start",
-    )
     external = external_imports(resolved_imports).select("external").distinct().select(
         F.concat(F.lit("external_module::"), "external").alias("id"), F.lit("external_module").alias("node_type"), F.col("external").alias("name")
     )
     result = root
-    for part in (file_nodes, merged(class_nodes), merged(function_nodes), external):
+    for part in (file_nodes, _merged(class_nodes), function_nodes(functions), external):
         result = result.unionByName(part, allowMissingColumns=True)
     return result
 
@@ -326,14 +334,16 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 def first_edges(edges: DataFrame, node_table: DataFrame, relation: str, limit: int, order: list[str]) -> DataFrame:
     """The first edges of a relation with the attributes of both ends.
 
-    The limit comes before the joins, so they see ``limit`` edges only.
+    The limit comes before the joins, so they see ``limit`` edges only; the
+    chosen ends are looked up among the nodes once for both sides.
     """
-    chosen = edges.filter(F.col("relation") == relation).orderBy(*order).limit(limit)
+    chosen = stored(edges.filter(F.col("relation") == relation).orderBy(*order).limit(limit), "first_edges")
+    ends = chosen.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    file = F.coalesce(*[c for c in ("file", "path") if c in node_table.columns])
+    found = stored(node_table.join(ends, "id", "left_semi").select("id", "qualified_name", file.alias("file")), "first_nodes")
     result = chosen
     for end in ("src", "dst"):
-        names = node_table.select(
-            F.col("id").alias(end), F.col("qualified_name").alias(f"{end}_name"), F.coalesce("file", "path").alias(f"{end}_file")
-        )
+        names = found.select(F.col("id").alias(end), F.col("qualified_name").alias(f"{end}_name"), F.col("file").alias(f"{end}_file"))
         result = result.join(names, end, "left")
     return result
 
@@ -355,15 +365,18 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int = 1) -> DataFra
     """Ids within ``depth`` steps of ``start`` (column id), edges taken both ways, with the step.
 
     Each step looks up the frontier in the edges from both ends; the frontier is
-    made distinct and rid of known ids before it is used again.
+    made distinct, rid of known ids and stored before it is used again, so the
+    plan of a step does not repeat the earlier ones. An empty frontier ends it.
     """
-    pairs = edges.select("src", "dst").distinct()
+    pairs = stored(edges.select("src", "dst").distinct(), "pairs")
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    seen = start.select("id").distinct().withColumn("step", F.lit(0))
-    frontier = seen
+    frontier = stored(start.select("id").distinct().withColumn("step", F.lit(0)), "frontier")
+    seen = frontier
     for step in range(1, depth + 1):
         reached = both.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = reached.join(seen, "id", "left_anti").withColumn("step", F.lit(step))
+        frontier = stored(reached.join(seen, "id", "left_anti").withColumn("step", F.lit(step)), "frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -14,8 +14,6 @@ from patchlake import rules
 from patchlake.operators import features, tfidf
 from patchlake.session import cut_lineage
 
-ROWS_PER_PARTITION = 20_000
-
 
 @dataclass
 class Classifier:
@@ -96,11 +94,10 @@ def train(
     weights, n_rows = features.balanced_weights(rows)
     inputs = _inputs(rows, numerics, scaler, one_hot, text, doc_id)
     # Written out once: the solver reads the rows in every iteration, and its
-    # tasks should not carry the plan that made them. A small set goes into few
-    # partitions, as each iteration waits for all of them.
+    # tasks should not carry the plan that made them.
     training = cut_lineage(
         inputs.select("features", F.col("label").cast("double").alias("label"), features.weight_column(weights).alias("weight"))
-    ).coalesce(max(1, n_rows // ROWS_PER_PARTITION))
+    )
     regression = LogisticRegression(
         weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * n_rows), elasticNetParam=0.0, standardization=False, tol=1e-4
     )

@@ -17,10 +17,12 @@ def terms(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> DataFra
     """One row per lower-case word and per pair of neighbouring words, with repeats.
 
     Each word is laid beside the next one, so that pairs need no lambda and all
-    of it stays in generated code.
+    of it stays in generated code. Texts are dealt out by document before they
+    are split: counts per document and their norms then need no further shuffle.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
-    split = df.select(F.col(doc_id).alias("doc"), words.alias("words"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(pattern), F.lit(0))
+    dealt = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).repartition("doc")
+    split = dealt.select("doc", words.alias("words"))
     following = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
     beside = split.select("doc", F.inline(F.arrays_zip(F.col("words").alias("word"), following.alias("next"))).alias("word", "next"))
     both = F.array("word", F.concat("word", F.lit(" "), "next"))

@@ -9,20 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-# Tables with work per row (texts, messages, code) that is worth more tasks than a small file gives.
-_BUSY = {"documents", "orders", "part"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; a busy one with fewer pieces than cores is spread over them.
-
-    A table of some size has more pieces and is read as it is.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _BUSY and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores)
-    return rows
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 SUBJECT = """case o_orderkey % 12

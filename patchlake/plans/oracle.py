@@ -128,7 +128,7 @@ _FILE_PATCHES = f"""
 fp as (
   select d.commit_hash, c.author as author_name, c.subject as message, coalesce(new_path, old_path) as file_path,
          case when added then 'added' when deleted then 'deleted' when renamed then 'renamed' else 'modified' end as change_type,
-         length(patch) > {rules.STORED_PATCH_CHARS} as patch_truncated, substr(patch, 1, {rules.STORED_PATCH_CHARS}) as patch
+         false as patch_truncated, patch
   from file_patches d join commits c on c.commit_hash = d.commit_hash and c.parent_count > 0
 )"""
 _LINE_COUNTS = f"cast(len({_lines('patch', '+')}) as int) as added_line_count, cast(len({_lines('patch', '-')}) as int) as removed_line_count"
@@ -182,10 +182,13 @@ select case when ends_with(file_path, '.py') then 'python' when ends_with(file_p
 from (select distinct file_path from numstat) where ends_with(file_path, '.py') or ends_with(file_path, '.js') group by 1
 """)
 
-_CLIPPED = f"(select doc_id, length(patch) > {rules.STORED_PATCH_CHARS} as patch_truncated, substr(patch, 1, {rules.STORED_PATCH_CHARS}) as patch from patches)"
+ORACLE["q_stored_patch"] = with_bindings(["patches"], f"""
+with c as (select doc_id, length(patch) > {rules.STORED_PATCH_CHARS} as patch_truncated, substr(patch, 1, {rules.STORED_PATCH_CHARS}) as patch from patches)
+select doc_id, patch_truncated, cast(length(patch) as int) as chars, md5(patch) as patch_md5 from c
+""")
 ORACLE["q_patch_lines"] = with_bindings(["patches"], f"""
-with c as {_CLIPPED}, l as (select doc_id, patch_truncated, {_lines('patch', '+')} as a, {_lines('patch', '-')} as r from c)
-select doc_id, patch_truncated, cast(len(a) as int) as added_line_count, cast(len(r) as int) as removed_line_count,
+with l as (select doc_id, {_lines('patch', '+')} as a, {_lines('patch', '-')} as r from patches)
+select doc_id, cast(len(a) as int) as added_line_count, cast(len(r) as int) as removed_line_count,
        md5(array_to_string(a, chr(10))) as added_md5, cast(len(a) as double) as added, cast(len(r) as double) as removed,
        cast(len(a) + len(r) as double) as total_changes, cast(len(a) as double) - len(r) as change_balance from l
 """)

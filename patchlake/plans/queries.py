@@ -161,12 +161,18 @@ def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- patches --------------------------------------------------------------
 
 
+@query
+def stored_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored form of a patch, cut at its limit."""
+    cut = b.patches(spark, sf_dir).select("doc_id", patch.clip(F.col("patch"), rules.STORED_PATCH_CHARS).alias("c"))
+    return cut.select("doc_id", "c.patch_truncated", F.length("c.patch").alias("chars"), F.md5("c.patch").alias("patch_md5"))
+
+
 @query
 def patch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = b.patches(spark, sf_dir).select("doc_id", patch.clip(F.col("patch")).alias("c"))
-    changes = cut.select("doc_id", "c.*", patch.line_changes(F.col("c.patch")).alias("l"))
+    changes = b.patches(spark, sf_dir).select("doc_id", patch.line_changes(F.col("patch")).alias("l"))
     return changes.select(
-        "doc_id", "patch_truncated", "l.added_line_count", "l.removed_line_count",
+        "doc_id", "l.added_line_count", "l.removed_line_count",
         F.md5(F.array_join("l.added_lines", "\n")).alias("added_md5"),
         *[v.alias(n) for n, v in numeric.line_numerics(F.col("l.added_line_count"), F.col("l.removed_line_count")).items()],
     )
@@ -403,18 +409,15 @@ def label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["repo_id", "commit_hash"]
     changes = b.commit_changes(spark, sf_dir)
-    item = F.struct("path", paths.is_source(F.col("path")).alias("is_source"), paths.is_ignored(F.col("path")).alias("ignored"))
-    # The lists stay short: commits beyond the file limit leave before anything is collected.
-    small = changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= rules.DIFF_LIMITS["max_files"])
-    files = changes.join(small.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.collect_list(item).alias("changed_files"))
-    stats = candidates.diff_stats(changes, keys)
     rows = (
-        b.commits(spark, sf_dir).select(*keys).join(files, keys, "left").join(stats, keys, "left")
+        b.commits(spark, sf_dir).select(*keys)
+        .join(numeric.file_counts(changes, keys), keys, "left")
+        .join(candidates.diff_stats(changes, keys), keys, "left")
         .join(b.commit_patches(spark, sf_dir), keys, "left")
     )
     none = F.lit(None).cast("bigint")
     full = numeric.with_patch_numerics(
-        rows, F.col("patch"), F.col("changed_files"), none, none, F.col("added_lines"), F.col("deleted_lines"), F.col("files_changed")
+        rows, F.col("patch"), F.col("file_counts"), none, none, F.col("added_lines"), F.col("deleted_lines"), F.col("files_changed")
     )
     return full.select("commit_hash", *[F.round(n, 6).alias(n) for n in numeric.PATCH_NUMERICS])
 
@@ -688,7 +691,7 @@ def graph_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def first_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = codegraph.call_edges(_calls(spark, sf_dir)).select("src", "dst", "relation").distinct()
-    return codegraph.first_edges(edges, _nodes(spark, sf_dir), "CALLS", 20, ["src", "dst"])
+    return codegraph.first_edges(edges, codegraph.function_nodes(b.functions(spark, sf_dir)), "CALLS", 20, ["src", "dst"])
 
 
 def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -749,14 +752,6 @@ def code_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- subwords, models and streaming: no SQL counterpart -------------------
 
 
-@query
-def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = bpe.pre_token_counts(bpe.training_text(b.patches(spark, sf_dir)))
-    merges = bpe.learn_merges(counts, 30)
-    rows = [(i, m.left, m.right, m.count) for i, m in enumerate(merges)]
-    return spark.createDataFrame(rows, "position int, left string, right string, pair_count bigint")
-
-
 def _document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _labelled(spark, sf_dir)
     texts = b.patches(spark, sf_dir).withColumn("l", patch.line_changes(F.col("patch")))
@@ -870,9 +865,8 @@ def linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same stored scorer over a table at the threshold for outside data."""
     texts = b.patches(spark, sf_dir).withColumn("l", patch.line_changes(F.col("patch")))
     none = F.lit(None).cast("bigint")
-    no_files = F.lit(None).cast("array<struct<path:string,is_source:boolean,ignored:boolean>>")
     full = numeric.with_patch_numerics(
-        texts, F.col("patch"), no_files, F.col("l.added_line_count"), F.col("l.removed_line_count"), none, none, none
+        texts, F.col("patch"), None, F.col("l.added_line_count"), F.col("l.removed_line_count"), none, none, none
     )
     scored = full.withColumn("p", _stored_probability())
     return scored.select(

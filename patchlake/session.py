@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+# Scratch paths this process made and has not released yet.
+_SCRATCH: list[str] = []
 
 
 def build_session(app_name: str = "patchlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,6 +29,9 @@ def build_session(app_name: str = "patchlake", master: str | None = None, **conf
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # Small files with work per row (texts, messages, code) are still read by all cores.
+        .config("spark.sql.files.minPartitionNum", "8")
+        .config("spark.sql.files.openCostInBytes", "262144")
     )
     if master:
         builder = builder.master(master)
@@ -34,7 +41,12 @@ def build_session(app_name: str = "patchlake", master: str | None = None, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only if unset."""
+    """The folder the cluster names for checkpoints.
+
+    A session in one local process may leave it unset and gets a temporary
+    folder, which goes when the process ends. Anywhere else that folder would lie
+    on one machine only, so the setting is required.
+    """
     context = spark.sparkContext
     configured = context.getConf().get(CHECKPOINT_SETTING) or spark.conf.get(CHECKPOINT_SETTING, None)
     current = context.getCheckpointDir()
@@ -43,11 +55,20 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if current is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not is_one_process(context.master):
+            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
         current = context.getCheckpointDir()
     return current
 
 
+def is_one_process(master: str) -> bool:
+    """Whether driver and executors are one local process."""
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage once and go on from there."""
     shared_dir(df.sparkSession)
@@ -66,5 +87,17 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, never reused."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, never reused; :func:`release` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this process has stored so far, for its owner to call when no result reads it any more."""
+    configuration = spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        gone += path.getFileSystem(configuration).delete(path, True)
+    return gone

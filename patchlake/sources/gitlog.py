@@ -124,8 +124,8 @@ def file_change_history(commits: DataFrame, names: DataFrame, numstat: DataFrame
     )
 
 
-def file_patch_history(commits: DataFrame, diffs: DataFrame, keys: list[str]) -> DataFrame:
-    """As above with patch text, cut to the stored length, and its line changes.
+def file_patch_history(commits: DataFrame, diffs: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """As above with patch text and its line changes, cut to ``limit`` characters if one is given.
 
     ``diffs`` has old_path, new_path, the three flags and patch; rows with no
     patch text (binary files) are left out.
@@ -136,7 +136,7 @@ def file_patch_history(commits: DataFrame, diffs: DataFrame, keys: list[str]) ->
         .withColumn("file_path", path)
         .filter("file_path is not null")
         .withColumn("change_type", change_type(F.col("added"), F.col("deleted"), F.col("renamed")))
-        .withColumn("clipped", clip(F.col("patch")))
+        .withColumn("clipped", clip(F.col("patch"), limit))
         .withColumn("changes", line_changes(F.col("clipped.patch")))
         .drop("patch", "added", "deleted", "renamed")
         .join(commits.filter("parent_count > 0"), keys)

@@ -49,8 +49,8 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """JSON Lines, non-ASCII text as it is."""
-    writer = df.write.mode("overwrite")
+    """JSON Lines, non-ASCII text as it is and null fields written out."""
+    writer = df.write.mode("overwrite").option("ignoreNullFields", False)
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
 
 

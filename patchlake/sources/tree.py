@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchlake.operators.structure import code_files
 
+# A character no file has: a noncharacter between two private ones.
+_ASIDE = "\ue000\uffff\ue001"
+
 
 def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """Source files below ``root`` with language and size, and their bytes if asked for.
@@ -13,8 +16,10 @@ def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFram
     Without ``content`` no file is opened.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").replace("file://", "")
-    tail = F.substring_index("path", base + "/", -1)
+    # Listed paths begin with the qualified root, whatever else they hold.
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
+    tail = F.substring("path", len(base) + 2, 2147483647)
     columns = [tail.alias("file_path"), F.col("length").alias("size_bytes"), *([F.col("content")] if content else [])]
     return code_files(files.select(*columns))
 
@@ -22,6 +27,8 @@ def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFram
 def source_text(files: DataFrame) -> DataFrame:
     """Python files as text; bytes that are not UTF-8 are dropped from it."""
     raw = F.col("content").cast("string")
-    mended = F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))
-    text = F.when(F.is_valid_utf8(raw), raw).otherwise(mended)
+    # Genuine replacement characters are set aside while those that stand for bad bytes are taken out.
+    aside = F.replace(raw, F.lit("\ufffd"), F.lit(_ASIDE))
+    mended = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(mended, F.lit(_ASIDE), F.lit("\ufffd")))
     return files.filter("language = 'python'").select("file_path", text.alias("code"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from patchlake.functions.numeric import with_patch_numerics
+from patchlake.functions.numeric import listed_counts, with_patch_numerics
 from patchlake.operators.models import decide, label_name
 from patchlake.schemas import SCORE_REQUEST
 from patchlake.sources.tables import CORRUPT
@@ -26,7 +26,7 @@ def read_requests(spark: SparkSession, folder: str) -> DataFrame:
 def numeric_columns(requests: DataFrame) -> DataFrame:
     """Requests with the fifteen numerics."""
     return with_patch_numerics(
-        requests, F.col("patch"), F.col("changed_files"), F.col("added_line_count"), F.col("removed_line_count"),
+        requests, F.col("patch"), listed_counts(F.col("changed_files")), F.col("added_line_count"), F.col("removed_line_count"),
         F.col("diff_stats.added_lines"), F.col("diff_stats.deleted_lines"), F.col("diff_stats.files_changed"),
     )
 

@@ -105,6 +105,13 @@ def test_fixed_length_encoding(spark):
     assert [g[1].input_ids for g in got][3:] == [[2, 10, 11, 12, 3], [2, 10, 11, 12, 3]]
 
 
+def test_file_counts_of_large_commits(spark):
+    names = [f"src/m{i}.py" for i in range(31)] + [f"tests/test_m{i}.py" for i in range(9)] + ["yarn.lock", "a.md"]
+    df = spark.createDataFrame([("c", n) for n in names], "commit_hash string, path string")
+    got = numeric.file_counts(df, ["commit_hash"]).first().file_counts
+    assert (got.files, got.source_files, got.test_files, got.ignored_files) == (42, 40, 9, 1)
+
+
 def test_numerics_fall_back(spark):
     files = "array<struct<path:string,is_source:boolean,ignored:boolean>>"
     rows = [
@@ -112,7 +119,7 @@ def test_numerics_fall_back(spark):
         (None, None, 3, None, 4, 7, 4),
     ]
     df = spark.createDataFrame(rows, f"p string, f {files}, a int, r string, sa int, sr int, n int")
-    full = numeric.with_patch_numerics(df, *[F.col(c) for c in ("p", "f", "a", "r", "sa", "sr", "n")]).collect()
+    full = numeric.with_patch_numerics(df, F.col("p"), numeric.listed_counts(F.col("f")), *[F.col(c) for c in ("a", "r", "sa", "sr", "n")]).collect()
     first, second = (r.asDict() for r in full)
     assert (first["added"], first["removed"], first["files_changed"], first["test_files"], first["source_files"]) == (4, 0, 2, 1, 1)
     assert (first["ignored_files"], first["avg_added"], first["patch_length"], first["patch_line_count"]) == (1, 2, 3, 2)
