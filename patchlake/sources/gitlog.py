@@ -89,6 +89,59 @@ def read_numstat(spark: SparkSession, path: str) -> DataFrame:
     return parse_numstat(rows)
 
 
+def _keyed_lines(spark: SparkSession, path: str, fields: int) -> DataFrame:
+    """Tab-separated lines that begin with repository and commit; ``parts`` has the rest, at least ``fields`` of them."""
+    parts = F.split("value", "\t")
+    rows = spark.read.text(path).select(parts.alias("all")).filter(F.size("all") >= fields + 2)
+    return rows.select(
+        F.col("all")[0].alias("repo_id"), F.col("all")[1].alias("commit_hash"), F.slice("all", 3, F.size("all") - 2).alias("parts")
+    )
+
+
+def read_keyed_numstat(spark: SparkSession, path: str) -> DataFrame:
+    """Line counts of many commits in few files: repository, commit, added, deleted, path."""
+    return parse_numstat(_keyed_lines(spark, path, 3).withColumn("value", F.array_join("parts", "\t")))
+
+
+def read_name_status(spark: SparkSession, path: str) -> DataFrame:
+    """Changed names of many commits: repository, commit, status, path and, for a rename, the new path.
+
+    The status begins with A, D, R or M; a rename may carry its likeness.
+    """
+    letter = F.substring(F.col("parts")[0], 1, 1)
+    name, to = F.col("parts")[1], F.get("parts", F.lit(2))
+    return _keyed_lines(spark, path, 2).select(
+        "repo_id",
+        "commit_hash",
+        F.when(letter != "A", name).alias("old_path"),
+        F.when(letter == "R", to).when(letter != "D", name).alias("new_path"),
+        (letter == "A").alias("added"),
+        (letter == "D").alias("deleted"),
+        (letter == "R").alias("renamed"),
+    )
+
+
+def read_patches(spark: SparkSession, path: str) -> DataFrame:
+    """File patches as records like those of the log: repository, commit, status, old path, new path, patch text.
+
+    An empty path is null; records with fewer fields are left out. A patch may
+    hold any text but the two separators.
+    """
+    fields = F.split("value", FIELD_END, 6)
+    raw = spark.read.option("lineSep", RECORD_END).text(path).select(fields.alias("f")).filter(F.size("f") == 6)
+    letter = F.substring(F.col("f")[2], 1, 1)
+    return raw.select(
+        F.trim(F.col("f")[0]).alias("repo_id"),
+        F.col("f")[1].alias("commit_hash"),
+        F.nullif(F.col("f")[3], F.lit("")).alias("old_path"),
+        F.nullif(F.col("f")[4], F.lit("")).alias("new_path"),
+        (letter == "A").alias("added"),
+        (letter == "D").alias("deleted"),
+        (letter == "R").alias("renamed"),
+        F.col("f")[5].alias("patch"),
+    )
+
+
 def commit_totals(commits: DataFrame, numstat: DataFrame, keys: list[str]) -> DataFrame:
     """Commits with files, insertions and deletions; zero for commits without files."""
     sums = numstat.groupBy(*keys).agg(

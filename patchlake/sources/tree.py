@@ -16,12 +16,19 @@ def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFram
     Without ``content`` no file is opened.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    # Listed paths begin with the qualified root, whatever else they hold.
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
-    tail = F.substring("path", len(base) + 2, 2147483647)
-    columns = [tail.alias("file_path"), F.col("length").alias("size_bytes"), *([F.col("content")] if content else [])]
-    return code_files(files.select(*columns))
+    return below(files.select("path", F.col("length").alias("size_bytes"), *([F.col("content")] if content else [])), base)
+
+
+def below(files: DataFrame, root: str) -> DataFrame:
+    """Source files of a listing (path and more) with their path below the qualified ``root``.
+
+    All paths begin with the root, whatever else they hold: it is cut off by
+    length, so a root that occurs again further down does no harm.
+    """
+    tail = F.substring("path", len(root.rstrip("/")) + 2, 2147483647)
+    return code_files(files.withColumn("file_path", tail).drop("path"))
 
 
 def source_text(files: DataFrame) -> DataFrame:
