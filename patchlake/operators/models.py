@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchlake import rules
 from patchlake.operators import features, tfidf
@@ -43,6 +44,33 @@ class Classifier:
             .drop("features", "rawPrediction", "probability")
         )
 
+    def save(self, path: str) -> None:
+        """Write everything that scoring needs below ``path``, for :meth:`load` in another job."""
+        spark = SparkSession.active()
+        self.model.write().overwrite().save(f"{path}/model")
+        facts: dict = {"numerics": self.numerics, "doc_id": self.doc_id}
+        if self.scaler is not None:
+            facts |= {"mean": self.scaler.mean, "scale": self.scaler.scale}
+        if self.one_hot is not None:
+            self.one_hot.write().overwrite().save(f"{path}/one_hot")
+            facts["one_hot"] = True
+        if self.text is not None:
+            self.text.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+            facts |= {"terms": self.text.size, "pattern": self.text.pattern}
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Classifier":
+        """The classifier that :meth:`save` wrote."""
+        facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+        scaler = features.Scaler(facts["mean"], facts["scale"]) if "mean" in facts else None
+        text = None
+        if "terms" in facts:
+            vocab = spark.read.parquet(f"{path}/vocabulary")
+            text = tfidf.TfIdf(vocab, facts["terms"], facts["pattern"])
+        one_hot = PipelineModel.load(f"{path}/one_hot") if facts.get("one_hot") else None
+        return cls(LogisticRegressionModel.load(f"{path}/model"), facts["numerics"], scaler, one_hot, text, facts["doc_id"])
+
 
 def decide(probability: Column, threshold: float | None) -> Column:
     limit = 0.5 if threshold is None else threshold
@@ -144,6 +172,26 @@ def coefficients(classifier: Classifier, df: DataFrame) -> DataFrame:
     return table.withColumn("direction", direction).orderBy(F.desc(F.abs("coefficient")), "feature")
 
 
+def gradient(classifier: Classifier, df: DataFrame, label: str = "label", c: float = 1.0) -> DataFrame:
+    """(feature, gradient) of the training loss at the fitted weights, for the numeric features and the intercept.
+
+    The loss is the weighted mean log loss plus the penalty that :func:`train`
+    sets; at its minimum every entry is zero.
+    """
+    weights, n_rows = features.balanced_weights(df, label)
+    scored = classifier.score(df, None)
+    scaled = classifier.scaler.columns()
+    error = features.weight_column(weights, label) * (F.col("probability_bug_fix") - F.col(label))
+    offset = classifier.text.size if classifier.text else 0
+    values = classifier.model.coefficients.toArray()
+    terms = {
+        name: F.sum(error * scaled[name]) / n_rows + F.lit(float(values[offset + i]) / (c * n_rows))
+        for i, name in enumerate(classifier.numerics)
+    } | {"intercept": F.sum(error) / n_rows}
+    row = scored.agg(*[v.alias(k) for k, v in terms.items()])
+    return row.select(F.explode(F.create_map(*[x for k in terms for x in (F.lit(k), F.col(k))])).alias("feature", "gradient"))
+
+
 def best_model(results: DataFrame) -> DataFrame:
     """The row with the highest validation F1; of equals the one with the lower loss."""
     return results.orderBy(F.desc("f1"), "loss", "model").limit(1)

@@ -744,3 +744,37 @@ with c as (
 )
 select model, round(coalesce(2 * tp::double / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, round(loss, 4) as loss from c order by coalesce(2 * tp::double / nullif(2 * tp + fp + fn, 0), 0) desc, loss, model limit 1
 """
+
+# --- features, fits and applied models -------------------------------------
+
+ORACLE["q_history_columns"] = ORACLE["q_history_features"].replace(
+    "select h.commit_hash, h.file_path,", "select * replace ({}) from (select h.commit_hash, h.file_path,", 1
+).format(", ".join(f"cast({n} as double) as {n}" for n in rules.HISTORY_FEATURES)) + ")"
+ORACLE["q_change_columns"] = with_bindings(["numstat"], r"""
+with v as (select *, insertions::double as a, case when deletions > 3 then deletions else 0 end::double as r from numstat)
+select commit_hash, file_path, a as added, r as removed, a + r as total_changes, a - r as change_balance,
+       coalesce(nullif(flag, 'A'), 'unknown') as change_type, regexp_extract(lower(file_path), '(\.[^./]+)$', 1) as extension from v
+""")
+ORACLE["q_one_hot"] = """
+with l as (select lang, row_number() over (order by lang) - 1 as i from (select distinct lang from documents where lang <> 'fr')),
+s as (select source, row_number() over (order by source) - 1 as i from (select distinct source from documents where lang <> 'fr'))
+select doc_id, coalesce(l.i, -1)::bigint as change_type, coalesce(s.i, -1)::bigint as extension
+from documents d left join l using (lang) left join s using (source)
+"""
+
+
+def _zeros(names: list[str]) -> str:
+    return f"select unnest([{', '.join(repr(n) for n in [*names, 'intercept'])}]) as feature, 0.0::double as gradient"
+
+
+ORACLE["q_lr_history_fit"] = _zeros(rules.HISTORY_FEATURES)
+ORACLE["q_lr_hybrid_fit"] = _zeros(["added", "removed", "total_changes", "change_balance"])
+ORACLE["q_lr_history_report"] = with_bindings(["file_changes"], f"""
+with h as (select * from file_changes where parent_count > 0),
+t as (select commit_hash, min(timestamp) as ts from h group by 1),
+k as (select commit_hash, row_number() over (order by ts, commit_hash) - 1 as r, count(*) over () as n from t)
+select case when r < floor(n * 0.85::double) then 'validation' else 'test' end as split, count(*) as rows,
+       count(*) filter ({LABEL_OF_CHANGE}) as positives, true as accuracy_agrees
+from h join k using (commit_hash) where r >= floor(n * 0.7::double) group by 1
+""")
+ORACLE["q_stream_trained"] = "select doc_id, true as agrees from documents"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchlake import rules
@@ -804,18 +805,109 @@ def _history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lr_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _history_records(spark, sf_dir)
     classifier = models.train_history_only(rows.filter("split = 'train'"))
-    return _scores(classifier, features.history_columns(rows.filter("split = 'test'"), missing_days=0.0))
+    return _scores(classifier, features.history_columns(rows.filter("split <> 'train'"), missing_days=0.0))
 
 
 @query
 def lr_historical_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = b.patches(spark, sf_dir).select(F.concat(F.lit("c"), "doc_id").alias("commit_hash"), "patch")
-    rows = stored(_history_records(spark, sf_dir).join(documents, "commit_hash"), "records")
+    rows = stored(_history_records(spark, sf_dir).join(documents, "commit_hash", "left"), "records")
     classifier = models.train_historical_hybrid(rows.filter("split = 'train'"))
     rest = features.history_columns(features.change_columns(rows.withColumn("model_text", features.model_text(None, F.col("patch")))))
     return _scores(classifier, rest)
 
 
+@query
+def history_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine history features as the models read them, of files with and without a past."""
+    changes = b.file_changes(spark, sf_dir).filter("parent_count > 0")
+    enriched = history.enrich(
+        changes.select("commit_hash", "file_path", "timestamp"), history.history_rows(changes), same_rows=True
+    )
+    rows = features.history_columns(enriched)
+    return rows.select("commit_hash", "file_path", *[F.round(n, 6).alias(n) for n in rules.HISTORY_FEATURES])
+
+
+@query
+def change_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change numerics and categories of file-level records."""
+    rows = b.numstat(spark, sf_dir).withColumns(
+        {"change_type": F.nullif("flag", F.lit("A")), "removed": F.when(F.col("deletions") > 3, F.col("deletions"))}
+    )
+    full = features.change_columns(rows, "insertions", "removed")
+    return full.select("commit_hash", "file_path", "added", "removed", "total_changes", "change_balance", "change_type", "extension")
+
+
+@query
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the one-hot categories; fitted without one language, which becomes all zeros."""
+    rows = b.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("change_type"), F.col("source").alias("extension"))
+    encoded = features.fit_one_hot(rows.filter("change_type <> 'fr'"), features.CATEGORIES).transform(rows)
+    place = lambda c: (F.array_position(vector_to_array(f"{c}_onehot"), 1.0) - 1).cast("bigint").alias(c)
+    return encoded.select("doc_id", *[place(c) for c in features.CATEGORIES])
+
+
+def _zero_gradient(classifier: models.Classifier, rows: DataFrame) -> DataFrame:
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return models.gradient(classifier, rows).select("feature", (F.round("gradient", 2) + F.lit(0.0)).alias("gradient"))
+
+
+@query
+def lr_history_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit of the history model: its gradient over the training rows is zero."""
+    rows = _history_records(spark, sf_dir).filter("split = 'train'")
+    return _zero_gradient(models.train_history_only(rows), features.history_columns(rows, missing_days=0.0))
+
+
+@query
+def lr_hybrid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit of the hybrid model, text and categories included; gradient of the numerics."""
+    rows = _document_records(spark, sf_dir).filter("split = 'train'")
+    ready = features.change_columns(rows).withColumn("model_text", features.model_text(None, F.col("patch")))
+    return _zero_gradient(models.train_hybrid(rows), ready)
+
+
+@query
+def lr_history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history model evaluated on validation and test: rows and labels per split, and whether its metrics are sound."""
+    rows = _history_records(spark, sf_dir)
+    classifier = models.train_history_only(rows.filter("split = 'train'"))
+    scored = stored(classifier.score(features.history_columns(rows.filter("split <> 'train'"), missing_days=0.0)), "scored")
+    reports = [
+        metrics.metrics(metrics.confusion(scored.filter(F.col("split") == split))).withColumn("split", F.lit(split)) for split in splits.SPLITS[1:]
+    ]
+    found = reports[0].unionByName(reports[1])
+    facts = scored.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == F.col("prediction")).alias("right"))
+    agrees = F.abs(F.col("accuracy") - F.col("right") / F.col("rows")) < 1e-9
+    return facts.join(found, "split").select("split", "rows", "positives", agrees.alias("accuracy_agrees"))
+
+
+@query
+def stream_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests scored in a stream by a classifier that was trained, saved and loaded; same scores as the batch."""
+    texts = b.patches(spark, sf_dir).withColumn("l", patch.line_changes(F.col("patch")))
+    facts = [F.col("doc_id").cast("string").alias("record_id"), F.col("patch"), F.col("l.added_line_count"), F.col("l.removed_line_count")]
+    requests = stored(texts.select("doc_id", *facts), "requests")
+    none = F.lit(None).cast("bigint")
+    rows = numeric.with_patch_numerics(
+        requests, F.col("patch"), None, F.col("added_line_count"), F.col("removed_line_count"), none, none, none
+    )
+    trained = models.train(rows.join(_labelled(spark, sf_dir), "doc_id"), 200, numeric.PATCH_NUMERICS[:4] + numeric.PATCH_NUMERICS[-2:])
+    work = scratch_path(spark, "stream")
+    trained.save(f"{work}/model")
+    loaded = models.Classifier.load(spark, f"{work}/model")
+    requests.select(F.to_json(F.struct(*requests.columns[1:])).alias("value")).write.text(f"{work}/in")
+    running = scoring.start_scoring(
+        scoring.read_requests(spark, f"{work}/in"),
+        lambda batch: loaded.score(scoring.numeric_columns(batch)).select("record_id", F.col("probability_bug_fix").alias("streamed")),
+        f"{work}/out", f"{work}/bad", f"{work}/state", availableNow=True,
+    )
+    running.awaitTermination()
+    both = trained.score(rows).join(spark.read.parquet(f"{work}/out"), "record_id", "left")
+    agrees = F.coalesce(F.abs(F.col("streamed") - F.col("probability_bug_fix")) < 1e-9, F.lit(False))
+    return both.select("doc_id", agrees.alias("agrees"))
+
+
 @query
 def coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _history_records(spark, sf_dir)
