@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from patchlake import rules
 from patchlake.functions import paths, text
 from patchlake.functions.patch import commit_key, size_verdict
-from patchlake.session import cut_lineage
+from patchlake.session import cut_lineage, stored
 
 COMMIT_URL = "https://github.com/"
 
@@ -66,16 +66,24 @@ def file_lists(changes: DataFrame, accepted: DataFrame, keys: list[str]) -> Data
     )
 
 
+# Parts that a repository is ranked in before the parts meet.
+_CAP_PARTS = 64
+
+
 def _judged(commits: DataFrame, before: Column, changes: DataFrame, patch_sizes: DataFrame | None, limits: dict | None) -> DataFrame:
-    """Commits with a disposition: ``before`` where it is set, else the verdict on the diff."""
+    """Commits with a disposition: ``before`` where it is set, else the verdict on the diff.
+
+    The marks are made once; only commits without one are joined to anything.
+    """
     keys = ["repo_id", "commit_hash"]
-    marked = commits.withColumn("before", before)
+    marked = stored(commits.withColumn("before", before), "marked")
     stats = diff_stats(changes, keys)
-    sizes = marked.join(stats, keys, "left")
+    sizes = marked.filter("before is null").join(stats, keys, "left")
     if patch_sizes is None:
         sizes = sizes.withColumn("patch_chars", F.lit(0))
     else:
         sizes = sizes.join(patch_sizes, keys, "left")
+    sizes = sizes.unionByName(marked.filter("before is not null"), allowMissingColumns=True)
     verdict = size_verdict(
         F.col("files_changed"), F.col("added_lines"), F.col("deleted_lines"), F.coalesce("patch_chars", F.lit(0)), limits
     )
@@ -83,7 +91,9 @@ def _judged(commits: DataFrame, before: Column, changes: DataFrame, patch_sizes:
 
 
 def patch_sizes(patches: DataFrame) -> DataFrame:
-    return patches.select("repo_id", "commit_hash", F.length("patch").alias("patch_chars"))
+    """Lengths per commit; a source that has them beside the text gives ``patch_chars`` and never moves the text."""
+    chars = F.col("patch_chars") if "patch_chars" in patches.columns else F.length("patch").alias("patch_chars")
+    return patches.select("repo_id", "commit_hash", chars)
 
 
 def judge_positives(
@@ -192,10 +202,14 @@ def cap_per_repository(
 ) -> DataFrame:
     """The first rows of each repository, then the first rows over all repositories.
 
-    The rank filter reaches the window, so each map task passes on at most
-    ``per_repo`` rows of a repository. Pass narrow rows and join back.
+    Rows are ranked in parts of a repository first; of each part at most
+    ``per_repo`` rows go on to the rank within the repository. So no task sorts a
+    whole repository, whatever the limit. Pass narrow rows and join back.
     """
+    part = F.pmod(F.xxhash64(*order), F.lit(_CAP_PARTS))
+    inside = F.row_number().over(Window.partitionBy("repo_id", "__part").orderBy(*order))
     rank = F.row_number().over(Window.partitionBy("repo_id").orderBy(*order))
+    rows = rows.withColumn("__part", part).withColumn("__inside", inside).filter(F.col("__inside") <= per_repo).drop("__part", "__inside")
     return rows.withColumn("repo_rank", rank).filter(F.col("repo_rank") <= per_repo).orderBy(repo_position, "repo_rank").limit(total)
 
 

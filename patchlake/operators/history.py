@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchlake import rules
 from patchlake.functions.text import is_fix_like
+from patchlake.session import stored
 
 DAY_US = 86_400_000_000
 _MEASURES = ["commits", "fixes", "plus", "minus", "authors"]
@@ -51,7 +52,11 @@ def asof_features(history: DataFrame, probes: DataFrame | None, bucket_days: int
        aggregate leaves a single row per path and instant.
     2. Time is cut into buckets. A window runs over one (path, bucket) only,
        and a second one over the bucket totals of a path.
+
+    The narrow rows and the instants are each stored once: three and two later
+    steps read them.
     """
+    history = stored(history, "history")
     first_seen = (
         history.filter(F.col("author").isNotNull())
         .groupBy("path", "author")
@@ -64,10 +69,11 @@ def asof_features(history: DataFrame, probes: DataFrame | None, bucket_days: int
     if probes is not None:
         asked = probes.select("path", "us", *[F.lit(0).cast("bigint").alias(m) for m in _MEASURES], F.lit(True).alias("asked"))
         rows = rows.unionByName(asked)
-    instants = (
+    instants = stored(
         rows.groupBy("path", "us")
         .agg(*[F.sum(m).alias(m) for m in _MEASURES], F.bool_or("asked").alias("asked"))
-        .withColumn("bucket", F.floor(F.col("us") / F.lit(bucket_days * DAY_US)))
+        .withColumn("bucket", F.floor(F.col("us") / F.lit(bucket_days * DAY_US))),
+        "instants",
     )
     changed_at = F.when(F.col("commits") > 0, F.col("us"))
     strictly_before = (Window.unboundedPreceding, -1)

@@ -210,7 +210,7 @@ def commit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commit_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The patch of a commit is that of the document with its author's customer number; some have none."""
-    text = patches(spark, sf_dir).select(F.col("doc_id").alias("o_custkey"), "patch")
+    text = patches(spark, sf_dir).select(F.col("doc_id").alias("o_custkey"), "patch", F.length("patch").alias("patch_chars"))
     keys = table(spark, sf_dir, "orders").selectExpr("o_custkey", *[f"{COMMITS[c]} as {c}" for c in ("repo_id", "commit_hash")])
     return keys.join(text, "o_custkey").drop("o_custkey")
 

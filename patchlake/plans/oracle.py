@@ -205,10 +205,10 @@ def _size_reason(chars: str, files: int = 5, added: int = 100, deleted: int = 20
        when d > {deleted} then 'too_many_deleted_lines' when {chars} > {limit} then 'patch_too_large' when a + d = 0 then 'no_line_changes' end"""
 
 
-ORACLE["q_diff_quality"] = with_bindings(["commits", "numstat"], f"""
+ORACLE["q_diff_quality"] = with_bindings(["commits", "numstat", "commit_patches"], f"""
 with {_STATS}
 select repo_id, commit_hash, f as files_changed, a as added_lines, d as deleted_lines, reason, reason is null as accepted
-from (select *, {_size_reason('0')} as reason from commits left join stats using (commit_hash))
+from (select *, {_size_reason('coalesce(length(patch), 0)')} as reason from commits left join stats using (commit_hash) left join commit_patches using (repo_id, commit_hash))
 """)
 
 
@@ -391,7 +391,7 @@ select count(*) filter (t and v) as train_validation_overlap, count(*) filter (t
 """)
 ORACLE["q_label_stats"] = with_bindings(["file_changes"], f"""
 with {_CHANGE_SPLIT.format('file_changes')}
-select split, count(*) filter ({LABEL_OF_CHANGE}) as positives, count(*) filter (not {LABEL_OF_CHANGE}) as negatives, count(author_name) as with_history from s group by 1
+select split, count(*) filter ({LABEL_OF_CHANGE}) as positives, count(*) filter (not {LABEL_OF_CHANGE}) as negatives, count(*) filter (parent_count > 0) as with_history from s group by 1
 """)
 
 ORACLE["q_numeric_features"] = with_bindings(_CANDIDATE_TABLES, f"""

@@ -187,8 +187,9 @@ SMALL_DIFFS = {"max_files": 5, "max_added": 100, "max_deleted": 20, "max_patch_c
 def diff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["repo_id", "commit_hash"]
     stats = candidates.diff_stats(b.commit_changes(spark, sf_dir), keys)
-    commits = b.commits(spark, sf_dir).select(*keys)
-    verdict = patch.size_verdict(F.col("files_changed"), F.col("added_lines"), F.col("deleted_lines"), F.lit(0), SMALL_DIFFS)
+    commits = b.commits(spark, sf_dir).select(*keys).join(candidates.patch_sizes(b.commit_patches(spark, sf_dir)), keys, "left")
+    chars = F.coalesce("patch_chars", F.lit(0))
+    verdict = patch.size_verdict(F.col("files_changed"), F.col("added_lines"), F.col("deleted_lines"), chars, SMALL_DIFFS)
     return commits.join(stats, keys, "left").select(
         *keys, "files_changed", "added_lines", "deleted_lines", verdict.alias("reason"), verdict.isNull().alias("accepted")
     )
@@ -399,8 +400,13 @@ def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = splits.label_by_message(b.file_changes(spark, sf_dir)).select("commit_hash", "file_path", "label", "author_name")
-    return splits.label_stats(splits.random_split(labelled, ["commit_hash", "file_path"]), history="author_name")
+    changes = b.file_changes(spark, sf_dir)
+    rooted = changes.filter("parent_count > 0")
+    past = history.enrich(rooted.select("commit_hash", "file_path", "timestamp"), history.history_rows(rooted), same_rows=True)
+    labelled = splits.label_by_message(changes).select("commit_hash", "file_path", "label").join(
+        past.select("commit_hash", "file_path", "historical_features"), ["commit_hash", "file_path"], "left"
+    )
+    return splits.label_stats(splits.random_split(labelled, ["commit_hash", "file_path"]), history="historical_features")
 
 
 # --- features -------------------------------------------------------------
