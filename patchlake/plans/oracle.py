@@ -300,6 +300,27 @@ judged as (
   from v
 )"""
 ORACLE["q_quality_verdict"] = with_bindings(_CANDIDATE_TABLES, f"with {_QUALITY} select * from judged")
+_CHAIN_NEG = _NEG[len(_POS) + 1 :]
+ORACLE["q_dataset_chain"] = with_bindings(_CANDIDATE_TABLES, f"""
+with {_QUALITY}, {_CHAIN_NEG},
+good as (select j.record_id, p.repo_id, sha256({NORMAL.format("coalesce(patch, '')")}) as b from judged j join pos p on j.record_id = p.repo_id || ':' || p.commit_hash where j.accepted),
+single as (select * from good qualify row_number() over (partition by b order by record_id) = 1),
+positives as (
+  select record_id from (select *, row_number() over (partition by repo_id order by md5('42:' || record_id), record_id) as r, count(*) over (partition by repo_id) as n from single)
+  where n >= 2 and r <= 20),
+negatives as (select repo_id || ':' || commit_hash as record_id from neg where disposition = 'accepted'),
+dataset as (select record_id, 1 as label from positives union all select record_id, 0 from negatives),
+placed as (
+  select *, case when r <= floor(n * 0.8::double) then 'train' when r <= floor(n * 0.8::double) + floor(n * 0.1::double) then 'validation' else 'test' end as split
+  from (select *, row_number() over (partition by label order by md5('42:' || record_id), record_id) as r, count(*) over (partition by label) as n from dataset))
+select split || ':' || label as step, count(*) as rows from placed group by 1
+union all select 'candidates', count(*) from pos where disposition = 'accepted'
+union all select 'accepted', count(*) from good
+union all select 'deduplicated', count(*) from single
+union all select 'balanced', count(*) from positives
+union all select 'negatives', count(*) from negatives
+union all select 'dataset', count(*) from dataset
+""")
 ORACLE["q_reject_top15"] = with_bindings(_CANDIDATE_TABLES, f"""
 with {_QUALITY}
 select reason, count(*) as records from (select unnest(string_split(reasons, ',')) as reason from judged where not accepted)

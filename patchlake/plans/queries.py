@@ -270,6 +270,33 @@ def quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged_records(spark, sf_dir).select("record_id", "accepted", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
+CHAIN_GROUPS = {"min_rows": 2, "max_rows": 20}
+
+
+@query
+def dataset_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From commits to a split dataset: candidates, quality, two-key dedup, balance, both classes, split; rows after each step."""
+    candidates_ = stored(_positive_records(spark, sf_dir, None), "candidates")
+    good = stored(quality.accepted_records(quality.judge(candidates_, SMALL_RECORDS)), "good")
+    first = dedup.first_per_two_keys(quality.dedup_keys(good)).withColumnRenamed("order_key", "record_id")
+    single = stored(good.join(first, "record_id", "left_semi"), "single")
+    # Groups are ranked on narrow rows; whole records are joined to what is left.
+    chosen = splits.balance_groups(single.select("repo_id", "record_id"), "repo_id", ["record_id"], **CHAIN_GROUPS)
+    positives = stored(single.join(chosen.select("record_id"), "record_id", "left_semi"), "positives")
+    commits = b.commits(spark, sf_dir).withColumn("parent", F.concat(F.lit("p"), "commit_hash"))
+    changes, texts = b.commit_changes(spark, sf_dir), b.commit_patches(spark, sf_dir)
+    judged = candidates.judge_negatives(commits, changes, candidates_.select("record_id"), texts, SMALL_DIFFS)
+    negatives = stored(candidates.records(judged, changes, texts, b.repository_info(spark, sf_dir), negative=True), "negatives")
+    labelled = [splits.with_record_ids(rows, name, label, ["record_id"]) for rows, name, label in ((positives, "positive", 1), (negatives, "negative", 0))]
+    dataset = stored(splits.assemble(*labelled, ["record_id"]).select("record_id", "label"), "dataset")
+    placed = splits.require_integrity(stored(splits.stratified_split(dataset, ["record_id"]), "placed"))
+    counts = placed.groupBy(F.concat_ws(":", "split", F.col("label").cast("string")).alias("step")).agg(F.count(F.lit(1)).alias("rows"))
+    steps = {"candidates": candidates_, "accepted": good, "deduplicated": single, "balanced": positives, "negatives": negatives, "dataset": dataset}
+    for name, rows in steps.items():
+        counts = counts.unionByName(rows.agg(F.lit(name).alias("step"), F.count(F.lit(1)).alias("rows")))
+    return counts
+
+
 @query
 def reject_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.top_rejections(_judged_records(spark, sf_dir))
