@@ -180,7 +180,7 @@ def gradient(classifier: Classifier, df: DataFrame, label: str = "label", c: flo
     """
     weights, n_rows = features.balanced_weights(df, label)
     scored = classifier.score(df, None)
-    scaled = classifier.scaler.columns()
+    scaled = classifier.scaler.columns() if classifier.scaler else {}
     error = features.weight_column(weights, label) * (F.col("probability_bug_fix") - F.col(label))
     offset = classifier.text.size if classifier.text else 0
     values = classifier.model.coefficients.toArray()

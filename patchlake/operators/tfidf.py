@@ -11,6 +11,8 @@ from patchlake import rules
 
 WORD = r"(?U)\b\w+\b"
 LONG_WORD = r"(?U)\b\w\w+\b"
+# About 60 MB as a broadcast table; larger vocabularies need a join of their own.
+TERM_BOUND = 1_000_000
 
 
 def terms(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> DataFrame:
@@ -43,8 +45,11 @@ def vocabulary(
 ) -> DataFrame:
     """The most frequent terms within the document limits, with their idf.
 
-    Ties at the cut go by term. The result has at most ``max_terms`` rows.
+    Ties at the cut go by term. The result has at most ``max_terms`` rows; it is
+    broadcast and collected later, so that number is checked here.
     """
+    if not 0 < max_terms <= TERM_BOUND:
+        raise ValueError(f"max_terms must be between 1 and {TERM_BOUND}")
     n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
     per_term = counts.groupBy("term").agg(F.sum("tf").alias("corpus_count"), F.count(F.lit(1)).alias("df"))
     kept = per_term.filter((F.col("df") >= min_docs) & (F.col("df") <= n * F.lit(max_share)))

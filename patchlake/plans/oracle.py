@@ -790,6 +790,8 @@ def _zeros(names: list[str]) -> str:
 
 ORACLE["q_lr_history_fit"] = _zeros(rules.HISTORY_FEATURES)
 ORACLE["q_lr_hybrid_fit"] = _zeros(["added", "removed", "total_changes", "change_balance"])
+ORACLE["q_lr_text_fit"] = ORACLE["q_lr_patch_fit"] = _zeros([])
+ORACLE["q_lr_historical_hybrid_fit"] = _zeros(["added", "removed", "total_changes", "change_balance", *rules.HISTORY_FEATURES])
 ORACLE["q_lr_history_report"] = with_bindings(["file_changes"], f"""
 with h as (select * from file_changes where parent_count > 0),
 t as (select commit_hash, min(timestamp) as ts from h group by 1),

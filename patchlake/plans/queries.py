@@ -900,6 +900,30 @@ def lr_hybrid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zero_gradient(models.train_hybrid(rows), ready)
 
 
+@query
+def lr_text_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit of the message and patch model: gradient of its intercept."""
+    rows = _document_records(spark, sf_dir).filter("split = 'train'")
+    text_ = features.model_text(F.col("message"), F.col("patch"))
+    return _zero_gradient(models.train_message_and_patch(rows), rows.withColumn("model_text", text_))
+
+
+@query
+def lr_patch_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit of the patch model: gradient of its intercept."""
+    rows = _document_records(spark, sf_dir).filter("split = 'train'")
+    return _zero_gradient(models.train_patch_only(rows), rows.withColumn("model_text", features.model_text(None, F.col("patch"))))
+
+
+@query
+def lr_historical_hybrid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit of the model with text, categories, change and history numerics."""
+    documents = b.patches(spark, sf_dir).select(F.concat(F.lit("c"), "doc_id").alias("commit_hash"), "patch")
+    rows = stored(_history_records(spark, sf_dir).join(documents, "commit_hash", "left").filter("split = 'train'"), "records")
+    ready = features.history_columns(features.change_columns(rows)).withColumn("model_text", features.model_text(None, F.col("patch")))
+    return _zero_gradient(models.train_historical_hybrid(rows), ready)
+
+
 @query
 def lr_history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history model evaluated on validation and test: rows and labels per split, and whether its metrics are sound."""
