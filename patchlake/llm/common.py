@@ -26,7 +26,16 @@ def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_path = path
+    return kept
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of :func:`keep` when everything that reads them is stored itself."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.kept_path)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator, rows: int = 256) -> Iterator:

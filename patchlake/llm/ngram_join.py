@@ -3,14 +3,16 @@
 Every document becomes the set of its word n-grams in one global order, rare
 ones first. Two sets that are similar enough share an n-gram among the first
 few of both, so only these prefixes are indexed and joined. Sizes and the
-positions of the shared n-gram bound the overlap before a pair is made; the
-suffix filter bounds it again before a pair is counted; each pair is verified
-once.
+positions of the shared n-gram bound the overlap before a pair is made; bitmaps
+and the suffix filter bound it again before a pair is counted; each pair is
+verified once.
 
 Equal sets are one class from the start. Pairs are made in two steps, so that a
 large group of near copies does not become all its pairs: first each document
-with the smallest one of each shared n-gram, which finds most groups, then all
-pairs that cross the groups found so far. A pair inside a group cannot change
+with the head of each shared n-gram, the document with the fewest rarer n-grams
+before it. In a group of variants this is the one nearest to their common
+origin, so most of the group meets there. Then all pairs that cross the groups
+found so far. A pair inside a group cannot change
 the result, any other is verified.
 """
 
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patchlake.llm.common import components, keep, mix, prefix_sums, slices, span_hashes
+from patchlake.llm.common import components, discard, keep, mix, prefix_sums, slices, span_hashes
 
 # Document frequencies are counted in so many buckets of hashed n-grams: the order needs to tell common from rare.
 BUCKETS = 1 << 18
@@ -111,6 +113,40 @@ def _prefixes(words: int, percent: int, shared):
     return prefixes
 
 
+def bitmap(members: np.ndarray) -> bytes:
+    """A bit for every hashed member; its length is a power of two with 8 to 16 bits a member."""
+    size = 1 << max(6, int(len(members) * 8 - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(members % np.uint64(size)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set at a smaller power of two."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def _bounded(percent: int):
+    """Pairs whose bitmaps allow the overlap: every bit that differs stands for a member of one set only."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            good = []
+            for i, (na, nb, a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
+                x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+                size = min(len(x), len(y))
+                differ = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+                if differ <= na + nb - 2 * -(-percent * (na + nb) // (100 + percent)):
+                    good.append(i)
+            if good:
+                chosen = batch.take(pa.array(good))
+                yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=["a", "b"])
+
+    return bounded
+
+
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -121,9 +157,11 @@ def _sets(words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(same)),
+                        pa.array([len(found[i]) for i in same], pa.int32()),
                         pa.array([found[i].tobytes() for i in same], pa.binary()),
+                        pa.array([bitmap(found[i]) for i in same], pa.binary()),
                     ],
-                    names=["cid", "members"],
+                    names=["cid", "n", "members", "bits"],
                 )
 
     return sets
@@ -189,18 +227,11 @@ def _possible(percent: int, na: Column, nb: Column, ia: Column, ib: Column) -> C
     )
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; both sets are joined to the narrow pairs."""
-    first = keep(pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("left")), "a"), "half_pairs")
-    both = first.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("right")), "b").select("a", "b", "left", "right")
-    return keep(both.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
-
-
 def _sets_of(classes: DataFrame, chosen: DataFrame, source: DataFrame, words: int) -> DataFrame:
-    """(cid, members): the sets of the chosen classes, made anew from one text of each.
+    """(cid, n, members, bits): the sets of the chosen classes, made anew from one text of each.
 
     Storing the sets of all documents would take more room than their texts; few
-    are in a candidate pair.
+    are in a pair that passes the filters.
     """
     wanted = keep(
         classes.join(chosen, "cid", "left_semi").select("cid", F.col("first_id").alias("wanted_id"), "digest"), "candidates"
@@ -209,10 +240,30 @@ def _sets_of(classes: DataFrame, chosen: DataFrame, source: DataFrame, words: in
     return (
         source.join(side, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
         .select("cid", "digest", "text")
-        .mapInArrow(_sets(words), "cid bigint, members binary")
+        .mapInArrow(_sets(words), "cid bigint, n int, members binary, bits binary")
     )
 
 
+def _linked(pairs: DataFrame, classes: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar.
+
+    Bitmaps of the sets are joined to the pairs first; only pairs that these
+    allow get the sets themselves, which are eight times as large.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = keep(_sets_of(classes, ends, source, words), "sets")
+    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("left"))
+    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("right"))
+    half = keep(pairs.join(left, "a"), "half_pairs")
+    both = half.join(right, "b").select("a", "b", "na", "nb", "left", "right")
+    pairs = keep(both.mapInArrow(_bounded(percent), "a bigint, b bigint"), "possible")
+    first = keep(pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("left")), "a"), "half_pairs")
+    both = first.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("right")), "b").select("a", "b", "left", "right")
+    links = keep(both.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
+    discard(sets, half, first)
+    return links
+
+
 def ngram_join(
     docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -248,6 +299,8 @@ def ngram_join(
         "classes",
         "zstd",
     )
+    rows = keep(kept.select("doc_id", "n_shingles", "digest"), "rows")
+    discard(kept)
     # Size and position in one number: an index entry has three.
     index = classes.select("cid", F.shiftleft("n", _AT_BITS).alias("n"), F.posexplode("prefix").alias("at", "gram")).select(
         "gram", "cid", (F.col("n") + F.col("at")).alias("place")
@@ -256,7 +309,10 @@ def ngram_join(
     # Entries of n-grams that two classes share.
     n, at = F.shiftright("place", _AT_BITS).alias("n"), F.col("place").bitwiseAND((1 << _AT_BITS) - 1).alias("at")
     entries = keep(index.join(grams, "gram").select("gram", "cid", n, at), "entries")
-    heads = keep(entries.groupBy("gram").agg(F.min(F.struct("cid", "n", "at")).alias("head")), "heads")
+    prefixed, classes = classes, keep(classes.select("cid", "digest", "first_id"), "classes")
+    discard(prefixed, grams)
+    # The head of a list is where the n-gram comes earliest.
+    heads = keep(entries.groupBy("gram").agg(F.min(F.struct("at", "cid", "n")).alias("head")), "heads")
     starred = keep(
         entries.join(heads, "gram")
         .where("cid <> head.cid")
@@ -265,8 +321,7 @@ def ngram_join(
         .distinct(),
         "pairs",
     )
-    sets = keep(_sets_of(classes, entries.select("cid").distinct(), source, words), "sets", "zstd")
-    links = _linked(starred, sets, percent)
+    links = _linked(starred, classes, source, words, percent)
     found = components(links)
     labelled = keep(
         entries.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select(
@@ -282,18 +337,17 @@ def ngram_join(
     left = open_.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "at", "component")))
     right = open_.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "at", "component")))
     crossing = (
-        left.join(
-            right,
-            (left["gram"] == right["gram"])
-            & (F.col("cid_a") < F.col("cid_b"))
+        left.join(right, "gram")
+        .where(
+            (F.col("cid_a") < F.col("cid_b"))
             & (F.col("component_a") != F.col("component_b"))
-            & _possible(percent, F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b")),
+            & _possible(percent, F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b"))
         )
         .select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
         .distinct()
         .join(starred, ["a", "b"], "left_anti")
     )
-    links = links.unionByName(_linked(keep(crossing, "pairs"), sets, percent))
+    links = links.unionByName(_linked(keep(crossing, "pairs"), classes, source, words, percent))
     groups = components(links)
     member = keep(
         classes.select("cid", "digest", "first_id")
@@ -303,8 +357,6 @@ def ngram_join(
     )
     ids = keep(member.groupBy("component").agg(F.min("first_id").alias("component_id")), "components")
     named = keep(member.join(ids, "component").select("digest", "component_id"), "classes")
-    return (
-        kept.select("doc_id", "n_shingles", "digest")
-        .join(named, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(named, "digest", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
