@@ -134,6 +134,17 @@ def test_suffix_filter_is_a_bound():
         assert ngram_join.similar(a, b, 60) == (100 * inter >= 60 * union)
 
 
+def test_bitmaps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
+        x, y = (np.frombuffer(ngram_join.bitmap(v), dtype=np.uint8) for v in (a, b))
+        size = min(len(x), len(y))
+        differ = int(np.bitwise_count(ngram_join._folded(x, size) ^ ngram_join._folded(y, size)).sum())
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def without_repeats(texts: list[bytes], m: int):
     seen = Counter(t[i : i + m] for t in texts for i in range(len(t) - m + 1))
     out = []
