@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from patchlake.llm.common import WHITE, keep, slices
+from patchlake.llm.common import WHITE, discard, keep, slices
 
 BLOCK_BYTES = 4096
 # A task names its own repeats with a table of at most this many bytes of blocks, then starts a new one.
@@ -100,7 +100,9 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     blocks = keep(source.mapInArrow(_cut(block_bytes), _BLOCKS_DDL), "blocks")
     by_block = Window.partitionBy("block")
     names = blocks.where("block is not null").select("rep", F.min("occ").over(by_block).alias("name"))
+    heads = keep(blocks.where("pos = 0").select("row", "doc_id", "text_sha256"), "heads")
     level = keep(blocks.select("row", "pos", "n_blocks", "rep", "occ").join(names, "rep").drop("rep"), "names")
+    discard(blocks)
     left = level.agg(F.max("n_blocks")).first()[0] or 1
     finished = [level.where("n_blocks = 1")]
     level, width = level.where("n_blocks > 1"), 1
@@ -123,7 +125,6 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     ids = finished[0]
     for more in finished[1:]:
         ids = ids.unionByName(more)
-    heads = blocks.where("pos = 0").select("row", "doc_id", "text_sha256")
     return heads.join(ids.select("row", "n_blocks", "name"), "row")
 
 
