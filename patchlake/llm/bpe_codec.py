@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from patchlake.llm.common import slices
 
 # Words and pairs that a worker holds (twice as many words with those met before); about 150 MB.
-WORD_TABLE = 100_000
+WORD_TABLE = 150_000
 WORD_TABLE_CHARS = 8 << 20
 PAIR_TABLE = 200_000
 _END = "Ā"
