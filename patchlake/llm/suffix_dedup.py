@@ -5,7 +5,8 @@ window of ``min_bytes`` bytes, the one with the smallest hash is its anchor; equ
 windows have equal anchors, so only windows with the same anchor gram can be
 equal. Each anchor owns the run of window starts that chose it, and the bytes
 these windows cover are its segment. Anchors met once in the corpus need no
-further look. Of the others, equal segments become one with a count.
+further look. Of the others, equal segments become one with a count, and where
+all segments of an anchor are equal all of their windows are repeats.
 
 The segments of whole buckets are then joined to one string. Its suffixes are
 sorted, the Burrows-Wheeler transform is taken, and intervals of suffixes are
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from patchlake.llm.common import keep, prefix_sums, slices, span_hashes
+from patchlake.llm.common import discard, keep, prefix_sums, slices, span_hashes
 
 GRAM = 100
 BUCKET_BYTES = 128 << 10
@@ -309,22 +310,43 @@ def remove_repeats(
         listed.join(repeated, "key").groupBy("rid").agg(F.collect_list(F.struct("key", "place", "first", "last")).alias("chosen"))
     )
     texts = keep(base.select("rid", "text").join(keep(chosen, "chosen"), "rid"), "texts", "zstd")
-    segments = texts.select("rid", "text", F.explode("chosen").alias("x")).select(
-        "rid",
-        "x.key",
-        "x.first",
-        F.substring("text", F.col("x.first") + 1, F.col("x.last") - F.col("x.first") + min_bytes).alias("segment"),
-        (F.col("x.first") - F.col("x.place")).alias("own0"),
-        (F.col("x.last") - F.col("x.place")).alias("own1"),
+    rows = keep(base.select("rid", "doc_id", "n_bytes", "text_sha256"), "rows")
+    discard(base)
+    segment = F.substring("text", F.col("x.first") + 1, F.col("x.last") - F.col("x.first") + min_bytes)
+    places = keep(
+        texts.select("rid", "text", F.explode("chosen").alias("x")).select(
+            "rid",
+            "x.key",
+            F.unhex(F.md5(segment)).alias("digest"),
+            "x.first",
+            "x.last",
+            (F.col("x.first") - F.col("x.place")).alias("own0"),
+        ),
+        "places",
     )
-    segments = segments.withColumn("digest", F.unhex(F.md5("segment")))
-    places = keep(segments.select("rid", "key", "digest", "first"), "places")
-    counted = segments.select(
-        "key", "digest", F.lit(1).cast("bigint").alias("copies"), "segment", "own0", "own1",
-        F.lit(gram - min_bytes).alias("u0"), F.lit(0).alias("u1"),
+    # One place stands for all copies of a segment; only buckets with different segments need their bytes.
+    kinds = keep(
+        places.groupBy("key", "digest").agg(
+            F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "first", "last", "own0")).alias("x")
+        ),
+        "kinds",
+    )
+    mixed = keep(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "mixed")
+    whole = kinds.join(mixed, "key", "left_anti").where("copies > 1")
+    found: DataFrame = whole.select(
+        "key", "digest", F.array(F.lit(0)).alias("first"), F.array(F.col("x.last") - F.col("x.first")).alias("last")
+    )
+    wanted = kinds.join(mixed, "key").select("x.rid", F.struct("key", "digest", "copies", "x.first", "x.last", "x.own0").alias("x"))
+    wanted = keep(wanted.groupBy("rid").agg(F.collect_list("x").alias("wanted")), "wanted")
+    live = keep(
+        texts.select("rid", "text").join(wanted, "rid").select("text", F.explode("wanted").alias("x")).select(
+            "x.key", "x.digest", "x.copies", segment.alias("segment"), "x.own0",
+            (F.col("x.own0") + F.col("x.last") - F.col("x.first")).alias("own1"),
+            F.lit(gram - min_bytes).alias("u0"), F.lit(0).alias("u1"),
+        ),
+        "segments",
+        "zstd",
     )
-    live = keep(_distinct(counted), "segments", "zstd")
-    found: DataFrame | None = None
     pieces: DataFrame | None = None
     while True:
         buckets = keep(
@@ -351,7 +373,7 @@ def remove_repeats(
                 F.transform("first", lambda x: x + F.col("shift")).alias("first"),
                 F.transform("last", lambda x: x + F.col("shift")).alias("last"),
             )
-        found = results if found is None else found.unionByName(results)
+        found = found.unionByName(results)
         more = buckets.where(large).select("key")
         if more.isEmpty():
             break
@@ -369,7 +391,7 @@ def remove_repeats(
             )
         live = keep(_distinct(halves), "segments", "zstd")
     runs = (
-        places.withColumnRenamed("first", "at")
+        places.select("rid", "key", "digest", F.col("first").alias("at"))
         .join(keep(found, "found"), ["key", "digest"])
         .select("rid", "at", F.explode(F.arrays_zip("first", "last")).alias("x"))
         .select("rid", (F.col("at") + F.col("x.first")).alias("start"), (F.col("at") + F.col("x.last") + min_bytes).alias("end"))
@@ -382,8 +404,7 @@ def remove_repeats(
         .mapInArrow(_cut_out(with_text), f"rid bigint, n_removed bigint, spans {span}, kept_sha256 string, kept_text binary")
     )
     return (
-        base.select("rid", "doc_id", "n_bytes", "text_sha256")
-        .join(keep(cut, "cut", "zstd"), "rid", "left")
+        rows.join(keep(cut, "cut", "zstd"), "rid", "left")
         .select(
             "doc_id",
             "n_bytes",
