@@ -256,22 +256,22 @@ def _rewrite(plain: str, out: Normalised, place, straight: bool = True) -> None:
     copy(done, len(plain))
 
 
+def _inside(span: Span, spans: list[Span]) -> bool:
+    """Whether one of the sorted spans, which do not overlap, equals or holds ``span``."""
+    i = bisect.bisect_right(spans, (span[0], float("inf"))) - 1
+    return i >= 0 and span[1] <= spans[i][1]
+
+
 def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    """(plain spans, added spans) by kind. Added ones overlap no plain or other added span, whatever the kind."""
+    """(plain spans, added spans) by kind. An added one reaches beyond every plain span of its kind that it meets."""
     if not text:
         return {k: [] for k in KINDS}, {k: [] for k in KINDS}
     base = plain_spans(text)
     added: dict[str, list[Span]] = {k: [] for k in KINDS}
     hidden = normalise(text)
     if hidden is not None:
-        taken = sorted(span for spans in base.values() for span in spans)
         for kind, spans in plain_spans(hidden.text).items():
-            for start, end in spans:
-                span = hidden.back(start, end)
-                i = bisect.bisect_left(taken, (span[1], -1))
-                if not any(s < span[1] and span[0] < e for s, e in taken[max(0, i - 4) : i]):
-                    added[kind].append(span)
-                    bisect.insort(taken, span)
+            added[kind] = [span for s, e in spans if not _inside(span := hidden.back(s, e), base[kind])]
     return base, added
 
 

@@ -275,6 +275,22 @@ def test_disguises(text, kind, span):
     assert sum(map(len, added.values())) == 1
 
 
+@pytest.mark.parametrize(
+    "text,plain,whole",
+    [
+        ("to jаne@example.com now", "ne@example.com", "jаne@example.com"),
+        ("to jane@example.cоm now", "jane@example.c", "jane@example.cоm"),
+        ("to jane@example.co [dot] uk now", "jane@example.co", "jane@example.co [dot] uk"),
+    ],
+)
+def test_disguises_beside_a_plain_span(text, plain, whole):
+    base, added = pii.find(text)
+    assert [text[a:b] for a, b in base["email"]] == [plain]
+    assert [text[a:b] for a, b in added["email"]] == [whole]
+    assert sum(map(len, added.values())) == 1
+    assert not any(pii.find("jane@example.com, é, 192.168.0.1 and +49 170 1234567 one")[1].values())
+
+
 def test_clean_texts_have_no_added_spans():
     for text in ("we meet at noon. dot matrix printers", "one two three four. five six seven", "look at this one, two or three", "Straße à 12 €"):
         assert not any(pii.find(text)[1].values())
