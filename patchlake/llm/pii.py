@@ -103,13 +103,22 @@ _BARE_AT = (
 )
 _DISGUISE = re.compile(
     rf"(?P<at>{_AT}|{_BARE_AT})|(?P<dot>(?<=[A-Za-z0-9])(?:{_DOT})(?=[A-Za-z0-9]))"
-    rf"|(?P<digits>(?:\bplus\s+)?\b{_WORD}(?:{_GAP}(?:{_WORD}|[0-9]+)\b)+)",
+    rf"|(?P<digits>(?:\bplus\s+)?\b(?:{_WORD}|[0-9]++)\b(?:{_GAP}(?:{_WORD}|[0-9]++)\b)*+)",
     re.IGNORECASE,
 )
 _BRACKETED = re.compile(rf"{_OPEN}\s*(?:at|@|arobase|arroba|dot|\.)", re.IGNORECASE)
-_SPELLED = 8
-# Bytes for the search of hints: letters in lower case, all other ASCII as spaces.
-_FOLD = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+# Digits of the shortest identifier made of them, an IP address.
+_LEAST_DIGITS = 4
+_DIGIT = re.compile(r"[0-9]")
+# For the search of hints: letters in lower case, all else as spaces.
+_FOLD = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else 32 for b in range(256))
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def _lower(text: str) -> str:
+    """Lower case, also of the two letters that patterns without case take for an i."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("i̇", "i").replace("ı", "i")
 
 
 @lru_cache(maxsize=1)
@@ -121,22 +130,22 @@ def _hint_words():
     for word in ("dot", "punkt", "punto"):
         found.add_word(f" {word} ", 0)
     for word in _DIGIT_WORDS:
-        found.add_word(f" {word} ".encode().decode("latin-1"), 1)
+        found.add_word(f" {word} ", 1)
     found.make_automaton()
     return found
 
 
 def _hinted(text: str) -> bool:
-    """Whether a disguise can be in the text: a bracketed sign, a dot word, or enough digit words."""
+    """Whether a disguise can be in the text: a bracketed sign, a dot word, or digit words with enough digits for an address."""
     if _BRACKETED.search(text):
         return True
-    folded = text.encode("utf-8", "surrogatepass").translate(_FOLD).decode("latin-1")
-    digits = 0
+    folded = text.encode().translate(_FOLD).decode() if text.isascii() else _NO_LETTERS.sub(" ", _lower(text))
+    words = 0
     for _, kind in _hint_words().iter(f" {folded} "):
-        digits += kind
-        if not kind or digits >= _SPELLED // 2:
+        words += kind
+        if not kind:
             return True
-    return False
+    return words > 0 and (words >= _LEAST_DIGITS or words + len(_DIGIT.findall(text)) >= _LEAST_DIGITS)
 
 
 _DIGIT_PART = re.compile(rf"(?P<plus>plus)|(?P<word>{_WORD})|(?P<number>[0-9]+)", re.IGNORECASE)
@@ -164,6 +173,8 @@ class Normalised:
         self.at: list[int] = []
         self.source: list[tuple[int, int, bool]] = []
         self.length = 0
+        # Whether a plain dot stands between spelled digits, so that there is a second reading.
+        self.dotted = False
 
     def add(self, piece: str, start: int, end: int, same: bool) -> None:
         """``same``: the piece has the characters of the source one by one."""
@@ -187,8 +198,8 @@ class Normalised:
         return a, c + end - self.at[last] if same else d
 
 
-def normalise(text: str) -> Normalised | None:
-    """The text without disguises, or None if it has none."""
+def normalise(text: str, dots: bool = False) -> Normalised | None:
+    """The text without disguises, or None if it has none; ``dots``: a plain dot between spelled digits stays one."""
     plain, changed = text, False
     if not text.isascii():
         hidden = any(h in text for h in _HIDDEN)
@@ -197,7 +208,7 @@ def normalise(text: str) -> Normalised | None:
             if table:
                 plain, changed = text.translate(table), True
         else:
-            return _with_hidden(text)
+            return _with_hidden(text, dots)
     if not _hinted(plain):
         if not changed:
             return None
@@ -205,11 +216,11 @@ def normalise(text: str) -> Normalised | None:
         out.add(plain, 0, len(plain), True)
         return out
     out = Normalised()
-    _rewrite(plain, out, lambda i: i)
+    _rewrite(plain, out, lambda i: i, dots)
     return out if changed or len(out.parts) > 1 or out.parts[:1] != [text] else None
 
 
-def _with_hidden(text: str) -> Normalised:
+def _with_hidden(text: str, dots: bool) -> Normalised:
     """As above for texts with invisible characters, whose places have to be counted."""
     kept, places = [], []
     for i, c in enumerate(text):
@@ -219,12 +230,18 @@ def _with_hidden(text: str) -> Normalised:
             places.append(i)
     places.append(len(text))
     out = Normalised()
-    _rewrite("".join(kept), out, places.__getitem__, straight=False)
+    _rewrite("".join(kept), out, places.__getitem__, dots, straight=False)
     return out
 
 
-def _rewrite(plain: str, out: Normalised, place, straight: bool = True) -> None:
-    """Run the transducer over ``plain``; ``place`` gives the source offset of each of its characters."""
+def _rewrite(plain: str, out: Normalised, place, dots: bool, straight: bool = True) -> None:
+    """Run the transducer over ``plain``; ``place`` gives the source offset of each of its characters.
+
+    Every run of digits with a digit word in it is rewritten: words next to each
+    other are joined, a space parts them from plain digits behind; what stands
+    before the first word stays. With ``dots`` a plain dot between two of them
+    stays a dot.
+    """
 
     def copy(start: int, end: int) -> None:
         if straight:
@@ -243,15 +260,27 @@ def _rewrite(plain: str, out: Normalised, place, straight: bool = True) -> None:
             out.add("@" if m["at"] is not None else ".", place(m.start()), place(m.end() - 1) + 1, False)
         else:
             words = list(_DIGIT_PART.finditer(plain, m.start(), m.end()))
-            if sum(len(w[0]) if w["number"] else 1 for w in words) < _SPELLED:
+            if not any(w["word"] for w in words):
                 copy(m.start(), m.end())
             else:
+                before, spelled = None, False
                 for w in words:
+                    if before is not None and not before["plus"]:
+                        gap = plain[before.end() : w.start()]
+                        dot = gap.strip() == "." and (gap == "." or gap[0].isspace())
+                        if not spelled:
+                            copy(before.end(), w.start())
+                        else:
+                            out.dotted |= dot
+                            piece = "." if dots and dot else "" if before["word"] and w["word"] else " "
+                            out.add(piece, place(before.end()), place(w.start() - 1) + 1, False)
+                    spelled = spelled or w["word"] is not None
                     if w["number"]:
                         copy(w.start(), w.end())
                     else:
-                        sign = "+" if w["plus"] else _DIGIT_WORDS[w[0].lower()]
+                        sign = "+" if w["plus"] else _DIGIT_WORDS[_lower(w[0])]
                         out.add(sign, place(w.start()), place(w.end() - 1) + 1, False)
+                    before = w
         done = m.end()
     copy(done, len(plain))
 
@@ -269,9 +298,11 @@ def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]
     base = plain_spans(text)
     added: dict[str, list[Span]] = {k: [] for k in KINDS}
     hidden = normalise(text)
-    if hidden is not None:
-        for kind, spans in plain_spans(hidden.text).items():
-            added[kind] = [span for s, e in spans if not _inside(span := hidden.back(s, e), base[kind])]
+    readings = [] if hidden is None else [hidden, normalise(text, dots=True)] if hidden.dotted else [hidden]
+    for reading in readings:
+        for kind, spans in plain_spans(reading.text).items():
+            found = (reading.back(*span) for span in spans)
+            added[kind] += [span for span in found if not _inside(span, base[kind]) and not _inside(span, added[kind])]
     return base, added
 
 

@@ -288,7 +288,28 @@ def test_disguises_beside_a_plain_span(text, plain, whole):
     assert [text[a:b] for a, b in base["email"]] == [plain]
     assert [text[a:b] for a, b in added["email"]] == [whole]
     assert sum(map(len, added.values())) == 1
-    assert not any(pii.find("jane@example.com, é, 192.168.0.1 and +49 170 1234567 one")[1].values())
+    assert not any(pii.find("jane@example.com, é, 192.168.0.1 and +49 170 1234567, one")[1].values())
+
+
+@pytest.mark.parametrize(
+    "text,kind,span",
+    [
+        ("on one nine two dot one six eight dot one dot one, ok", "ip", "one nine two dot one six eight dot one dot one"),
+        ("on one nine two.one six eight.one.one, ok", "ip", "one nine two.one six eight.one.one"),
+        ("on 192.168.one.7, ok", "ip", "192.168.one.7"),
+        ("room one, 192 dot 168 dot 1 dot 20", "ip", "192 dot 168 dot 1 dot 20"),
+        ("card 4111 1111 1111 one one one one.", "card", "4111 1111 1111 one one one one"),
+        ("card four one one one, 1111, 1111, 1111.", "card", "four one one one, 1111, 1111, 1111"),
+        ("call +49 three zero one two three four five!", "phone", "+49 three zero one two three four five"),
+        ("call +49 (zero) 30 123456 SEVEN", "phone", "+49 (zero) 30 123456 SEVEN"),
+        ("call plus vier neun null drei FÜNF eins zwei drei sİx", "phone", "plus vier neun null drei FÜNF eins zwei drei sİx"),
+    ],
+)
+def test_spelled_digits_of_any_run(text, kind, span):
+    base, added = pii.find(text)
+    assert not any(base.values())
+    assert [text[a:b] for a, b in added[kind]] == [span]
+    assert sum(map(len, added.values())) == 1
 
 
 def test_clean_texts_have_no_added_spans():
