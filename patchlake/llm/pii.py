@@ -95,18 +95,41 @@ _DIGIT_WORDS = {
 _WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _GAP = r"[\s,.-]{1,3}"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_AT = rf"\s*{_OPEN}\s*(?:at|@|arobase|arroba)\s*{_CLOSE}\s*"
-_DOT = rf"\s*{_OPEN}\s*(?:dot|\.|point|punkt|punto)\s*{_CLOSE}\s*|\s*[\s_*-](?:dot|punkt|punto)[\s_*-]\s*"
-# A bare "at" stands for the sign only if a domain with a dot, plain or disguised, follows and a dot word is near.
+# Words for the two signs: in brackets, and bare between blanks, _ * or -.
+_AT_WORDS, _DOT_WORDS, _BARE_DOTS = ("at", "arobase", "arroba"), ("dot", "point", "punkt", "punto"), ("dot", "punkt", "punto")
+_AT_SIGN, _DOT_SIGN = rf"(?:{'|'.join(_AT_WORDS)}|@)", rf"(?:{'|'.join(_DOT_WORDS)}|\.)"
+_AT = rf"\s*{_OPEN}\s*{_AT_SIGN}\s*{_CLOSE}\s*"
+_DOT = rf"\s*{_OPEN}\s*{_DOT_SIGN}\s*{_CLOSE}\s*|\s*[\s_*-](?:{'|'.join(_BARE_DOTS)})[\s_*-]\s*"
+# A bare "at" stands for the sign if a domain follows with a disguised dot in it, plain dots before that or not.
 _BARE_AT = (
-    rf"(?<=[A-Za-z0-9_%+-])\s*[\s_*-](?:at|arobase|arroba)[\s_*-]\s*(?=[A-Za-z0-9-]+?(?:{_DOT})[A-Za-z0-9-]+)"
+    rf"(?<=[A-Za-z0-9_%+-])\s*[\s_*-](?:{'|'.join(_AT_WORDS)})[\s_*-]\s*"
+    rf"(?=(?:[A-Za-z0-9-]++\.)*+[A-Za-z0-9-]+?(?:{_DOT})[A-Za-z0-9-]+)"
+)
+# If all dots are plain, the domain has to be on the same line and end in two or more letters of one case, and "at"
+# must not stand behind a word of _BEFORE_PLACE.
+_PLAIN_AT = (
+    rf"(?<=[A-Za-z0-9_%+-])[ \t]*[ \t_*-](?:{'|'.join(_AT_WORDS)})[ \t_*-][ \t]*"
+    r"(?=(?:[A-Za-z0-9-]++\.)+(?-i:[a-z]{2,}|[A-Z]{2,})(?![\w-]))"
+)
+_BEFORE_PLACE = frozenset(
+    """a all also am and anyone are arrive arrived article articles at available back based be been blog book booked bought but
+    buy call chat check code come day described details directly discussed docs document documentation documented
+    download downloaded downloads each else everyone everything example file files find first for found free from get go
+    good guide had has have he her here him hosted how i instructions is it its join just last later learn learned link
+    links listed live lived lives located look looked looking looks made maintained me meet meeting met more new news
+    next not now on one online only open or ordered our out page pages people posted posts present presented public
+    published purchase purchased reach reached read register registered release released report reported resources run
+    running runs see seen sell sells shop shopping shown sign site sites sold someone source start started stay stayed
+    stop stopped store stored stuff submit that the their them then there these they thing things this those time today
+    tomorrow tool up updated us use used using version video videos visit visited watch was we website websites were
+    what when where which while who with work worked working works you your""".split()
 )
 _DISGUISE = re.compile(
-    rf"(?P<at>{_AT}|{_BARE_AT})|(?P<dot>(?<=[A-Za-z0-9])(?:{_DOT})(?=[A-Za-z0-9]))"
+    rf"(?P<at>{_AT}|{_BARE_AT})|(?P<plain_at>{_PLAIN_AT})|(?P<dot>(?<=[A-Za-z0-9])(?:{_DOT})(?=[A-Za-z0-9]))"
     rf"|(?P<digits>(?:\bplus\s+)?\b(?:{_WORD}|[0-9]++)\b(?:{_GAP}(?:{_WORD}|[0-9]++)\b)*+)",
     re.IGNORECASE,
 )
-_BRACKETED = re.compile(rf"{_OPEN}\s*(?:at|@|arobase|arroba|dot|\.)", re.IGNORECASE)
+_BRACKETED = re.compile(rf"{_OPEN}\s*(?:{_AT_SIGN}|{_DOT_SIGN})\s*{_CLOSE}", re.IGNORECASE)
 # Digits of the shortest identifier made of them, an IP address.
 _LEAST_DIGITS = 4
 _DIGIT = re.compile(r"[0-9]")
@@ -123,11 +146,11 @@ def _lower(text: str) -> str:
 
 @lru_cache(maxsize=1)
 def _hint_words():
-    """Finds dot words (0) and digit words (1) between spaces in folded text."""
+    """Finds words of the signs (0) and digit words (1) between spaces in folded text."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for word in ("dot", "punkt", "punto"):
+    for word in (*_AT_WORDS, *_BARE_DOTS):
         found.add_word(f" {word} ", 0)
     for word in _DIGIT_WORDS:
         found.add_word(f" {word} ", 1)
@@ -136,7 +159,7 @@ def _hint_words():
 
 
 def _hinted(text: str) -> bool:
-    """Whether a disguise can be in the text: a bracketed sign, a dot word, or digit words with enough digits for an address."""
+    """Whether a disguise can be in the text: a bracketed sign, a bare word for one, or digit words with enough digits for an address."""
     if _BRACKETED.search(text):
         return True
     folded = text.encode().translate(_FOLD).decode() if text.isascii() else _NO_LETTERS.sub(" ", _lower(text))
@@ -256,8 +279,10 @@ def _rewrite(plain: str, out: Normalised, place, dots: bool, straight: bool = Tr
     done = 0
     for m in _DISGUISE.finditer(plain):
         copy(done, m.start())
-        if m["at"] is not None or m["dot"] is not None:
-            out.add("@" if m["at"] is not None else ".", place(m.start()), place(m.end() - 1) + 1, False)
+        if m["plain_at"] is not None and _lower(_LOCAL_BACK.match(plain[max(0, m.start() - 64) : m.start()][::-1])[0][::-1]) in _BEFORE_PLACE:
+            copy(m.start(), m.end())
+        elif m["digits"] is None:
+            out.add("." if m["dot"] is not None else "@", place(m.start()), place(m.end() - 1) + 1, False)
         else:
             words = list(_DIGIT_PART.finditer(plain, m.start(), m.end()))
             if not any(w["word"] for w in words):

@@ -312,6 +312,35 @@ def test_spelled_digits_of_any_run(text, kind, span):
     assert sum(map(len, added.values())) == 1
 
 
+@pytest.mark.parametrize(
+    "text,span",
+    [
+        ("écrire à jean@exemple(point)fr", "jean@exemple(point)fr"),
+        ("to jean(arobase)exemple.fr", "jean(arobase)exemple.fr"),
+        ("to anna at example.com, please", "anna at example.com"),
+        ("to anna at example.com. Then", "anna at example.com"),
+        ("to anna at mail.example dot com", "anna at mail.example dot com"),
+        ("to anna at mail.example.co.uk", "anna at mail.example.co.uk"),
+        ("to a.b_c AT EXAMPLE.COM", "a.b_c AT EXAMPLE.COM"),
+        ("écrire à jean arobase exemple.fr", "jean arobase exemple.fr"),
+        ("to\u00a0anna\u00a0at\u00a0example\u00a0dot\u00a0com", "anna\u00a0at\u00a0example\u00a0dot\u00a0com"),
+    ],
+)
+def test_disguised_signs(text, span):
+    base, added = pii.find(text)
+    assert not any(base.values())
+    assert [text[a:b] for a, b in added["email"]] == [span]
+    assert sum(map(len, added.values())) == 1
+
+
+def test_places_are_no_addresses():
+    for text in (
+        "look at example.com", "Find it at www.example.com/page", "we meet at 5.30", "read more at example.org.",
+        "it broke\n\tat com.example.run(main.java)", "arrived at noon.Then we left", "seen at 10.0.0.x",
+    ):
+        assert not any(pii.find(text)[1].values()), text
+
+
 def test_clean_texts_have_no_added_spans():
     for text in ("we meet at noon. dot matrix printers", "one two three four. five six seven", "look at this one, two or three", "Straße à 12 €"):
         assert not any(pii.find(text)[1].values())
