@@ -5,7 +5,10 @@ features are the byte n-grams inside words (a space counts at either end),
 hashed to buckets. Each bucket has an embedding; a text is the average of its
 embeddings, and a linear softmax gives the languages. Both layers are trained
 by stochastic gradient descent in numpy on a bounded sample of labelled rows.
-For prediction the two layers fold into one table (bucket x language).
+For prediction the two layers fold into one table (bucket x language). A softmax
+always prefers some language, so one more column has the log share of the bucket
+in the training texts: its average is low for texts of unseen n-grams, whatever
+the softmax says, and with the log probability it decides what is rejected.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ SAMPLE_ROWS = 6000
 SEED = 11
 EPOCHS = 4
 RATE = 0.5
-# Share of right calibration rows that the rejection threshold may cost.
+# Share of right calibration rows below the level from which rejection starts to count, and how far the threshold lies
+# from there towards the level of n-grams drawn at random.
 REJECTED_SHARE = 0.0005
-# No text with a probability above this is rejected.
-SURE = 0.4
+SLACK = 0.25
+# A training text counts as this many n-grams for the log shares, an unseen bucket as half of one.
+TEXT_WEIGHT = 1000
 _GAP = re.compile(r"[\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,28 +75,38 @@ def buckets_of(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Folded table, bias, languages, softmax temperature and the rejection threshold."""
+    """Folded table with the log shares last, bias, languages, softmax temperature and the least familiar level that is kept."""
 
     table: np.ndarray
     bias: np.ndarray
     languages: list[str]
     temperature: float
-    threshold: float
+    least: float
+
+    @property
+    def threshold(self) -> float:
+        """The score below which a text is rejected; the best probability is never less."""
+        return (1 - 1e-9) / max(len(self.languages), 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, probability); a text without letters is unknown with score 0."""
+        """(language, score): the probability, for texts less familiar than ``least`` scaled down below the threshold.
+
+        A text without letters is unknown with score 0.
+        """
         data = letters_only(text)
         if data is None or not self.languages:
             return UNKNOWN, 0.0
         array = np.frombuffer(data, dtype=np.uint8)
-        total, count = np.zeros(len(self.languages)), 0
+        total, count = np.zeros(len(self.languages) + 1), 0
         for start in range(0, len(array), 1 << 20):
             ids = buckets_of(array[start : start + (1 << 20) + max(ORDERS) - 1])
             total += self.table.take(ids, axis=0).sum(axis=0, dtype=np.float64)
             count += len(ids)
-        p = softmax((total / max(count, 1) + self.bias) / self.temperature)
+        total /= max(count, 1)
+        p = softmax((total[:-1] + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.languages[best], float(p[best])
+        score, beyond = float(p[best]), float(total[-1] + np.log(p[best])) - self.least
+        return self.languages[best], score if beyond >= 0 else score * self.threshold * float(np.exp(beyond))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -107,7 +122,7 @@ def fit(rows: list[tuple[str | None, str]]) -> Model:
     prepared = [(d, lang) for text, lang in rows if (d := letters_only(text)) is not None]
     languages = sorted({lang for _, lang in prepared})
     if not languages:
-        return Model(np.zeros((BUCKETS, 0), np.float32), np.zeros(0), [], 1.0, 0.0)
+        return Model(np.zeros((BUCKETS, 0), np.float32), np.zeros(0), [], 1.0, -np.inf)
     number = {lang: i for i, lang in enumerate(languages)}
     rng = np.random.default_rng(SEED)
     features = []
@@ -115,7 +130,7 @@ def fit(rows: list[tuple[str | None, str]]) -> Model:
         ids, counts = np.unique(buckets_of(np.frombuffer(data, dtype=np.uint8)), return_counts=True)
         features.append((ids, (counts / max(counts.sum(), 1)).astype(np.float32), number[lang]))
     held = features[::5] if len(features) >= 50 else features
-    train = [f for i, f in enumerate(features) if i % 5] if len(features) >= 50 else features
+    train = [f for i, f in enumerate(features) if i % 5] if len(features) >= 50 else held
     embed = rng.normal(0, 0.3, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = np.zeros((DIMENSIONS, len(languages)), dtype=np.float32)
     bias = np.zeros(len(languages), dtype=np.float32)
@@ -140,10 +155,22 @@ def fit(rows: list[tuple[str | None, str]]) -> Model:
     losses = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(losses))])
     p = softmax(logits / temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    floor = 1.0 / len(languages)
-    threshold = float(np.quantile(right, REJECTED_SHARE)) if len(right) else 0.0
-    return Model(table, bias.astype(np.float64), languages, temperature, max(floor, min(threshold, SURE)))
+    seen = np.zeros(BUCKETS)
+    for ids, share, _ in train:
+        seen[ids] += share
+    # Without calibration rows of their own, training rows are judged by the others.
+    own = 1 if held is train else 0
+    known = log_shares(seen, len(train))
+    familiar = np.array([share @ log_shares(seen[ids] - own * share, len(train) - own) for ids, share, _ in held])
+    right = (familiar + np.log(p.max(axis=1)))[p.argmax(axis=1) == truth]
+    level = float(np.quantile(right, REJECTED_SHARE)) if len(right) else -np.inf
+    least = level - SLACK * max(0.0, level - float(known.mean())) if len(right) else level
+    return Model(np.column_stack([table, known]).astype(np.float32), bias.astype(np.float64), languages, temperature, least)
+
+
+def log_shares(seen: np.ndarray, texts: int) -> np.ndarray:
+    """Smoothed log shares of buckets whose shares in ``texts`` texts add up to ``seen``."""
+    return np.log((TEXT_WEIGHT * np.maximum(seen, 0) + 0.5) / (TEXT_WEIGHT * texts + 0.5 * BUCKETS))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -177,8 +204,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     """(doc_id, lang_pred, score, rejected) for every row; ``carry`` puts them behind all columns of ``docs`` instead.
 
     The whole text counts. A null, empty or letterless text is ``und`` with
-    score 0 and rejected; other texts are rejected below the calibrated
-    threshold. The model is a table of fixed size, broadcast to the tasks.
+    score 0 and rejected; other texts are rejected below the threshold: if their
+    n-grams are less familiar than calibrated on right rows. The model is a table of fixed size, broadcast to the tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

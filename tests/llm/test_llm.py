@@ -496,6 +496,27 @@ def test_language_id(spark, docs, rows, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+@pytest.mark.parametrize("known", [("en",), ("en", "fr"), ("en", "fr", "de")])
+def test_unlearned_texts_are_rejected(spark, known):
+    rng = random.Random(9)
+    words = {
+        "en": WORDS, "fr": "le la les des une dans est pour que qui sur avec pas plus".split(),
+        "de": "der die das und ist nicht ein eine mit auf für von dem den sich auch".split(),
+    }
+    finnish = "olen sinä hänen kaikki mutta kuin sitä tämä joka myös vielä jälkeen hyvää kiitos yksi päivä".split()
+    say = lambda source, n: " ".join(rng.choice(source) for _ in range(n))
+    labelled = [(i, say(words[known[i % len(known)]], rng.choice([1, 3, 30])), known[i % len(known)]) for i in range(900)]
+    frame = spark.createDataFrame(labelled, "doc_id bigint, text string, lang string")
+    model = language_id.train(frame)
+    clean = language_id.identify(frame.where(language_id.held_out()), model).collect()
+    assert len(clean) > 200 and not any(r.rejected for r in clean)
+    random_words = ["".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(8)) for _ in range(200)]
+    strange = [(i, say(finnish if i % 2 else random_words, rng.choice([3, 30, 300]))) for i in range(60)]
+    strange += [(60, "Это предложение написано на русском языке"), (61, "日本語 テキスト は")]
+    found = language_id.identify(spark.createDataFrame(strange, "doc_id bigint, text string"), model).collect()
+    assert all(r.rejected and 0 <= r.score < model.threshold for r in found)
+
+
 def test_pipeline(spark, docs, rows, empty, tmp_path):
     import corpus_pipeline as p
 
