@@ -117,7 +117,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[str | None, str]]) -> Model:
     """Train on (text, language) rows; every fifth row is held back to calibrate.
 
-    Without usable rows the model knows no language and rejects everything.
+    Without usable rows the model knows no language and rejects only texts without letters.
     """
     prepared = [(d, lang) for text, lang in rows if (d := letters_only(text)) is not None]
     languages = sorted({lang for _, lang in prepared})
@@ -205,17 +205,21 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     The whole text counts. A null, empty or letterless text is ``und`` with
     score 0 and rejected; other texts are rejected below the threshold: if their
-    n-grams are less familiar than calibrated on right rows. The model is a table of fixed size, broadcast to the tasks.
+    n-grams are less familiar than calibrated on right rows. A model without
+    languages calls all texts ``und`` and rejects only the letterless ones. The model is a table of fixed size, broadcast to the tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(texts: pa.Array) -> list[pa.Array]:
-        found = [shared.value.predict(t) for t in texts.to_pylist()]
+        values = texts.to_pylist()
+        found = [shared.value.predict(t) for t in values]
         least = shared.value.threshold
+        # A model without languages calls every text unknown.
+        blind = not shared.value.languages
         return [
             pa.array([f[0] for f in found], pa.string()),
             pa.array([f[1] for f in found], pa.float64()),
-            pa.array([f[0] == UNKNOWN or f[1] < least for f in found], pa.bool_()),
+            pa.array([letters_only(t) is None if blind else f[0] == UNKNOWN or f[1] < least for t, f in zip(values, found)], pa.bool_()),
         ]
 
     added = ["__lang_pred", "__score", "__rejected"] if carry else ["lang_pred", "score", "rejected"]

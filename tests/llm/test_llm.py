@@ -517,6 +517,15 @@ def test_unlearned_texts_are_rejected(spark, known):
     assert all(r.rejected and 0 <= r.score < model.threshold for r in found)
 
 
+def test_first_stage_without_labels(spark, docs, rows):
+    import corpus_pipeline as p
+
+    blank = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = p.identify_language(spark, blank, "")
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[0] not in (60, 61, 62, 65))
+
+
 def test_pipeline(spark, docs, rows, empty, tmp_path):
     import corpus_pipeline as p
 
