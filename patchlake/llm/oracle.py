@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchlake.llm import mixing
+from patchlake.llm import centroids, hard_negatives, line_dedup, mixing
 
 _WORDS = "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint"
 
@@ -71,4 +71,81 @@ select p.doc_id, p.size, p.source_size, p.target, coalesce(v.taken, 0)::bigint a
 from placed p left join valued v on p.doc_id = v.doc_id and p.source is not distinct from v.source
 """
 
-ORACLE: dict[str, str] = {"op6_exact_dedup": _EXACT_DEDUP, "op9_mixing": _MIXING}
+_LINE_DEDUP = f"""
+with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as s from documents),
+lines as (select doc_id, unnest(s) as line, unnest(range(len(s))) as i from split),
+keyed as (
+  select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+often as (
+  select key, max(doc_id) as keeper, count(distinct doc_id) as documents from keyed
+  where length(key) >= {line_dedup.MIN_CODE_POINTS} group by key having count(distinct doc_id) >= {line_dedup.MIN_DOCUMENTS}),
+judged as (select k.*, o.documents, o.key is not null and k.doc_id <> o.keeper as gone from keyed k left join often o on k.key = o.key)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256,
+  coalesce(max(documents) filter (where gone), 0) as n_most
+from judged group by doc_id
+"""
+
+_HARD_NEGATIVES = f"""
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from rows a join rows b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select *, row_number() over (partition by anchor_id order by score desc, id) as place from pairs where same
+  qualify place <= {hard_negatives.POSITIVES})
+select p.anchor_id, p.id as positive_id, (row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id))::int as rank,
+  n.id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join pairs n on p.anchor_id = n.anchor_id and not n.same
+where {hard_negatives.LOWEST} * p.score <= 100 * n.score and 100 * n.score <= {hard_negatives.HIGHEST} * p.score
+qualify rank <= {hard_negatives.NEGATIVES}
+"""
+
+
+def _clustering() -> str:
+    """The rounds one after the other; a distance and a number share one integer, so that the minimum settles ties."""
+    k = centroids.CENTROIDS
+    steps = [
+        f"""
+with kept as (
+  select vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::double)) as q from embeddings
+  where len(embedding) = {centroids.COMPONENTS} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as (
+  select row_number() over (order by h) - 1 as cluster, q as c
+  from (select q, sha256('{centroids.SEED}:' || vec_id::varchar) as h from kept order by h limit {k}))"""
+    ]
+    assign = """
+a{i} as materialized (
+  select vec_id, q, min((list_dot_product(q, q) - 2 * list_dot_product(q, c) + list_dot_product(c, c))::bigint * {k} + cluster) as best
+  from kept, c{i} group by vec_id, q)"""
+    move = """
+s{i} as (select best % {k} as cluster, unnest(q)::hugeint as x, unnest(range({n})) as d from a{i}),
+m{i} as (
+  select cluster, list(mean order by d) as c from (
+    select cluster, d, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::double as mean from s{i} group by all)
+  group by cluster),
+c{j} as materialized (select c{i}.cluster, coalesce(m{i}.c, c{i}.c) as c from c{i} left join m{i} on c{i}.cluster = m{i}.cluster)"""
+    for i in range(centroids.ROUNDS):
+        steps += [assign.format(i=i, k=k), move.format(i=i, j=i + 1, k=k, n=centroids.COMPONENTS)]
+    steps.append(assign.format(i=centroids.ROUNDS, k=k))
+    last = f"""
+select vec_id, (best % {k})::int as cluster, (best // {k})::bigint as distance,
+  (sum(best // {k}) over (partition by best % {k}))::bigint as cluster_inertia, (sum(best // {k}) over ())::bigint as inertia,
+  sha256(array_to_string(list_transform(c, lambda x: x::bigint::varchar), ',')) as centroid_sha256
+from a{centroids.ROUNDS} join c{centroids.ROUNDS} on cluster = best % {k}
+"""
+    return ",".join(steps) + last
+
+
+ORACLE: dict[str, str] = {
+    "op6_exact_dedup": _EXACT_DEDUP,
+    "op9_mixing": _MIXING,
+    "op11_line_dedup": _LINE_DEDUP,
+    "op12_hard_negatives": _HARD_NEGATIVES,
+    "op13_centroid_clustering": _clustering(),
+}

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchlake.llm import (
     bpe_codec,
+    centroids,
     embedding_dedup,
     exact_dedup,
+    hard_negatives,
     language_id,
+    line_dedup,
     mixing,
     ngram_join,
     pii,
@@ -88,6 +91,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that five documents hold."""
+    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh has a wrong label."""
+    wrong = F.col("vec_id") % 7 == 0
+    label = F.when(wrong, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 50 == 0, label=label)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors after ten rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,4 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
