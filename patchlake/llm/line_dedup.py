@@ -34,7 +34,9 @@ MIN_DOCUMENTS = 5
 # Keys of a shard, on average: its arrays take about 1.5 MB.
 SHARD_KEYS = 1 << 16
 # Probes that one copy of a shard answers, about.
-COPY_PROBES = 1 << 20
+COPY_PROBES = 1 << 18
+# Copies share tasks beyond this number of tasks or the session's own, whichever is larger.
+PROBE_TASKS = 4096
 # Bits of a level for each key that is left, and a step of the level's seed.
 _BITS_PER_KEY = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -250,7 +252,12 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def probe(prepared: DataFrame, index: DataFrame, shards: int, copy_probes: int = COPY_PROBES) -> DataFrame:
     """(row, k, documents): the lines that a document loses, by their number in its list of keys."""
-    sized = index.select("shard", (F.floor(F.col("probes") / F.lit(copy_probes)) + 1).cast("int").alias("copies"))
+    lines = prepared.agg(F.sum(F.size("spots"))).first()[0] or 0
+    # Lines of the shard's own keys, and its even share of those that are no key.
+    load = F.col("probes") + F.lit(lines // shards)
+    sized = index.select("shard", (F.floor(load / F.lit(copy_probes)) + 1).cast("int").alias("copies"))
+    copies = sized.agg(F.sum("copies")).first()[0] or 1
+    tasks = min(copies, max(PROBE_TASKS, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     zipped = F.posexplode(F.arrays_zip("spots", "prints")).alias("k", "key")
     probes = (
         prepared.select("row", "doc_id", zipped)
@@ -269,7 +276,7 @@ def probe(prepared: DataFrame, index: DataFrame, shards: int, copy_probes: int =
         F.lit(0).cast("bigint").alias("print"), F.lit(0).cast("bigint").alias("doc_id"), F.lit(False).alias("has_id"), *arrays,
     )
     both = handed.unionByName(probes, allowMissingColumns=True)
-    runs = both.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
+    runs = both.repartition(tasks, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
     return runs.mapInArrow(_probe, "row bigint, k int, documents bigint")
 
 
@@ -329,13 +336,14 @@ def drop_repeated_lines(
     Other columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    prepared = keep(source.mapInArrow(_prepare(min_code_points), _PREPARED_DDL), "lines")
+    prepared = keep(source.mapInArrow(_prepare(min_code_points), _PREPARED_DDL), "lines", "zstd")
     index, shards = line_index(prepared, min_documents, shard_keys)
     hits = probe(prepared, index, shards, copy_probes).groupBy("row").agg(
         F.collect_list("k").alias("gone"), F.max("documents").alias("n_most")
     )
     hits = keep(hits, "hits")
-    joined = prepared.select("row", "doc_id", "text", "n_lines").join(hits, "row", "left").select(
+    # Hits grow with the texts, so they are never broadcast: the plan is the same at every size.
+    joined = prepared.select("row", "doc_id", "text", "n_lines").join(hits.hint("merge"), "row", "left").select(
         "doc_id", "text", "n_lines", "gone", F.coalesce("n_most", F.lit(0)).cast("bigint").alias("n_most")
     )
     schema = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string, n_most bigint"
