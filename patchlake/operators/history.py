@@ -25,8 +25,9 @@ def history_rows(
     insertions: str = "insertions",
     deletions: str = "deletions",
     bug_like: Column | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """History as narrow rows; those with no path or time are left out."""
+    """History as narrow rows, with the columns ``carry`` besides; those with no path or time are left out."""
     author = F.coalesce(F.nullif(F.col(email), F.lit("")), F.nullif(F.col(name), F.lit("")))
     flag = is_fix_like(F.col("message")) if bug_like is None else bug_like
     return history.filter((F.col(path) != "") & F.col(ts).isNotNull()).select(
@@ -37,6 +38,7 @@ def history_rows(
         flag.cast("bigint").alias("fixes"),
         F.coalesce(F.col(insertions), F.lit(0)).cast("bigint").alias("plus"),
         F.coalesce(F.col(deletions), F.lit(0)).cast("bigint").alias("minus"),
+        *(carry or []),
     )
 
 
@@ -105,9 +107,12 @@ def asof_features(history: DataFrame, probes: DataFrame | None, bucket_days: int
 
     # A later bucket always holds later instants, so the local one comes first.
     last = F.coalesce("last_before", "last_carried")
-    return joined.select("path", "us", last.alias("last"), *[total(m).alias(m) for m in _MEASURES]).select(
-        "path",
-        "us",
+    return joined.select("path", "us", last.alias("last"), *[total(m).alias(m) for m in _MEASURES]).select("path", "us", *feature_columns())
+
+
+def feature_columns() -> list[Column]:
+    """The nine features from the totals before an instant ``us``; ``last`` is the latest earlier change, if any."""
+    return [
         F.col("commits").alias("prior_commit_count"),
         F.col("fixes").alias("prior_bug_fix_count"),
         F.col("plus").alias("prior_total_insertions"),
@@ -117,7 +122,7 @@ def asof_features(history: DataFrame, probes: DataFrame | None, bucket_days: int
         F.coalesce(F.expr(f"(us - last) div {DAY_US}"), F.lit(-1)).cast("bigint").alias("days_since_last_change"),
         _ratio("fixes").alias("historical_bug_fix_ratio"),
         _ratio("plus + minus").alias("average_prior_churn"),
-    )
+    ]
 
 
 def _ratio(sum_expr: str) -> Column:

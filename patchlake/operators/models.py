@@ -3,24 +3,59 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchlake import rules
 from patchlake.operators import features, tfidf
-from patchlake.session import cut_lineage
+from patchlake.session import cut_lineage, stored
+
+
+@dataclass
+class Linear:
+    """Weights of a linear classifier, one per place of the feature vector, and how it is applied."""
+
+    weights: np.ndarray
+    intercept: float
+
+    @property
+    def coefficients(self) -> DenseVector:
+        return DenseVector(self.weights)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the probabilities of both classes as a vector."""
+        shared, intercept = df.sparkSession.sparkContext.broadcast(self.weights), self.intercept
+
+        @F.arrow_udf(returnType="double")
+        def margin(entries: pa.Array) -> pa.Array:
+            return pa.array(margins(entries, shared.value, intercept)[0])
+
+        p = 1.0 / (1.0 + F.exp(-margin(vector_entries(F.col("features")))))
+        return df.withColumn("__p", p).withColumn("probability", array_to_vector(F.array(1.0 - F.col("__p"), F.col("__p")))).drop("__p")
+
+
+def margins(entries: pa.Array, weights: np.ndarray, intercept: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Margin of every row of :func:`vector_entries`, and the row, slot and value of every entry."""
+    flat = entries.flatten()
+    slots, values = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("slot", "value"))
+    rows = np.repeat(np.arange(len(entries)), entries.value_lengths().to_numpy(zero_copy_only=False))
+    margin = np.bincount(rows, weights=values * weights[slots], minlength=len(entries)) + intercept
+    return margin, rows, slots, values
 
 
 @dataclass
 class Classifier:
     """A fitted model and everything needed to build its input."""
 
-    model: LogisticRegressionModel
+    model: LogisticRegressionModel | Linear | None = None
     numerics: list[str] = field(default_factory=list)
     scaler: features.Scaler | None = None
     one_hot: PipelineModel | None = None
@@ -44,11 +79,20 @@ class Classifier:
             .drop("features", "rawPrediction", "probability")
         )
 
+    def size(self) -> int:
+        """Places of the feature vector."""
+        known = self.one_hot.stages[0].labelsArray if self.one_hot is not None else []
+        return (self.text.size if self.text else 0) + len(self.numerics) + sum(map(len, known))
+
+    def with_model(self, model) -> "Classifier":
+        """The same input blocks under another model: one that has coefficients, intercept and transform."""
+        return replace(self, model=model)
+
     def save(self, path: str) -> None:
         """Write everything that scoring needs below ``path``, for :meth:`load` in another job."""
         spark = SparkSession.active()
-        self.model.write().overwrite().save(f"{path}/model")
-        facts: dict = {"numerics": self.numerics, "doc_id": self.doc_id}
+        weight_table(self).write.mode("overwrite").parquet(f"{path}/weights")
+        facts: dict = {"numerics": self.numerics, "doc_id": self.doc_id, "intercept": float(self.model.intercept)}
         if self.scaler is not None:
             facts |= {"mean": self.scaler.mean, "scale": self.scaler.scale}
         if self.one_hot is not None:
@@ -69,7 +113,9 @@ class Classifier:
             vocab = spark.read.parquet(f"{path}/vocabulary")
             text = tfidf.TfIdf(vocab, facts["terms"], facts["pattern"])
         one_hot = PipelineModel.load(f"{path}/one_hot") if facts.get("one_hot") else None
-        return cls(LogisticRegressionModel.load(f"{path}/model"), facts["numerics"], scaler, one_hot, text, facts["doc_id"])
+        rows = spark.read.parquet(f"{path}/weights").orderBy("slot").collect()
+        model = Linear(np.array([r.coefficient for r in rows]), facts["intercept"])
+        return cls(model, facts["numerics"], scaler, one_hot, text, facts["doc_id"])
 
 
 def decide(probability: Column, threshold: float | None) -> Column:
@@ -82,10 +128,10 @@ def label_name(prediction: Column) -> Column:
     return F.when(prediction == 1, "bug_fix").otherwise("non_bug_fix")
 
 
-def _inputs(df, numerics, scaler, one_hot, text, doc_id) -> DataFrame:
+def _inputs(df, numerics, scaler, one_hot, text, doc_id, counts=None) -> DataFrame:
     parts = []
     if text is not None:
-        df = text.transform(df, doc_id, "model_text", "text_features")
+        df = text.transform(df, doc_id, "model_text", "text_features", counts)
         parts.append("text_features")
     if scaler is not None:
         df = df.withColumns({f"{c}_scaled": v for c, v in scaler.columns().items()})
@@ -98,39 +144,48 @@ def _inputs(df, numerics, scaler, one_hot, text, doc_id) -> DataFrame:
     return assembled.drop(*extra)
 
 
-def train(
+def fit_blocks(
     df: DataFrame,
-    max_iter: int,
     numerics: list[str] | None = None,
     categories: list[str] | None = None,
     text_pattern: str | None = None,
     doc_id: str = "record_id",
-    c: float = 1.0,
     **text_limits,
-) -> Classifier:
-    """Fit on balanced class weights; scaling and vocabulary come from these rows only.
+) -> tuple[Classifier, DataFrame | None]:
+    """A classifier without a model, its blocks fitted on these rows, and the term counts of the rows.
+
+    The texts are split once: the vocabulary and the vectors both read the stored counts.
+    """
+    numerics = numerics or []
+    scaler = features.fit_scaler(df, numerics) if numerics else None
+    one_hot = features.fit_one_hot(df, categories) if categories else None
+    counts = text = None
+    if text_pattern:
+        counts = stored(tfidf.term_counts(df, doc_id, "model_text", text_pattern), "term_counts")
+        text = tfidf.fit(df, doc_id, "model_text", text_pattern, counts, **text_limits)
+    return Classifier(None, numerics, scaler, one_hot, text, doc_id), counts
+
+
+def train(df: DataFrame, max_iter: int, c: float = 1.0, **blocks) -> Classifier:
+    """Fit on balanced class weights; scaling and vocabulary come from these rows only (:func:`fit_blocks`).
 
     The penalty is that of inverse strength ``c`` on the summed loss. Balanced
     weights sum to the number of rows, and the loss here is a weighted mean, so
     the strength is one over that number.
     """
     rows = features.require_labels(df)
-    numerics = numerics or []
-    scaler = features.fit_scaler(rows, numerics) if numerics else None
-    one_hot = features.fit_one_hot(rows, categories) if categories else None
-    text = tfidf.fit(rows, doc_id, "model_text", text_pattern, **text_limits) if text_pattern else None
+    fitted, counts = fit_blocks(rows, **blocks)
     weights, n_rows = features.balanced_weights(rows)
-    inputs = _inputs(rows, numerics, scaler, one_hot, text, doc_id)
+    inputs = _inputs(rows, fitted.numerics, fitted.scaler, fitted.one_hot, fitted.text, fitted.doc_id, counts)
     # Written out once: the solver reads the rows in every iteration, and its
     # tasks should not carry the plan that made them.
     training = cut_lineage(
         inputs.select("features", F.col("label").cast("double").alias("label"), features.weight_column(weights).alias("weight"))
     )
     regression = LogisticRegression(
-        weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * n_rows), elasticNetParam=0.0, standardization=False, tol=1e-4
+        weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * n_rows), elasticNetParam=0.0, standardization=False, tol=1e-9
     )
-    model = regression.fit(training)
-    return Classifier(model, numerics, scaler, one_hot, text, doc_id)
+    return fitted.with_model(regression.fit(training))
 
 
 def train_message_and_patch(df: DataFrame, **options) -> Classifier:
@@ -146,7 +201,7 @@ def train_patch_only(df: DataFrame, **options) -> Classifier:
 def train_hybrid(df: DataFrame, **options) -> Classifier:
     """Patch text, change numerics and categories."""
     rows = features.change_columns(df).withColumn("model_text", features.model_text(None, F.col("patch")))
-    return train(rows, 3000, features.CHANGE_NUMERICS, features.CATEGORIES, tfidf.WORD, **options)
+    return train(rows, 3000, numerics=features.CHANGE_NUMERICS, categories=features.CATEGORIES, text_pattern=tfidf.WORD, **options)
 
 
 def train_historical_hybrid(df: DataFrame, **options) -> Classifier:
@@ -155,41 +210,86 @@ def train_historical_hybrid(df: DataFrame, **options) -> Classifier:
         "model_text", features.model_text(None, F.col("patch"))
     )
     numerics = [*features.CHANGE_NUMERICS, *rules.HISTORY_FEATURES]
-    return train(rows, 4000, numerics, features.CATEGORIES, tfidf.WORD, **options)
+    return train(rows, 4000, numerics=numerics, categories=features.CATEGORIES, text_pattern=tfidf.WORD, **options)
 
 
 def train_history_only(df: DataFrame, **options) -> Classifier:
-    return train(features.history_columns(df, missing_days=0.0), 3000, rules.HISTORY_FEATURES, **options)
+    return train(features.history_columns(df, missing_days=0.0), 3000, numerics=rules.HISTORY_FEATURES, **options)
+
 
+def slots(classifier: Classifier) -> DataFrame:
+    """(slot, block, feature): what each place of the feature vector stands for, in the order of its blocks.
 
-def coefficients(classifier: Classifier, df: DataFrame) -> DataFrame:
-    """Weights of the numeric features, largest first, with the direction they push."""
+    Blocks are the terms, the numerics and one block per category, whose features
+    are the category's known values. Vectors without a term have one empty place.
+    """
+    spark = SparkSession.active()
+    named = [("numeric", name) for name in classifier.numerics]
+    if classifier.one_hot is not None:
+        known = classifier.one_hot.stages[0].labelsArray
+        named += [(block, value) for block, values in zip(features.CATEGORIES, known) for value in values]
     offset = classifier.text.size if classifier.text else 0
+    rest = spark.createDataFrame([(offset + i, *pair) for i, pair in enumerate(named)], "slot int, block string, feature string")
+    if classifier.text is None:
+        return rest
+    return classifier.text.vocab.select(F.col("index").alias("slot"), F.lit("term").alias("block"), F.col("term").alias("feature")).unionByName(rest)
+
+
+def weight_table(classifier: Classifier) -> DataFrame:
+    """(slot, coefficient) of the fitted model."""
     values = classifier.model.coefficients.toArray()
-    rows = [(name, float(values[offset + i])) for i, name in enumerate(classifier.numerics)]
-    table = df.sparkSession.createDataFrame(rows, "feature string, coefficient double")
+    return SparkSession.active().createDataFrame([(i, float(v)) for i, v in enumerate(values)], "slot int, coefficient double")
+
+
+def coefficients(classifier: Classifier) -> DataFrame:
+    """(feature, block, coefficient, direction) of every place of the vector, largest weight first."""
     direction = F.when(F.col("coefficient") > 0, "bug-risk").otherwise("normal-change")
-    return table.withColumn("direction", direction).orderBy(F.desc(F.abs("coefficient")), "feature")
+    named = slots(classifier).join(weight_table(classifier), "slot").withColumn("direction", direction)
+    return named.select("feature", "block", "coefficient", "direction").orderBy(F.desc(F.abs("coefficient")), "block", "feature")
+
+
+def vector_entries(vector: Column) -> Column:
+    """The (slot, value) entries of a sparse or dense vector, column by column in Arrow."""
+
+    @F.arrow_udf(returnType="array<struct<slot:int,value:double>>")
+    def entries(x: pa.Array) -> pa.Array:
+        values, indices = x.field("values"), x.field("indices")
+        lengths = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        slot = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths)
+        slot[np.repeat(x.field("type").to_numpy(zero_copy_only=False) == 0, lengths)] = indices.flatten().to_numpy(zero_copy_only=False)
+        pairs = pa.StructArray.from_arrays([pa.array(slot.astype(np.int32)), values.flatten()], names=["slot", "value"])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs)
+
+    return entries(vector)
 
 
 def gradient(classifier: Classifier, df: DataFrame, label: str = "label", c: float = 1.0) -> DataFrame:
-    """(feature, gradient) of the training loss at the fitted weights, for the numeric features and the intercept.
+    """(slot, block, feature, start, gradient) of the training loss for every place of the vector and the intercept.
 
     The loss is the weighted mean log loss plus the penalty that :func:`train`
-    sets; at its minimum every entry is zero.
+    sets. ``gradient`` is its slope at the fitted weights, zero at the minimum,
+    and ``start`` the slope where all weights are zero. Entries of the vectors
+    are summed per place before the shuffle.
     """
     weights, n_rows = features.balanced_weights(df, label)
-    scored = classifier.score(df, None)
-    scaled = classifier.scaler.columns() if classifier.scaler else {}
-    error = features.weight_column(weights, label) * (F.col("probability_bug_fix") - F.col(label))
-    offset = classifier.text.size if classifier.text else 0
-    values = classifier.model.coefficients.toArray()
-    terms = {
-        name: F.sum(error * scaled[name]) / n_rows + F.lit(float(values[offset + i]) / (c * n_rows))
-        for i, name in enumerate(classifier.numerics)
-    } | {"intercept": F.sum(error) / n_rows}
-    row = scored.agg(*[v.alias(k) for k, v in terms.items()])
-    return row.select(F.explode(F.create_map(*[x for k in terms for x in (F.lit(k), F.col(k))])).alias("feature", "gradient"))
+    weight = features.weight_column(weights, label) / n_rows
+    scored = classifier.model.transform(classifier.inputs(df)).select(
+        "features",
+        (weight * (vector_to_array("probability")[1] - F.col(label))).alias("error"),
+        (weight * (0.5 - F.col(label))).alias("error_at_zero"),
+    )
+    constant = F.array(F.struct(F.lit(-1).alias("slot"), F.lit(1.0).alias("value")))
+    each = scored.select("error", "error_at_zero", F.explode(F.concat(vector_entries(F.col("features")), constant)).alias("e"))
+    sums = each.groupBy(F.col("e.slot").alias("slot")).agg(
+        F.sum(F.col("error_at_zero") * F.col("e.value")).alias("start"), F.sum(F.col("error") * F.col("e.value")).alias("pull")
+    )
+    intercept = SparkSession.active().createDataFrame([(-1, "intercept", "intercept", 0.0)], "slot int, block string, feature string, coefficient double")
+    named = slots(classifier).join(weight_table(classifier), "slot").select("slot", "block", "feature", "coefficient").unionByName(intercept)
+    penalty = F.col("coefficient") / (c * n_rows)
+    return named.join(sums, "slot", "left").select(
+        "slot", "block", "feature", F.coalesce("start", F.lit(0.0)).alias("start"), (F.coalesce("pull", F.lit(0.0)) + penalty).alias("gradient")
+    )
 
 
 def best_model(results: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.linalg import Vectors, VectorUDT
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchlake import rules
@@ -68,6 +70,17 @@ def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return raw.withColumn("weight", F.col("raw") / norm).drop("raw")
 
 
+def sparse_column(indices: Column, values: Column, size: int) -> Column:
+    """A sparse vector of sorted ``indices`` and ``values``: whole Arrow columns get another name, no row is touched."""
+
+    @F.arrow_udf(returnType=VectorUDT())
+    def relabel(i: pa.Array, v: pa.Array) -> pa.Array:
+        sparse, length = pa.array(np.zeros(len(i), dtype=np.int8)), pa.array(np.full(len(i), size, dtype=np.int32))
+        return pa.StructArray.from_arrays([sparse, length, i, v], names=["type", "size", "indices", "values"])
+
+    return relabel(F.coalesce(indices, F.array().cast("array<int>")), F.coalesce(values, F.array().cast("array<double>")))
+
+
 @dataclass
 class TfIdf:
     """A fitted vocabulary: (term, index, idf), at most ``size`` rows."""
@@ -76,31 +89,28 @@ class TfIdf:
     size: int
     pattern: str
 
-    def transform(self, df: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
-        """``df`` with a sparse vector per row; a row holds at most ``size`` entries."""
-        weighted = weights(term_counts(df, doc_id, text, self.pattern), self.vocab)
-        entry = F.struct("index", "weight")
+    def transform(self, df: DataFrame, doc_id: str, text: str, out: str, counts: DataFrame | None = None) -> DataFrame:
+        """``df`` with a sparse vector per row; a row holds at most ``size`` entries.
+
+        ``counts`` are the term counts of its rows, where they are stored already.
+        """
+        if counts is None:
+            counts = term_counts(df, doc_id, text, self.pattern)
         per_doc = (
-            weighted.groupBy("doc")
-            .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+            weights(counts, self.vocab)
+            .groupBy("doc")
+            .agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("entries"))
             .withColumnRenamed("doc", doc_id)
         )
-        size = self.size
-
-        @F.udf(returnType=VectorUDT())
-        def sparse(indices, values):
-            return Vectors.sparse(size, indices or [], values or [])
-
-        return (
-            df.join(per_doc, doc_id, "left")
-            .withColumn(out, sparse(F.col("entries.index"), F.col("entries.weight")))
-            .drop("entries")
-        )
+        vector = sparse_column(F.col("entries.index"), F.col("entries.weight"), self.size)
+        return df.join(per_doc, doc_id, "left").withColumn(out, vector).drop("entries")
 
 
-def fit(df: DataFrame, doc_id: str, text: str, pattern: str = WORD, **limits) -> TfIdf:
+def fit(df: DataFrame, doc_id: str, text: str, pattern: str = WORD, counts: DataFrame | None = None, **limits) -> TfIdf:
     """Vocabulary of the training rows; its at most ``max_terms`` terms are numbered in order."""
-    vocab = vocabulary(term_counts(df, doc_id, text, pattern), df.count(), **limits).select("term", "idf")
+    if counts is None:
+        counts = term_counts(df, doc_id, text, pattern)
+    vocab = vocabulary(counts, df.count(), **limits).select("term", "idf")
     rows = sorted((r.term, r.idf) for r in vocab.collect())
     table = df.sparkSession.createDataFrame(
         [(t, i, idf) for i, (t, idf) in enumerate(rows)], "term string, index int, idf double"

@@ -706,11 +706,11 @@ ORACLE["q_graph_histograms"] = with_bindings(_GRAPH_TABLES, f"""
 with {_GRAPH}
 select node_type as name, count(*) as records from nodes group by 1 union all select relation, count(*) from edges group by 1
 """)
-ORACLE["q_first_edges"] = with_bindings(_GRAPH_TABLES, f"""
-with {_GRAPH}, e as (select distinct src, dst, relation from edges where relation = 'CALLS' order by src, dst limit 20)
-select src, dst, relation, s.label as src_name, s.file as src_file, t.label as dst_name, t.file as dst_file
-from e join nodes s on s.id = src join nodes t on t.id = dst
-""")
+ORACLE["q_first_edges"] = """
+select 'part' || l_partkey as src, 'supplier' || l_suppkey as dst, 'SUPPLIES' as relation,
+       min(p_name) as src_name, min(p_brand) as src_file, min(s_name) as dst_name, min('nation' || s_nationkey) as dst_file
+from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey where l_linenumber = 1 group by 1, 2 order by 1, 2 limit 20
+"""
 _SUPPLY = """
 e as (select distinct 'part' || l_partkey as src, 'supplier' || l_suppkey as dst from lineitem),
 s as (select min('part' || p_partkey) as id from part where contains(p_name, 'red w')),
@@ -784,14 +784,71 @@ from documents d left join l using (lang) left join s using (source)
 """
 
 
-def _zeros(names: list[str]) -> str:
-    return f"select unnest([{', '.join(repr(n) for n in [*names, 'intercept'])}]) as feature, 0.0::double as gradient"
+_WORD, _LONG_WORD = r"[\p{L}\p{N}_]+", r"[\p{L}\p{N}_][\p{L}\p{N}_]+"
+
+
+def _fit_sql(word: str | None, numerics: list[str], categories: list[str], text: str = "text") -> str:
+    """Slopes of the loss at zero weights for every feature of the rows r(id, y, ...); at the fitted ones they are zero.
+
+    Balanced weights give a row of a class with m rows the error (0.5 - y) / (2 m).
+    """
+    parts = ["select 'intercept' as block, 'intercept' as feature, sum(e) as start from e"]
+    steps = ["e as (select *, (0.5::double - y) / (2 * count(*) over (partition by y)) as e from r)"]
+    if word:
+        steps.append(rf"""
+w as (select id, regexp_extract_all(lower({text}), '{word}') as words from r),
+t as (select id, unnest(words) as term from w
+  union all select id, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as term from w),
+tf as (select id, term, count(*) as tf from t group by 1, 2),
+voc as (select term, count(*) as df from tf group by 1
+  having count(*) >= 2 and count(*) <= (select count(*) from r) * 0.95::double order by sum(tf) desc, term limit {rules.MAX_TERMS}),
+raw as (select id, term, (ln(tf) + 1) * (ln((1 + (select count(*) from r))::double / (1 + df)) + 1) as x from tf join voc using (term)),
+x as (select id, term, x / sqrt(sum(x * x) over (partition by id)) as x from raw)""")
+        parts.append("select 'term', term, sum(e * x) from x join e using (id) group by term")
+    for name in numerics:
+        parts.append(
+            f"select 'numeric', '{name}', sum(e * ({name} - (select avg({name}) from r)) / (select coalesce(nullif(stddev_pop({name}), 0), 1) from r)) from e"
+        )
+    parts += [f"select '{name}', {name}, sum(e) from e group by {name}" for name in categories]
+    return (
+        ",\n".join(steps)
+        + f"\nselect block, feature, round(start, 6) + 0.0::double as start, 0.0::double as gradient from (\n{' union all '.join(parts)})"
+    )
+
+
+_TRAIN_RECORDS = rf"""
+with {_RANKED_LABELS}, r as (
+  select doc_id as id, quality as y, source || chr(10) || chr(10) || patch as joined, patch, lang as change_type, case when lang = 'en' then '.py' else '.js' end as extension,
+         len({_lines('patch', '+')})::double as added, len({_lines('patch', '-')})::double as removed, added + removed as total_changes, added - removed as change_balance
+  from patches join k using (doc_id) where {_split('r', 'n')} = 'train'
+)"""
+_CHANGE_NUMERICS = ["added", "removed", "total_changes", "change_balance"]
+
+
+def _records_fit(text: str, word: str, numerics: list[str], categories: list[str]) -> str:
+    return with_bindings(["patches"], f"{_TRAIN_RECORDS},\n{_fit_sql(word, numerics, categories, text)}")
+
 
+ORACLE["q_lr_text_fit"] = _records_fit("joined", _LONG_WORD, [], [])
+ORACLE["q_lr_patch_fit"] = _records_fit("patch", _WORD, [], [])
+ORACLE["q_lr_hybrid_fit"] = _records_fit("patch", _WORD, _CHANGE_NUMERICS, ["change_type", "extension"])
 
-ORACLE["q_lr_history_fit"] = _zeros(rules.HISTORY_FEATURES)
-ORACLE["q_lr_hybrid_fit"] = _zeros(["added", "removed", "total_changes", "change_balance"])
-ORACLE["q_lr_text_fit"] = ORACLE["q_lr_patch_fit"] = _zeros([])
-ORACLE["q_lr_historical_hybrid_fit"] = _zeros(["added", "removed", "total_changes", "change_balance", *rules.HISTORY_FEATURES])
+_TRAIN_CHANGES = rf"""
+with hf as ({ORACLE['q_history_features']}),
+h as (select * from file_changes where parent_count > 0),
+t as (select commit_hash, min(timestamp) as ts from h group by 1),
+k as (select commit_hash, row_number() over (order by ts, commit_hash) - 1 as r, count(*) over () as n from t),
+r as (
+  select commit_hash || ':' || file_path as id, ({LABEL_OF_CHANGE})::int as y, coalesce(p.patch, '') as text, coalesce(flag, 'unknown') as change_type,
+         regexp_extract(lower(file_path), '(\.[^./]+)$', 1) as extension, insertions::double as added, deletions::double as removed,
+         added + removed as total_changes, added - removed as change_balance, hf.* exclude (commit_hash, file_path)
+  from h join k using (commit_hash) join hf using (commit_hash, file_path) left join patches p on commit_hash = 'c' || p.doc_id
+  where k.r < floor(n * 0.7::double)
+)"""
+ORACLE["q_lr_history_fit"] = with_bindings(["file_changes", "patches"], f"{_TRAIN_CHANGES},\n{_fit_sql(None, rules.HISTORY_FEATURES, [])}")
+ORACLE["q_lr_historical_hybrid_fit"] = with_bindings(
+    ["file_changes", "patches"], f"{_TRAIN_CHANGES},\n{_fit_sql(_WORD, [*_CHANGE_NUMERICS, *rules.HISTORY_FEATURES], ['change_type', 'extension'])}"
+)
 ORACLE["q_lr_history_report"] = with_bindings(["file_changes"], f"""
 with h as (select * from file_changes where parent_count > 0),
 t as (select commit_hash, min(timestamp) as ts from h group by 1),
@@ -801,3 +858,63 @@ select case when r < floor(n * 0.85::double) then 'validation' else 'test' end a
 from h join k using (commit_hash) where r >= floor(n * 0.7::double) group by 1
 """)
 ORACLE["q_stream_trained"] = "select doc_id, true as agrees from documents"
+
+# --- training in steps --------------------------------------------------------
+
+
+def _training_history(strengths: list[float], max_steps: int, patience: int) -> str:
+    """Accelerated gradient steps one after the other; stops and choices are made afterwards from all steps."""
+    scaled = ", ".join(
+        f"(f.{x} - (select avg({x}) from f where split = 'train')) / (select stddev_pop({x}) from f where split = 'train') as x{i}"
+        for i, x in enumerate(["added", "removed"])
+    )
+    ctes = [f"""
+with {_RANKED_LABELS},
+f as (
+  select doc_id, quality as y, {_split('r', 'n')} as split, len({_lines('patch', '+')})::double as added, len({_lines('patch', '-')})::double as removed
+  from patches join k using (doc_id)),
+m as (select y, (sum(count(*)) over ())::double / (2 * count(*)) as w from f where split = 'train' group by y),
+z as materialized (select f.split, f.y, m.w, {scaled} from f join m using (y)),
+tr as (select * from z where split = 'train'), va as (select * from z where split = 'validation'),
+bound as (select count(*)::double as n, sum(w * (x0 * x0 + x1 * x1 + 1)) / count(*) as b from tr),
+start0 as (select 0.0::double as w0, 0.0::double as w1, 0.0::double as c)"""]
+    for run, strength in enumerate(sorted(strengths)):
+        ctes.append(f"s{run}_0 as (select *, w0 as p0, w1 as p1, c as pc from start{run})")
+        for step in range(1, max_steps + 1):
+            pull = (step - 1) / (step + 2)
+            ctes.append(f"""
+s{run}_{step} as materialized (
+  with a as (select w0 as n0, w1 as n1, c as nc, w0 + {pull!r}::double * (w0 - p0) as a0, w1 + {pull!r}::double * (w1 - p1) as a1, c + {pull!r}::double * (c - pc) as ac from s{run}_{step - 1}),
+  e as (select w * (1 / (1 + exp(-(x0 * a0 + x1 * a1 + ac))) - y) as e, x0, x1 from tr, a),
+  g as (select sum(e * x0) as g0, sum(e * x1) as g1, sum(e) as gc from e)
+  select a0 - (g0 / n + a0 / ({strength!r}::double * n)) / rate as w0, a1 - (g1 / n + a1 / ({strength!r}::double * n)) / rate as w1, ac - gc / n / rate as c, n0 as p0, n1 as p1, nc as pc
+  from a, g, (select n, 0.25::double * b + 1 / ({strength!r}::double * n) as rate from bound)),
+v{run}_{step} as (
+  select {step} as step, w0, w1, c, sum(w * (ln(1 + exp(m)) - y * m)) / sum(w) as loss,
+    2.0::double * count(*) filter (m > 0 and y = 1) / (2 * count(*) filter (m > 0 and y = 1) + count(*) filter ((m > 0) <> (y = 1))) as f1
+  from (select w, y, w0, w1, c, x0 * w0 + x1 * w1 + c as m from va, s{run}_{step}) group by w0, w1, c)""")
+        every = " union all ".join(f"select * from v{run}_{step}" for step in range(1, max_steps + 1))
+        ctes.append(f"""
+h{run} as materialized (
+  with v as ({every}),
+  o as (select a.*, not exists (select 1 from v b where b.step < a.step and (b.f1 > a.f1 or (b.f1 = a.f1 and b.loss <= a.loss))) as gain from v a),
+  d as (select *, sum(case when gain then 0 else 1 end) over (order by step rows between {patience - 1} preceding and current row) = {patience} as stop from o)
+  select {run} as run, {strength!r}::double as strength, *, stop as stopped from d where step <= coalesce((select min(step) from d where stop), {max_steps})),
+start{run + 1} as (select w0, w1, c from h{run} where gain order by step desc limit 1)""")
+    alls = " union all ".join(f"select * from h{run}" for run in range(len(strengths)))
+    return with_bindings(["patches"], ",\n".join(ctes) + f""",
+alls as ({alls})
+select run, step, strength as c, round(loss, 6) as loss, round(f1, 6) as f1, gain, stopped,
+  row_number() over (order by f1 desc, loss, run, step) = 1 as chosen from alls""")
+
+
+ORACLE["q_model_texts"] = with_bindings(["patches"], """
+with r as (select doc_id, case when lang <> 'de' then source else '' end as m, case when lang <> 'fr' then patch else '' end as p from patches)
+select doc_id, md5(m || chr(10) || chr(10) || p) as both_md5, md5(p) as alone_md5 from r
+""")
+ORACLE["q_invalid_labels"] = """
+select doc_id, label from (select doc_id, case when doc_id % 7 <> 0 then quality + toxic end as label from labels)
+where label is null or label not in (0, 1)
+"""
+ORACLE["q_training_history"] = _training_history([0.001, 1.0], 6, 2)
+ORACLE["q_stream_history"] = ORACLE["q_history_features"]

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from patchlake import rules
 from patchlake.functions import encode, numeric, patch, paths, text
 from patchlake.operators import (
-    bpe, candidates, codegraph, dedup, features, history, manifest, metrics, models, quality, splits, structure, tfidf,
+    bpe, candidates, codegraph, dedup, features, history, manifest, metrics, models, quality, splits, structure, tfidf, training,
 )
 from patchlake.plans import bindings as b
 from patchlake.session import scratch_path, stored
 from patchlake.sources import gitlog
-from patchlake.streaming import scoring
+from patchlake.streaming import history as arrival, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -724,8 +724,12 @@ def graph_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def first_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = codegraph.call_edges(_calls(spark, sf_dir)).select("src", "dst", "relation").distinct()
-    return codegraph.first_edges(edges, codegraph.function_nodes(b.functions(spark, sf_dir)), "CALLS", 20, ["src", "dst"])
+    """The first edges between parts and suppliers; edges of other lines belong to another relation."""
+    relation = F.when(F.col("l_linenumber") == 1, "SUPPLIES").otherwise("RESTOCKS").alias("relation")
+    lines = b.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("part"), "l_partkey").alias("src"), F.concat(F.lit("supplier"), "l_suppkey").alias("dst"), relation)
+    parts = b.table(spark, sf_dir, "part").select(F.concat(F.lit("part"), "p_partkey").alias("id"), F.col("p_name").alias("qualified_name"), F.col("p_brand").alias("file"))
+    suppliers = b.table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier"), "s_suppkey"), "s_name", F.concat(F.lit("nation"), "s_nationkey"))
+    return codegraph.first_edges(lines.distinct(), parts.unionAll(suppliers), "SUPPLIES", 20, ["src", "dst"])
 
 
 def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -880,48 +884,54 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", *[place(c) for c in features.CATEGORIES])
 
 
-def _zero_gradient(classifier: models.Classifier, rows: DataFrame) -> DataFrame:
+def _fit_proof(classifier: models.Classifier, rows: DataFrame) -> DataFrame:
+    """Slope of the loss for every feature where training starts, and where it ended as a share of the steepest start."""
+    slopes = stored(models.gradient(classifier, rows), "slopes")
+    steepest = slopes.agg(F.max(F.abs("start"))).scalar()
     # Adding zero turns a rounded -0.0 into 0.0.
-    return models.gradient(classifier, rows).select("feature", (F.round("gradient", 2) + F.lit(0.0)).alias("gradient"))
+    return slopes.select(
+        "block", "feature", (F.round("start", 6) + F.lit(0.0)).alias("start"),
+        (F.round(F.col("gradient") / steepest, 2) + F.lit(0.0)).alias("gradient"),
+    )
 
 
 @query
 def lr_history_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fit of the history model: its gradient over the training rows is zero."""
+    """The fit of the history model: its slopes over the training rows are zero."""
     rows = _history_records(spark, sf_dir).filter("split = 'train'")
-    return _zero_gradient(models.train_history_only(rows), features.history_columns(rows, missing_days=0.0))
+    return _fit_proof(models.train_history_only(rows), features.history_columns(rows, missing_days=0.0))
 
 
 @query
 def lr_hybrid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fit of the hybrid model, text and categories included; gradient of the numerics."""
+    """The fit of the hybrid model, for every term, numeric and category."""
     rows = _document_records(spark, sf_dir).filter("split = 'train'")
     ready = features.change_columns(rows).withColumn("model_text", features.model_text(None, F.col("patch")))
-    return _zero_gradient(models.train_hybrid(rows), ready)
+    return _fit_proof(models.train_hybrid(rows), ready)
 
 
 @query
 def lr_text_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fit of the message and patch model: gradient of its intercept."""
+    """The fit of the message and patch model, for every term of its vocabulary."""
     rows = _document_records(spark, sf_dir).filter("split = 'train'")
     text_ = features.model_text(F.col("message"), F.col("patch"))
-    return _zero_gradient(models.train_message_and_patch(rows), rows.withColumn("model_text", text_))
+    return _fit_proof(models.train_message_and_patch(rows), rows.withColumn("model_text", text_))
 
 
 @query
 def lr_patch_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fit of the patch model: gradient of its intercept."""
+    """The fit of the patch model, for every term of its vocabulary."""
     rows = _document_records(spark, sf_dir).filter("split = 'train'")
-    return _zero_gradient(models.train_patch_only(rows), rows.withColumn("model_text", features.model_text(None, F.col("patch"))))
+    return _fit_proof(models.train_patch_only(rows), rows.withColumn("model_text", features.model_text(None, F.col("patch"))))
 
 
 @query
 def lr_historical_hybrid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fit of the model with text, categories, change and history numerics."""
+    """The fit of the model with text, categories, change and history numerics, for every place of its vectors."""
     documents = b.patches(spark, sf_dir).select(F.concat(F.lit("c"), "doc_id").alias("commit_hash"), "patch")
     rows = stored(_history_records(spark, sf_dir).join(documents, "commit_hash", "left").filter("split = 'train'"), "records")
     ready = features.history_columns(features.change_columns(rows)).withColumn("model_text", features.model_text(None, F.col("patch")))
-    return _zero_gradient(models.train_historical_hybrid(rows), ready)
+    return _fit_proof(models.train_historical_hybrid(rows), ready)
 
 
 @query
@@ -939,6 +949,44 @@ def lr_history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.join(found, "split").select("split", "rows", "positives", agrees.alias("accuracy_agrees"))
 
 
+@query
+def training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of two runs with warm start, stops and choice, on two numerics."""
+    rows = features.change_columns(_document_records(spark, sf_dir))
+    train_rows, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
+    blocks, _ = models.fit_blocks(train_rows, numerics=["added", "removed"])
+    found = training.choose(train_rows, validation, blocks, (0.001, 1.0), iterations=1, max_steps=6, patience=2).history
+    return found.select("run", "step", "c", F.round("loss", 6).alias("loss"), F.round("f1", 6).alias("f1"), "gain", "stopped", "chosen")
+
+
+@query
+def trained_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid classifier chosen on validation data, applied to the test rows."""
+    rows = features.change_columns(_document_records(spark, sf_dir)).withColumn("model_text", features.model_text(None, F.col("patch")))
+    train_rows, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
+    blocks, _ = models.fit_blocks(train_rows, numerics=features.CHANGE_NUMERICS, categories=features.CATEGORIES, text_pattern=tfidf.WORD)
+    choice = training.choose(train_rows, validation, blocks, (0.1, 1.0), iterations=3, max_steps=8)
+    return _scores(choice.classifier, rows.filter("split = 'test'"))
+
+
+@query
+def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message and patch, and the patch alone, as the text models read them; some have no message or no patch."""
+    rows = b.patches(spark, sf_dir).select(
+        "doc_id", F.when(F.col("lang") != "de", F.col("source")).alias("message"), F.when(F.col("lang") != "fr", F.col("patch")).alias("patch")
+    )
+    both, alone = features.model_text(F.col("message"), F.col("patch")), features.model_text(None, F.col("patch"))
+    return rows.select("doc_id", F.md5(both).alias("both_md5"), F.md5(alone).alias("alone_md5"))
+
+
+@query
+def invalid_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose label is missing or neither 0 nor 1."""
+    label = F.when(F.col("doc_id") % 7 != 0, F.col("quality") + F.col("toxic"))
+    rows = b.table(spark, sf_dir, "labels").select("doc_id", label.alias("label"))
+    return features.invalid_labels(rows)
+
+
 @query
 def stream_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests scored in a stream by a classifier that was trained, saved and loaded; same scores as the batch."""
@@ -965,11 +1013,44 @@ def stream_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", agrees.alias("agrees"))
 
 
+@query
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History features of changes that arrive in five batches, a third of them late, from state per path."""
+    changes = b.file_changes(spark, sf_dir).filter("parent_count > 0")
+    rows = history.history_rows(changes.withColumn("request_id", F.concat_ws("|", "commit_hash", "file_path")), carry=["request_id"])
+    late = F.pmod(F.crc32("request_id"), F.lit(3)) * (10 * history.DAY_US)
+    placed = stored(
+        rows.withColumnRenamed("commits", "changes").withColumn("arrival", F.col("us") + late).withColumn("event_time", F.timestamp_micros("us")), "events"
+    )
+    low, high = placed.agg(F.min("arrival"), F.max("arrival")).first()
+    work = scratch_path(spark, "stream")
+    columns = ["path", "event_time", "request_id", "changes", "fixes", "plus", "minus", "author"]
+    for i in range(5):
+        batch = F.least(F.expr(f"(arrival - {low}) * 5 div ({high} - {low} + 1)"), F.lit(4)) == i
+        placed.filter(batch).select(*columns).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    # A row far ahead moves the watermark past all others.
+    end = placed.agg(F.max("us").alias("us")).select(
+        F.lit("end").alias("path"), F.timestamp_micros(F.col("us") + 4000 * history.DAY_US).alias("event_time"), F.lit(None).cast("string").alias("request_id"),
+        *[F.lit(0).cast("bigint").alias(c) for c in columns[3:7]], F.lit(None).cast("string").alias("author"),
+    )
+    end.coalesce(1).write.mode("append").parquet(f"{work}/in")
+    events = spark.readStream.schema(placed.select(*columns).schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    running = (
+        arrival.history_at_arrival(events, "40 days").writeStream.format("parquet").option("path", f"{work}/out")
+        .option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    answered = spark.read.parquet(f"{work}/out")
+    return answered.select(
+        F.split_part("request_id", F.lit("|"), F.lit(1)).alias("commit_hash"), F.col("path").alias("file_path"), *rules.HISTORY_FEATURES
+    )
+
+
 @query
 def coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _history_records(spark, sf_dir)
     classifier = models.train_history_only(rows.filter("split = 'train'"))
-    return models.coefficients(classifier, rows)
+    return models.coefficients(classifier)
 
 
 # A stored linear scorer: means, scales and weights by feature.

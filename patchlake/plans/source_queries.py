@@ -62,6 +62,28 @@ def jsonl_lax(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(
+    """with l as (
+      select doc_id, lang, doc_id % 7 = 0 as bad,
+        coalesce(sum(case when doc_id % 5 = 0 then 2 else 1 end) over (partition by lang order by doc_id rows between unbounded preceding and 1 preceding), 0) as before
+      from documents)
+    select doc_id, lang, cast(before + 1 as bigint) as line_no from l where bad"""
+)
+def jsonl_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1: lines that are no objects, with their numbers; one file per language, blank lines between the records."""
+    path = scratch_path(spark, "jsonl")
+    rows = _texts(spark, sf_dir).drop("lang").join(b.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    broken = F.concat(F.lit("broken "), F.col("doc_id").cast("string"), F.lit(" {"))
+    line = F.when(F.col("doc_id") % 7 == 0, broken).otherwise(F.to_json(F.struct(*rows.columns)))
+    blank = F.when(F.col("doc_id") % 5 == 0, F.lit("\n")).otherwise(F.lit(""))
+    files = rows.select("lang", F.concat(line, blank).alias("value"), "doc_id").repartition("lang").sortWithinPartitions("lang", "doc_id")
+    files.drop("doc_id").write.partitionBy("lang").text(path)
+    bad = tables.bad_lines(spark, path, TEXTS)
+    return bad.select(
+        F.regexp_extract("line", r"\d+", 0).cast("bigint").alias("doc_id"), F.regexp_extract("file", "/lang=([^/]*)/", 1).alias("lang"), "line_no"
+    )
+
+
 @_query(
     """select '{"doc_id":' || doc_id || ',"lang":' || case when lang = 'es' then 'null' else '"' || lang || '"' end || ',"source":"é' || source || '"}' as line
     from documents"""

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructType
 
+from patchlake.session import stored
+
 CORRUPT = "_corrupt_record"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """One object per line, blank lines skipped. A line that is not a JSON object fails the read."""
+    """One object per line, blank lines skipped. A line that is not a JSON object fails the read.
+
+    :func:`require_objects` says beforehand which line of which file that is.
+    """
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_jsonl_lax(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and the text of lines that could not be read."""
+    """Good rows, and the lines that could not be read, see :func:`bad_lines`."""
     with_text = StructType([*schema.fields]).add(CORRUPT, StringType())
     rows = spark.read.schema(with_text).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
@@ -23,13 +28,36 @@ def read_jsonl_lax(spark: SparkSession, path: str, schema: StructType) -> tuple[
 
 
 def bad_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Lines that are not blank and not objects of the schema, with their file and their text."""
+    """(file, line_no, line): lines that are not blank and not objects of the schema, numbered from 1 in their file.
+
+    A file is read in blocks by several tasks. One pass counts the lines of each
+    block and keeps its bad ones with their place among the rows of the block,
+    which are read in order; the counts of the blocks before give the number in
+    the file. Blank lines count. Only bad lines and one row per block move.
+    """
     with_text = StructType([*schema.fields]).add(CORRUPT, StringType())
     parsed = F.from_json("value", with_text, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    text = spark.read.text(path).filter(F.trim("value") != "")
-    flagged = text.select(F.col("_metadata.file_path").alias("file"), "value", parsed.alias("parsed"))
-    broken = F.col("parsed").isNull() | F.col(f"parsed.{CORRUPT}").isNotNull()
-    return flagged.filter(broken).select("file", F.col("value").alias("line"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), "value", parsed.alias("parsed"),
+    )
+    broken = (F.trim("value") != "") & (F.col("parsed").isNull() | F.col(f"parsed.{CORRUPT}").isNotNull())
+    kept = F.collect_list(F.when(broken, F.struct("place", F.col("value").alias("line")))).alias("bad")
+    blocks = stored(
+        lines.groupBy("file", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("lines"), kept), "blocks"
+    )
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    found = blocks.select("file", "block", "first", F.explode("bad").alias("b"))
+    number = F.col("before") + F.col("b.place") - F.col("first") + 1
+    return found.join(offsets, ["file", "block"]).select("file", number.alias("line_no"), F.col("b.line").alias("line"))
+
+
+def require_objects(spark: SparkSession, path: str, schema: StructType) -> None:
+    """Fail with file and line number if a line is neither blank nor an object of the schema."""
+    first = bad_lines(spark, path, schema).orderBy("file", "line_no").first()
+    if first is not None:
+        raise ValueError(f"{first.file}:{first.line_no}: no object of the schema: {first.line[:200]}")
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
