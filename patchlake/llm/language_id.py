@@ -13,12 +13,12 @@ the softmax says, and with the log probability it decides what is rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -39,7 +39,8 @@ REJECTED_SHARE = 0.0005
 SLACK = 0.25
 # A training text counts as this many n-grams for the log shares, an unseen bucket as half of one.
 TEXT_WEIGHT = 1000
-_GAP = re.compile(r"[\W\d_]+")
+# Everything but letters (category L): digits, signs such as ² or ① and marks part words.
+_GAP = regex.compile(r"[^\p{L}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
