@@ -374,11 +374,38 @@ def test_sharding_brings_copies_together(spark):
     pairs = spark.range(4000).selectExpr("id as doc_id", "concat('t', if(id < 1600, id div 2, id)) as text")
     got = sharding.shard(pairs)
     assert got.where("n_cut > 0").count() == 0
+    for size, members in ((4, 800), (3, 600), (25, 800)):  # nothing is unlinked: rings and whole groups make room
+        groups = spark.range(members).selectExpr("id as doc_id", f"concat('g', id div {size}) as text")
+        got = sharding.shard(groups).collect()
+        counts = Counter(r.shard for r in got)
+        assert max(counts.values()) - min(counts.values()) <= 1
+        # A wish smaller than the groups that could make room for it stays open.
+        assert sum(r.n_cut > 0 for r in got) <= members // 5
     hot = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id)) as text")
     counts = [r[1] for r in sharding.shard(hot).groupBy("shard").count().collect()]
     assert max(counts) - min(counts) <= 1
 
 
+def test_quotas_keep_counts_and_use_rings():
+    rng = random.Random(7)
+    for _ in range(300):
+        shards = rng.randrange(2, 7)
+        wishes = {(s, t): rng.randrange(1, 30) for s in range(shards) for t in range(shards) if s != t and rng.random() < 0.4}
+        free = {s: rng.randrange(10) for s in range(shards)}
+        settled = {(s, g): rng.randrange(1, 5) for s in range(shards) for g in (2, 5) if rng.random() < 0.5}
+        admitted, back, groups = sharding._quotas(wishes, free, settled)
+        balance = Counter()
+        for (s, t), n in [*admitted.items(), *back.items(), *(((t, s), g * n) for (t, g), ways in groups.items() for s, n in ways)]:
+            balance[s] -= n
+            balance[t] += n
+        assert not any(balance.values())
+        assert all(0 <= n <= wishes[k] for k, n in admitted.items())
+        assert all(sum(n for (s, _), n in back.items() if s == k) <= free[k] for k in free)
+        assert all(sum(n for _, n in ways) <= settled[k] for k, ways in groups.items())
+        assert sharding._ring({k: n - admitted[k] for k, n in wishes.items()}) is None
+    assert sharding._quotas({(0, 1): 5, (1, 2): 7, (2, 0): 6}, {}, {})[0] == {(0, 1): 5, (1, 2): 5, (2, 0): 5}
+
+
 def test_token_counts(docs, rows, empty):
     import sentencepiece
 
