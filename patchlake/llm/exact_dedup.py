@@ -63,10 +63,12 @@ def _cut(block_bytes: int):
         first: dict[bytes, int] = {}
         for batch in slices(batches):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = batch.column(2).to_pylist() if batch.num_columns > 2 else None
+            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 text = _normalised_bytes(text)
                 n = max(1, -(-len(text) // block_bytes))
                 digest = hashlib.sha256(text).hexdigest()
+                at = rows[i] if rows else base + row
                 for pos in range(n):
                     block = text[pos * block_bytes : (pos + 1) * block_bytes]
                     rep = first.get(block)
@@ -78,7 +80,7 @@ def _cut(block_bytes: int):
                         rep = first[block] = base + occ
                         held += len(block) + 64
                     out.append(
-                        (base + row, doc_id, pos, n, rep, base + occ, block if new else None, digest if pos == 0 else None)
+                        (at, doc_id, pos, n, rep, base + occ, block if new else None, digest if pos == 0 else None)
                     )
                     occ += 1
                 row += 1
@@ -89,14 +91,18 @@ def _cut(block_bytes: int):
     return cut
 
 
-def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def identities(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, row: str | None = None
+) -> DataFrame:
     """(row, doc_id, text_sha256, n_blocks, name): one collision-free identity (n_blocks, name) per input row.
 
+    ``row`` names a column that numbers the rows; without it they are numbered here.
     The text crosses the network once, each distinct block of a task's table
     once. A block that a third of all rows hold reaches its namer as one row
     per such table; everything after that is narrow integers.
     """
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    numbers = [F.col(row).cast("bigint").alias("row")] if row else []
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"), *numbers)
     blocks = keep(source.mapInArrow(_cut(block_bytes), _BLOCKS_DDL), "blocks")
     by_block = Window.partitionBy("block")
     names = blocks.where("block is not null").select("rep", F.min("occ").over(by_block).alias("name"))
@@ -128,15 +134,18 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     return heads.join(ids.select("row", "n_blocks", "name"), "row")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, row: str | None = None
+) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256): one row per input row, dropped ones too.
 
     Texts are equal when identical after each run of ASCII white space became
     one space. Null counts as empty. Of equal texts the row with the smallest
     doc_id stays; of rows that repeat that doc_id as well, exactly one. A null
-    doc_id comes after all others. Other columns are ignored.
+    doc_id comes after all others. Other columns are ignored. With a ``row``
+    column, which numbers the rows, the result has it as well, as ``row``.
     """
-    ids = keep(identities(docs, doc_id, text, block_bytes), "identities")
+    ids = keep(identities(docs, doc_id, text, block_bytes, row), "identities")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     groups = keep(
         ids.groupBy("n_blocks", "name").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups"
@@ -147,19 +156,17 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
         "group_size",
         (F.col("first.row") == F.col("row")).alias("kept"),
         "text_sha256",
+        *(["row"] if row else []),
     )
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the copies, all its columns kept; rows that repeat a doc_id and text leave one."""
-    stay = exact_dedup(docs, doc_id, text).where("kept").select(
-        F.col("doc_id").alias("__stay"), F.col("text_sha256").alias("__stay_sha")
-    )
-    keyed = docs.withColumn("__sha", F.sha2(normalised(F.col(text)), 256))
-    repeats = Window.partitionBy(doc_id, "__sha").orderBy(F.lit(0))
-    return (
-        keyed.withColumn("__repeat", F.row_number().over(repeats))
-        .where("__repeat = 1")
-        .join(stay, F.col(doc_id).eqNullSafe(F.col("__stay")) & (F.col("__sha") == F.col("__stay_sha")), "left_semi")
-        .drop("__sha", "__repeat")
-    )
+    """``docs`` without the copies, all its columns kept; rows that repeat a doc_id and text leave one.
+
+    The rows are numbered and stored once; their identities decide, and the
+    numbers of those that stay drop the others in one join.
+    """
+    numbered = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", "zstd")
+    stay = keep(exact_dedup(numbered, doc_id, text, row="__row").where("kept").select(F.col("row").alias("__row")), "stay")
+    # What stays grows with the input, so it is never broadcast.
+    return numbered.join(stay.hint("merge"), "__row", "left_semi").drop("__row")
