@@ -147,7 +147,9 @@ def _bounded(percent: int):
     return bounded
 
 
-def _sets(words: int):
+def _sets(words: int, bits: bool):
+    """The set of every candidate text, or its bitmap only, if the text still is what its class says."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             found = [shingles(t, words) for t in batch.column(2).to_pylist()]
@@ -158,10 +160,9 @@ def _sets(words: int):
                     [
                         batch.column(0).take(pa.array(same)),
                         pa.array([len(found[i]) for i in same], pa.int32()),
-                        pa.array([found[i].tobytes() for i in same], pa.binary()),
-                        pa.array([bitmap(found[i]) for i in same], pa.binary()),
+                        pa.array([bitmap(found[i]) if bits else found[i].tobytes() for i in same], pa.binary()),
                     ],
-                    names=["cid", "n", "members", "bits"],
+                    names=["cid", "n", "content"],
                 )
 
     return sets
@@ -227,40 +228,47 @@ def _possible(percent: int, na: Column, nb: Column, ia: Column, ib: Column) -> C
     )
 
 
-def _sets_of(classes: DataFrame, chosen: DataFrame, source: DataFrame, words: int) -> DataFrame:
-    """(cid, n, members, bits): the sets of the chosen classes, made anew from one text of each.
+def _sets_of(classes: DataFrame, pairs: DataFrame, source: DataFrame, words: int, bits: bool) -> DataFrame:
+    """(cid, n, content): bitmaps or sets of all classes of ``pairs``, made anew from one text of each.
 
     Storing the sets of all documents would take more room than their texts; few
     are in a pair that passes the filters.
     """
+    chosen = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     wanted = keep(
         classes.join(chosen, "cid", "left_semi").select("cid", F.col("first_id").alias("wanted_id"), "digest"), "candidates"
     )
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return (
+    made = (
         source.join(side, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
         .select("cid", "digest", "text")
-        .mapInArrow(_sets(words), "cid bigint, n int, members binary, bits binary")
+        .mapInArrow(_sets(words, bits), "cid bigint, n int, content binary")
     )
+    return keep(made, "bitmaps" if bits else "sets")
+
+
+def _beside(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs with the contents of both ends, and the stored half of the way there."""
+    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("content").alias("left"))
+    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("content").alias("right"))
+    half = keep(pairs.join(left, "a"), "half_pairs")
+    return half.join(right, "b").select("a", "b", "na", "nb", "left", "right"), half
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar.
 
-    Bitmaps of the sets are joined to the pairs first; only pairs that these
-    allow get the sets themselves, which are eight times as large.
+    Bitmaps, an eighth of the size of the sets, are made for the classes of all
+    pairs; sets only for the classes of pairs that the bitmaps allow.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = keep(_sets_of(classes, ends, source, words), "sets")
-    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("left"))
-    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("right"))
-    half = keep(pairs.join(left, "a"), "half_pairs")
-    both = half.join(right, "b").select("a", "b", "na", "nb", "left", "right")
-    pairs = keep(both.mapInArrow(_bounded(percent), "a bigint, b bigint"), "possible")
-    first = keep(pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("left")), "a"), "half_pairs")
-    both = first.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("right")), "b").select("a", "b", "left", "right")
-    links = keep(both.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
-    discard(sets, half, first)
+    bitmaps = _sets_of(classes, pairs, source, words, True)
+    both, half = _beside(pairs, bitmaps)
+    possible = keep(both.mapInArrow(_bounded(percent), "a bigint, b bigint"), "possible")
+    discard(half, bitmaps)
+    sets = _sets_of(classes, possible, source, words, False)
+    both, half = _beside(possible, sets)
+    links = keep(both.select("a", "b", "left", "right").mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
+    discard(half, sets)
     return links
 
 
