@@ -37,7 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = ngram_join.ngram_join(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__stay"))
-    return docs.join(keep(stay, "stay"), F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    # What stays grows with the input, so it is never broadcast; the same holds for the times below.
+    return docs.join(keep(stay, "stay").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     mixed = mixing.mix(docs).select("doc_id", F.expr("if(size = 0, 0, (2 * taken + size) div (2 * size))").alias("times"))
     times = keep(mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").alias("__times")).where("__times > 0"), "times")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
+    joined = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
     return joined.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), "__times"))).drop("__id", "__times", "__n")
 
 
