@@ -1,16 +1,14 @@
-"""Subword vocabulary over a corpus of patches by repeated pair merges."""
+"""Pre-tokens of patches: their counts over a corpus, and subword ids by a given vocabulary."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlake import rules
-from patchlake.session import cut_lineage
-
-# A symbol stands between these two marks, so a merge is one plain replacement.
-OPEN, CLOSE = "\x01", "\x02"
+from patchlake.session import stored
 
 
 def training_text(df: DataFrame, patch: str = "patch") -> DataFrame:
@@ -33,113 +31,38 @@ def pre_token_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _byte_symbols(token: Column) -> Column:
-    """The UTF-8 bytes of a token as two-digit hex symbols between marks."""
-    return F.regexp_replace(F.hex(F.encode(token, "UTF-8")), "(..)", f"{OPEN}$1{CLOSE}")
-
+def _ids_of(tokenizer: str):
+    """Subword ids of distinct pre-tokens by a given vocabulary file; the library never sees a whole patch."""
 
-def _pairs(symbols: Column) -> Column:
-    inner = F.split(F.substring(symbols, F.lit(2), F.length(symbols) - 2), CLOSE + OPEN)
-    rest = F.greatest(F.size(inner) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(inner, F.lit(1), rest), F.slice(inner, F.lit(2), rest), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    )
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
 
+        library = Tokenizer.from_file(tokenizer)
+        library.encode_special_tokens = True
+        for batch in batches:
+            found = library.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], names=["token", "ids"])
 
-@dataclass(frozen=True)
-class Merge:
-    left: str
-    right: str
-    count: int
+    return encode
 
 
-def _independent(ranked: list[Merge], complete: bool, known: set[str]) -> list[Merge]:
-    """The merges at the head of ``ranked`` that may be done at once.
+def subword_ids(df: DataFrame, tokenizer: str, doc_id: str = "record_id", text: str = "patch") -> DataFrame:
+    """(doc_id, ids): the subword ids of every text by a byte-level vocabulary file that splits texts as :func:`pre_tokens` does.
 
-    A merge changes only the counts of pairs that share a symbol with it, and a
-    pair it creates is at most as frequent as such a pair. So a later merge is
-    safe if no pair that is at least as frequent shares a symbol with an earlier
-    one. Pairs beyond the end of the list may tie with its last entry. A merge
-    whose symbol exists already (``known``) may raise counts, so it comes last.
+    A dictionary of the distinct pre-tokens of all texts is encoded once and
+    joined back. A text sends each of its distinct pre-tokens once, with its
+    places, so a word of every text is one row per text; the adaptive skew join
+    splits it. Strings of special tokens are ordinary text; a null or empty text
+    has no ids. ``doc_id`` is unique.
     """
-    chosen: list[Merge] = []
-    symbols: set[str] = set()
-    made = set(known)
-    at = 0
-    while at < len(ranked):
-        end = at
-        while end < len(ranked) and ranked[end].count == ranked[at].count:
-            end += 1
-        if end == len(ranked) and not complete and chosen:
-            break
-        for i, merge in enumerate(ranked[at:end]):
-            tied = ranked[at:end]
-            if chosen and any({m.left, m.right} & symbols for m in tied):
-                return chosen
-            # Inside a tie, only the first entry is safe unless all are apart.
-            own = [s for m in tied for s in {m.left, m.right}]
-            chosen.append(merge)
-            if merge.left + merge.right in made:
-                return chosen
-            made.add(merge.left + merge.right)
-            if len(own) != len(set(own)) or (end == len(ranked) and not complete):
-                return chosen
-            if i == len(tied) - 1:
-                symbols.update(own)
-        at = end
-    return chosen
-
-
-def learn_merges(
-    counts: DataFrame,
-    n_merges: int,
-    min_count: int = rules.MIN_PAIR_COUNT,
-    look_ahead: int = 64,
-    merges_per_checkpoint: int = 40,
-) -> list[Merge]:
-    """The first ``n_merges`` merges, most frequent pair first, ties by the pair.
-
-    ``counts`` comes from :func:`pre_token_counts`: only distinct pre-tokens are
-    rewritten, never the corpus. A round sums pair counts (combined before the
-    shuffle), brings at most ``look_ahead`` pairs to the driver and does all
-    merges among them that cannot affect each other.
-    """
-    tokens = cut_lineage(counts.select(_byte_symbols(F.col("token")).alias("symbols"), "n"))
-    merges: list[Merge] = []
-    since = 0
-    while len(merges) < n_merges:
-        pairs = (
-            tokens.select(F.explode(_pairs(F.col("symbols"))).alias("p"), "n")
-            .groupBy("p.a", "p.b")
-            .agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= min_count)
-            .orderBy(F.desc("n"), "a", "b")
-            .limit(look_ahead)
-        )
-        ranked = [Merge(r.a, r.b, r.n) for r in pairs.collect()]
-        if not ranked:
-            break
-        known = {m.left + m.right for m in merges}
-        batch = _independent(ranked, len(ranked) < look_ahead, known)[: n_merges - len(merges)]
-        symbols = F.col("symbols")
-        for m in batch:
-            symbols = F.replace(
-                symbols, F.lit(f"{OPEN}{m.left}{CLOSE}{OPEN}{m.right}{CLOSE}"), F.lit(f"{OPEN}{m.left}{m.right}{CLOSE}")
-            )
-        tokens = tokens.withColumn("symbols", symbols)
-        merges += batch
-        since += len(batch)
-        if since >= merges_per_checkpoint:
-            tokens, since = cut_lineage(tokens), 0
-    return merges
-
-
-def train(texts: DataFrame, size: int = rules.VOCABULARY_SIZE, **options) -> tuple[list[str], list[Merge]]:
-    """Vocabulary (special tokens, bytes seen, merged symbols, in hex) and its merges."""
-    counts = cut_lineage(pre_token_counts(texts))
-    inner = F.regexp_extract_all(F.hex(F.encode("token", "UTF-8")), F.lit("(..)"), F.lit(1))
-    # At most 256 distinct bytes.
-    seen = [r.b for r in counts.select(F.explode(inner).alias("b")).distinct().orderBy("b").collect()]
-    base = [*rules.SPECIAL_TOKENS, *seen]
-    merges = learn_merges(counts, max(size - len(base), 0), **options)
-    return list(dict.fromkeys([*base, *[m.left + m.right for m in merges]])), merges
+    dealt = df.select(F.col(doc_id).alias("doc"), F.coalesce(text, F.lit("")).alias("text")).repartition("doc")
+    spots = dealt.select("doc", F.posexplode(pre_tokens(F.col("text"))).alias("place", "token"))
+    # Dealt by document already: this groups inside the tasks.
+    used = stored(spots.groupBy("doc", "token").agg(F.collect_list("place").alias("places")), "pre_tokens")
+    dictionary = stored(used.select("token").distinct().mapInArrow(_ids_of(tokenizer), "token string, ids array<int>"), "dictionary")
+    placed = used.join(dictionary, "token").select("doc", "ids", F.explode("places").alias("place"))
+    per_doc = placed.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
+    ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
+    return df.select(F.col(doc_id).alias("doc")).join(per_doc, "doc", "left").select(
+        F.col("doc").alias(doc_id), F.coalesce(ids, F.array().cast("array<int>")).alias("ids")
+    )

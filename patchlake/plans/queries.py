@@ -507,6 +507,20 @@ def encode_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _joined(F.col("e"), "input_ids"), _joined(F.col("e"), "attention_mask"))
 
 
+@query
+def subword_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches as subword ids of a public vocabulary, whole and as model input of both kinds."""
+    import public_tokenizers
+
+    rows = bpe.subword_ids(b.patches(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
+    fixed, prefix = encode.head_and_tail(F.col("ids"), 1024), encode.head_only(F.col("ids"), 256)
+    digest = lambda ids: F.md5(F.array_join(F.transform(ids, lambda i: i.cast("string")), " "))
+    return rows.select(
+        "doc_id", F.size("ids").alias("n_ids"), digest(F.col("ids")).alias("ids_md5"), digest(fixed["input_ids"]).alias("fixed_md5"),
+        digest(prefix["input_ids"]).alias("prefix_md5"), F.aggregate(fixed["attention_mask"], F.lit(0), lambda s, m: s + m).alias("n_seen"),
+    )
+
+
 @query
 def encode_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _word_lengths(spark, sf_dir).select("doc_id", encode.head_only(F.col("ids"), 64).alias("e"))

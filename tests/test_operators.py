@@ -295,42 +295,18 @@ def test_published_metrics_follow_from_their_matrix(spark):
     assert [round(100 * row[c], 2) for c in ("accuracy", "precision", "recall", "f1")] == [77.92, 81.19, 86.37, 83.7]
 
 
-def loop_merges(counts, n_merges):
-    words = {tuple(f"{b:02X}" for b in w.encode()): n for w, n in counts.items()}
-    merges = []
-    for _ in range(n_merges):
-        pairs = {}
-        for word, n in words.items():
-            for pair in zip(word, word[1:]):
-                pairs[pair] = pairs.get(pair, 0) + n
-        pairs = {p: n for p, n in pairs.items() if n >= 2}
-        if not pairs:
-            break
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        merges.append((*best, pairs[best]))
-        merged = {}
-        for word, n in words.items():
-            out, i = [], 0
-            while i < len(word):
-                if word[i : i + 2] == best:
-                    out.append(word[i] + word[i + 1])
-                    i += 2
-                else:
-                    out.append(word[i])
-                    i += 1
-            merged[tuple(out)] = merged.get(tuple(out), 0) + n
-        words = merged
-    return merges
-
-
-def test_merges_equal_a_loop(spark):
+def test_subword_ids_equal_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
     rng = random.Random(8)
-    texts = [" ".join(rng.choice(["aaab", "abab", "bca", "été", "x+=1;", "don't"]) for _ in range(30)) for _ in range(20)]
-    df = spark.createDataFrame([(t,) for t in texts], "patch string")
-    counts = bpe.pre_token_counts(bpe.training_text(df))
-    table = dict(rows_of(counts))
-    got = bpe.learn_merges(counts, 14, look_ahead=8, merges_per_checkpoint=5)
-    assert [(m.left, m.right, m.count) for m in got] == loop_merges(table, 14)
+    pieces = ["aaab", " don't", "\t", "  \n   x", "x+=1;", " été", "日本", "🙂", "+++", "-def f(a, b):", " 12345", "\u00a0", "<|endoftext|>", "\r\n", "_y_"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(80)))) for i in range(40)] + [(40, None), (41, ""), (42, "   ")]
+    got = bpe.subword_ids(spark.createDataFrame(rows, "record_id int, patch string"), path)
+    assert {r.record_id: r.ids for r in got.collect()} == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in rows}
 
 
 def test_classifier_learns_and_scores(spark):
