@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from patchlake import rules
 from patchlake.functions.text import is_fix_like
@@ -10,6 +13,7 @@ from patchlake.session import stored
 
 DAY_US = 86_400_000_000
 _MEASURES = ["commits", "fixes", "plus", "minus", "authors"]
+_KEPT = f"path string, us bigint, {', '.join(f'{m} bigint' for m in _MEASURES)}, batch int"
 
 
 def _micros(ts: Column) -> Column:
@@ -59,18 +63,20 @@ def asof_features(history: DataFrame, probes: DataFrame | None, bucket_days: int
     steps read them.
     """
     history = stored(history, "history")
-    first_seen = (
-        history.filter(F.col("author").isNotNull())
-        .groupBy("path", "author")
-        .agg(F.min("us").alias("us"))
-        .select("path", "us", *[F.lit(int(m == "authors")).cast("bigint").alias(m) for m in _MEASURES], F.lit(False).alias("asked"))
-    )
-    rows = history.select(
-        "path", "us", *_MEASURES[:4], F.lit(0).cast("bigint").alias("authors"), F.lit(probes is None).alias("asked")
-    ).unionByName(first_seen)
+    first_seen = _author_rows(history.filter(F.col("author").isNotNull()).groupBy("path", "author").agg(F.min("us").alias("us")), 1)
+    rows = history.select("path", "us", *_MEASURES[:4], F.lit(0).cast("bigint").alias("authors"), F.lit(probes is None).alias("asked"))
+    return _features_at(rows.unionByName(first_seen.withColumn("asked", F.lit(False))), probes, bucket_days)
+
+
+def _author_rows(instants: DataFrame, n: int) -> DataFrame:
+    """``n`` authors at each (path, us), and nothing else."""
+    return instants.select("path", "us", *[F.lit(n if m == "authors" else 0).cast("bigint").alias(m) for m in _MEASURES])
+
+
+def _features_at(rows: DataFrame, probes: DataFrame | None, bucket_days: int) -> DataFrame:
+    """Features of the probes, and of rows that ask themselves, from additive rows (path, us, measures, asked)."""
     if probes is not None:
-        asked = probes.select("path", "us", *[F.lit(0).cast("bigint").alias(m) for m in _MEASURES], F.lit(True).alias("asked"))
-        rows = rows.unionByName(asked)
+        rows = rows.unionByName(_author_rows(probes, 0).withColumn("asked", F.lit(True)))
     instants = stored(
         rows.groupBy("path", "us")
         .agg(*[F.sum(m).alias(m) for m in _MEASURES], F.bool_or("asked").alias("asked"))
@@ -167,3 +173,56 @@ def enrich(
         .withColumn(out, features)
         .drop("us", "probe_us", "path", *rules.HISTORY_FEATURES)
     )
+
+
+@dataclass(frozen=True)
+class KeptHistory:
+    """Additive history of all paths under a folder, to which batches of new rows are added.
+
+    Every batch leaves two tables: the measures it adds per (path, instant), and
+    the first time of each of its authors on a path. An author whose first time
+    moves back takes its count along: one more at the new instant, one less at
+    the old. So late batches need no rewrite, reading sums what all batches left,
+    and :meth:`compact` folds them into one.
+    """
+
+    path: str
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        """Add rows of :func:`history_rows`; a batch that comes again replaces what it left the first time.
+
+        Batches are numbered from 1 in the order in which they are added; only
+        the last one may come again, as later corrections build on earlier ones.
+        """
+        spark = rows.sparkSession
+        rows = stored(rows, "batch")
+        first = rows.filter(F.col("author").isNotNull()).groupBy("path", "author").agg(F.min("us").alias("us"))
+        known = self._read(spark, "authors", "path string, author string, us bigint, batch int")
+        before = known.filter(F.col("batch") < batch).groupBy("path", "author").agg(F.min("us").alias("known_us"))
+        earlier = stored(first.join(before, ["path", "author"], "left").filter("known_us is null or us < known_us"), "authors")
+        gone = _author_rows(earlier.filter("known_us is not null").select("path", F.col("known_us").alias("us")), -1)
+        added = rows.select("path", "us", *_MEASURES[:4], F.lit(0).cast("bigint").alias("authors"))
+        summed = added.unionByName(_author_rows(earlier, 1)).unionByName(gone).groupBy("path", "us").agg(*[F.sum(m).alias(m) for m in _MEASURES])
+        earlier.select("path", "author", "us").write.mode("overwrite").parquet(f"{self.path}/authors/batch={batch}")
+        summed.write.mode("overwrite").parquet(f"{self.path}/measures/batch={batch}")
+
+    def _read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+
+    def features(self, probes: DataFrame, bucket_days: int = 30) -> DataFrame:
+        """The features of :func:`asof_features` for (path, us) of ``probes``, over all batches so far."""
+        kept = self._read(probes.sparkSession, "measures", _KEPT)
+        return _features_at(kept.drop("batch").withColumn("asked", F.lit(False)), probes, bucket_days)
+
+    def compact(self, spark: SparkSession, path: str) -> KeptHistory:
+        """The same history under another folder, in one batch with number 0."""
+        kept = self._read(spark, "measures", _KEPT).groupBy("path", "us").agg(*[F.sum(m).alias(m) for m in _MEASURES])
+        kept.write.mode("overwrite").parquet(f"{path}/measures/batch=0")
+        authors = self._read(spark, "authors", "path string, author string, us bigint, batch int")
+        authors.groupBy("path", "author").agg(F.min("us").alias("us")).write.mode("overwrite").parquet(f"{path}/authors/batch=0")
+        return KeptHistory(path)

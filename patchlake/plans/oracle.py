@@ -917,4 +917,4 @@ select doc_id, label from (select doc_id, case when doc_id % 7 <> 0 then quality
 where label is null or label not in (0, 1)
 """
 ORACLE["q_training_history"] = _training_history([0.001, 1.0], 6, 2)
-ORACLE["q_stream_history"] = ORACLE["q_history_features"]
+ORACLE["q_stream_history"] = ORACLE["q_kept_history"] = ORACLE["q_history_features"]

@@ -1011,7 +1011,7 @@ def stream_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numeric.with_patch_numerics(
         requests, F.col("patch"), None, F.col("added_line_count"), F.col("removed_line_count"), none, none, none
     )
-    trained = models.train(rows.join(_labelled(spark, sf_dir), "doc_id"), 200, numeric.PATCH_NUMERICS[:4] + numeric.PATCH_NUMERICS[-2:])
+    trained = models.train(rows.join(_labelled(spark, sf_dir), "doc_id"), 200, numerics=numeric.PATCH_NUMERICS[:4] + numeric.PATCH_NUMERICS[-2:])
     work = scratch_path(spark, "stream")
     trained.save(f"{work}/model")
     loaded = models.Classifier.load(spark, f"{work}/model")
@@ -1060,6 +1060,18 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def kept_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History features from a kept history to which three batches were added, late rows among them."""
+    changes = b.file_changes(spark, sf_dir).filter("parent_count > 0")
+    rows = stored(history.history_rows(changes, carry=["commit_hash", "file_path"]), "rows")
+    kept = history.KeptHistory(scratch_path(spark, "kept"))
+    for i in range(3):
+        kept.add(rows.filter(F.pmod(F.crc32("commit_hash"), F.lit(3)) == i).drop("commit_hash", "file_path"), i + 1)
+    found = kept.features(rows.select("path", "us"))
+    return rows.select("commit_hash", "file_path", "path", "us").join(found, ["path", "us"]).drop("path", "us")
+
+
 @query
 def coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _history_records(spark, sf_dir)

@@ -161,6 +161,28 @@ def test_history_at_arrival_equals_the_batch(spark, tmp_path):
     assert scored == pytest.approx({r.request_id: r.probability_bug_fix for r in classifier.score(features.history_columns(shaped, missing_days=0.0)).collect()})
 
 
+def test_kept_history_equals_the_full_one(spark, tmp_path):
+    rng = random.Random(12)
+    day = history.DAY_US
+    data = [(f"p{rng.randrange(3)}", rng.randrange(60) * day, f"dev{rng.randrange(5)}" if i % 7 else None, 1, rng.randrange(2), i % 9, i % 4) for i in range(200)]
+    schema = "path string, us bigint, author string, commits bigint, fixes bigint, plus bigint, minus bigint"
+    kept = history.KeptHistory(str(tmp_path / "kept"))
+    for i in range(4):  # the rows come in any order, so authors turn up earlier than known
+        part = spark.createDataFrame(data[i * 50 : (i + 1) * 50], schema)
+        kept.add(part, i + 1)
+        if i == 1:
+            kept.add(part, i + 1)  # once more
+    rows = spark.createDataFrame(data, schema)
+    probes = rows.select("path", "us").distinct()
+    want = sorted(map(tuple, history.asof_features(rows, probes).collect()))
+    assert sorted(map(tuple, kept.features(probes).collect())) == want
+    folded = kept.compact(spark, str(tmp_path / "folded"))
+    assert sorted(map(tuple, folded.features(probes).collect())) == want
+    folded.add(spark.createDataFrame([("p0", -day, "dev0", 1, 1, 1, 1)], schema), 1)
+    extra = rows.unionByName(spark.createDataFrame([("p0", -day, "dev0", 1, 1, 1, 1)], schema))
+    assert sorted(map(tuple, folded.features(probes).collect())) == sorted(map(tuple, history.asof_features(extra, probes).collect()))
+
+
 def dict_of(progress):
     return progress if isinstance(progress, dict) else __import__("json").loads(progress.json)
 
