@@ -33,6 +33,9 @@ BUCKETS = 1 << 18
 SUFFIX_DEPTH = 4
 # Candidate ids are broadcast to the texts up to this many rows of 40 bytes, joined by a shuffle beyond.
 BROADCAST_ROWS = 250_000
+# Words of 64 bits of the signature that an entry of the crossing join carries: pairs of sets of up to about twice as
+# many n-grams as bits are told apart in the join, larger ones by their bitmaps later.
+SIGNATURE_WORDS = 8
 _AT_BITS = 31
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -87,6 +90,16 @@ def _ordered(hashes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     return hashes[np.lexsort((hashes, frequency[_bucket(hashes)]))]
 
 
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of members in each of ``64 * SIGNATURE_WORDS`` cells.
+
+    A member of one set only flips one bit: the signatures of two sets never
+    differ in more bits than the sets differ in members.
+    """
+    cells = (hashes % np.uint64(64 * SIGNATURE_WORDS)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=64 * SIGNATURE_WORDS) % 2 == 1).view(np.int64)
+
+
 def _prefixes(words: int, percent: int, shared):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -95,8 +108,8 @@ def _prefixes(words: int, percent: int, shared):
                 found = shingles(text, words)
                 digest = hashlib.md5(found.tobytes()).digest() if len(found) else None
                 order = _ordered(found, shared.value)[: prefix_length(len(found), percent)] if len(found) else found
-                rows.append((len(found), digest, order.view(np.int64)))
-            n, digest, order = zip(*rows)
+                rows.append((len(found), digest, order.view(np.int64), signature(found)))
+            n, digest, order, signatures = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -106,8 +119,11 @@ def _prefixes(words: int, percent: int, shared):
                         pa.array(np.concatenate(([0], np.cumsum([len(o) for o in order]))).astype(np.int32)),
                         pa.array(np.concatenate(order)),
                     ),
+                    pa.ListArray.from_arrays(
+                        pa.array((np.arange(len(rows) + 1) * SIGNATURE_WORDS).astype(np.int32)), pa.array(np.concatenate(signatures))
+                    ),
                 ],
-                names=["doc_id", "n_shingles", "digest", "prefix"],
+                names=["doc_id", "n_shingles", "digest", "prefix", "signature"],
             )
 
     return prefixes
@@ -228,6 +244,14 @@ def _possible(percent: int, na: Column, nb: Column, ia: Column, ib: Column) -> C
     )
 
 
+def _signed(percent: int) -> Column:
+    """Signature filter for the pair (a, b): every bit that differs stands for a member of one set only."""
+    differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SIGNATURE_WORDS)), F.lit(0))
+    total = F.col("n_a") + F.col("n_b")
+    # With the least overlap i of :func:`similar`, all but 2 * i members may be in one set only.
+    return F.lit(100 + percent) * (total - differ) >= F.lit(2 * percent) * total
+
+
 def _sets_of(classes: DataFrame, pairs: DataFrame, source: DataFrame, words: int, bits: bool) -> DataFrame:
     """(cid, n, content): bitmaps or sets of all classes of ``pairs``, made anew from one text of each.
 
@@ -295,14 +319,19 @@ def ngram_join(
     frequency[totals["bucket"].to_numpy()] = totals["n"].to_numpy()
     shared = spark.sparkContext.broadcast(frequency)
     kept = keep(
-        source.mapInArrow(_prefixes(words, percent, shared), "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>"),
+        source.mapInArrow(_prefixes(words, percent, shared), "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>, signature array<bigint>"),
         "prefixes",
         "zstd",
     )
     classes = keep(
         kept.where("digest is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+        .agg(
+            F.min("doc_id").alias("first_id"),
+            F.first("n_shingles").alias("n"),
+            F.first("prefix").alias("prefix"),
+            F.first("signature").alias("signature"),
+        )
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
         "zstd",
@@ -317,7 +346,7 @@ def ngram_join(
     # Entries of n-grams that two classes share.
     n, at = F.shiftright("place", _AT_BITS).alias("n"), F.col("place").bitwiseAND((1 << _AT_BITS) - 1).alias("at")
     entries = keep(index.join(grams, "gram").select("gram", "cid", n, at), "entries")
-    prefixed, classes = classes, keep(classes.select("cid", "digest", "first_id"), "classes")
+    prefixed, classes = classes, keep(classes.select("cid", "digest", "first_id", "signature"), "classes")
     discard(prefixed, grams)
     # The head of a list is where the n-gram comes earliest.
     heads = keep(entries.groupBy("gram").agg(F.min(F.struct("at", "cid", "n")).alias("head")), "heads")
@@ -341,15 +370,18 @@ def ngram_join(
         labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram"),
         "grams",
     )
-    open_ = keep(labelled.join(mixed, "gram"), "entries")
-    left = open_.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "at", "component")))
-    right = open_.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "at", "component")))
+    signs = [f"s{i}" for i in range(SIGNATURE_WORDS)]
+    signed = classes.select("cid", *(F.col("signature")[i].alias(s) for i, s in enumerate(signs)))
+    open_ = keep(keep(labelled.join(mixed, "gram"), "entries").join(signed, "cid"), "entries")
+    left = open_.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "at", "component", *signs)))
+    right = open_.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "at", "component", *signs)))
     crossing = (
         left.join(right, "gram")
         .where(
             (F.col("cid_a") < F.col("cid_b"))
             & (F.col("component_a") != F.col("component_b"))
             & _possible(percent, F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b"))
+            & _signed(percent)
         )
         .select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
         .distinct()

@@ -145,6 +145,25 @@ def test_bitmaps_never_differ_more_than_the_sets():
         assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_signatures_never_differ_more_than_the_sets(spark):
+    rng = np.random.default_rng(4)
+    words = range(ngram_join.SIGNATURE_WORDS)
+    pairs, truth = [], []
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, 900, dtype=np.uint64)
+        a = np.unique(rng.choice(pool, rng.integers(1, 600)))
+        b = np.unique(np.concatenate((a[: rng.integers(0, len(a) + 1)], rng.choice(pool, rng.integers(0, 80)), pool[:1])))
+        x, y = ngram_join.signature(a), ngram_join.signature(b)
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+        pairs.append((len(a), len(b), *x.tolist(), *y.tolist()))
+        inter, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        truth.append([100 * inter >= p * union for p in (50, 80, 85)])
+    columns = ["n_a", "n_b", *(f"s{i}_a" for i in words), *(f"s{i}_b" for i in words)]
+    got = spark.createDataFrame(pairs, columns).select(*(ngram_join._signed(p) for p in (50, 80, 85))).collect()
+    assert all(ok or not want for row, wants in zip(got, truth) for ok, want in zip(row, wants))
+    assert 0 < sum(w[1] for w in truth) <= sum(r[1] for r in got) < len(pairs)
+
+
 def without_repeats(texts: list[bytes], m: int):
     seen = Counter(t[i : i + m] for t in texts for i in range(len(t) - m + 1))
     out = []
