@@ -154,7 +154,7 @@ def test_signatures_never_differ_more_than_the_sets(spark):
         a = np.unique(rng.choice(pool, rng.integers(1, 600)))
         b = np.unique(np.concatenate((a[: rng.integers(0, len(a) + 1)], rng.choice(pool, rng.integers(0, 80)), pool[:1])))
         x, y = ngram_join.signature(a), ngram_join.signature(b)
-        assert int(np.bitwise_count(x ^ y).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
         pairs.append((len(a), len(b), *x.tolist(), *y.tolist()))
         inter, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         truth.append([100 * inter >= p * union for p in (50, 80, 85)])
