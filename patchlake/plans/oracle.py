@@ -566,6 +566,7 @@ select 'cust' || c_custkey as repo_id, case st when 'F' then 'complete' when 'O'
        d.k as commit_count, d.k % 100 as source_file_count, d.moment as collected_us
 from customer left join l on l.o_custkey = c_custkey left join d on d.o_custkey = c_custkey
 """
+ORACLE["q_kept_manifest"] = ORACLE["q_manifest_events"]
 ORACLE["q_manifest_summary"] = with_bindings(["repositories"], """
 select 'collection' as kind, coalesce(collection_status, 'unknown') as status, count(*) as repositories from repositories group by 1, 2
 union all select 'quality', coalesce(quality_status, 'unknown'), count(*) from repositories group by 1, 2

@@ -12,6 +12,7 @@ from patchlake.functions import encode, numeric, patch, paths, text
 from patchlake.operators import (
     bpe, candidates, codegraph, dedup, features, history, manifest, metrics, models, quality, splits, structure, tfidf, training,
 )
+from patchlake.operators.kept_manifest import KeptManifest
 from patchlake.plans import bindings as b
 from patchlake.session import scratch_path, stored
 from patchlake.sources import gitlog
@@ -618,22 +619,41 @@ def manifest_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.addition_counts(*_halves(spark, sf_dir))
 
 
-@query
-def manifest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _collection_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = b.table(spark, sf_dir, "orders")
     at = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey"))
     kind = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "started").otherwise("failed")
-    events = orders.select(
+    return orders.select(
         F.concat(F.lit("cust"), "o_custkey").alias("repo_id"), at.alias("at"), kind.alias("event"), F.col("o_orderpriority").alias("error"),
         F.col("o_orderkey").alias("commit_count"), (F.col("o_orderkey") % 100).alias("source_file_count"),
         *[F.lit(None).cast("bigint").alias(c) for c in ("diff_record_count", "bug_fix_record_count")],
     )
-    after = manifest.apply_events(manifest.new_records(b.repositories(spark, sf_dir)), events)
+
+
+def _collected(after: DataFrame) -> DataFrame:
     return after.select(
         "repo_id", "collection_status", "collection_error", "commit_count", "source_file_count", F.unix_micros("last_collected_at").alias("collected_us")
     )
 
 
+@query
+def manifest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _collected(manifest.apply_events(manifest.new_records(b.repositories(spark, sf_dir)), _collection_events(spark, sf_dir)))
+
+
+@query
+def kept_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events in three batches out of order, the first one twice, on a stored manifest made in two parts."""
+    full = manifest.new_records(b.repositories(spark, sf_dir))
+    kept = KeptManifest(spark, scratch_path(spark, "manifest"))
+    kept.create(full.where("crc32(cast(repo_id as binary)) % 2 = 0"))
+    kept.add(full)
+    events = _collection_events(spark, sf_dir)
+    for batch in (2, 0, 1, 2):
+        kept.apply(events.where(F.col("commit_count") % 3 == batch))
+    return _collected(kept.read())
+
+
 @query
 def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.status_counts(b.repositories(spark, sf_dir))
