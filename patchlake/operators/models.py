@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchlake import rules
 from patchlake.operators import features, tfidf
-from patchlake.session import cut_lineage, stored
+from patchlake.session import stored
 
 
 @dataclass
@@ -55,7 +57,7 @@ def margins(entries: pa.Array, weights: np.ndarray, intercept: float) -> tuple[n
 class Classifier:
     """A fitted model and everything needed to build its input."""
 
-    model: LogisticRegressionModel | Linear | None = None
+    model: Linear | None = None
     numerics: list[str] = field(default_factory=list)
     scaler: features.Scaler | None = None
     one_hot: PipelineModel | None = None
@@ -128,10 +130,10 @@ def label_name(prediction: Column) -> Column:
     return F.when(prediction == 1, "bug_fix").otherwise("non_bug_fix")
 
 
-def _inputs(df, numerics, scaler, one_hot, text, doc_id, counts=None) -> DataFrame:
+def _inputs(df, numerics, scaler, one_hot, text, doc_id) -> DataFrame:
     parts = []
     if text is not None:
-        df = text.transform(df, doc_id, "model_text", "text_features", counts)
+        df = text.transform(df, doc_id, "model_text", "text_features")
         parts.append("text_features")
     if scaler is not None:
         df = df.withColumns({f"{c}_scaled": v for c, v in scaler.columns().items()})
@@ -141,7 +143,8 @@ def _inputs(df, numerics, scaler, one_hot, text, doc_id, counts=None) -> DataFra
         parts += [f"{c}_onehot" for c in features.CATEGORIES]
     assembled = VectorAssembler(inputCols=parts, outputCol="features").transform(df)
     extra = [p for p in parts] + [f"{c}_index" for c in features.CATEGORIES if one_hot is not None]
-    return assembled.drop(*extra)
+    # The assembler names every place of the vector in the column's metadata; every task of every pass would carry those names.
+    return assembled.drop(*extra).withMetadata("features", {})
 
 
 def fit_blocks(
@@ -152,18 +155,164 @@ def fit_blocks(
     doc_id: str = "record_id",
     **text_limits,
 ) -> tuple[Classifier, DataFrame | None]:
-    """A classifier without a model, its blocks fitted on these rows, and the term counts of the rows.
+    """A classifier without a model, its blocks fitted on these rows, and its vocabulary, if it reads texts.
 
-    The texts are split once: the vocabulary and the vectors both read the stored counts.
+    Texts are split once for the vocabulary and again where a vector is made: the
+    counts of all terms would be many times the texts.
     """
     numerics = numerics or []
     scaler = features.fit_scaler(df, numerics) if numerics else None
     one_hot = features.fit_one_hot(df, categories) if categories else None
-    counts = text = None
-    if text_pattern:
-        counts = stored(tfidf.term_counts(df, doc_id, "model_text", text_pattern), "term_counts")
-        text = tfidf.fit(df, doc_id, "model_text", text_pattern, counts, **text_limits)
-    return Classifier(None, numerics, scaler, one_hot, text, doc_id), counts
+    text = tfidf.fit(df, doc_id, "model_text", text_pattern, **text_limits) if text_pattern else None
+    return Classifier(None, numerics, scaler, one_hot, text, doc_id), None if text is None else text.vocab
+
+
+# Places behind those of the vector, counted from the end of the sums.
+INTERCEPT, LOSS, TP, FP, FN = -1, -2, -3, -4, -5
+# The largest slope of the mean loss at which a fit has ended, as a share of the steepest at its start.
+SLOPE_SHARE = 1e-4
+# Steps whose change of slope L-BFGS remembers.
+_MEMORY = 20
+
+
+# Partitions whose sums the driver adds up itself; more of them are added up in a tree of tasks.
+_DRIVER_PARTS = 32
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        entries = batch.column(2)
+        flat = entries.flatten()
+        columns = [batch.column(0), batch.column(1), entries.value_lengths(), flat.field("slot"), flat.field("value")]
+        blobs = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False).astype(t)).tobytes() for c, t in zip(columns, _BLOCK.values())]
+        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()) for blob in blobs], names=list(_BLOCK))
+
+
+_BLOCK = {"label": np.float64, "weight": np.float64, "entries": np.int32, "slot": np.int32, "value": np.float64}
+
+
+@dataclass
+class Rows:
+    """Training or validation rows as blocks of arrays, a few thousand rows each, which every pass of a solver reads."""
+
+    table: DataFrame
+    blocks: RDD
+
+    def release(self) -> None:
+        self.blocks.unpersist()
+
+
+def training_rows(inputs: DataFrame, weight: Column, name: str) -> Rows:
+    """Rows with vectors, label and weight, stored in blocks and kept by the executors, on disk where memory ends."""
+    rows = inputs.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), vector_entries(F.col("features")).alias("entries"))
+    table = stored(rows.mapInArrow(_packed, ", ".join(f"{n} binary" for n in _BLOCK)), name)
+    return Rows(table, table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def opened(block: tuple) -> list[np.ndarray]:
+    """Label, weight, number of entries, slots and values of a block."""
+    return [np.frombuffer(blob, dtype=t) for blob, t in zip(block, _BLOCK.values())]
+
+
+def sums(rows: Rows, weights: np.ndarray, intercept: float, slopes: bool) -> tuple[np.ndarray, dict[int, float]]:
+    """The slopes per place of the vector (none, unless ``slopes``), and loss and either slope of the intercept or confusion counts: one job."""
+    shared = rows.table.sparkSession.sparkContext.broadcast((weights, intercept))
+
+    def part(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
+        weights, intercept = shared.value
+        total = np.zeros(len(weights) if slopes else 0)
+        extra = np.zeros(5)
+        for block in blocks:
+            y, w, lengths, slots, values = opened(block)
+            inside = np.repeat(np.arange(len(y)), lengths)
+            margin = np.bincount(inside, weights=values * weights[slots], minlength=len(y)) + intercept
+            extra[LOSS] += (w * (np.logaddexp(0.0, margin) - y * margin)).sum()
+            if slopes:
+                error = w * (1.0 / (1.0 + np.exp(-margin)) - y)
+                extra[INTERCEPT] += error.sum()
+                total += np.bincount(slots, weights=values * error[inside], minlength=len(total))
+            else:
+                hit = margin > 0
+                extra[TP] += (hit & (y == 1)).sum()
+                extra[FP] += (hit & (y == 0)).sum()
+                extra[FN] += (~hit & (y == 1)).sum()
+        yield np.concatenate((total, extra))
+
+    found = _added(rows.blocks.mapPartitions(part))
+    shared.unpersist()
+    return found[:-5], {k: float(found[k]) for k in (INTERCEPT, LOSS, TP, FP, FN)}
+
+
+def _added(parts: RDD) -> np.ndarray:
+    return parts.treeReduce(np.add) if parts.getNumPartitions() > _DRIVER_PARTS else parts.reduce(np.add)
+
+
+def _squares(rows: Rows, size: int) -> np.ndarray:
+    """Weighted sum of the squares per place of the vector."""
+
+    def part(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
+        total = np.zeros(size)
+        for block in blocks:
+            y, w, lengths, slots, values = opened(block)
+            total += np.bincount(slots, weights=values * values * w[np.repeat(np.arange(len(y)), lengths)], minlength=size)
+        yield total
+
+    return _added(rows.blocks.mapPartitions(part))
+
+
+def solve(rows: Rows, size: int, n_rows: int, c: float, max_iter: int) -> Linear:
+    """The minimum of the weighted mean log loss with the penalty of :func:`train`, by L-BFGS.
+
+    Only loss and slopes come back from a pass; the driver holds a few vectors.
+    Steps are taken on weights scaled by the curvature of loss and penalty in their
+    place; a scale by the deviations alone, as the ready-made solver has it, makes
+    the penalty of a rare term many times that of a common one and steps thousands.
+    """
+    penalty = 1.0 / (c * n_rows)
+
+    scale = 1.0 / np.sqrt(np.append(0.25 * _squares(rows, size) / n_rows + penalty, 0.25))
+
+    def loss(scaled: np.ndarray) -> tuple[float, np.ndarray]:
+        at = scaled * scale
+        pull, found = sums(rows, at[:-1], float(at[-1]), True)
+        slope = np.append(pull / n_rows + penalty * at[:-1], found[INTERCEPT] / n_rows)
+        return found[LOSS] / n_rows + 0.5 * penalty * float(at[:-1] @ at[:-1]), slope * scale
+
+    at = np.zeros(size + 1)
+    value, slope = loss(at)
+    enough = SLOPE_SHARE * np.abs(slope / scale).max()
+    moves: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=_MEMORY)
+    for _ in range(max_iter):
+        if np.abs(slope / scale).max() <= enough:
+            break
+        ahead = _downhill(slope, moves)
+        step = 1.0 if moves else min(1.0, 1.0 / np.abs(slope).sum())
+        new_value, new_slope = loss(at + step * ahead)
+        # A sum over tasks is exact to about 1e-15 of the loss, no step is refused for less.
+        while new_value > value + 1e-4 * step * float(slope @ ahead) + 1e-14 * abs(value) and step > 1e-10:
+            step /= 2
+            new_value, new_slope = loss(at + step * ahead)
+        moved, bent = step * ahead, new_slope - slope
+        if moved @ bent > 0:
+            moves.append((moved, bent))
+        at, value, slope = at + moved, new_value, new_slope
+    at = at * scale
+    return Linear(at[:-1], float(at[-1]))
+
+
+def _downhill(slope: np.ndarray, moves: deque[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The direction of L-BFGS: the slope through the curvature that the last moves have met."""
+    pull, shares = -slope, []
+    for moved, bent in reversed(moves):
+        share = (moved @ pull) / (moved @ bent)
+        pull = pull - share * bent
+        shares.append(share)
+    if moves:
+        moved, bent = moves[-1]
+        pull = pull * ((moved @ bent) / (bent @ bent))
+    for (moved, bent), share in zip(moves, reversed(shares)):
+        pull = pull + (share - (bent @ pull) / (moved @ bent)) * moved
+    return pull
 
 
 def train(df: DataFrame, max_iter: int, c: float = 1.0, **blocks) -> Classifier:
@@ -174,18 +323,12 @@ def train(df: DataFrame, max_iter: int, c: float = 1.0, **blocks) -> Classifier:
     the strength is one over that number.
     """
     rows = features.require_labels(df)
-    fitted, counts = fit_blocks(rows, **blocks)
+    fitted, _ = fit_blocks(rows, **blocks)
     weights, n_rows = features.balanced_weights(rows)
-    inputs = _inputs(rows, fitted.numerics, fitted.scaler, fitted.one_hot, fitted.text, fitted.doc_id, counts)
-    # Written out once: the solver reads the rows in every iteration, and its
-    # tasks should not carry the plan that made them.
-    training = cut_lineage(
-        inputs.select("features", F.col("label").cast("double").alias("label"), features.weight_column(weights).alias("weight"))
-    )
-    regression = LogisticRegression(
-        weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * n_rows), elasticNetParam=0.0, standardization=False, tol=1e-9
-    )
-    return fitted.with_model(regression.fit(training))
+    ready = training_rows(fitted.inputs(rows), features.weight_column(weights), "training")
+    model = solve(ready, fitted.size(), n_rows, c, max_iter)
+    ready.release()
+    return fitted.with_model(model)
 
 
 def train_message_and_patch(df: DataFrame, **options) -> Classifier:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlake import rules
 
@@ -17,25 +20,83 @@ LONG_WORD = r"(?U)\b\w\w+\b"
 TERM_BOUND = 1_000_000
 
 
-def terms(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> DataFrame:
-    """One row per lower-case word and per pair of neighbouring words, with repeats.
+# Words that are counted at once inside a task.
+_SLICE_WORDS = 500_000
 
-    Each word is laid beside the next one, so that pairs need no lambda and all
-    of it stays in generated code. Texts are dealt out by document before they
-    are split: counts per document and their norms then need no further shuffle.
+
+def words(text: Column, pattern: str = WORD) -> Column:
+    """The lower-case words of a text in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+
+
+def _unique(df: DataFrame, doc_id: str) -> bool:
+    """Whether every row is a document of its own; reads the ids only."""
+    return df.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def documents(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> DataFrame:
+    """(doc, words): one row per document, dealt out by document.
+
+    Texts move once, before they are split; terms never do. Rows that share an id
+    are one document, a null between their words keeps them from being neighbours.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(pattern), F.lit(0))
     dealt = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).repartition("doc")
-    split = dealt.select("doc", words.alias("words"))
-    following = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
-    beside = split.select("doc", F.inline(F.arrays_zip(F.col("words").alias("word"), following.alias("next"))).alias("word", "next"))
-    both = F.array("word", F.concat("word", F.lit(" "), "next"))
-    return beside.select("doc", F.explode(both).alias("term")).filter("term is not null")
+    split = dealt.select("doc", words(F.col("text"), pattern).alias("words"))
+    if _unique(df, doc_id):
+        return split
+    return split.groupBy("doc").agg(F.flatten(F.collect_list(F.array_append("words", F.lit(None)))).alias("words"))
+
+
+def _slices(lists: pa.Array) -> Iterator[pa.Array]:
+    """The rows of ``lists`` in slices of bounded length; a longer row is a slice of its own."""
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(lists):
+        start = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, start + _SLICE_WORDS, "right")))
+        yield lists.slice(first, last - first)
+        first = last
+
+
+def _next(lists: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of every word, and the code of the next word of its row, -1 where there is none."""
+    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    following = np.full(len(codes), -1, dtype=np.int64)
+    following[:-1] = np.where(rows[1:] == rows[:-1], codes[1:], -1)
+    return rows, following
+
+
+def _lists(n_rows: int, rows: np.ndarray, columns: dict[str, pa.Array]) -> pa.Array:
+    """One list of structs per row; ``rows`` is sorted."""
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n_rows)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+
+def _count(lists: pa.Array) -> pa.Array:
+    encoded = pc.dictionary_encode(lists.flatten())
+    codes = encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows, following = _next(lists, codes)
+    known, paired = codes >= 0, (codes >= 0) & (following >= 0)
+    # A word and a pair of neighbours are one number per row: the second place is 0 for a word alone.
+    size = len(encoded.dictionary) + 1
+    alone = rows * size * size + codes * size
+    keys, tf = np.unique(np.concatenate((alone[known], (alone + following + 1)[paired])), return_counts=True)
+    second = keys % size
+    term = pc.binary_join_element_wise(
+        encoded.dictionary.take(pa.array(keys // size % size)), encoded.dictionary.take(pa.array(second - 1, mask=second == 0)), " ", null_handling="skip"
+    )
+    return _lists(len(lists), keys // (size * size), {"term": term, "tf": pa.array(tf.astype(np.int64))})
 
 
 def term_counts(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> DataFrame:
-    """Count of each term per document, combined before the shuffle."""
-    return terms(df, doc_id, text, pattern).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, term, tf): count of each lower-case word and each pair of neighbouring words per document, made where the text is."""
+
+    @F.arrow_udf(returnType="array<struct<term:string,tf:bigint>>")
+    def counted(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_count(part) for part in _slices(lists)])
+
+    found = documents(df, doc_id, text, pattern).select("doc", counted("words").alias("entries"))
+    return found.select("doc", F.inline("entries"))
 
 
 def vocabulary(
@@ -60,16 +121,6 @@ def vocabulary(
     return top.withColumn("idf", idf)
 
 
-def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Term weights per document: (1 + ln tf) * idf, scaled to length one.
-
-    ``vocab`` is bounded by its number of terms, so it is broadcast.
-    """
-    raw = counts.join(F.broadcast(vocab), "term").withColumn("raw", (F.ln("tf") + 1) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
-    return raw.withColumn("weight", F.col("raw") / norm).drop("raw")
-
-
 def sparse_column(indices: Column, values: Column, size: int) -> Column:
     """A sparse vector of sorted ``indices`` and ``values``: whole Arrow columns get another name, no row is touched."""
 
@@ -81,6 +132,44 @@ def sparse_column(indices: Column, values: Column, size: int) -> Column:
     return relabel(F.coalesce(indices, F.array().cast("array<int>")), F.coalesce(values, F.array().cast("array<double>")))
 
 
+class _Lookup:
+    """Places of the vocabulary's terms by the codes of their words."""
+
+    def __init__(self, terms: list[str], idf: list[float]):
+        parts = [t.split(" ") for t in terms]
+        self.words = sorted({w for p in parts for w in p})
+        code = {w: i for i, w in enumerate(self.words)}
+        self.idf = np.array(idf)
+        self.alone = np.full(len(self.words) + 1, -1, dtype=np.int64)
+        pairs = []
+        for i, p in enumerate(parts):
+            if len(p) == 1:
+                self.alone[code[p[0]]] = i
+            else:
+                pairs.append((code[p[0]] * len(self.words) + code[p[1]], i))
+        keys = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+        self.pairs, self.places = keys[:, 0].copy(), keys[:, 1].copy()
+
+    def weigh(self, lists: pa.Array) -> pa.Array:
+        size = max(len(self.idf), 1)
+        codes = pc.index_in(lists.flatten(), value_set=pa.array(self.words, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows, following = _next(lists, codes)
+        # Code -1 reads the last place, which holds no term.
+        alone = self.alone[codes]
+        paired = np.flatnonzero((codes >= 0) & (following >= 0))
+        wanted = codes[paired] * len(self.words) + following[paired]
+        at = np.searchsorted(self.pairs, wanted)
+        hit = at < len(self.pairs)
+        hit[hit] = self.pairs[at[hit]] == wanted[hit]
+        found = np.concatenate(((rows * size + alone)[alone >= 0], rows[paired[hit]] * size + self.places[at[hit]]))
+        keys, tf = np.unique(found, return_counts=True)
+        row, index = keys // size, keys % size
+        raw = (np.log(tf) + 1.0) * self.idf[index]
+        norm = np.sqrt(np.bincount(row, weights=raw * raw, minlength=len(lists)))
+        columns = {"index": pa.array(index.astype(np.int32)), "tf": pa.array(tf.astype(np.int64)), "weight": pa.array(raw / norm[row])}
+        return _lists(len(lists), row, columns)
+
+
 @dataclass
 class TfIdf:
     """A fitted vocabulary: (term, index, idf), at most ``size`` rows."""
@@ -88,29 +177,43 @@ class TfIdf:
     vocab: DataFrame
     size: int
     pattern: str
+    _shared: Broadcast | None = field(default=None, repr=False)
 
-    def transform(self, df: DataFrame, doc_id: str, text: str, out: str, counts: DataFrame | None = None) -> DataFrame:
-        """``df`` with a sparse vector per row; a row holds at most ``size`` entries.
+    def entries(self, lists: Column) -> Column:
+        """(index, tf, weight) of the terms in a list of words: (1 + ln tf) * idf, scaled to length one.
 
-        ``counts`` are the term counts of its rows, where they are stored already.
+        The vocabulary is bounded by its number of terms and sent to every worker
+        once, so that terms are found where the text is.
         """
-        if counts is None:
-            counts = term_counts(df, doc_id, text, self.pattern)
-        per_doc = (
-            weights(counts, self.vocab)
-            .groupBy("doc")
-            .agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("entries"))
-            .withColumnRenamed("doc", doc_id)
-        )
-        vector = sparse_column(F.col("entries.index"), F.col("entries.weight"), self.size)
-        return df.join(per_doc, doc_id, "left").withColumn(out, vector).drop("entries")
-
-
-def fit(df: DataFrame, doc_id: str, text: str, pattern: str = WORD, counts: DataFrame | None = None, **limits) -> TfIdf:
+        if self._shared is None:
+            rows = self.vocab.orderBy("index").collect()
+            self._shared = self.vocab.sparkSession.sparkContext.broadcast(_Lookup([r.term for r in rows], [r.idf for r in rows]))
+        shared = self._shared
+
+        @F.arrow_udf(returnType="array<struct<index:int,tf:bigint,weight:double>>")
+        def weighed(lists: pa.Array) -> pa.Array:
+            return pa.concat_arrays([shared.value.weigh(part) for part in _slices(lists)])
+
+        return weighed(lists)
+
+    def weights(self, df: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """(doc, term, tf, idf, weight) of the vocabulary's terms in every document."""
+        found = documents(df, doc_id, text, self.pattern).select("doc", self.entries(F.col("words")).alias("entries"))
+        return found.select("doc", F.inline("entries")).join(F.broadcast(self.vocab), "index").select("doc", "term", "tf", "idf", "weight")
+
+    def transform(self, df: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
+        """``df`` with a sparse vector per row; a row holds at most ``size`` entries. Rows that share an id get the vector of all."""
+        if _unique(df, doc_id):
+            found = df.withColumn("entries", self.entries(words(F.col(text), self.pattern)))
+        else:
+            per_doc = documents(df, doc_id, text, self.pattern).select(F.col("doc").alias(doc_id), self.entries(F.col("words")).alias("entries"))
+            found = df.join(per_doc, doc_id, "left")
+        return found.withColumn(out, sparse_column(F.col("entries.index"), F.col("entries.weight"), self.size)).drop("entries")
+
+
+def fit(df: DataFrame, doc_id: str, text: str, pattern: str = WORD, **limits) -> TfIdf:
     """Vocabulary of the training rows; its at most ``max_terms`` terms are numbered in order."""
-    if counts is None:
-        counts = term_counts(df, doc_id, text, pattern)
-    vocab = vocabulary(counts, df.count(), **limits).select("term", "idf")
+    vocab = vocabulary(term_counts(df, doc_id, text, pattern), df.count(), **limits).select("term", "idf")
     rows = sorted((r.term, r.idf) for r in vocab.collect())
     table = df.sparkSession.createDataFrame(
         [(t, i, idf) for i, (t, idf) in enumerate(rows)], "term string, index int, idf double"

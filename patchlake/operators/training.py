@@ -13,82 +13,41 @@ place, as many as the vocabulary and the other blocks have).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from patchlake.operators import features, models
-from patchlake.session import stored
 
 STRENGTHS = (0.01, 0.1, 1.0)
 ITERATIONS = 5
 MAX_STEPS = 40
 PATIENCE = 2
-# Places of the sums that are no place of the vector.
-_INTERCEPT, _LOSS, _TP, _FP, _FN = -1, -2, -3, -4, -5
 _HISTORY = "run int, step int, c double, loss double, f1 double, gain boolean, stopped boolean, chosen boolean"
 
 
-def _pass(shared, slopes: bool):
-    """Sums over a task's rows: the loss, and either the slopes or the confusion counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercept = shared.value
-        total = np.zeros(len(weights))
-        extra = dict.fromkeys((_INTERCEPT, _LOSS, _TP, _FP, _FN), 0.0)
-        for batch in batches:
-            y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            margin, rows, slots, values = models.margins(batch.column(2), weights, intercept)
-            extra[_LOSS] += float((w * (np.logaddexp(0.0, margin) - y * margin)).sum())
-            if slopes:
-                error = w * (1.0 / (1.0 + np.exp(-margin)) - y)
-                extra[_INTERCEPT] += float(error.sum())
-                total += np.bincount(slots, weights=values * error[rows], minlength=len(total))
-            else:
-                hit = margin > 0
-                extra[_TP] += float((hit & (y == 1)).sum())
-                extra[_FP] += float((hit & (y == 0)).sum())
-                extra[_FN] += float((~hit & (y == 1)).sum())
-        moved = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((moved, list(extra))).astype(np.int32)), pa.array(np.concatenate((total[moved], list(extra.values()))))],
-            names=["slot", "part"],
-        )
-
-    return run
-
-
-def _sums(rows: DataFrame, weights: np.ndarray, intercept: float, slopes: bool) -> dict[int, float]:
-    shared = rows.sparkSession.sparkContext.broadcast((weights, intercept))
-    parts = rows.mapInArrow(_pass(shared, slopes), "slot int, part double")
-    found = {r[0]: r[1] for r in parts.groupBy("slot").agg(F.sum("part")).collect()}
-    shared.unpersist()
-    return found
+def _squares(block: tuple) -> float:
+    """Weighted square of the rows of a block, the one of the intercept among it."""
+    y, w, lengths, _, values = models.opened(block)
+    return float(np.bincount(np.repeat(np.arange(len(y)), lengths), weights=values * values, minlength=len(y)) @ w + w.sum())
 
 
 class _Descent:
     """Accelerated gradient descent on the weighted mean log loss with a squared penalty, the intercept left out."""
 
-    def __init__(self, rows: DataFrame, n_rows: int, c: float, start: tuple[np.ndarray, float]):
+    def __init__(self, rows: models.Rows, n_rows: int, c: float, start: tuple[np.ndarray, float]):
         self.rows, self.n_rows, self.penalty = rows, n_rows, 1.0 / (c * n_rows)
-        squares = F.aggregate("entries", F.lit(0.0), lambda sum_, e: sum_ + e["value"] * e["value"])
         # The curvature of the log loss is a quarter at most, along the mean square of the rows at most.
-        bound = rows.agg(F.sum(F.col("weight") * (squares + 1.0)) / n_rows).first()[0] or 1.0
+        bound = rows.blocks.map(_squares).fold(0.0, lambda a, b: a + b) / n_rows or 1.0
         self.rate = 1.0 / (0.25 * bound + self.penalty)
         self.now = self.before = np.append(start[0], start[1])
         self.done = 0
 
     def iterate(self) -> None:
         ahead = self.now + self.done / (self.done + 3.0) * (self.now - self.before)
-        sums = _sums(self.rows, ahead[:-1], float(ahead[-1]), True)
-        slope = np.zeros(len(ahead))
-        for slot, value in sums.items():
-            if slot >= _INTERCEPT:
-                slope[slot] = value / self.n_rows
-        slope[:-1] += self.penalty * ahead[:-1]
+        pull, found = models.sums(self.rows, ahead[:-1], float(ahead[-1]), True)
+        slope = np.append(pull / self.n_rows + self.penalty * ahead[:-1], found[models.INTERCEPT] / self.n_rows)
         self.before, self.now, self.done = self.now, ahead - self.rate * slope, self.done + 1
 
 
@@ -126,13 +85,11 @@ def choose(
     train = features.require_labels(train)
     class_weights, n_rows = features.balanced_weights(train)
 
-    def ready(df: DataFrame, name: str) -> DataFrame:
-        label, weight = F.col("label").cast("double"), features.weight_column(class_weights)
-        entries = models.vector_entries(F.col("features"))
-        return stored(blocks.inputs(df).select(label.alias("label"), weight.alias("weight"), entries.alias("entries")), name)
+    def ready(df: DataFrame, name: str) -> models.Rows:
+        return models.training_rows(blocks.inputs(df), features.weight_column(class_weights), name)
 
     rows, held = ready(train, "training"), ready(features.require_labels(validation), "validation")
-    held_weight = held.agg(F.sum("weight")).first()[0] or 1.0
+    held_weight = held.blocks.map(lambda block: float(models.opened(block)[1].sum())).fold(0.0, lambda a, b: a + b) or 1.0
     size = blocks.size()
     start = (np.zeros(size), 0.0)
     records, best, chosen = [], None, None
@@ -142,9 +99,9 @@ def choose(
         for step in range(1, max_steps + 1):
             for _ in range(iterations):
                 descent.iterate()
-            sums = _sums(held, descent.now[:-1], float(descent.now[-1]), False)
-            loss = sums.get(_LOSS, 0.0) / held_weight
-            tp, fp, fn = (sums.get(k, 0.0) for k in (_TP, _FP, _FN))
+            _, sums = models.sums(held, descent.now[:-1], float(descent.now[-1]), False)
+            loss = sums[models.LOSS] / held_weight
+            tp, fp, fn = (sums[k] for k in (models.TP, models.FP, models.FN))
             f1 = 2 * tp / (2 * tp + fp + fn) if tp else 0.0
             gain = better(f1, loss, run_f1, run_loss)
             if gain:
@@ -157,6 +114,8 @@ def choose(
             records.append([run, step, float(c), float(loss), float(f1), gain, without >= patience, False])
             if without >= patience:
                 break
+    rows.release()
+    held.release()
     if chosen is None:
         raise ValueError("no run to choose from")
     records[chosen][-1] = True

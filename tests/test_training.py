@@ -247,3 +247,31 @@ def test_components_of_edges(spark):
     edges = [(1, 2), (2, 3), (5, 5), (9, 7), (7, 8), (4, 9)]
     found = dedup.components(spark.createDataFrame(edges, "a bigint, b bigint"))
     assert {r.node: r.component for r in found.collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 4: 4, 7: 4, 8: 4, 9: 4}
+
+
+def test_a_fit_of_rare_terms_ends_in_few_passes(spark, monkeypatch):
+    df = records(spark)
+    passes, real = [], models.sums
+    monkeypatch.setattr(models, "sums", lambda *given: passes.append(1) or real(*given))
+    fitted = models.train(df, 4000, **BLOCKS)
+    assert len(passes) < 200
+    # No task carries the names of all places of the vector.
+    assert fitted.inputs(df).schema["features"].metadata == {}
+
+
+def test_terms_of_documents_that_share_an_id(spark):
+    rows = [(1, "b a b"), (1, "a  b"), (2, ""), (3, None), (4, "A b a b")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    counts = {(r.doc, r.term): r.tf for r in tfidf.term_counts(df, "id", "text").collect()}
+    assert counts == {
+        (1, "a"): 2, (1, "b"): 3, (1, "a b"): 2, (1, "b a"): 1,
+        (4, "a"): 2, (4, "b"): 2, (4, "a b"): 2, (4, "b a"): 1,
+    }
+    fitted = tfidf.fit(df, "id", "text", min_docs=1, max_share=1.0)
+    weighed = fitted.weights(df, "id", "text")
+    assert {(r.doc, r.term): r.tf for r in weighed.collect()} == counts
+    whole = [sum(r.weight**2 for r in weighed.collect() if r.doc == doc) for doc in (1, 4)]
+    assert max(abs(w - 1.0) for w in whole) < 1e-12
+    # Terms stay where the text is: neither counts nor weights are shuffled or sorted by term and document.
+    plan = weighed._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
