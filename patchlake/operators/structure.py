@@ -19,12 +19,19 @@ IMPORT = "struct<type:string,module:string,name:string,alias:string,level:int>"
 SCHEMA = f"file_path string, parsed boolean, functions array<{FUNCTION}>, classes array<{CLASS}>, imports array<{IMPORT}>"
 
 
+def _dotted(node: ast.expr) -> str:
+    """Source of a name or attribute; plain dotted names need no printer."""
+    parts, at = [], node
+    while isinstance(at, ast.Attribute):
+        parts.append(at.attr)
+        at = at.value
+    return ".".join([at.id, *reversed(parts)]) if isinstance(at, ast.Name) else ast.unparse(node)
+
+
 def _called(node: ast.AST) -> list[str]:
-    names = []
-    for call in ast.walk(node):
-        if isinstance(call, ast.Call) and isinstance(call.func, (ast.Name, ast.Attribute)):
-            names.append(ast.unparse(call.func))
-    return names
+    return [
+        _dotted(call.func) for call in ast.walk(node) if isinstance(call, ast.Call) and isinstance(call.func, (ast.Name, ast.Attribute))
+    ]
 
 
 def _structure(code: str) -> dict | None:
@@ -92,9 +99,14 @@ def extract_structure(sources: DataFrame) -> DataFrame:
     """Structure of each row of ``sources`` (file_path, code); ``parsed`` is false where there is none.
 
     The syntax tree needs Python, so this one step runs over Arrow batches; each
-    file is on its own and nothing is shuffled.
+    file is on its own. Parsing costs far more than moving, and a table of sources
+    may be one block of a file, so the sources are dealt out first. The number of
+    parts is given, else they would be joined again for being small.
     """
-    return sources.select("file_path", "code").mapInPandas(_extract, SCHEMA)
+    spark = sources.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = sources.select("file_path", "code").repartition(parts, "file_path")
+    return dealt.mapInPandas(_extract, SCHEMA)
 
 
 def repository_dataset(files: DataFrame, structure: DataFrame) -> DataFrame:

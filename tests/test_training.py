@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from patchlake import rules
-from patchlake.operators import dedup, features, history, models, tfidf, training
+from patchlake.operators import dedup, features, history, models, structure, tfidf, training
 from patchlake.sources import tables
 from patchlake.streaming import history as arrival
 
@@ -275,3 +275,13 @@ def test_terms_of_documents_that_share_an_id(spark):
     # Terms stay where the text is: neither counts nor weights are shuffled or sorted by term and document.
     plan = weighed._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_sources_of_one_block_are_parsed_by_many_tasks(spark):
+    code = "def f(a):\n    a.b.c()\n    g()\n    h()().k.m()\n    x[0].y()\n    (lambda: 0)()\n    z()[1]()\n"
+    rows = [(f"p{i}.py", code if i % 5 else "def broken(:") for i in range(400)]
+    items = structure.extract_structure(spark.createDataFrame(rows, "file_path string, code string").coalesce(1))
+    assert len({r[0] for r in items.select(F.spark_partition_id()).collect()}) >= 4
+    assert items.filter("parsed").count() == 320
+    calls = [r.calls for r in items.filter("parsed").select(F.expr("functions[0].calls").alias("calls")).distinct().collect()]
+    assert [sorted(c) for c in calls] == [["a.b.c", "g", "h", "h()().k.m", "x[0].y", "z"]]
