@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from patchlake import rules
 from patchlake.operators import dedup, features, history, models, structure, tfidf, training
+from patchlake.plans import source_queries
 from patchlake.sources import tables
 from patchlake.streaming import history as arrival
 
@@ -285,3 +286,20 @@ def test_sources_of_one_block_are_parsed_by_many_tasks(spark):
     assert items.filter("parsed").count() == 320
     calls = [r.calls for r in items.filter("parsed").select(F.expr("functions[0].calls").alias("calls")).distinct().collect()]
     assert [sorted(c) for c in calls] == [["a.b.c", "g", "h", "h()().k.m", "x[0].y", "z"]]
+
+
+def test_numbered_lines_of_a_group_are_written_by_many_tasks(spark, monkeypatch):
+    import compare
+
+    sf_dir, paths = "/root/testdata/sf0.001", []
+    real = source_queries.scratch_path
+    monkeypatch.setattr(source_queries, "scratch_path", lambda *given: paths.append(real(*given)) or paths[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = compare.bag(source_queries.QUERIES["q_jsonl_line_numbers"](spark, sf_dir).toArrow())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = compare.bag(compare.duck(sf_dir).execute(source_queries.ORACLE["q_jsonl_line_numbers"]).to_arrow_table())
+    assert got == want
+    lines = spark.read.text(paths[0])
+    assert len(lines.inputFiles()) > lines.select("lang").distinct().count()
