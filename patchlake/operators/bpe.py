@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlake import rules
-from patchlake.session import stored
+from patchlake.operators.tfidf import slices
 
 
 def training_text(df: DataFrame, patch: str = "patch") -> DataFrame:
@@ -31,38 +33,37 @@ def pre_token_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _ids_of(tokenizer: str):
-    """Subword ids of distinct pre-tokens by a given vocabulary file; the library never sees a whole patch."""
+@functools.cache
+def _library(path: str):
+    """The vocabulary file as the library reads it, once per worker."""
+    from tokenizers import Tokenizer
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    return library
 
-        library = Tokenizer.from_file(tokenizer)
-        library.encode_special_tokens = True
-        for batch in batches:
-            found = library.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], names=["token", "ids"])
 
-    return encode
+def _encode(lists: pa.Array, tokenizer: str) -> pa.Array:
+    """Subword ids of lists of pre-tokens; each distinct one is encoded once, the library never sees a whole patch."""
+    encoded = pc.dictionary_encode(lists.flatten())
+    found = _library(tokenizer).encode_batch(encoded.dictionary.to_pylist(), add_special_tokens=False)
+    each = pa.array([e.ids for e in found], pa.list_(pa.int32())).take(encoded.indices)
+    lengths = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (lists, each)]
+    words, ids = (np.concatenate(([0], np.cumsum(n))) for n in lengths)
+    return pa.ListArray.from_arrays(pa.array(ids[words].astype(np.int32)), each.flatten())
 
 
 def subword_ids(df: DataFrame, tokenizer: str, doc_id: str = "record_id", text: str = "patch") -> DataFrame:
     """(doc_id, ids): the subword ids of every text by a byte-level vocabulary file that splits texts as :func:`pre_tokens` does.
 
-    A dictionary of the distinct pre-tokens of all texts is encoded once and
-    joined back. A text sends each of its distinct pre-tokens once, with its
-    places, so a word of every text is one row per text; the adaptive skew join
-    splits it. Strings of special tokens are ordinary text; a null or empty text
-    has no ids. ``doc_id`` is unique.
+    Texts are dealt out by document and encoded where they are, a slice at a time,
+    each distinct pre-token of a slice once; no pre-token moves. Strings of special
+    tokens are ordinary text; a null or empty text has no ids.
     """
-    dealt = df.select(F.col(doc_id).alias("doc"), F.coalesce(text, F.lit("")).alias("text")).repartition("doc")
-    spots = dealt.select("doc", F.posexplode(pre_tokens(F.col("text"))).alias("place", "token"))
-    # Dealt by document already: this groups inside the tasks.
-    used = stored(spots.groupBy("doc", "token").agg(F.collect_list("place").alias("places")), "pre_tokens")
-    dictionary = stored(used.select("token").distinct().mapInArrow(_ids_of(tokenizer), "token string, ids array<int>"), "dictionary")
-    placed = used.join(dictionary, "token").select("doc", "ids", F.explode("places").alias("place"))
-    per_doc = placed.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-    ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
-    return df.select(F.col(doc_id).alias("doc")).join(per_doc, "doc", "left").select(
-        F.col("doc").alias(doc_id), F.coalesce(ids, F.array().cast("array<int>")).alias("ids")
-    )
+
+    @F.arrow_udf(returnType="array<int>")
+    def ids(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_encode(part, tokenizer) for part in slices(lists)])
+
+    dealt = df.select(doc_id, F.coalesce(text, F.lit("")).alias("text")).repartition(doc_id)
+    return dealt.select(doc_id, ids(pre_tokens(F.col("text"))).alias("ids"))

@@ -47,7 +47,7 @@ def documents(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> Dat
     return split.groupBy("doc").agg(F.flatten(F.collect_list(F.array_append("words", F.lit(None)))).alias("words"))
 
 
-def _slices(lists: pa.Array) -> Iterator[pa.Array]:
+def slices(lists: pa.Array) -> Iterator[pa.Array]:
     """The rows of ``lists`` in slices of bounded length; a longer row is a slice of its own."""
     ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     first = 0
@@ -93,7 +93,7 @@ def term_counts(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> D
 
     @F.arrow_udf(returnType="array<struct<term:string,tf:bigint>>")
     def counted(lists: pa.Array) -> pa.Array:
-        return pa.concat_arrays([_count(part) for part in _slices(lists)])
+        return pa.concat_arrays([_count(part) for part in slices(lists)])
 
     found = documents(df, doc_id, text, pattern).select("doc", counted("words").alias("entries"))
     return found.select("doc", F.inline("entries"))
@@ -192,7 +192,7 @@ class TfIdf:
 
         @F.arrow_udf(returnType="array<struct<index:int,tf:bigint,weight:double>>")
         def weighed(lists: pa.Array) -> pa.Array:
-            return pa.concat_arrays([shared.value.weigh(part) for part in _slices(lists)])
+            return pa.concat_arrays([shared.value.weigh(part) for part in slices(lists)])
 
         return weighed(lists)
 

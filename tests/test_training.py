@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from patchlake import rules
-from patchlake.operators import dedup, features, history, models, structure, tfidf, training
+from patchlake.operators import bpe, dedup, features, history, models, structure, tfidf, training
 from patchlake.plans import source_queries
 from patchlake.sources import tables
 from patchlake.streaming import history as arrival
@@ -303,3 +303,12 @@ def test_numbered_lines_of_a_group_are_written_by_many_tasks(spark, monkeypatch)
     assert got == want
     lines = spark.read.text(paths[0])
     assert len(lines.inputFiles()) > lines.select("lang").distinct().count()
+
+
+def test_subword_ids_move_no_pre_token(spark):
+    import public_tokenizers
+
+    df = spark.createDataFrame([(1, "the cat the cat"), (1, "dog"), (2, None)], "id int, patch string")
+    found = bpe.subword_ids(df, public_tokenizers.path("byte_bpe_50k.json"), "id")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.id, len(r.ids) > 0) for r in found.collect()) == [(1, True), (1, True), (2, False)]
