@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,31 +25,47 @@ def _answer(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
     """Events of a path wait until the watermark has passed them, then take effect in the order of their time.
 
     All requests of an instant are answered before the changes of that instant
-    are added, so only strictly earlier changes count.
+    are added, so only strictly earlier changes count: the totals before an
+    instant are running sums up to its first event. Work is one sort and a few
+    passes over the columns, whatever the number of events at an instant.
     """
-    commits, fixes, plus, minus, last, authors, pending = state.get if state.exists else (0, 0, 0, 0, None, "[]", "[]")
-    seen, waiting = set(json.loads(authors)), json.loads(pending)
-    for pdf in pdfs:
-        waiting += pdf[_EVENT].astype(object).where(pdf[_EVENT].notna(), None).values.tolist()
+    *totals, last, authors, pending = state.get if state.exists else (0, 0, 0, 0, None, "[]", "[]")
+    seen = set(json.loads(authors))
+    waited = json.loads(pending)
+    events = pd.concat([*([pd.DataFrame(waited, columns=_EVENT)] if waited else []), *(pdf[_EVENT] for pdf in pdfs)] or [pd.DataFrame(columns=_EVENT)])
     passed = state.getCurrentWatermarkMs() * 1000
-    ready = sorted((e for e in waiting if e[0] < passed), key=lambda e: e[0])
-    waiting = [e for e in waiting if e[0] >= passed]
-    answers, at = [], 0
-    while at < len(ready):
-        us = ready[at][0]
-        now = [e for e in ready[at:] if e[0] == us] if at + 1 < len(ready) and ready[at + 1][0] == us else [ready[at]]
-        answers += [(key[0], e[1], us, commits, fixes, plus, minus, len(seen), last) for e in now if e[1] is not None]
-        for _, _, changes, fix, more, less, author in now:
-            if changes:
-                commits, fixes, plus, minus, last = commits + changes, fixes + fix, plus + more, minus + less, us
-                if author is not None:
-                    seen.add(author)
-        at += len(now)
-    state.update((commits, fixes, plus, minus, last, json.dumps(sorted(seen)), json.dumps(waiting)))
-    if waiting:
-        state.setTimeoutTimestamp(max(min(e[0] for e in waiting) // 1000, passed // 1000) + 1)
-    if answers:
-        yield pd.DataFrame(answers, columns=_NAMES).astype({"last": "Int64"})
+    us = events["us"].to_numpy(dtype="int64")
+    waiting = events[us >= passed]
+    ready = events[us < passed].sort_values("us", kind="stable", ignore_index=True)
+    answers = None
+    if len(ready):
+        us = ready["us"].to_numpy(dtype="int64")
+        starts = np.flatnonzero(np.concatenate([[True], us[1:] != us[:-1]]))
+        first = np.repeat(starts, np.diff([*starts, len(us)]))  # where the instant of each event begins
+        changes = ready["changes"].fillna(0).to_numpy(dtype="int64")
+        live = changes != 0
+        # Only the first event of an author counts, and only if no earlier batch had it.
+        named = ready.loc[live & ready["author"].notna().to_numpy(), "author"].drop_duplicates()
+        named = named[~named.isin(seen)]
+        new = np.zeros(len(us), dtype="int64")
+        new[named.index] = 1
+        sums = [changes, *(np.where(live, ready[c].fillna(0).to_numpy(dtype="int64"), 0) for c in ("fixes", "plus", "minus")), new]
+        running = [np.concatenate([[start], start + np.cumsum(values)]) for start, values in zip([*totals, len(seen)], sums)]
+        latest = np.concatenate([[-1], np.maximum.accumulate(np.where(live, np.arange(len(us)), -1))])
+        before = latest[first]
+        known = pd.Series(us[np.maximum(before, 0)], dtype="Int64").where(before >= 0, pd.NA if last is None else last)
+        asked = ready["request_id"].notna().to_numpy()
+        columns = [key[0], ready["request_id"], us, *(r[first] for r in running), known]
+        answers = pd.DataFrame(dict(zip(_NAMES, columns)))[asked]
+        *totals, _ = (int(r[-1]) for r in running)
+        last = int(us[latest[-1]]) if latest[-1] >= 0 else last
+        seen.update(named)
+    kept = waiting.astype(object).where(waiting.notna(), None).values.tolist()
+    state.update((*totals, last, json.dumps(sorted(seen)), json.dumps(kept)))
+    if kept:
+        state.setTimeoutTimestamp(max(min(e[0] for e in kept) // 1000, passed // 1000) + 1)
+    if answers is not None and len(answers):
+        yield answers
 
 
 def history_at_arrival(events: DataFrame, delay: str) -> DataFrame:
