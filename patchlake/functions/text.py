@@ -55,14 +55,14 @@ def words_found(text: Column, keywords: list[str]) -> Column:
     """Distinct keywords that occur as whole words in normalised ``text``.
 
     Single words need one pass of one regular expression; only phrases, which
-    may overlap single words, are tried one by one.
+    may overlap single words, are tried one by one, where their letters occur at all.
     """
     single = [k for k in keywords if " " not in k]
     phrases = [k for k in keywords if " " in k]
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(alternation(single, whole_word=True)), F.lit(0)))
     if not phrases:
         return found
-    return F.concat(found, named_hits({p: text.rlike(rf"{UNICODE}\b{re.escape(p)}\b") for p in phrases}))
+    return F.concat(found, named_hits({p: text.contains(p) & text.rlike(rf"{UNICODE}\b{re.escape(p)}\b") for p in phrases}))
 
 
 def named_hits(tests: dict[str, Column]) -> Column:
@@ -72,11 +72,11 @@ def named_hits(tests: dict[str, Column]) -> Column:
 
 
 def has_reference(text: Column) -> Column:
-    return text.rlike(UNICODE + rules.REFERENCE_PATTERN)
+    return contains_any(text, ["#", "issue", "pr"]) & text.rlike(UNICODE + rules.REFERENCE_PATTERN)
 
 
 def mentions_test_word(text: Column) -> Column:
-    return text.rlike(UNICODE + rules.TEST_WORD_PATTERN)
+    return text.contains("test") & text.rlike(UNICODE + rules.TEST_WORD_PATTERN)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -95,7 +95,9 @@ def _with_signal(df: DataFrame, text: Column, out: str, negatives: bool) -> Data
             "issue_or_pr_reference": has_reference(t),
             "bug_related_test": test_mention & contains_any(t, rules.TEST_EVIDENCE_SUBSTRINGS),
         }
-        against = named_hits({f"negative:{k}": t.contains(k) for k in rules.NEGATIVE_SUBSTRINGS})
+        # One search tells of most messages that none of them is there.
+        hits = named_hits({f"negative:{k}": t.contains(k) for k in rules.NEGATIVE_SUBSTRINGS})
+        against = F.when(contains_any(t, rules.NEGATIVE_SUBSTRINGS), hits).otherwise(F.array().cast("array<string>"))
         return F.struct(
             F.concat(words_found(t, rules.STRONG_KEYWORDS), named_hits(evidence)).alias("plus"),
             (against if negatives else F.array().cast("array<string>")).alias("minus"),
@@ -126,8 +128,7 @@ def with_plain_signal(df: DataFrame, subject: str = "subject", body: str = "body
 
 def has_explicit_intent(subject: Column, body: Column) -> Column:
     """The message says outright that it fixes a defect."""
-    pattern = UNICODE + "(?i)(?:" + "|".join(rules.EXPLICIT_INTENT_PATTERNS) + ")"
-    return message(subject, body).rlike(pattern)
+    return any_match(message(subject, body), rules.EXPLICIT_INTENT_PATTERNS)
 
 
 def routine_score(subject: Column, body: Column) -> Column:
@@ -140,13 +141,24 @@ def first_match(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.when(text.rlike(f"{UNICODE}(?i){p}"), F.lit(p)) for p in patterns])
 
 
+def any_match(text: Column, patterns: list[str]) -> Column:
+    """Whether any of ``patterns`` is found, in one search.
+
+    Patterns that begin alike say their beginning once, so that a place where it
+    does not hold is passed without a try of each.
+    """
+    begin = {b: [p.removeprefix(b) for p in patterns if p.startswith(b)] for b in (r"\b", r"^\s*")}
+    rest = [p for p in patterns if not p.startswith(tuple(begin))]
+    return text.rlike(f"{UNICODE}(?i)(?:" + "|".join([f"{b}(?:{'|'.join(tails)})" for b, tails in begin.items() if tails] + rest) + ")")
+
+
 def count_patterns(text: Column, patterns: list[str]) -> Column:
     """How many of ``patterns`` occur at least once."""
     plain = [re.fullmatch(r"\\b([a-z]+(?: [a-z]+)*)\\b", p) for p in patterns]
     words = [m.group(1) for m in plain if m]
     total = F.lit(0)
     if words:
-        total = F.size(words_found(F.lower(text), words))
+        total = let(F.lower(text), lambda t: F.size(words_found(t, words)))
     for pattern, match in zip(patterns, plain):
         if not match:
             total = total + text.rlike(f"{UNICODE}(?i){pattern}").cast("int")
