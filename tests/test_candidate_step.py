@@ -37,6 +37,11 @@ def test_histogram_moves_no_lists_and_reads_changes_once(spark, steps):
     assert sorted(steps) == ["commit_changes", "facts", "patch_texts"]
 
 
+def test_rejections_read_texts_once(spark, steps):
+    plan = queries.QUERIES["q_reject_top15"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.count("patch_texts") == 1 and "collect_list" not in plan
+
+
 def test_counts_of_files_serve_as_their_list(spark):
     changes, texts = bindings.commit_changes(spark, SF), bindings.patch_texts(spark, SF)
     about = bindings.repository_info(spark, SF)
