@@ -73,3 +73,18 @@ def test_one_search_finds_what_each_pattern_finds(spark):
 def test_blank_patches(spark):
     df = spark.createDataFrame([("",), (" \t\n \x1c",), ("​",), (" + ",), (None,)], "patch string")
     assert [r[0] for r in df.select(quality._is_blank("patch")).collect()] == [True, True, False, False, True]
+
+
+@pytest.mark.parametrize("positive_limits", [None, queries.SMALL_DIFFS])
+def test_accepted_negatives_are_those_of_all_verdicts(spark, positive_limits):
+    rows, changes, texts = commits(spark), bindings.commit_changes(spark, SF), bindings.patch_texts(spark, SF)
+    short = candidates.accepted_negatives(rows, changes, texts, queries.SMALL_DIFFS, positive_limits, patch_key=queries.PATCH_KEY)
+    positives = candidates.judge_positives(rows, changes, texts, positive_limits, patch_key=queries.PATCH_KEY).filter("disposition = 'accepted'")
+    ids = positives.select(candidates.commit_key(F.col("repo_id"), F.col("commit_hash")).alias("record_id"))
+    whole = candidates.judge_negatives(rows, changes, ids, texts, queries.SMALL_DIFFS, queries.PATCH_KEY).filter("disposition = 'accepted'")
+    assert sorted(map(str, short.collect())) == sorted(map(str, whole.select(short.columns).collect())) and short.count() > 0
+
+
+def test_negatives_are_judged_once_and_carry_no_text(spark, steps):
+    plan = queries.QUERIES["q_candidates_neg"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(steps) == ["accepted", "changes", "commit_changes", "facts", "patch_texts"] and "text#" not in plan
