@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,7 +35,7 @@ def alternation(parts: list[str], whole_word: bool = False) -> str:
 
 
 def contains_any(text: Column, parts: list[str]) -> Column:
-    return text.rlike(alternation(parts))
+    return reduce(or_, [text.contains(p) for p in parts])
 
 
 def has_word(text: Column, words: list[str]) -> Column:
@@ -89,25 +91,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _with_signal(df: DataFrame, text: Column, out: str, negatives: bool) -> DataFrame:
-    def found(t: Column) -> Column:
-        test_mention = t.contains("test") if negatives else mentions_test_word(t)
-        evidence = {
-            "issue_or_pr_reference": has_reference(t),
-            "bug_related_test": test_mention & contains_any(t, rules.TEST_EVIDENCE_SUBSTRINGS),
-        }
-        # One search tells of most messages that none of them is there.
-        hits = named_hits({f"negative:{k}": t.contains(k) for k in rules.NEGATIVE_SUBSTRINGS})
-        against = F.when(contains_any(t, rules.NEGATIVE_SUBSTRINGS), hits).otherwise(F.array().cast("array<string>"))
-        return F.struct(
-            F.concat(words_found(t, rules.STRONG_KEYWORDS), named_hits(evidence)).alias("plus"),
-            (against if negatives else F.array().cast("array<string>")).alias("minus"),
-        )
-
-    def signal(f: Column) -> Column:
-        score = (F.size(f["plus"]) * 2 - F.size(f["minus"]) * 3).cast("int")
-        return F.struct(score.alias("score"), F.array_sort(F.concat(f["plus"], f["minus"])).alias("signals"))
-
-    return df.withColumn(out, let(let(text, found), signal))
+    # The text is exploded from an array of one: no filter moves below that, so it is made
+    # once, and the tests of it run in generated code.
+    t = F.col("__text")
+    test_mention = t.contains("test") if negatives else mentions_test_word(t)
+    evidence = {
+        "issue_or_pr_reference": has_reference(t),
+        "bug_related_test": test_mention & contains_any(t, rules.TEST_EVIDENCE_SUBSTRINGS),
+    }
+    none = F.array().cast("array<string>")
+    against = named_hits({f"negative:{k}": t.contains(k) for k in rules.NEGATIVE_SUBSTRINGS}) if negatives else none
+    plus, minus = F.col("__plus"), F.col("__minus")
+    score = (F.size(plus) * 2 - F.size(minus) * 3).cast("int")
+    return (
+        df.select("*", F.explode(F.array(text)).alias("__text"))
+        .select("*", F.concat(words_found(t, rules.STRONG_KEYWORDS), named_hits(evidence)).alias("__plus"), against.alias("__minus"))
+        .withColumn(out, F.struct(score.alias("score"), F.sort_array(F.concat(plus, minus)).alias("signals")))
+        .drop("__text", "__plus", "__minus")
+    )
 
 
 def with_fix_signal(df: DataFrame, subject: str = "subject", body: str = "body", out: str = "bug_signal") -> DataFrame:

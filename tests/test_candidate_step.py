@@ -88,3 +88,11 @@ def test_accepted_negatives_are_those_of_all_verdicts(spark, positive_limits):
 def test_negatives_are_judged_once_and_carry_no_text(spark, steps):
     plan = queries.QUERIES["q_candidates_neg"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(steps) == ["accepted", "changes", "commit_changes", "facts", "patch_texts"] and "text#" not in plan
+
+
+def test_a_filter_on_the_signal_makes_no_second_message(spark):
+    df = spark.createDataFrame([("Fix crash #3", None), ("docs: typo", "b")], "subject string, body string")
+    strong = text.with_fix_signal(df).filter("bug_signal.score > 3")
+    plan = strong._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "lambdafunction" not in plan
+    assert [tuple(r) for r in strong.select("subject", "bug_signal.*").collect()] == [("Fix crash #3", 6, ["crash", "fix", "issue_or_pr_reference"])]
