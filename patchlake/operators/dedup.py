@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from patchlake.session import cut_lineage
+from patchlake.session import discard, stored
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -28,25 +28,31 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes hook to their smallest neighbour, the chains of hooks are halved until
     every node points at a root, and the edges are contracted to the roots. Each
-    repeat leaves at most half of the nodes of every component.
+    repeat leaves at most half of the nodes of every component. Steps are stored
+    tables of known size: a checkpoint hands on the estimate of its plan, which a
+    join of a table with itself squares, and over the repeats of a long chain that
+    number grows to millions of digits.
     """
-    live = cut_lineage(edges.filter("a <> b").distinct())
-    found = cut_lineage(edges.select("a").unionAll(edges.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("component")))
+    live = stored(edges.filter("a <> b").distinct(), "live")
+    found = stored(edges.select("a").unionAll(edges.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("component")), "found")
     while not live.isEmpty():
         ends = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut_lineage(ends.groupBy("a").agg(F.least("a", F.min("b")).alias("p")))
+        parent = stored(ends.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "parent")
         while True:
             above = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-            jumped = cut_lineage(parent.join(above, "p").select("a", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
-            parent = jumped.drop("moved")
-            if jumped.filter("moved").isEmpty():
+            jumped = stored(parent.join(above, "p").select("a", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "parent")
+            discard(parent)
+            parent = jumped
+            if parent.filter("moved").isEmpty():
                 break
         roots = parent.select(F.col("a").alias("component"), "p")
-        found = cut_lineage(found.join(roots, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
+        named = stored(found.join(roots, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "found")
         left, right = (parent.select(F.col("a").alias(end), F.col("p").alias(f"root_{end}")) for end in ("a", "b"))
-        live = cut_lineage(
-            live.join(left, "a").join(right, "b").filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+        merged = stored(
+            live.join(left, "a").join(right, "b").filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "live"
         )
+        discard(found, parent, live)
+        found, live = named, merged
     return found
 
 
@@ -79,21 +85,26 @@ def first_per_two_keys(keys: DataFrame, rounds: int = 6, component_rows: int = 2
     themselves.
     """
     # Copies under both keys can never be kept, so they leave before the rounds.
-    open_rows = cut_lineage(keys.groupBy("key_a", "key_b").agg(F.min("order_key").alias("order_key")))
-    kept = [open_rows.select("order_key").limit(0)]
+    open_rows = stored(keys.groupBy("key_a", "key_b").agg(F.min("order_key").alias("order_key")), "open")
+    kept = []
     while True:
         for _ in range(rounds):
-            chosen, open_rows = _round(open_rows)
+            chosen, left = _round(open_rows)
+            discard(open_rows)
+            open_rows = left
             kept.append(chosen.select("order_key"))
             if open_rows.isEmpty():
                 return _union(kept)
         nodes = open_rows.withColumns({"a": F.xxhash64(F.lit("a"), "key_a"), "b": F.xxhash64(F.lit("b"), "key_b")})
-        grouped = cut_lineage(nodes.join(components(nodes.select("a", "b")), F.col("a") == F.col("node")).drop("a", "b", "node"))
+        found = components(nodes.select("a", "b"))
+        grouped = stored(nodes.join(found, F.col("a") == F.col("node")).drop("a", "b", "node"), "grouped")
+        discard(found, open_rows)
         small = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= component_rows).select("component")
         schema = StructType([open_rows.schema["order_key"]])
-        kept.append(cut_lineage(grouped.join(small, "component", "left_semi").groupBy("component").applyInPandas(_sequential_pass, schema)))
-        open_rows = cut_lineage(grouped.join(small, "component", "left_anti").drop("component"))
-        kept = [cut_lineage(_union(kept))]
+        kept.append(grouped.join(small, "component", "left_semi").groupBy("component").applyInPandas(_sequential_pass, schema))
+        kept = [stored(_union(kept), "kept")]
+        open_rows = stored(grouped.join(small, "component", "left_anti").drop("component"), "open")
+        discard(grouped)
         if open_rows.isEmpty():
             return kept[0]
 
@@ -106,13 +117,14 @@ def _round(open_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that are first under both keys, and the rows that share no key with one of them."""
     first_a = open_rows.groupBy("key_a").agg(F.min("order_key").alias("first_a"))
     first_b = open_rows.groupBy("key_b").agg(F.min("order_key").alias("first_b"))
-    marked = cut_lineage(
+    marked = stored(
         open_rows.join(first_a, "key_a")
         .join(first_b, "key_b")
         .withColumn("keep", (F.col("order_key") == F.col("first_a")) & (F.col("order_key") == F.col("first_b")))
-        .drop("first_a", "first_b")
+        .drop("first_a", "first_b"),
+        "marked",
     )
     chosen = marked.filter("keep").drop("keep")
     rest = marked.filter("not keep").drop("keep")
-    left = cut_lineage(rest.join(chosen.select("key_a"), "key_a", "left_anti").join(chosen.select("key_b"), "key_b", "left_anti"))
+    left = stored(rest.join(chosen.select("key_a"), "key_a", "left_anti").join(chosen.select("key_b"), "key_b", "left_anti"), "open")
     return chosen, left

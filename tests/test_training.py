@@ -244,6 +244,15 @@ def test_two_keys_of_a_long_chain(spark, monkeypatch):
     assert len(calls) < 30
 
 
+def test_rounds_do_not_swell_the_size_that_plans_expect(spark):
+    df = spark.range(40).selectExpr("id as order_key", "concat('c', id div 2) as key_a", "concat('d', (id + 1) div 2) as key_b")
+    for _ in range(3):
+        _, df = dedup._round(df)
+    named = dedup.components(df.selectExpr("hash(key_a) as a", "hash(key_b) as b"))
+    for frame in (df, named):
+        assert frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+
+
 def test_components_of_edges(spark):
     edges = [(1, 2), (2, 3), (5, 5), (9, 7), (7, 8), (4, 9)]
     found = dedup.components(spark.createDataFrame(edges, "a bigint, b bigint"))
