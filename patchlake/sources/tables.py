@@ -28,7 +28,7 @@ def read_jsonl_lax(spark: SparkSession, path: str, schema: StructType) -> tuple[
 
 
 def bad_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """(file, line_no, line): lines that are not blank and not objects of the schema, numbered from 1 in their file.
+    """(file, line, line_no): lines that are not blank and not objects of the schema, numbered from 1 in their file.
 
     A file is read in blocks by several tasks. One pass counts the lines of each
     block and keeps its bad ones with their place among the rows of the block,
@@ -50,7 +50,7 @@ def bad_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     offsets = blocks.select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
     found = blocks.select("file", "block", "first", F.explode("bad").alias("b"))
     number = F.col("before") + F.col("b.place") - F.col("first") + 1
-    return found.join(offsets, ["file", "block"]).select("file", number.alias("line_no"), F.col("b.line").alias("line"))
+    return found.join(offsets, ["file", "block"]).select("file", F.col("b.line").alias("line"), number.alias("line_no"))
 
 
 def require_objects(spark: SparkSession, path: str, schema: StructType) -> None:
