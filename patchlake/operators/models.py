@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patchlake import rules
 from patchlake.operators import features, tfidf
-from patchlake.session import stored
+from patchlake.session import discard, stored
 
 
 @dataclass
@@ -53,6 +53,18 @@ def margins(entries: pa.Array, weights: np.ndarray, intercept: float) -> tuple[n
     return margin, rows, slots, values
 
 
+@dataclass(frozen=True)
+class Texts:
+    """Texts that several rows share: one row of ``table`` (key, model_text) per key; rows name theirs in a column of that name."""
+
+    table: DataFrame
+    key: str
+
+    def of(self, df: DataFrame) -> DataFrame:
+        """Those that some row of ``df`` names."""
+        return self.table.select(self.key, "model_text").join(df.select(self.key), self.key, "left_semi")
+
+
 @dataclass
 class Classifier:
     """A fitted model and everything needed to build its input."""
@@ -64,16 +76,50 @@ class Classifier:
     text: tfidf.TfIdf | None = None
     doc_id: str = "record_id"
 
-    def inputs(self, df: DataFrame) -> DataFrame:
-        return _inputs(df, self.numerics, self.scaler, self.one_hot, self.text, self.doc_id)
+    def with_entries(self, df: DataFrame, texts: Texts | None = None) -> DataFrame:
+        """Rows with the ``entries`` of their text: that of their own, or the one they share with others, which is looked at once."""
+        if texts is None:
+            return self.text.with_entries(df, self.doc_id, "model_text")
+        found = texts.of(df).select(texts.key, self.text.entries(F.array("model_text")).alias("entries"))
+        # Vectors grow with the texts, so they are never broadcast.
+        return df.join(found.hint("merge"), texts.key, "left")
+
+    def inputs(self, df: DataFrame, texts: Texts | None = None) -> DataFrame:
+        if self.text is not None:
+            df = self.text.vectors(self.with_entries(df, texts), "text_features")
+        return _inputs(df, self.numerics, self.scaler, self.one_hot, self.text is not None)
+
+    def parts(self, df: DataFrame, texts: Texts | None = None) -> tuple[DataFrame, Shape]:
+        """Rows with the parts of their vector, not put together, and its shape.
 
-    def score(self, df: DataFrame, threshold: float | None = rules.DECISION_THRESHOLD) -> DataFrame:
+        ``entries`` holds the terms and ``text`` tells texts apart, ``numeric`` the
+        scaled numerics, ``hot`` one place per category, -1 for a value that
+        training has not seen.
+        """
+        terms = self.text.size if self.text else 0
+        text, entries = F.lit(None).cast("string"), F.lit(None).cast("array<struct<index:int,weight:double>>")
+        if self.text is not None:
+            df = self.with_entries(df, texts)
+            text, entries = F.col(self.doc_id if texts is None else texts.key).cast("string"), F.col("entries")
+        known = self.one_hot.stages[0].labelsArray if self.one_hot is not None else []
+        hot, place = [], terms + len(self.numerics)
+        if self.one_hot is not None:
+            df = self.one_hot.stages[0].transform(df)
+        for name, values in zip(features.CATEGORIES, known):
+            index = F.col(f"{name}_index").cast("int")
+            hot.append(F.when(index < len(values), index + place).otherwise(-1))
+            place += len(values)
+        scaled = list(self.scaler.columns().values()) if self.scaler is not None else []
+        df = df.withColumns({"text": text, "entries": entries, "numeric": F.array(*scaled).cast("array<double>"), "hot": F.array(*hot).cast("array<int>")})
+        return df, Shape(terms, len(self.numerics), len(known), place)
+
+    def score(self, df: DataFrame, threshold: float | None = rules.DECISION_THRESHOLD, texts: Texts | None = None) -> DataFrame:
         """Rows with both probabilities and the label.
 
         At or above ``threshold`` is a fix; without a threshold the more likely
         class wins.
         """
-        scored = self.model.transform(self.inputs(df))
+        scored = self.model.transform(self.inputs(df, texts))
         p = vector_to_array("probability")
         return (
             scored.withColumns({"probability_non_bug_fix": p[0], "probability_bug_fix": p[1]})
@@ -130,11 +176,8 @@ def label_name(prediction: Column) -> Column:
     return F.when(prediction == 1, "bug_fix").otherwise("non_bug_fix")
 
 
-def _inputs(df, numerics, scaler, one_hot, text, doc_id) -> DataFrame:
-    parts = []
-    if text is not None:
-        df = text.transform(df, doc_id, "model_text", "text_features")
-        parts.append("text_features")
+def _inputs(df, numerics, scaler, one_hot, text) -> DataFrame:
+    parts = ["text_features"] if text else []
     if scaler is not None:
         df = df.withColumns({f"{c}_scaled": v for c, v in scaler.columns().items()})
         parts += [f"{c}_scaled" for c in numerics]
@@ -153,17 +196,25 @@ def fit_blocks(
     categories: list[str] | None = None,
     text_pattern: str | None = None,
     doc_id: str = "record_id",
+    texts: Texts | None = None,
     **text_limits,
 ) -> tuple[Classifier, DataFrame | None]:
     """A classifier without a model, its blocks fitted on these rows, and its vocabulary, if it reads texts.
 
     Texts are split once for the vocabulary and again where a vector is made: the
-    counts of all terms would be many times the texts.
+    counts of all terms would be many times the texts. A text that rows share is
+    split once and counts for each of them.
     """
     numerics = numerics or []
     scaler = features.fit_scaler(df, numerics) if numerics else None
     one_hot = features.fit_one_hot(df, categories) if categories else None
-    text = tfidf.fit(df, doc_id, "model_text", text_pattern, **text_limits) if text_pattern else None
+    text = None
+    if text_pattern and texts is not None:
+        copies = df.groupBy(texts.key).agg(F.count(F.lit(1)).alias("copies"))
+        named = texts.table.select(texts.key, "model_text").join(copies, texts.key)
+        text = tfidf.fit(named, texts.key, "model_text", text_pattern, "copies", df.count(), **text_limits)
+    elif text_pattern:
+        text = tfidf.fit(df, doc_id, "model_text", text_pattern, **text_limits)
     return Classifier(None, numerics, scaler, one_hot, text, doc_id), None if text is None else text.vocab
 
 
@@ -171,24 +222,95 @@ def fit_blocks(
 INTERCEPT, LOSS, TP, FP, FN = -1, -2, -3, -4, -5
 # The largest slope of the mean loss at which a fit has ended, as a share of the steepest at its start.
 SLOPE_SHARE = 1e-4
-# Steps whose change of slope L-BFGS remembers.
-_MEMORY = 20
+# Steps whose change of slope L-BFGS remembers; the driver holds two numbers per step and place.
+_MEMORY = 100
+# Numerics, categories and intercept together, up to which their whole curvature is a matrix; more categories count one by one.
+_MATRIX_PLACES = 512
 
 
 # Partitions whose sums the driver adds up itself; more of them are added up in a tree of tasks.
 _DRIVER_PARTS = 32
 
+_BLOCK = {
+    "label": np.float64, "weight": np.float64, "numeric": np.float64, "hot": np.int32,
+    "member": np.int32, "entries": np.int32, "slot": np.int32, "value": np.float64,
+}
+
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        entries = batch.column(2)
-        flat = entries.flatten()
-        columns = [batch.column(0), batch.column(1), entries.value_lengths(), flat.field("slot"), flat.field("value")]
-        blobs = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False).astype(t)).tobytes() for c, t in zip(columns, _BLOCK.values())]
+        texts, entries = batch.column("text"), batch.column("entries")
+        # Rows with the same text share its entries within a block.
+        shared = texts.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        _, first, member = np.unique(shared, return_index=True, return_inverse=True)
+        kept = entries.take(pa.array(first))
+        flat = kept.flatten()
+        numbers = [
+            batch.column("label"), batch.column("weight"), batch.column("numeric").flatten(), batch.column("hot").flatten(),
+            pa.array(member if len(flat) else member[:0]), kept.value_lengths().fill_null(0), flat.field("index"), flat.field("weight"),
+        ]
+        if numbers[2].null_count:
+            raise ValueError("a numeric feature has no value")
+        blobs = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False).astype(t)).tobytes() for c, t in zip(numbers, _BLOCK.values())]
         yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()) for blob in blobs], names=list(_BLOCK))
 
 
-_BLOCK = {"label": np.float64, "weight": np.float64, "entries": np.int32, "slot": np.int32, "value": np.float64}
+@dataclass(frozen=True)
+class Shape:
+    """Places of the vector: terms, numerics, then the values of the categories, of which a row has one each at most."""
+
+    terms: int
+    numerics: int
+    categories: int
+    size: int
+
+    @property
+    def matrix(self) -> int:
+        """The first of the places whose curvature is a matrix, counted with the intercept as the last."""
+        return self.size + 1 - (self.size - self.terms + 1 if self.size - self.terms < _MATRIX_PLACES else 0)
+
+
+class Block:
+    """Some thousand rows as arrays, opened for a pass."""
+
+    def __init__(self, block: tuple, shape: Shape):
+        self.shape = shape
+        self.label, self.weight, numeric, hot, self.member, lengths, self.slot, self.value = (
+            np.frombuffer(blob, dtype=t) for blob, t in zip(block, _BLOCK.values())
+        )
+        self.numeric = numeric.reshape(len(self.label), shape.numerics)
+        # One more than the place, so that an unknown value is 0.
+        self.hot = hot.reshape(len(self.label), shape.categories) + 1
+        self.texts, self.inside = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
+
+    def margin(self, weights: np.ndarray, intercept: float) -> np.ndarray:
+        first = self.shape.terms
+        total = self.numeric @ weights[first : first + self.shape.numerics] + intercept
+        if len(self.slot):
+            total += np.bincount(self.inside, weights=self.value * weights[self.slot], minlength=self.texts)[self.member]
+        if self.shape.categories:
+            total += np.append(0.0, weights)[self.hot].sum(axis=1)
+        return total
+
+    def spread(self, of_rows: np.ndarray, power: int = 1) -> np.ndarray:
+        """Per place, the sum over the rows of its value, to the power, times a number of the row."""
+        shape, total = self.shape, np.zeros(self.shape.size)
+        if len(self.slot):
+            of_texts = np.bincount(self.member, weights=of_rows, minlength=self.texts)
+            total += np.bincount(self.slot, weights=self.value**power * of_texts[self.inside], minlength=shape.size)
+        total[shape.terms : shape.terms + shape.numerics] += of_rows @ self.numeric**power
+        if shape.categories:
+            total += np.bincount(self.hot.ravel(), weights=np.repeat(of_rows, shape.categories), minlength=shape.size + 1)[1:]
+        return total
+
+    def matrix(self, of_rows: np.ndarray) -> np.ndarray:
+        """The products of all pairs of places behind the terms, the intercept last, summed like :meth:`spread`."""
+        shape = self.shape
+        wide = np.zeros((len(of_rows), shape.size - shape.terms + 2))
+        wide[np.arange(len(of_rows))[:, None], np.where(self.hot > 0, self.hot - shape.terms, 0)] = 1.0
+        wide[:, 1 : shape.numerics + 1], wide[:, -1] = self.numeric, 1.0
+        wide = wide[:, 1:]
+        return (wide * of_rows[:, None]).T @ wide
 
 
 @dataclass
@@ -197,40 +319,41 @@ class Rows:
 
     table: DataFrame
     blocks: RDD
+    shape: Shape
+
+    def opened(self) -> RDD:
+        shape = self.shape
+        return self.blocks.map(lambda block: Block(block, shape))
 
     def release(self) -> None:
         self.blocks.unpersist()
+        discard(self.table)
 
 
-def training_rows(inputs: DataFrame, weight: Column, name: str) -> Rows:
+def training_rows(classifier: Classifier, df: DataFrame, weight: Column, name: str, texts: Texts | None = None) -> Rows:
     """Rows with vectors, label and weight, stored in blocks and kept by the executors, on disk where memory ends."""
-    rows = inputs.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), vector_entries(F.col("features")).alias("entries"))
+    rows, shape = classifier.parts(df, texts)
+    rows = rows.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), "numeric", "hot", "text", "entries")
     table = stored(rows.mapInArrow(_packed, ", ".join(f"{n} binary" for n in _BLOCK)), name)
-    return Rows(table, table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK))
-
-
-def opened(block: tuple) -> list[np.ndarray]:
-    """Label, weight, number of entries, slots and values of a block."""
-    return [np.frombuffer(blob, dtype=t) for blob, t in zip(block, _BLOCK.values())]
+    return Rows(table, table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK), shape)
 
 
 def sums(rows: Rows, weights: np.ndarray, intercept: float, slopes: bool) -> tuple[np.ndarray, dict[int, float]]:
     """The slopes per place of the vector (none, unless ``slopes``), and loss and either slope of the intercept or confusion counts: one job."""
     shared = rows.table.sparkSession.sparkContext.broadcast((weights, intercept))
 
-    def part(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
+    def part(blocks: Iterator[Block]) -> Iterator[np.ndarray]:
         weights, intercept = shared.value
         total = np.zeros(len(weights) if slopes else 0)
         extra = np.zeros(5)
         for block in blocks:
-            y, w, lengths, slots, values = opened(block)
-            inside = np.repeat(np.arange(len(y)), lengths)
-            margin = np.bincount(inside, weights=values * weights[slots], minlength=len(y)) + intercept
+            y, w = block.label, block.weight
+            margin = block.margin(weights, intercept)
             extra[LOSS] += (w * (np.logaddexp(0.0, margin) - y * margin)).sum()
             if slopes:
                 error = w * (1.0 / (1.0 + np.exp(-margin)) - y)
                 extra[INTERCEPT] += error.sum()
-                total += np.bincount(slots, weights=values * error[inside], minlength=len(total))
+                total += block.spread(error)
             else:
                 hit = margin > 0
                 extra[TP] += (hit & (y == 1)).sum()
@@ -238,7 +361,7 @@ def sums(rows: Rows, weights: np.ndarray, intercept: float, slopes: bool) -> tup
                 extra[FN] += (~hit & (y == 1)).sum()
         yield np.concatenate((total, extra))
 
-    found = _added(rows.blocks.mapPartitions(part))
+    found = _added(rows.opened().mapPartitions(part))
     shared.unpersist()
     return found[:-5], {k: float(found[k]) for k in (INTERCEPT, LOSS, TP, FP, FN)}
 
@@ -247,47 +370,56 @@ def _added(parts: RDD) -> np.ndarray:
     return parts.treeReduce(np.add) if parts.getNumPartitions() > _DRIVER_PARTS else parts.reduce(np.add)
 
 
-def _squares(rows: Rows, size: int) -> np.ndarray:
-    """Weighted sum of the squares per place of the vector."""
+def _curvature(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted squares per place, the intercept last, and the weighted products of the places from ``shape.matrix`` on: one job."""
+    shape = rows.shape
+    side = shape.size + 1 - shape.matrix
 
-    def part(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
-        total = np.zeros(size)
+    def part(blocks: Iterator[Block]) -> Iterator[np.ndarray]:
+        total, products = np.zeros(shape.size + 1), np.zeros((side, side))
         for block in blocks:
-            y, w, lengths, slots, values = opened(block)
-            total += np.bincount(slots, weights=values * values * w[np.repeat(np.arange(len(y)), lengths)], minlength=size)
-        yield total
+            total += np.append(block.spread(block.weight, 2), block.weight.sum())
+            if side:
+                products += block.matrix(block.weight)
+        yield np.concatenate((total, products.ravel()))
 
-    return _added(rows.blocks.mapPartitions(part))
+    found = _added(rows.opened().mapPartitions(part))
+    return found[: shape.size + 1], found[shape.size + 1 :].reshape(side, side)
 
 
 def solve(rows: Rows, size: int, n_rows: int, c: float, max_iter: int) -> Linear:
     """The minimum of the weighted mean log loss with the penalty of :func:`train`, by L-BFGS.
 
     Only loss and slopes come back from a pass; the driver holds a few vectors.
-    Steps are taken on weights scaled by the curvature of loss and penalty in their
-    place; a scale by the deviations alone, as the ready-made solver has it, makes
-    the penalty of a rare term many times that of a common one and steps thousands.
+    A step starts from the slope through the curvature of loss and penalty at
+    zero weights: all of it for numerics, categories and intercept, which depend
+    on each other (lines in total are those added and those removed), and that in
+    its own place for a term. Without terms this is the whole curvature, and a
+    fit takes a few passes for any number of rows.
     """
-    penalty = 1.0 / (c * n_rows)
+    penalty = np.append(np.full(size, 1.0 / (c * n_rows)), 0.0)
+    squares, products = _curvature(rows)
+    own = 0.25 * squares / n_rows + penalty
+    first = rows.shape.matrix
+    inverse = np.linalg.pinv(0.25 * products / n_rows + np.diag(penalty[first:]), rcond=1e-15, hermitian=True)
 
-    scale = 1.0 / np.sqrt(np.append(0.25 * _squares(rows, size) / n_rows + penalty, 0.25))
+    def through(slope: np.ndarray) -> np.ndarray:
+        return np.concatenate((slope[:first] / own[:first], inverse @ slope[first:]))
 
-    def loss(scaled: np.ndarray) -> tuple[float, np.ndarray]:
-        at = scaled * scale
+    def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
         pull, found = sums(rows, at[:-1], float(at[-1]), True)
-        slope = np.append(pull / n_rows + penalty * at[:-1], found[INTERCEPT] / n_rows)
-        return found[LOSS] / n_rows + 0.5 * penalty * float(at[:-1] @ at[:-1]), slope * scale
+        return found[LOSS] / n_rows + 0.5 * float(penalty * at @ at), np.append(pull, found[INTERCEPT]) / n_rows + penalty * at
 
     at = np.zeros(size + 1)
     value, slope = loss(at)
-    enough = SLOPE_SHARE * np.abs(slope / scale).max()
+    enough = SLOPE_SHARE * np.abs(slope).max()
     moves: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=_MEMORY)
     for _ in range(max_iter):
-        if np.abs(slope / scale).max() <= enough:
+        if np.abs(slope).max() <= enough:
             break
-        ahead = _downhill(slope, moves)
-        step = 1.0 if moves else min(1.0, 1.0 / np.abs(slope).sum())
-        new_value, new_slope = loss(at + step * ahead)
+        ahead = _downhill(slope, moves, through)
+        step = 1.0
+        new_value, new_slope = loss(at + ahead)
         # A sum over tasks is exact to about 1e-15 of the loss, no step is refused for less.
         while new_value > value + 1e-4 * step * float(slope @ ahead) + 1e-14 * abs(value) and step > 1e-10:
             step /= 2
@@ -296,38 +428,44 @@ def solve(rows: Rows, size: int, n_rows: int, c: float, max_iter: int) -> Linear
         if moved @ bent > 0:
             moves.append((moved, bent))
         at, value, slope = at + moved, new_value, new_slope
-    at = at * scale
     return Linear(at[:-1], float(at[-1]))
 
 
-def _downhill(slope: np.ndarray, moves: deque[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The direction of L-BFGS: the slope through the curvature that the last moves have met."""
+def _downhill(slope: np.ndarray, moves: deque[tuple[np.ndarray, np.ndarray]], through: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The direction of L-BFGS: the slope through the curvature that the last moves have met, and through that at the start before them."""
     pull, shares = -slope, []
     for moved, bent in reversed(moves):
         share = (moved @ pull) / (moved @ bent)
         pull = pull - share * bent
         shares.append(share)
+    pull = through(pull)
     if moves:
         moved, bent = moves[-1]
-        pull = pull * ((moved @ bent) / (bent @ bent))
+        pull = pull * ((moved @ bent) / (bent @ through(bent)))
     for (moved, bent), share in zip(moves, reversed(shares)):
         pull = pull + (share - (bent @ pull) / (moved @ bent)) * moved
     return pull
 
 
-def train(df: DataFrame, max_iter: int, c: float = 1.0, **blocks) -> Classifier:
+def train(df: DataFrame, max_iter: int, c: float = 1.0, texts: Texts | None = None, **blocks) -> Classifier:
     """Fit on balanced class weights; scaling and vocabulary come from these rows only (:func:`fit_blocks`).
 
     The penalty is that of inverse strength ``c`` on the summed loss. Balanced
     weights sum to the number of rows, and the loss here is a weighted mean, so
-    the strength is one over that number.
+    the strength is one over that number. Rows without a text of their own are
+    read several times, so what the fit needs of them is stored.
     """
+    own_text = "text_pattern" in blocks and texts is None
+    if not own_text:
+        df = stored(df.select("label", *blocks.get("numerics", []), *blocks.get("categories", []), *([texts.key] if texts else [])), "inputs")
     rows = features.require_labels(df)
-    fitted, _ = fit_blocks(rows, **blocks)
+    fitted, _ = fit_blocks(rows, texts=texts, **blocks)
     weights, n_rows = features.balanced_weights(rows)
-    ready = training_rows(fitted.inputs(rows), features.weight_column(weights), "training")
+    ready = training_rows(fitted, rows, features.weight_column(weights), "training", texts)
     model = solve(ready, fitted.size(), n_rows, c, max_iter)
     ready.release()
+    if not own_text:
+        discard(df)
     return fitted.with_model(model)
 
 
@@ -347,13 +485,13 @@ def train_hybrid(df: DataFrame, **options) -> Classifier:
     return train(rows, 3000, numerics=features.CHANGE_NUMERICS, categories=features.CATEGORIES, text_pattern=tfidf.WORD, **options)
 
 
-def train_historical_hybrid(df: DataFrame, **options) -> Classifier:
-    """As hybrid, with the nine history features."""
-    rows = features.history_columns(features.change_columns(df)).withColumn(
-        "model_text", features.model_text(None, F.col("patch"))
-    )
+def train_historical_hybrid(df: DataFrame, texts: Texts | None = None, **options) -> Classifier:
+    """As hybrid, with the nine history features. Patches come as ``texts``, or with the rows."""
+    rows = features.history_columns(features.change_columns(df))
+    if texts is None:
+        rows = rows.withColumn("model_text", features.model_text(None, F.col("patch")))
     numerics = [*features.CHANGE_NUMERICS, *rules.HISTORY_FEATURES]
-    return train(rows, 4000, numerics=numerics, categories=features.CATEGORIES, text_pattern=tfidf.WORD, **options)
+    return train(rows, 4000, texts=texts, numerics=numerics, categories=features.CATEGORIES, text_pattern=tfidf.WORD, **options)
 
 
 def train_history_only(df: DataFrame, **options) -> Classifier:
@@ -378,10 +516,16 @@ def slots(classifier: Classifier) -> DataFrame:
     return classifier.text.vocab.select(F.col("index").alias("slot"), F.lit("term").alias("block"), F.col("term").alias("feature")).unionByName(rest)
 
 
+def _by_slot(**columns: np.ndarray) -> DataFrame:
+    """(slot, columns) of one number per place."""
+    places = len(next(iter(columns.values())))
+    numbers = {"slot": pa.array(np.arange(places, dtype=np.int32))} | {n: pa.array(v, pa.float64()) for n, v in columns.items()}
+    return SparkSession.active().createDataFrame(pa.table(numbers))
+
+
 def weight_table(classifier: Classifier) -> DataFrame:
     """(slot, coefficient) of the fitted model."""
-    values = classifier.model.coefficients.toArray()
-    return SparkSession.active().createDataFrame([(i, float(v)) for i, v in enumerate(values)], "slot int, coefficient double")
+    return _by_slot(coefficient=classifier.model.coefficients.toArray())
 
 
 def coefficients(classifier: Classifier) -> DataFrame:
@@ -407,32 +551,27 @@ def vector_entries(vector: Column) -> Column:
     return entries(vector)
 
 
-def gradient(classifier: Classifier, df: DataFrame, label: str = "label", c: float = 1.0) -> DataFrame:
+def gradient(classifier: Classifier, df: DataFrame, label: str = "label", c: float = 1.0, texts: Texts | None = None) -> DataFrame:
     """(slot, block, feature, start, gradient) of the training loss for every place of the vector and the intercept.
 
     The loss is the weighted mean log loss plus the penalty that :func:`train`
     sets. ``gradient`` is its slope at the fitted weights, zero at the minimum,
-    and ``start`` the slope where all weights are zero. Entries of the vectors
-    are summed per place before the shuffle.
+    and ``start`` the slope where all weights are zero. Two passes over the
+    blocks of the rows, whose slopes are added up per place by the tasks.
     """
     weights, n_rows = features.balanced_weights(df, label)
-    weight = features.weight_column(weights, label) / n_rows
-    scored = classifier.model.transform(classifier.inputs(df)).select(
-        "features",
-        (weight * (vector_to_array("probability")[1] - F.col(label))).alias("error"),
-        (weight * (0.5 - F.col(label))).alias("error_at_zero"),
-    )
-    constant = F.array(F.struct(F.lit(-1).alias("slot"), F.lit(1.0).alias("value")))
-    each = scored.select("error", "error_at_zero", F.explode(F.concat(vector_entries(F.col("features")), constant)).alias("e"))
-    sums = each.groupBy(F.col("e.slot").alias("slot")).agg(
-        F.sum(F.col("error_at_zero") * F.col("e.value")).alias("start"), F.sum(F.col("error") * F.col("e.value")).alias("pull")
-    )
-    intercept = SparkSession.active().createDataFrame([(-1, "intercept", "intercept", 0.0)], "slot int, block string, feature string, coefficient double")
-    named = slots(classifier).join(weight_table(classifier), "slot").select("slot", "block", "feature", "coefficient").unionByName(intercept)
-    penalty = F.col("coefficient") / (c * n_rows)
-    return named.join(sums, "slot", "left").select(
-        "slot", "block", "feature", F.coalesce("start", F.lit(0.0)).alias("start"), (F.coalesce("pull", F.lit(0.0)) + penalty).alias("gradient")
+    rows = training_rows(classifier, df.withColumn("label", F.col(label)), features.weight_column(weights), "slopes", texts)
+    fitted = classifier.model.coefficients.toArray()
+    places, ends = {}, []
+    for name, at, intercept in (("start", np.zeros(len(fitted)), 0.0), ("gradient", fitted, classifier.model.intercept)):
+        pull, found = sums(rows, at, float(intercept), True)
+        places[name] = pull / n_rows + at / (c * n_rows)
+        ends.append(found[INTERCEPT] / n_rows)
+    rows.release()
+    intercept = SparkSession.active().createDataFrame(
+        [(-1, "intercept", "intercept", *ends)], "slot int, block string, feature string, start double, gradient double"
     )
+    return slots(classifier).join(_by_slot(**places), "slot").select(intercept.columns).unionByName(intercept)
 
 
 def best_model(results: DataFrame) -> DataFrame:

@@ -14,19 +14,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlake import rules
 
-WORD = r"(?U)\b\w+\b"
-LONG_WORD = r"(?U)\b\w\w+\b"
+WORD = r"[\p{L}\p{N}_]+"
+LONG_WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_]+"
+# Fewest signs of a word; a run of fewer is none, and its neighbours become neighbours of each other.
+_SHORTEST = {WORD: 1, LONG_WORD: 2}
 # About 60 MB as a broadcast table; larger vocabularies need a join of their own.
 TERM_BOUND = 1_000_000
 
 
-# Words that are counted at once inside a task.
+# Words that are counted at once inside a task, and bytes of the texts that hold about as many.
 _SLICE_WORDS = 500_000
-
-
-def words(text: Column, pattern: str = WORD) -> Column:
-    """The lower-case words of a text in order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+_SLICE_BYTES = 6 * _SLICE_WORDS
 
 
 def _unique(df: DataFrame, doc_id: str) -> bool:
@@ -34,17 +32,17 @@ def _unique(df: DataFrame, doc_id: str) -> bool:
     return df.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
 
-def documents(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> DataFrame:
-    """(doc, words): one row per document, dealt out by document.
+def documents(df: DataFrame, doc_id: str, text: str, carry: list[str] | None = None) -> DataFrame:
+    """(doc, texts) and the columns ``carry``: one row per document, dealt out by document.
 
     Texts move once, before they are split; terms never do. Rows that share an id
-    are one document, a null between their words keeps them from being neighbours.
+    are one document of several texts; what is carried is taken from one of them.
     """
-    dealt = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).repartition("doc")
-    split = dealt.select("doc", words(F.col("text"), pattern).alias("words"))
+    carry = carry or []
+    dealt = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), *carry).repartition("doc")
     if _unique(df, doc_id):
-        return split
-    return split.groupBy("doc").agg(F.flatten(F.collect_list(F.array_append("words", F.lit(None)))).alias("words"))
+        return dealt.select("doc", F.array("text").alias("texts"), *carry)
+    return dealt.groupBy("doc").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"), *[F.first(c).alias(c) for c in carry])
 
 
 def slices(lists: pa.Array) -> Iterator[pa.Array]:
@@ -58,12 +56,46 @@ def slices(lists: pa.Array) -> Iterator[pa.Array]:
         first = last
 
 
-def _next(lists: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The row of every word, and the code of the next word of its row, -1 where there is none."""
-    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+def _text_slices(lists: pa.Array) -> Iterator[pa.Array]:
+    """The rows of lists of texts in slices of bounded bytes; a longer row is a slice of its own."""
+    sizes = np.concatenate(([0], np.cumsum(pc.binary_length(lists.flatten()).fill_null(0).to_numpy(zero_copy_only=False))))
+    ends = sizes[np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+    first = 0
+    while first < len(lists):
+        start = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, start + _SLICE_BYTES, "right")))
+        yield lists.slice(first, last - first)
+        first = last
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length says, one after the other."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
+
+
+def split_words(lists: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct lower-case words of lists of texts, and per word that occurs, in order, its row, its code and that of the next in its text or -1.
+
+    Texts are cut at blanks first, so that letters are looked at once per distinct piece and not once per place.
+    """
+    texts = lists.flatten().fill_null("")
+    pieces = pc.ascii_split_whitespace(texts)
+    encoded = pc.dictionary_encode(pieces.flatten())
+    cut = pc.split_pattern_regex(pc.utf8_lower(encoded.dictionary), pattern=r"[^\p{L}\p{N}_]+")
+    runs = cut.flatten()
+    long = pc.greater_equal(pc.utf8_length(runs), _SHORTEST[pattern]).to_numpy(zero_copy_only=False)
+    of_piece = np.repeat(np.arange(len(cut)), cut.value_lengths().to_numpy(zero_copy_only=False))[long]
+    words = pc.dictionary_encode(runs.filter(pa.array(long)))
+    known = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n_words = np.bincount(of_piece, minlength=len(cut))
+    piece = encoded.indices.to_numpy(zero_copy_only=False)
+    lengths = n_words[piece]
+    codes = known[_ranges((np.cumsum(n_words) - n_words)[piece], lengths)]
+    of_text = np.repeat(np.repeat(np.arange(len(texts)), pieces.value_lengths().to_numpy(zero_copy_only=False)), lengths)
     following = np.full(len(codes), -1, dtype=np.int64)
-    following[:-1] = np.where(rows[1:] == rows[:-1], codes[1:], -1)
-    return rows, following
+    following[:-1] = np.where(of_text[1:] == of_text[:-1], codes[1:], -1)
+    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[of_text]
+    return words.dictionary, rows, codes, following
 
 
 def _lists(n_rows: int, rows: np.ndarray, columns: dict[str, pa.Array]) -> pa.Array:
@@ -72,41 +104,64 @@ def _lists(n_rows: int, rows: np.ndarray, columns: dict[str, pa.Array]) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
 
-def _count(lists: pa.Array) -> pa.Array:
-    encoded = pc.dictionary_encode(lists.flatten())
-    codes = encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    rows, following = _next(lists, codes)
-    known, paired = codes >= 0, (codes >= 0) & (following >= 0)
-    # A word and a pair of neighbours are one number per row: the second place is 0 for a word alone.
-    size = len(encoded.dictionary) + 1
-    alone = rows * size * size + codes * size
-    keys, tf = np.unique(np.concatenate((alone[known], (alone + following + 1)[paired])), return_counts=True)
-    second = keys % size
-    term = pc.binary_join_element_wise(
-        encoded.dictionary.take(pa.array(keys // size % size)), encoded.dictionary.take(pa.array(second - 1, mask=second == 0)), " ", null_handling="skip"
-    )
-    return _lists(len(lists), keys // (size * size), {"term": term, "tf": pa.array(tf.astype(np.int64))})
+def _counts(lists: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, term and count of every term of every row, sorted; and the distinct terms, by number."""
+    words, rows, codes, following = split_words(lists, pattern)
+    paired = following >= 0
+    # A word and a pair of neighbours are one number: the second place is 0 for a word alone.
+    size = len(words) + 1
+    places, term = np.unique(np.concatenate((codes * size, (codes * size + following + 1)[paired])), return_inverse=True)
+    keys, tf = np.unique(np.concatenate((rows, rows[paired])) * len(places) + term, return_counts=True)
+    second = places % size
+    terms = pc.binary_join_element_wise(words.take(pa.array(places // size)), words.take(pa.array(second - 1, mask=second == 0)), " ", null_handling="skip")
+    return keys // max(len(places), 1), keys % max(len(places), 1), tf, terms
 
 
 def term_counts(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> DataFrame:
     """(doc, term, tf): count of each lower-case word and each pair of neighbouring words per document, made where the text is."""
 
+    def count(part: pa.Array) -> pa.Array:
+        rows, term, tf, terms = _counts(part, pattern)
+        return _lists(len(part), rows, {"term": terms.take(pa.array(term)), "tf": pa.array(tf.astype(np.int64))})
+
     @F.arrow_udf(returnType="array<struct<term:string,tf:bigint>>")
     def counted(lists: pa.Array) -> pa.Array:
-        return pa.concat_arrays([_count(part) for part in slices(lists)])
+        return pa.concat_arrays([count(part) for part in _text_slices(lists)])
 
-    found = documents(df, doc_id, text, pattern).select("doc", counted("words").alias("entries"))
+    found = documents(df, doc_id, text).select("doc", counted("texts").alias("entries"))
     return found.select("doc", F.inline("entries"))
 
 
+def term_totals(df: DataFrame, doc_id: str, text: str, pattern: str = WORD, copies: str | None = None) -> DataFrame:
+    """(term, corpus_count, df), as sums of :func:`term_counts` that are added up where the text is, a slice of texts at a time.
+
+    ``copies`` names the column that says how many documents have the text, if each does not stand for itself.
+    """
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = 0
+            for part in _text_slices(batch.column("texts")):
+                times = batch.column("copies").slice(first, len(part)).to_numpy(zero_copy_only=False)
+                first += len(part)
+                rows, term, tf, terms = _counts(part, pattern)
+                sums = [np.bincount(term, weights=x, minlength=len(terms)).astype(np.int64) for x in (tf * times[rows], times[rows])]
+                yield pa.RecordBatch.from_arrays([terms, *map(pa.array, sums)], names=["term", "corpus_count", "df"])
+
+    given = df.withColumn("copies", F.lit(1) if copies is None else F.col(copies))
+    found = documents(given.withColumn("copies", F.col("copies").cast("bigint")), doc_id, text, ["copies"])
+    parts = found.select("texts", "copies").mapInArrow(totals, "term string, corpus_count bigint, df bigint")
+    return parts.groupBy("term").agg(F.sum("corpus_count").alias("corpus_count"), F.sum("df").alias("df"))
+
+
 def vocabulary(
-    counts: DataFrame,
+    totals: DataFrame,
     n_docs: Column | int,
     max_terms: int = rules.MAX_TERMS,
     min_docs: int = rules.MIN_DOC_COUNT,
     max_share: float = rules.MAX_DOC_SHARE,
 ) -> DataFrame:
-    """The most frequent terms within the document limits, with their idf.
+    """The most frequent terms of :func:`term_totals` within the document limits, with their idf.
 
     Ties at the cut go by term. The result has at most ``max_terms`` rows; it is
     broadcast and collected later, so that number is checked here.
@@ -114,8 +169,7 @@ def vocabulary(
     if not 0 < max_terms <= TERM_BOUND:
         raise ValueError(f"max_terms must be between 1 and {TERM_BOUND}")
     n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
-    per_term = counts.groupBy("term").agg(F.sum("tf").alias("corpus_count"), F.count(F.lit(1)).alias("df"))
-    kept = per_term.filter((F.col("df") >= min_docs) & (F.col("df") <= n * F.lit(max_share)))
+    kept = totals.filter((F.col("df") >= min_docs) & (F.col("df") <= n * F.lit(max_share)))
     top = kept.orderBy(F.desc("corpus_count"), "term").limit(max_terms)
     idf = F.ln((n + 1).cast("double") / (F.col("df") + 1)) + 1
     return top.withColumn("idf", idf)
@@ -138,6 +192,7 @@ class _Lookup:
     def __init__(self, terms: list[str], idf: list[float]):
         parts = [t.split(" ") for t in terms]
         self.words = sorted({w for p in parts for w in p})
+        self.word_set = pa.array(self.words, pa.string())
         code = {w: i for i, w in enumerate(self.words)}
         self.idf = np.array(idf)
         self.alone = np.full(len(self.words) + 1, -1, dtype=np.int64)
@@ -150,10 +205,12 @@ class _Lookup:
         keys = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
         self.pairs, self.places = keys[:, 0].copy(), keys[:, 1].copy()
 
-    def weigh(self, lists: pa.Array) -> pa.Array:
+    def weigh(self, lists: pa.Array, pattern: str) -> pa.Array:
         size = max(len(self.idf), 1)
-        codes = pc.index_in(lists.flatten(), value_set=pa.array(self.words, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows, following = _next(lists, codes)
+        words, rows, codes, following = split_words(lists, pattern)
+        # Words of these texts by their code in the vocabulary; the last place is that of no word.
+        known = np.append(pc.index_in(words, value_set=self.word_set).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), -1)
+        codes, following = known[codes], known[following]
         # Code -1 reads the last place, which holds no term.
         alone = self.alone[codes]
         paired = np.flatnonzero((codes >= 0) & (following >= 0))
@@ -179,8 +236,8 @@ class TfIdf:
     pattern: str
     _shared: Broadcast | None = field(default=None, repr=False)
 
-    def entries(self, lists: Column) -> Column:
-        """(index, tf, weight) of the terms in a list of words: (1 + ln tf) * idf, scaled to length one.
+    def entries(self, texts: Column) -> Column:
+        """(index, tf, weight) of the terms in the texts of a document: (1 + ln tf) * idf, scaled to length one.
 
         The vocabulary is bounded by its number of terms and sent to every worker
         once, so that terms are found where the text is.
@@ -188,34 +245,44 @@ class TfIdf:
         if self._shared is None:
             rows = self.vocab.orderBy("index").collect()
             self._shared = self.vocab.sparkSession.sparkContext.broadcast(_Lookup([r.term for r in rows], [r.idf for r in rows]))
-        shared = self._shared
+        shared, pattern = self._shared, self.pattern
 
         @F.arrow_udf(returnType="array<struct<index:int,tf:bigint,weight:double>>")
         def weighed(lists: pa.Array) -> pa.Array:
-            return pa.concat_arrays([shared.value.weigh(part) for part in slices(lists)])
+            return pa.concat_arrays([shared.value.weigh(part, pattern) for part in _text_slices(lists)])
 
-        return weighed(lists)
+        return weighed(texts)
 
     def weights(self, df: DataFrame, doc_id: str, text: str) -> DataFrame:
         """(doc, term, tf, idf, weight) of the vocabulary's terms in every document."""
-        found = documents(df, doc_id, text, self.pattern).select("doc", self.entries(F.col("words")).alias("entries"))
+        found = documents(df, doc_id, text).select("doc", self.entries(F.col("texts")).alias("entries"))
         return found.select("doc", F.inline("entries")).join(F.broadcast(self.vocab), "index").select("doc", "term", "tf", "idf", "weight")
 
-    def transform(self, df: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
-        """``df`` with a sparse vector per row; a row holds at most ``size`` entries. Rows that share an id get the vector of all."""
+    def with_entries(self, df: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """``df`` with the ``entries`` of every row's text. Rows that share an id get those of all."""
         if _unique(df, doc_id):
-            found = df.withColumn("entries", self.entries(words(F.col(text), self.pattern)))
-        else:
-            per_doc = documents(df, doc_id, text, self.pattern).select(F.col("doc").alias(doc_id), self.entries(F.col("words")).alias("entries"))
-            found = df.join(per_doc, doc_id, "left")
-        return found.withColumn(out, sparse_column(F.col("entries.index"), F.col("entries.weight"), self.size)).drop("entries")
+            return df.withColumn("entries", self.entries(F.array(F.col(text))))
+        per_doc = documents(df, doc_id, text).select(F.col("doc").alias(doc_id), self.entries(F.col("texts")).alias("entries"))
+        return df.join(per_doc, doc_id, "left")
+
+    def vectors(self, df: DataFrame, out: str) -> DataFrame:
+        """``df`` with a sparse vector per row instead of its ``entries``; a row holds at most ``size`` of them."""
+        return df.withColumn(out, sparse_column(F.col("entries.index"), F.col("entries.weight"), self.size)).drop("entries")
+
+    def transform(self, df: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
+        """``df`` with a sparse vector per row. Rows that share an id get the vector of all."""
+        return self.vectors(self.with_entries(df, doc_id, text), out)
+
 
+def fit(df: DataFrame, doc_id: str, text: str, pattern: str = WORD, copies: str | None = None, n_docs: int | None = None, **limits) -> TfIdf:
+    """Vocabulary of the training rows; its at most ``max_terms`` terms are numbered in order.
 
-def fit(df: DataFrame, doc_id: str, text: str, pattern: str = WORD, **limits) -> TfIdf:
-    """Vocabulary of the training rows; its at most ``max_terms`` terms are numbered in order."""
-    vocab = vocabulary(term_counts(df, doc_id, text, pattern), df.count(), **limits).select("term", "idf")
+    ``copies`` is that of :func:`term_totals`; ``n_docs`` counts documents without a text too, if ``df`` leaves them out.
+    """
+    n = df.count() if n_docs is None else n_docs
+    vocab = vocabulary(term_totals(df, doc_id, text, pattern, copies), n, **limits).select("term", "idf")
     rows = sorted((r.term, r.idf) for r in vocab.collect())
-    table = df.sparkSession.createDataFrame(
-        [(t, i, idf) for i, (t, idf) in enumerate(rows)], "term string, index int, idf double"
-    )
+    columns = {"term": [t for t, _ in rows], "index": range(len(rows)), "idf": [idf for _, idf in rows]}
+    types = {"term": pa.string(), "index": pa.int32(), "idf": pa.float64()}
+    table = df.sparkSession.createDataFrame(pa.table({n: pa.array(v, types[n]) for n, v in columns.items()}))
     return TfIdf(table, max(len(rows), 1), pattern)

@@ -27,10 +27,9 @@ PATIENCE = 2
 _HISTORY = "run int, step int, c double, loss double, f1 double, gain boolean, stopped boolean, chosen boolean"
 
 
-def _squares(block: tuple) -> float:
+def _squares(block: models.Block) -> float:
     """Weighted square of the rows of a block, the one of the intercept among it."""
-    y, w, lengths, _, values = models.opened(block)
-    return float(np.bincount(np.repeat(np.arange(len(y)), lengths), weights=values * values, minlength=len(y)) @ w + w.sum())
+    return float(block.spread(block.weight, 2).sum() + block.weight.sum())
 
 
 class _Descent:
@@ -39,7 +38,7 @@ class _Descent:
     def __init__(self, rows: models.Rows, n_rows: int, c: float, start: tuple[np.ndarray, float]):
         self.rows, self.n_rows, self.penalty = rows, n_rows, 1.0 / (c * n_rows)
         # The curvature of the log loss is a quarter at most, along the mean square of the rows at most.
-        bound = rows.blocks.map(_squares).fold(0.0, lambda a, b: a + b) / n_rows or 1.0
+        bound = rows.opened().map(_squares).fold(0.0, lambda a, b: a + b) / n_rows or 1.0
         self.rate = 1.0 / (0.25 * bound + self.penalty)
         self.now = self.before = np.append(start[0], start[1])
         self.done = 0
@@ -86,10 +85,10 @@ def choose(
     class_weights, n_rows = features.balanced_weights(train)
 
     def ready(df: DataFrame, name: str) -> models.Rows:
-        return models.training_rows(blocks.inputs(df), features.weight_column(class_weights), name)
+        return models.training_rows(blocks, df, features.weight_column(class_weights), name)
 
     rows, held = ready(train, "training"), ready(features.require_labels(validation), "validation")
-    held_weight = held.blocks.map(lambda block: float(models.opened(block)[1].sum())).fold(0.0, lambda a, b: a + b) or 1.0
+    held_weight = held.opened().map(lambda block: float(block.weight.sum())).fold(0.0, lambda a, b: a + b) or 1.0
     size = blocks.size()
     start = (np.zeros(size), 0.0)
     records, best, chosen = [], None, None
