@@ -60,9 +60,10 @@ class Texts:
     table: DataFrame
     key: str
 
-    def of(self, df: DataFrame) -> DataFrame:
-        """Those that some row of ``df`` names."""
-        return self.table.select(self.key, "model_text").join(df.select(self.key), self.key, "left_semi")
+    def copies(self, df: DataFrame) -> DataFrame:
+        """(texts, copies): those that rows of ``df`` name, and how many rows do, stored for the passes over them."""
+        named = self.table.select(self.key, "model_text").join(df.groupBy(self.key).agg(F.count(F.lit(1)).alias("copies")), self.key)
+        return stored(named.select(F.array("model_text").alias("texts"), "copies"), "texts")
 
 
 @dataclass
@@ -76,31 +77,29 @@ class Classifier:
     text: tfidf.TfIdf | None = None
     doc_id: str = "record_id"
 
-    def with_entries(self, df: DataFrame, texts: Texts | None = None) -> DataFrame:
-        """Rows with the ``entries`` of their text: that of their own, or the one they share with others, which is looked at once."""
+    def with_texts(self, df: DataFrame, texts: Texts | None = None) -> DataFrame:
+        """Rows with their ``texts``: their own, or those they share with others, which come to lie side by side and are looked at once."""
         if texts is None:
-            return self.text.with_entries(df, self.doc_id, "model_text")
-        found = texts.of(df).select(texts.key, self.text.entries(F.array("model_text")).alias("entries"))
-        # Vectors grow with the texts, so they are never broadcast.
-        return df.join(found.hint("merge"), texts.key, "left")
+            return self.text.with_texts(df, self.doc_id, "model_text")
+        found = texts.table.select(texts.key, F.array("model_text").alias("texts"))
+        # Texts grow with the input, so they are never broadcast.
+        joined = df.join(found.hint("merge"), texts.key, "left")
+        return joined.withColumn("texts", F.coalesce("texts", F.array(F.lit(""))))
 
     def inputs(self, df: DataFrame, texts: Texts | None = None) -> DataFrame:
         if self.text is not None:
-            df = self.text.vectors(self.with_entries(df, texts), "text_features")
+            df = self.text.vectors(self.with_texts(df, texts), "text_features")
         return _inputs(df, self.numerics, self.scaler, self.one_hot, self.text is not None)
 
     def parts(self, df: DataFrame, texts: Texts | None = None) -> tuple[DataFrame, Shape]:
         """Rows with the parts of their vector, not put together, and its shape.
 
-        ``entries`` holds the terms and ``text`` tells texts apart, ``numeric`` the
+        ``texts`` holds the texts whose terms make up its first part, ``numeric`` the
         scaled numerics, ``hot`` one place per category, -1 for a value that
         training has not seen.
         """
         terms = self.text.size if self.text else 0
-        text, entries = F.lit(None).cast("string"), F.lit(None).cast("array<struct<index:int,weight:double>>")
-        if self.text is not None:
-            df = self.with_entries(df, texts)
-            text, entries = F.col(self.doc_id if texts is None else texts.key).cast("string"), F.col("entries")
+        df = self.with_texts(df, texts) if self.text is not None else df.withColumn("texts", F.array().cast("array<string>"))
         known = self.one_hot.stages[0].labelsArray if self.one_hot is not None else []
         hot, place = [], terms + len(self.numerics)
         if self.one_hot is not None:
@@ -110,7 +109,7 @@ class Classifier:
             hot.append(F.when(index < len(values), index + place).otherwise(-1))
             place += len(values)
         scaled = list(self.scaler.columns().values()) if self.scaler is not None else []
-        df = df.withColumns({"text": text, "entries": entries, "numeric": F.array(*scaled).cast("array<double>"), "hot": F.array(*hot).cast("array<int>")})
+        df = df.withColumns({"numeric": F.array(*scaled).cast("array<double>"), "hot": F.array(*hot).cast("array<int>")})
         return df, Shape(terms, len(self.numerics), len(known), place)
 
     def score(self, df: DataFrame, threshold: float | None = rules.DECISION_THRESHOLD, texts: Texts | None = None) -> DataFrame:
@@ -210,9 +209,9 @@ def fit_blocks(
     one_hot = features.fit_one_hot(df, categories) if categories else None
     text = None
     if text_pattern and texts is not None:
-        copies = df.groupBy(texts.key).agg(F.count(F.lit(1)).alias("copies"))
-        named = texts.table.select(texts.key, "model_text").join(copies, texts.key)
-        text = tfidf.fit(named, texts.key, "model_text", text_pattern, "copies", df.count(), **text_limits)
+        named = texts.copies(df)
+        text = tfidf.fit_documents(named, df.count(), text_pattern, **text_limits)
+        discard(named)
     elif text_pattern:
         text = tfidf.fit(df, doc_id, "model_text", text_pattern, **text_limits)
     return Classifier(None, numerics, scaler, one_hot, text, doc_id), None if text is None else text.vocab
@@ -237,21 +236,19 @@ _BLOCK = {
 }
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], lookup: tfidf.Lookup | None, pattern: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, entries = batch.column("text"), batch.column("entries")
-        # Rows with the same text share its entries within a block.
-        shared = texts.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-        _, first, member = np.unique(shared, return_index=True, return_inverse=True)
-        kept = entries.take(pa.array(first))
-        flat = kept.flatten()
-        numbers = [
-            batch.column("label"), batch.column("weight"), batch.column("numeric").flatten(), batch.column("hot").flatten(),
-            pa.array(member if len(flat) else member[:0]), kept.value_lengths().fill_null(0), flat.field("index"), flat.field("weight"),
-        ]
-        if numbers[2].null_count:
+        lengths, member, slot, value = (np.zeros(0, dtype=t) for t in (np.int32, np.int32, np.int32, np.float64))
+        if lookup is not None:
+            # Rows with the same text share its entries within a block.
+            texts, member = tfidf.distinct_texts(batch.column("texts"))
+            found = tfidf.weigh(texts, lookup, pattern)
+            lengths, (slot, value) = found.value_lengths().to_numpy(), (found.flatten().field(n).to_numpy() for n in ("index", "weight"))
+        numeric = batch.column("numeric").flatten()
+        if numeric.null_count:
             raise ValueError("a numeric feature has no value")
-        blobs = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False).astype(t)).tobytes() for c, t in zip(numbers, _BLOCK.values())]
+        numbers = [*(c.to_numpy(zero_copy_only=False) for c in (batch.column("label"), batch.column("weight"), numeric, batch.column("hot").flatten()))]
+        blobs = [np.ascontiguousarray(x.astype(t)).tobytes() for x, t in zip([*numbers, member, lengths, slot, value], _BLOCK.values())]
         yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()) for blob in blobs], names=list(_BLOCK))
 
 
@@ -333,8 +330,14 @@ class Rows:
 def training_rows(classifier: Classifier, df: DataFrame, weight: Column, name: str, texts: Texts | None = None) -> Rows:
     """Rows with vectors, label and weight, stored in blocks and kept by the executors, on disk where memory ends."""
     rows, shape = classifier.parts(df, texts)
-    rows = rows.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), "numeric", "hot", "text", "entries")
-    table = stored(rows.mapInArrow(_packed, ", ".join(f"{n} binary" for n in _BLOCK)), name)
+    rows = rows.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), "numeric", "hot", "texts")
+    text, lookup = classifier.text, classifier.text.lookup() if classifier.text else None
+    pattern = text.pattern if text else None
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(batches, lookup.value if lookup else None, pattern)
+
+    table = stored(rows.mapInArrow(packed, ", ".join(f"{n} binary" for n in _BLOCK)), name)
     return Rows(table, table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK), shape)
 
 

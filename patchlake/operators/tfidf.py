@@ -13,6 +13,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchlake import rules
+from patchlake.session import discard, stored
 
 WORD = r"[\p{L}\p{N}_]+"
 LONG_WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_]+"
@@ -22,9 +23,11 @@ _SHORTEST = {WORD: 1, LONG_WORD: 2}
 TERM_BOUND = 1_000_000
 
 
-# Words that are counted at once inside a task, and bytes of the texts that hold about as many.
+# Words, and bytes of texts, that are counted at once inside a task.
 _SLICE_WORDS = 500_000
-_SLICE_BYTES = 6 * _SLICE_WORDS
+_SLICE_BYTES = 1_500_000
+# Sums of the counts of all terms by their hash, in parts of this many; they tell which terms cannot be among the most frequent.
+_BUCKETS, _BUCKET_PART = 1 << 20, 1 << 14
 
 
 def _unique(df: DataFrame, doc_id: str) -> bool:
@@ -32,17 +35,19 @@ def _unique(df: DataFrame, doc_id: str) -> bool:
     return df.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
 
-def documents(df: DataFrame, doc_id: str, text: str, carry: list[str] | None = None) -> DataFrame:
-    """(doc, texts) and the columns ``carry``: one row per document, dealt out by document.
+def documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, texts, copies): one row per document, dealt out by document and stored for the passes over them.
 
     Texts move once, before they are split; terms never do. Rows that share an id
-    are one document of several texts; what is carried is taken from one of them.
+    are one document of several texts. ``copies`` says for how many documents a
+    row stands, here one.
     """
-    carry = carry or []
-    dealt = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), *carry).repartition("doc")
+    dealt = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).repartition("doc")
     if _unique(df, doc_id):
-        return dealt.select("doc", F.array("text").alias("texts"), *carry)
-    return dealt.groupBy("doc").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"), *[F.first(c).alias(c) for c in carry])
+        found = dealt.select("doc", F.array("text").alias("texts"))
+    else:
+        found = dealt.groupBy("doc").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+    return stored(found.withColumn("copies", F.lit(1).cast("bigint")), "documents")
 
 
 def slices(lists: pa.Array) -> Iterator[pa.Array]:
@@ -104,24 +109,29 @@ def _lists(n_rows: int, rows: np.ndarray, columns: dict[str, pa.Array]) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
 
-def _counts(lists: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Row, term and count of every term of every row, sorted; and the distinct terms, by number."""
-    words, rows, codes, following = split_words(lists, pattern)
-    paired = following >= 0
+def _counts(
+    words: pa.Array, rows: np.ndarray, codes: np.ndarray, following: np.ndarray, alone: np.ndarray, paired: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, term and count of every term of every row, sorted, and the distinct terms, by number.
+
+    Terms are the words chosen by ``alone`` and the pairs chosen by ``paired``.
+    """
     # A word and a pair of neighbours are one number: the second place is 0 for a word alone.
     size = len(words) + 1
-    places, term = np.unique(np.concatenate((codes * size, (codes * size + following + 1)[paired])), return_inverse=True)
-    keys, tf = np.unique(np.concatenate((rows, rows[paired])) * len(places) + term, return_counts=True)
+    places, term = np.unique(np.concatenate((codes[alone] * size, (codes * size + following + 1)[paired])), return_inverse=True)
+    n = max(len(places), 1)
+    keys, tf = np.unique(np.concatenate((rows[alone], rows[paired])) * n + term, return_counts=True)
     second = places % size
     terms = pc.binary_join_element_wise(words.take(pa.array(places // size)), words.take(pa.array(second - 1, mask=second == 0)), " ", null_handling="skip")
-    return keys // max(len(places), 1), keys % max(len(places), 1), tf, terms
+    return keys // n, keys % n, tf, terms
 
 
 def term_counts(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> DataFrame:
     """(doc, term, tf): count of each lower-case word and each pair of neighbouring words per document, made where the text is."""
 
     def count(part: pa.Array) -> pa.Array:
-        rows, term, tf, terms = _counts(part, pattern)
+        words, rows, codes, following = split_words(part, pattern)
+        rows, term, tf, terms = _counts(words, rows, codes, following, following >= -1, following >= 0)
         return _lists(len(part), rows, {"term": terms.take(pa.array(term)), "tf": pa.array(tf.astype(np.int64))})
 
     @F.arrow_udf(returnType="array<struct<term:string,tf:bigint>>")
@@ -132,47 +142,111 @@ def term_counts(df: DataFrame, doc_id: str, text: str, pattern: str = WORD) -> D
     return found.select("doc", F.inline("entries"))
 
 
-def term_totals(df: DataFrame, doc_id: str, text: str, pattern: str = WORD, copies: str | None = None) -> DataFrame:
-    """(term, corpus_count, df), as sums of :func:`term_counts` that are added up where the text is, a slice of texts at a time.
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    for batch in batches:
+        first = 0
+        for part in _text_slices(batch.column("texts")):
+            yield part, batch.column("copies").slice(first, len(part)).to_numpy(zero_copy_only=False)
+            first += len(part)
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of every word; the sum of its bytes times a power of an odd number that goes with their place."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    lengths = np.diff(ends)
+    powers = np.multiply.accumulate(np.full(lengths.max(initial=1), 0x9E3779B97F4A7C15, dtype=np.uint64))
+    letters = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    hashes = np.add.reduceat(letters * powers[_ranges(np.zeros_like(lengths), lengths)], ends[:-1] - ends[0])
+    return (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _buckets(words: pa.Array, codes: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every word, and of it and its next one (to be left out where there is none)."""
+    if len(words) == 0:
+        return codes, codes
+    hashes, shift = _word_hashes(words), np.uint64(65 - _BUCKETS.bit_length())
+    alone = (hashes >> shift).astype(np.int64)[codes]
+    pairs = (hashes * np.uint64(0x94D049BB133111EB))[codes] + (hashes ^ (hashes >> np.uint64(31)))[following]
+    return alone, (pairs * np.uint64(0xD6E8FEB86659FD93) >> shift).astype(np.int64)
+
+
+def bucket_counts(docs: DataFrame, pattern: str = WORD) -> np.ndarray:
+    """The summed counts of the terms of each bucket: no term has more than its bucket. Fixed size; tasks and parts add up."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_BUCKETS)
+        for part, times in _by_slice(batches):
+            words, rows, codes, following = split_words(part, pattern)
+            alone, pairs = _buckets(words, codes, following)
+            paired = following >= 0
+            total += np.bincount(alone, weights=times[rows], minlength=_BUCKETS)
+            total += np.bincount(pairs[paired], weights=times[rows[paired]], minlength=_BUCKETS)
+        parts = [x.tobytes() for x in total.astype(np.int64).reshape(-1, _BUCKET_PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, counts binary"
+    found = docs.select("texts", "copies").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect()
+    return np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(r.counts, np.int64) for r in sorted(found)])
+
+
+def term_totals(docs: DataFrame, pattern: str = WORD, buckets: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """(term, corpus_count, df) over ``docs`` (:func:`documents`), added up where the text is, a slice of texts at a time.
 
-    ``copies`` names the column that says how many documents have the text, if each does not stand for itself.
+    With ``buckets``, terms of buckets below ``least`` are left out before anything moves: each has fewer than that.
     """
+    allowed = None if buckets is None else docs.sparkSession.sparkContext.broadcast(np.packbits(buckets >= least))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first = 0
-            for part in _text_slices(batch.column("texts")):
-                times = batch.column("copies").slice(first, len(part)).to_numpy(zero_copy_only=False)
-                first += len(part)
-                rows, term, tf, terms = _counts(part, pattern)
-                sums = [np.bincount(term, weights=x, minlength=len(terms)).astype(np.int64) for x in (tf * times[rows], times[rows])]
-                yield pa.RecordBatch.from_arrays([terms, *map(pa.array, sums)], names=["term", "corpus_count", "df"])
-
-    given = df.withColumn("copies", F.lit(1) if copies is None else F.col(copies))
-    found = documents(given.withColumn("copies", F.col("copies").cast("bigint")), doc_id, text, ["copies"])
-    parts = found.select("texts", "copies").mapInArrow(totals, "term string, corpus_count bigint, df bigint")
+        kept = None if allowed is None else np.unpackbits(allowed.value).astype(bool)
+        for part, times in _by_slice(batches):
+            words, rows, codes, following = split_words(part, pattern)
+            alone, paired = np.ones(len(codes), dtype=bool), following >= 0
+            if kept is not None:
+                single, pairs = _buckets(words, codes, following)
+                alone, paired = kept[single], paired & kept[pairs]
+            rows, term, tf, terms = _counts(words, rows, codes, following, alone, paired)
+            sums = [np.bincount(term, weights=x, minlength=len(terms)).astype(np.int64) for x in (tf * times[rows], times[rows])]
+            yield pa.RecordBatch.from_arrays([terms, *map(pa.array, sums)], names=["term", "corpus_count", "df"])
+
+    parts = docs.select("texts", "copies").mapInArrow(totals, "term string, corpus_count bigint, df bigint")
     return parts.groupBy("term").agg(F.sum("corpus_count").alias("corpus_count"), F.sum("df").alias("df"))
 
 
 def vocabulary(
-    totals: DataFrame,
-    n_docs: Column | int,
+    docs: DataFrame,
+    n_docs: int,
+    pattern: str = WORD,
     max_terms: int = rules.MAX_TERMS,
     min_docs: int = rules.MIN_DOC_COUNT,
     max_share: float = rules.MAX_DOC_SHARE,
 ) -> DataFrame:
-    """The most frequent terms of :func:`term_totals` within the document limits, with their idf.
+    """The most frequent terms of ``docs`` (:func:`documents`) within the document limits, with their idf.
 
     Ties at the cut go by term. The result has at most ``max_terms`` rows; it is
     broadcast and collected later, so that number is checked here.
+
+    Most terms are rare, and none of those needs to move: a first pass counts by
+    hash, a second one counts exactly what may be frequent enough. If the last
+    term taken is rarer than what was left out may be, less is left out and the
+    second pass made again, down to nothing left out.
     """
     if not 0 < max_terms <= TERM_BOUND:
         raise ValueError(f"max_terms must be between 1 and {TERM_BOUND}")
-    n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
-    kept = totals.filter((F.col("df") >= min_docs) & (F.col("df") <= n * F.lit(max_share)))
-    top = kept.orderBy(F.desc("corpus_count"), "term").limit(max_terms)
-    idf = F.ln((n + 1).cast("double") / (F.col("df") + 1)) + 1
-    return top.withColumn("idf", idf)
+    buckets = bucket_counts(docs, pattern)
+    least = int(np.partition(buckets, -max_terms)[-max_terms]) // 2 if max_terms < len(buckets) else 0
+    while True:
+        totals = term_totals(docs, pattern, buckets if least > 1 else None, least)
+        kept = totals.filter((F.col("df") >= min_docs) & (F.col("df") <= F.lit(n_docs) * F.lit(max_share)))
+        top = kept.orderBy(F.desc("corpus_count"), "term").limit(max_terms).toArrow()
+        if least <= 1 or len(top) == max_terms and pc.min(top.column("corpus_count")).as_py() >= least:
+            break
+        least //= 4
+    idf = F.ln(F.lit(n_docs + 1).cast("double") / (F.col("df") + 1)) + 1
+    return docs.sparkSession.createDataFrame(top).withColumn("idf", idf)
 
 
 def sparse_column(indices: Column, values: Column, size: int) -> Column:
@@ -186,7 +260,7 @@ def sparse_column(indices: Column, values: Column, size: int) -> Column:
     return relabel(F.coalesce(indices, F.array().cast("array<int>")), F.coalesce(values, F.array().cast("array<double>")))
 
 
-class _Lookup:
+class Lookup:
     """Places of the vocabulary's terms by the codes of their words."""
 
     def __init__(self, terms: list[str], idf: list[float]):
@@ -227,6 +301,20 @@ class _Lookup:
         return _lists(len(lists), row, columns)
 
 
+def distinct_texts(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct rows of lists of one text each, and which one each row is; rows of several texts stay as they are."""
+    if len(lists) == 0 or lists.null_count or pc.min_max(lists.value_lengths()) != pa.scalar({"min": 1, "max": 1}, pc.min_max(lists.value_lengths()).type):
+        return lists, np.arange(len(lists))
+    encoded = lists.flatten().fill_null("").dictionary_encode()
+    single = pa.ListArray.from_arrays(pa.array(np.arange(len(encoded.dictionary) + 1, dtype=np.int32)), encoded.dictionary)
+    return single, encoded.indices.to_numpy(zero_copy_only=False)
+
+
+def weigh(lists: pa.Array, lookup: Lookup, pattern: str) -> pa.Array:
+    """The entries of each row of lists of texts, a slice of them at a time."""
+    return pa.concat_arrays([lookup.weigh(part, pattern) for part in _text_slices(lists)] or [lookup.weigh(lists, pattern)])
+
+
 @dataclass
 class TfIdf:
     """A fitted vocabulary: (term, index, idf), at most ``size`` rows."""
@@ -236,53 +324,62 @@ class TfIdf:
     pattern: str
     _shared: Broadcast | None = field(default=None, repr=False)
 
-    def entries(self, texts: Column) -> Column:
-        """(index, tf, weight) of the terms in the texts of a document: (1 + ln tf) * idf, scaled to length one.
-
-        The vocabulary is bounded by its number of terms and sent to every worker
-        once, so that terms are found where the text is.
-        """
+    def lookup(self) -> Broadcast:
+        """The vocabulary, bounded by its number of terms and sent to every worker once, so that terms are found where the text is."""
         if self._shared is None:
             rows = self.vocab.orderBy("index").collect()
-            self._shared = self.vocab.sparkSession.sparkContext.broadcast(_Lookup([r.term for r in rows], [r.idf for r in rows]))
-        shared, pattern = self._shared, self.pattern
+            self._shared = self.vocab.sparkSession.sparkContext.broadcast(Lookup([r.term for r in rows], [r.idf for r in rows]))
+        return self._shared
+
+    def entries(self, texts: Column) -> Column:
+        """(index, tf, weight) of the terms in the texts of a document: (1 + ln tf) * idf, scaled to length one."""
+        shared, pattern = self.lookup(), self.pattern
 
         @F.arrow_udf(returnType="array<struct<index:int,tf:bigint,weight:double>>")
         def weighed(lists: pa.Array) -> pa.Array:
-            return pa.concat_arrays([shared.value.weigh(part, pattern) for part in _text_slices(lists)])
+            distinct, member = distinct_texts(lists)
+            return weigh(distinct, shared.value, pattern).take(pa.array(member))
 
         return weighed(texts)
 
     def weights(self, df: DataFrame, doc_id: str, text: str) -> DataFrame:
         """(doc, term, tf, idf, weight) of the vocabulary's terms in every document."""
-        found = documents(df, doc_id, text).select("doc", self.entries(F.col("texts")).alias("entries"))
-        return found.select("doc", F.inline("entries")).join(F.broadcast(self.vocab), "index").select("doc", "term", "tf", "idf", "weight")
+        return self.weights_of(documents(df, doc_id, text))
 
-    def with_entries(self, df: DataFrame, doc_id: str, text: str) -> DataFrame:
-        """``df`` with the ``entries`` of every row's text. Rows that share an id get those of all."""
+    def weights_of(self, docs: DataFrame) -> DataFrame:
+        """:meth:`weights` of documents that are stored already (:func:`documents`)."""
+        found = docs.select("doc", F.inline(self.entries(F.col("texts"))))
+        return found.join(F.broadcast(self.vocab), "index").select("doc", "term", "tf", "idf", "weight")
+
+    def with_texts(self, df: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """``df`` with the ``texts`` of every row: its own, or those of all rows that share its id."""
         if _unique(df, doc_id):
-            return df.withColumn("entries", self.entries(F.array(F.col(text))))
-        per_doc = documents(df, doc_id, text).select(F.col("doc").alias(doc_id), self.entries(F.col("texts")).alias("entries"))
-        return df.join(per_doc, doc_id, "left")
+            return df.withColumn("texts", F.array(F.col(text)))
+        docs = df.select(F.col(doc_id).alias("doc"), F.coalesce(text, F.lit("")).alias("text")).groupBy("doc").agg(F.collect_list("text").alias("texts"))
+        return df.join(docs.withColumnRenamed("doc", doc_id), doc_id, "left")
 
     def vectors(self, df: DataFrame, out: str) -> DataFrame:
-        """``df`` with a sparse vector per row instead of its ``entries``; a row holds at most ``size`` of them."""
-        return df.withColumn(out, sparse_column(F.col("entries.index"), F.col("entries.weight"), self.size)).drop("entries")
+        """``df`` with a sparse vector per row instead of its ``texts``; a row holds at most ``size`` entries."""
+        found = df.withColumn("entries", self.entries(F.col("texts"))).drop("texts")
+        return found.withColumn(out, sparse_column(F.col("entries.index"), F.col("entries.weight"), self.size)).drop("entries")
 
     def transform(self, df: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
         """``df`` with a sparse vector per row. Rows that share an id get the vector of all."""
-        return self.vectors(self.with_entries(df, doc_id, text), out)
+        return self.vectors(self.with_texts(df, doc_id, text), out)
 
 
-def fit(df: DataFrame, doc_id: str, text: str, pattern: str = WORD, copies: str | None = None, n_docs: int | None = None, **limits) -> TfIdf:
-    """Vocabulary of the training rows; its at most ``max_terms`` terms are numbered in order.
+def fit(df: DataFrame, doc_id: str, text: str, pattern: str = WORD, **limits) -> TfIdf:
+    """Vocabulary of the training rows; its at most ``max_terms`` terms are numbered in order."""
+    docs = documents(df, doc_id, text)
+    fitted = fit_documents(docs, docs.count(), pattern, **limits)
+    discard(docs)
+    return fitted
 
-    ``copies`` is that of :func:`term_totals`; ``n_docs`` counts documents without a text too, if ``df`` leaves them out.
-    """
-    n = df.count() if n_docs is None else n_docs
-    vocab = vocabulary(term_totals(df, doc_id, text, pattern, copies), n, **limits).select("term", "idf")
-    rows = sorted((r.term, r.idf) for r in vocab.collect())
+
+def fit_documents(docs: DataFrame, n_docs: int, pattern: str = WORD, **limits) -> TfIdf:
+    """:func:`fit` for documents that are stored already (:func:`documents`), some of which may stand for several."""
+    rows = sorted((r.term, r.idf) for r in vocabulary(docs, n_docs, pattern, **limits).select("term", "idf").collect())
     columns = {"term": [t for t, _ in rows], "index": range(len(rows)), "idf": [idf for _, idf in rows]}
     types = {"term": pa.string(), "index": pa.int32(), "idf": pa.float64()}
-    table = df.sparkSession.createDataFrame(pa.table({n: pa.array(v, types[n]) for n, v in columns.items()}))
+    table = docs.sparkSession.createDataFrame(pa.table({n: pa.array(v, types[n]) for n, v in columns.items()}))
     return TfIdf(table, max(len(rows), 1), pattern)

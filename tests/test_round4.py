@@ -1,12 +1,14 @@
 """Fits whose numerics depend on each other, texts that rows share, terms added up where the text is."""
 
 import random
+from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from patchlake import rules
 from patchlake.operators import features, models, tfidf
 
 
@@ -82,3 +84,47 @@ def test_many_categories_count_one_by_one(spark):
     fitted = models.train(df, 500, categories=features.CATEGORIES)
     slopes = models.gradient(fitted, df).collect()
     assert len(slopes) == 702 and max(abs(r.gradient) for r in slopes) <= 1.01 * models.SLOPE_SHARE * max(abs(r.start) for r in slopes)
+
+
+def zipf_documents(spark, n=300):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{min(k, 4000)}" for k in rng.zipf(1.3, 60)) for _ in range(n)]
+    terms, docs = Counter(), Counter()
+    for text in texts:
+        words = text.split()
+        found = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        terms.update(found)
+        docs.update(set(found))
+    return tfidf.documents(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text"), terms, docs
+
+
+@pytest.mark.parametrize("max_terms,max_share", [(40, 0.95), (40, 0.02), (100_000, 0.95)])
+def test_vocabulary_is_exact_where_rare_terms_stay(spark, monkeypatch, max_terms, max_share):
+    docs, terms, df = zipf_documents(spark)
+    leasts, real = [], tfidf.term_totals
+    monkeypatch.setattr(tfidf, "term_totals", lambda *given: leasts.append(given[3]) or real(*given))
+    got = [(r.term, r.corpus_count, r.df) for r in tfidf.vocabulary(docs, 300, max_terms=max_terms, max_share=max_share).collect()]
+    able = [t for t in terms if 2 <= df[t] <= 300 * max_share]
+    assert sorted(got) == sorted((t, terms[t], df[t]) for t in sorted(able, key=lambda t: (-terms[t], t))[:max_terms])
+    assert (leasts[0] > 1) == (max_terms == 40)
+    if max_share == 0.02:  # the frequent terms are left out, so rarer ones had to be asked for again
+        assert len(leasts) > 1
+
+
+def test_rare_terms_do_not_move(spark):
+    docs, terms, _ = zipf_documents(spark)
+    buckets = tfidf.bucket_counts(docs)
+    assert buckets.sum() == sum(terms.values())
+    least = sorted(terms.values())[-40]
+    moved = {r.term: r.corpus_count for r in tfidf.term_totals(docs, tfidf.WORD, buckets, least).collect()}
+    assert {t for t, n in terms.items() if n >= least} <= moved.keys() and len(moved) < len(terms) / 20
+    assert all(terms[t] == n for t, n in moved.items())
+
+
+def test_words_are_those_of_the_sql(spark):
+    texts = ["e\u0301te\u0301 É²x x½ a_b  Ⅷ", "\u00a0ÀB\u2003c\u200dd\u001ce", "don't a  bb c-dd", "", None, "日本 语a İSTANBUL ΣΑΣ"]
+    for pattern in (tfidf.WORD, tfidf.LONG_WORD):
+        words, rows, codes, _ = tfidf.split_words(pa.array([[t] for t in texts], pa.list_(pa.string())), pattern)
+        got = [[words[int(c)].as_py() for c in codes[rows == i]] for i in range(len(texts))]
+        sql = "select coalesce(regexp_extract_all(lower($t), $p), [])"
+        assert got == [duckdb.execute(sql, {"t": t, "p": pattern}).fetchone()[0] for t in texts]
