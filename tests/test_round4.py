@@ -9,7 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from patchlake.operators import features, models, tfidf
+from patchlake.operators import features, models, splits, tfidf
+from patchlake.plans import bindings, queries
+
+SF = "/root/testdata/sf0.001"
 
 
 def history_like(spark, n=3000):
@@ -128,3 +131,17 @@ def test_words_are_those_of_the_sql(spark):
         got = [[words[int(c)].as_py() for c in codes[rows == i]] for i in range(len(texts))]
         sql = "select coalesce(regexp_extract_all(lower($t), $p), [])"
         assert got == [duckdb.execute(sql, {"t": t, "p": pattern}).fetchone()[0] for t in texts]
+
+
+def test_coefficients_take_few_passes_over_narrow_rows(spark, passes, monkeypatch):
+    written, real = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, name: written.append(df.columns) or real(df, name))
+    assert queries.QUERIES["q_coefficients"](spark, SF).count() == 9 and len(passes) <= 12
+    assert written == [["commit_hash", "timestamp", "label", "historical_features"]]
+
+
+def test_columns_of_the_message_are_made_where_commits_are_read(spark):
+    changes = bindings.file_changes(spark, SF, {"label": queries.text.is_fix_message(F.col("message")).cast("int")})
+    want = splits.label_by_message(bindings.file_changes(spark, SF)).select("commit_hash", "file_path", "label")
+    assert sorted(changes.select(want.columns).collect()) == sorted(want.collect())
+    assert "message" not in changes.columns
