@@ -145,3 +145,13 @@ def test_columns_of_the_message_are_made_where_commits_are_read(spark):
     want = splits.label_by_message(bindings.file_changes(spark, SF)).select("commit_hash", "file_path", "label")
     assert sorted(changes.select(want.columns).collect()) == sorted(want.collect())
     assert "message" not in changes.columns
+
+
+def test_slopes_of_a_fit_take_two_passes(spark, passes):
+    df, table = records(spark)
+    texts = models.Texts(table, "commit_hash")
+    classifier, _ = models.fit_blocks(df, text_pattern=tfidf.WORD, texts=texts, min_docs=1, max_share=1.0)
+    blank = classifier.with_model(models.Linear(np.zeros(classifier.size()), 0.0))
+    found = models.gradient(blank, df, texts=texts)
+    assert len(passes) == 2 and "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.start == r.gradient for r in found.collect()) and found.count() == classifier.size() + 1
